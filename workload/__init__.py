@@ -1,6 +1,6 @@
 """The package's operators as queries over the driver's tables, with SQL to check them."""
 
-from workload import extraction, preparation  # noqa: F401 - register their queries
+from workload import bookkeeping, extraction, mining, preparation, quality  # noqa: F401 - register their queries
 from workload.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
