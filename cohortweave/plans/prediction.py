@@ -36,7 +36,7 @@ def train_per_site(
     algorithms: Sequence[T.Algorithm],
     sites: Sequence[str],
     labels: Sequence,
-    parallel_fits: int = 2,
+    parallel_fits: int = 4,
 ) -> list[SiteModel]:
     """One model per site and algorithm, from the training split of the site.
 

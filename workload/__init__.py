@@ -1,6 +1,13 @@
 """The package's operators as queries over the driver's tables, with SQL to check them."""
 
-from workload import bookkeeping, extraction, mining, preparation, quality  # noqa: F401 - register their queries
+from workload import (  # noqa: F401 - they register their queries
+    bookkeeping,
+    extraction,
+    learning,
+    mining,
+    preparation,
+    quality,
+)
 from workload.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
