@@ -49,12 +49,14 @@ def _results(spark, sf_dir):
             F.col("o_orderpriority").alias("algorithm"),
             F.col("n_name").alias("site"),
             F.col("o_orderkey").alias("result_id"),
+            F.col("o_totalprice").alias("price"),
         )
     )
 
 
 RESULTS = """results as (
-  select c_mktsegment as model_id, o_orderpriority as algorithm, n_name as site, o_orderkey as result_id
+  select c_mktsegment as model_id, o_orderpriority as algorithm, n_name as site, o_orderkey as result_id,
+         o_totalprice as price
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
   where o_orderstatus = 'P' and o_totalprice > 350000)"""
 
@@ -96,16 +98,17 @@ def dataset_state_rollup(spark, sf_dir):
 @query(
     "merge_source_results",
     with_sql(SOURCES, RESULTS)
-    + """, newer as (select model_id, site, count(*) as n from results group by 1, 2)
+    + """, newer as (select model_id, site, count(*) as n from results where algorithm = '5-LOW' and price > 400000 group by 1, 2)
     select sources.model_id, sources.site, case when n is null then records else n end as records,
-      case when n is null then state when n > 2 then 'final' else 'error' end as state,
+      case when n is null then state when n > 3 then 'final' else 'error' end as state,
       case when n is null then selection end as selection,
-      case when n is null then error_message when n > 2 then null else 'few' end as error_message
+      case when n is null then error_message when n > 3 then null else 'few' end as error_message
     from sources left join newer using (model_id, site)""",
 )
 def merge_source_results(spark, sf_dir):
-    newer = _results(spark, sf_dir).groupBy("model_id", "site").agg(F.count(F.lit(1)).alias("records"))
-    many = F.col("records") > 2
+    arrived = _results(spark, sf_dir).filter("algorithm = '5-LOW' and price > 400000")
+    newer = arrived.groupBy("model_id", "site").agg(F.count(F.lit(1)).alias("records"))
+    many = F.col("records") > 3
     results = newer.select(
         "model_id",
         "site",
@@ -205,10 +208,10 @@ def error_rollup(spark, sf_dir):
     progress as (
       select r.algorithm || ' ' || model_id as model_id, (select count(*) from picked p where p.model_id = r.model_id) as selected,
         count(distinct case when s.site is not null then r.site end) as trained,
-        count(distinct case when s.site is not null and result_id > 2000 then r.site end) as validated,
-        count(distinct case when s.site is not null and result_id > 5000 then r.site end) as tested,
-        count(*) filter (r.site = 'NATION_3' and result_id < 300) as errors,
-        count(*) filter (r.site = 'NATION_17' and result_id < 800) as chosen
+        count(distinct case when s.site is not null and price > 400000 then r.site end) as validated,
+        count(distinct case when s.site is not null and price > 440000 then r.site end) as tested,
+        count(*) filter (r.site = 'NATION_3' and price > 495000) as errors,
+        count(*) filter (r.site = 'NATION_17' and price > 490000) as chosen
       from results r left join picked s using (model_id, site) group by r.algorithm, model_id)
     select model_id, selected, trained, validated, tested, errors, chosen, case when errors > 0 then 'error'
       when chosen > 0 then 'final' when trained < selected then 'training'
@@ -223,17 +226,17 @@ def model_state_rollup(spark, sf_dir):
     def sites(condition):
         return F.count_distinct(F.when(F.col("picked") & condition, F.col("site")))
 
-    def at(site: str, below: int):
-        return F.count(F.when((F.col("site") == site) & (F.col("result_id") < below), F.lit(1)))
+    def at(site: str, above: int):
+        return F.count(F.when((F.col("site") == site) & (F.col("price") > above), F.lit(1)))
 
     progress = (
         arrived.groupBy("algorithm", "model_id")
         .agg(
             sites(F.lit(True)).alias("trained"),
-            sites(F.col("result_id") > 2000).alias("validated"),
-            sites(F.col("result_id") > 5000).alias("tested"),
-            at("NATION_3", 300).alias("errors"),
-            at("NATION_17", 800).alias("chosen"),
+            sites(F.col("price") > 400000).alias("validated"),
+            sites(F.col("price") > 440000).alias("tested"),
+            at("NATION_3", 495000).alias("errors"),
+            at("NATION_17", 490000).alias("chosen"),
         )
         .join(selected, "model_id", "left")
         .withColumn("selected", F.coalesce("selected", F.lit(0)).cast("long"))

@@ -16,17 +16,23 @@ from cohortweave.operators.features import prepare_features
 from cohortweave.plans import prediction as P
 from cohortweave.session import shared_dir
 from cohortweave.sources.store import DatasetStore
-from cohortweave.spec import DEPENDENT, Featureset, Variable
+from cohortweave.spec import CATEGORICAL, DEPENDENT, Featureset, Variable
 from cohortweave.streaming.scoring import score_stream
 from workload import tables
-from workload.extraction import WIDE
 from workload.registry import query
 
+# One row per encounter: was it a readmission, going by what is known of it and of its patient?
+# The site is a column of the dataset but neither a feature nor the label.
 LEARNED = Featureset(
     (
-        *(v for v in WIDE.variables if v.column != "deceased"),
-        Variable("quantity", "/Condition", "aggr:sum:quantity"),
-        Variable("deceased", "/Observation?code=death", "value:mortality:6", role=DEPENDENT),
+        Variable("site", "/Patient", "value:site", CATEGORICAL, role="site"),
+        Variable("kind", "/Encounter", "value:kind", CATEGORICAL),
+        Variable("segment", "/Patient", "value:nullif(segment, 'BUILDING')", CATEGORICAL),
+        Variable("age", "/Patient", "value:age"),
+        Variable("balance", "/Patient", "value:case when balance >= 0 then balance end"),
+        Variable("stays", "/Encounter", "value:hospitalization:6"),
+        Variable("lines", "/MedicationStatement", "aggr:count", group_by="encounter"),
+        Variable("readmitted", "/Encounter", "value:readmission:2:180", role=DEPENDENT),
     )
 )
 
@@ -48,10 +54,8 @@ def _algorithm(name: str, **more) -> T.Algorithm:
 
 
 def stored(spark, sf_dir):
-    """The prepared dataset with its site, stored by site."""
-    resources = tables.resources(spark, sf_dir)
-    sites = resources["Patient"].df.select(F.col("ref").alias("pid"), "site")
-    dataset = prepare_features(resources, LEARNED).join(sites, "pid")
+    """The prepared dataset, stored by site."""
+    dataset = prepare_features(tables.resources(spark, sf_dir), LEARNED, as_of=tables.as_of())
     store = DatasetStore(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
     store.save_dataset("learned", dataset, partition_by=["site"])
     return store.dataset("learned")
@@ -177,7 +181,7 @@ def _ensemble(spark, sf_dir, name):
 def score_new_records(spark, sf_dir):
     """All held-out records, without their label, through one ensemble."""
     ensemble, dataset = _ensemble(spark, sf_dir, T.LOGISTIC_REGRESSION)
-    records = T.test_split(dataset).drop("deceased")
+    records = T.test_split(dataset).drop("readmitted")
     return ensemble.score(records).select("pid", "prediction", "positive")
 
 
@@ -186,7 +190,7 @@ def score_new_records_stream(spark, sf_dir):
     """The same records as a stream of files."""
     ensemble, dataset = _ensemble(spark, sf_dir, T.LOGISTIC_REGRESSION)
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    T.test_split(dataset).drop("deceased").write.parquet(f"{folder}/arriving")
+    T.test_split(dataset).drop("readmitted").write.parquet(f"{folder}/arriving")
     arriving = spark.read.parquet(f"{folder}/arriving")
     stream = spark.readStream.schema(arriving.schema).parquet(f"{folder}/arriving")
     score_stream(ensemble, stream, f"{folder}/scores", f"{folder}/checkpoint").awaitTermination()
