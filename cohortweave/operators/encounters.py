@@ -13,6 +13,9 @@ every other one of its subject, nor sorts a whole subject in one task:
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,37 +85,6 @@ def readmission(
     )
 
 
-def _stay_spans(encounters: DataFrame, months: int) -> DataFrame:
-    """``(subject, lo, hi)``: the moments t from which a stay counts, lo <= t < hi.
-
-    A stay counts at t if it has ended by t and began no earlier than t minus
-    ``months`` calendar months. Subtracting months keeps the time of day and
-    cuts the day to the length of the month, so the last day of a short month is
-    reached from several days: each of those gives a span of its own.
-    """
-    kind = encounters.schema["start"].dataType
-    midnight = F.col("day").cast(kind)
-    time_of_day = F.col("start") - midnight
-    anniversary = F.add_months("day", months)
-    tick = F.expr("INTERVAL '0.000001' SECOND")
-    stays = encounters.filter(F.col("start") != F.col("end")).select(
-        "subject", "start", "end", F.col("start").cast("date").alias("day")
-    )
-    stays = stays.withColumn("first", anniversary).withColumn("time", time_of_day)
-    cut = F.dayofmonth("first") != F.dayofmonth("day")
-    last = F.when(~cut & (F.col("day") == F.last_day("day")), F.last_day("first")).otherwise(F.col("first"))
-    days = stays.withColumn("cut", cut).select(
-        "subject", "end", "first", "time", "cut", F.explode(F.sequence(F.col("first"), last)).alias("at")
-    )
-    opens = F.when(F.col("at") == F.col("first"), F.col("end")).otherwise(
-        F.greatest(F.col("end"), F.col("at").cast(kind))
-    )
-    closes = F.when(F.col("cut"), F.date_add("at", 1).cast(kind)).otherwise(
-        F.col("at").cast(kind) + F.col("time") + tick
-    )
-    return days.select("subject", opens.alias("lo"), closes.alias("hi")).filter("lo < hi")
-
-
 def hospitalization_count(
     encounters: DataFrame,
     months: int,
@@ -126,62 +98,110 @@ def hospitalization_count(
     at or before the start of this encounter and began at or after that start
     minus ``months`` calendar months. ``within`` as in :func:`readmission`.
     """
+    return hospitalization_counts(encounters, {name: (months, within)}, bucket_days)
+
+
+def _timeline(encounters: DataFrame, counted: Sequence[tuple[int, Column]]) -> DataFrame:
+    """``(subject, t, c0, c1, ..., row)``: changes of each count, and rows that ask for it.
+
+    Seen from the moments t that ask, a stay counts from its end until the last
+    moment whose date minus the months is not after its start. That subtraction
+    keeps the time of day and cuts the day to the length of the month. So the last
+    day of a short month is reached from several days, each of which is a span of
+    its own; and a day that no date leads to is passed at the following midnight.
+    """
     kind = encounters.schema["start"].dataType
-    columns = encounters.columns
-    compared = encounters if within is None else encounters.filter(within)
-    # The row an entry of the timeline asks for; none for a change of the count.
-    row = F.struct(*columns)
-    no_row = F.lit(None).cast(encounters.select(row.alias("r")).schema["r"].dataType)
-    changes = (
-        _stay_spans(compared, months)
-        .select(
-            "subject",
-            F.explode(
-                F.array(
-                    F.struct(F.col("lo").alias("t"), F.lit(1).cast("long").alias("change")),
-                    F.struct(F.col("hi").alias("t"), F.lit(-1).cast("long").alias("change")),
-                )
-            ).alias("s"),
-        )
-        .select("subject", "s.t", "s.change")
+    day = F.col("start").cast("date")
+    row = F.struct(*encounters.columns)
+    asks = encounters.select(
+        "subject",
+        "start",
+        "end",
+        day.alias("day"),
+        (F.col("start") - day.cast(kind)).alias("time"),
+        row.alias("row"),
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("which"),
+                        F.add_months(day, months).alias("first"),
+                        ((F.col("start") != F.col("end")) & within).alias("counts"),
+                    )
+                    for i, (months, within) in enumerate(counted)
+                ]
+            )
+        ).alias("v"),
+    ).select("*", "v.*")
+    cut = F.dayofmonth("first") != F.dayofmonth("day")
+    last = F.when(~cut & (F.col("day") == F.last_day("day")), F.last_day("first")).otherwise(F.col("first"))
+    days = asks.withColumn("cut", cut).withColumn("at", F.explode_outer(F.sequence(F.col("first"), last)))
+    is_first = F.coalesce(F.col("at") == F.col("first"), F.lit(True))
+    tick = F.expr("INTERVAL '0.000001' SECOND")
+    midnight = F.col("at").cast(kind)
+    opens = F.when(is_first, F.col("end")).otherwise(F.greatest(F.col("end"), midnight))
+    closes = F.when(F.col("cut"), F.date_add("at", 1).cast(kind)).otherwise(midnight + F.col("time") + tick)
+    spans = days.withColumns({"lo": opens, "hi": closes, "asks": is_first & (F.col("which") == 0)})
+    spans = spans.withColumn("counts", F.col("counts") & (F.col("lo") < F.col("hi")))
+
+    def entry(moment: Column, change: int, row: Column) -> Column:
+        changes = [
+            F.when(F.col("which") == i, F.lit(change)).otherwise(F.lit(0)).cast("long").alias(f"c{i}")
+            for i in range(len(counted))
+        ]
+        return F.struct(moment.alias("t"), *changes, row.alias("row"))
+
+    no_row = F.lit(None).cast(spans.schema["row"].dataType)
+    entries = F.array(
+        F.when(F.col("asks"), entry(F.col("start"), 0, F.col("row"))),
+        F.when(F.col("counts"), entry(F.col("lo"), 1, no_row)),
+        F.when(F.col("counts"), entry(F.col("hi"), -1, no_row)),
     )
-    bucket = day_bucket(F.col("t"), bucket_days).alias("bucket")
+    return spans.select("subject", F.explode(entries).alias("e")).filter("e is not null").select("subject", "e.*")
+
+
+def hospitalization_counts(
+    encounters: DataFrame, counted: Mapping[str, tuple[int, Column | None]], bucket_days: int = 1
+) -> DataFrame:
+    """Several :func:`hospitalization_count` columns, name -> (months, within), in one pass."""
+    kind = encounters.schema["start"].dataType
+    columns = encounters.columns
+    compared = [(months, F.lit(True) if w is None else w) for months, w in counted.values()]
+    changes = [f"c{i}" for i in range(len(compared))]
+    bucket = day_bucket(F.col("t"), bucket_days)
+    timeline = _timeline(encounters, compared).withColumn("bucket", bucket)
 
     # Value at the start of every bucket: sums per bucket, then a running sum over
     # a subject's buckets, of which there are no more than days in the data.
-    # Buckets with a probe but no change take part with 0.
-    asked = encounters.select("subject", F.col("start").alias("t"), F.lit(0).cast("long").alias("change"))
     before = Window.partitionBy("subject").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first_moment = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("bucket") * bucket_days).cast("int"))
-    openings = (
-        changes.unionByName(asked)
-        .groupBy("subject", bucket)
-        .agg(F.sum("change").alias("change"))
-        .select("subject", "bucket", F.sum("change").over(before).alias("change"))
-        .filter("change <> 0")
-        .select("subject", first_moment.cast(kind).alias("t"), "change", "bucket", no_row.alias("row"))
+    carried = (
+        timeline.groupBy("subject", "bucket")
+        .agg(*[F.sum(c).alias(c) for c in changes])
+        .select("subject", "bucket", *[F.sum(c).over(before).alias(c) for c in changes])
+        .filter(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in changes]))
     )
+    no_row = F.lit(None).cast(timeline.schema["row"].dataType)
+    openings = carried.select("subject", first_moment.cast(kind).alias("t"), *changes, no_row.alias("row"), "bucket")
     running = (
         Window.partitionBy("subject", "bucket")
         .orderBy("t")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    probes = encounters.select(
-        "subject", F.col("start").alias("t"), F.lit(0).cast("long").alias("change"), row.alias("row")
-    )
-    timeline = changes.withColumn("row", no_row).unionByName(probes).withColumn("bucket", bucket)
+    counts = [F.sum(c).over(running).cast("double").alias(f"_{c}") for c in changes]
+    values = [
+        F.when(w, F.col(f"_c{i}")).otherwise(F.lit(0.0)).alias(name)
+        for i, (name, (_, w)) in enumerate(zip(counted, compared, strict=True))
+    ]
     return (
         timeline.unionByName(openings)
-        .select("row.*", "row", F.sum("change").over(running).cast("double").alias("_count"))
+        .select("row", *counts)
         .filter("row is not null")
-        .select(*columns, _within(within, F.col("_count")).alias(name))
+        .select("row.*", *[f"_{c}" for c in changes])
+        .select(*columns, *values)
     )
 
 
-def _within(within: Column | None, value: Column) -> Column:
-    return value if within is None else F.when(within, value).otherwise(F.lit(0.0))
-
-
 def mortality_flag(observations: DataFrame, encounters: DataFrame, months: int) -> DataFrame:
     """``(subject, value)`` for every subject with a dated observation.
 

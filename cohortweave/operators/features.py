@@ -22,7 +22,8 @@ from cohortweave.operators.cohort import (
     eligible_patients,
     restrict_to_encounters,
 )
-from cohortweave.operators.encounters import hospitalization_count, mortality_flag, readmission
+from cohortweave.operators.encounters import hospitalization_counts, mortality_flag, readmission
+from cohortweave.session import materialize
 from cohortweave.sources.resources import Resources, ResourceTable
 from cohortweave.spec import Criterion, Featureset, Variable
 
@@ -167,6 +168,27 @@ def patient_features(
     return joined.select("pid", *[columns[v.column].alias(v.column) for v in featureset.variables])
 
 
+def _timed_features(encounters: DataFrame, table: ResourceTable, variables: Sequence[Variable]) -> DataFrame:
+    """``encounters`` with ``own_`` columns of the variables that compare encounters.
+
+    Each variable reads the encounters more than once, hence from a written table.
+    Stays are counted for all variables together, and last: a readmission adds its
+    column by a left join, which the plan leaves out where the column is not used.
+    """
+
+    def within(v: Variable) -> Column | None:
+        return None if table.condition(v.query) is None else F.col(f"within_{v.column}")
+
+    for v in variables:
+        if v.kind == "readmission":
+            spec = v.readmission
+            encounters = readmission(encounters, spec.days, spec.kind, within(v), f"own_{v.column}")
+    counted = {f"own_{v.column}": (v.months, within(v)) for v in variables if v.kind == "hospitalization"}
+    if counted:
+        encounters = hospitalization_counts(encounters, counted)
+    return encounters
+
+
 def encounter_features(
     resources: Resources, featureset: Featureset, criteria: Sequence[Criterion], as_of: Column
 ) -> DataFrame:
@@ -187,13 +209,8 @@ def encounter_features(
     extra.update({f"within_{v.column}": _condition(table, v) for v in timed})
     encounters = eligible_encounters(resources, criteria, patients.select("pid"), as_of, extra)
 
-    for v in timed:
-        within = None if table.condition(v.query) is None else F.col(f"within_{v.column}")
-        if v.kind == "readmission":
-            spec = v.readmission
-            encounters = readmission(encounters, spec.days, spec.kind, within, f"own_{v.column}")
-        else:
-            encounters = hospitalization_count(encounters, v.months, within, f"own_{v.column}")
+    if timed:
+        encounters = _timed_features(materialize(encounters), table, timed)
 
     # Everything known per patient first, in one row per patient; then one join to
     # the encounters, where a patient with many encounters can be split at run time.

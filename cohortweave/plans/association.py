@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.operators import rules as R
 from cohortweave.operators.encode import items_array
+from cohortweave.session import materialize
 
 # The frequent items become literals of the plan.
 MAX_ITEMS = 2_000
@@ -37,13 +38,14 @@ def federated_rules(
     transactions = items_array(dataset, keep=("site", "pid"))
     long = transactions.select("site", "pid", F.explode("items").alias("item"))
     frequencies = R.item_frequencies(long)
-    records = R.record_counts(transactions)
+    records = materialize(R.record_counts(transactions))
     frequent = R.global_frequent_items(frequencies, records, min_support)
     items = [row["item"] for row in frequent.select("item").orderBy("item").limit(MAX_ITEMS + 1).collect()]
     if len(items) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items are frequent; raise min_support")
     totals = {row["site"]: row["records"] for row in records.collect()}
-    itemsets = R.frequent_itemsets(transactions, items, sorted(totals), local_support)
+    # Counts of itemsets are small, and the steps below read them many times.
+    itemsets = materialize(R.frequent_itemsets(transactions, items, sorted(totals), local_support))
     site_rules = R.association_rules(itemsets, records, min_confidence)
     if len(totals) == 1:
         # With one site its own figures stand.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For tables that a plan would otherwise compute several times. The copy outlives
+    lost executors, and later steps read only the columns they need.
+    """
+    path = f"{shared_dir(df.sparkSession)}/intermediate/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after seeing that ``df`` has at most ``max_rows`` rows.
 

@@ -8,6 +8,7 @@ from cohortweave.operators import rules as R
 from cohortweave.operators.encode import items_array, items_long
 from cohortweave.operators.features import prepare_features
 from cohortweave.plans.association import federated_rules
+from cohortweave.session import materialize
 from cohortweave.spec import CATEGORICAL, Featureset, Variable
 from workload import tables
 from workload.preparation import BANDS_SQL
@@ -19,6 +20,7 @@ BRANDS = ("Brand#4", "Brand#7", "Brand#12", "Brand#23")
 
 MINED = Featureset(
     (
+        Variable("site", "/Patient", "value:site", CATEGORICAL, role="site"),
         Variable("segment", "/Patient", "value:nullif(segment, 'BUILDING')", CATEGORICAL),
         Variable("age", "/Patient", "value:age"),
         *(Variable(b, f"/MedicationStatement?code={b}", "value:exists") for b in BRANDS),
@@ -27,10 +29,8 @@ MINED = Featureset(
 
 
 def dataset(spark, sf_dir):
-    """``(site, pid, segment, age, Brand4, ...)``, one row per patient."""
-    resources = tables.resources(spark, sf_dir)
-    sites = resources["Patient"].df.select(F.col("ref").alias("pid"), "site")
-    return prepare_features(resources, MINED).join(sites, "pid")
+    """``(site, pid, segment, age, Brand4, ...)``, one row per patient, stored before it is mined."""
+    return materialize(prepare_features(tables.resources(spark, sf_dir), MINED))
 
 
 def _text(df, *columns):
@@ -161,7 +161,7 @@ def _rounded_rules(rules):
 
 def _itemsets(spark, sf_dir):
     transactions = _transactions(spark, sf_dir)
-    return transactions, R.frequent_itemsets(transactions, _frequent(transactions))
+    return transactions, materialize(R.frequent_itemsets(transactions, _frequent(transactions)))
 
 
 @query(

@@ -12,6 +12,7 @@ from cohortweave.functions.expressions import in_training_split
 from cohortweave.operators import cohort as C
 from cohortweave.operators import encounters as E
 from cohortweave.operators import ensemble, evaluate
+from cohortweave.session import materialize
 from workload import tables
 from workload.extraction import READMISSION_2_SQL
 from workload.preparation import SPLIT_SQL
@@ -23,7 +24,7 @@ THRESHOLD_MODELS = {"by_balance": ("balance", 10000.0), "by_encounters": ("n_enc
 
 
 def _labelled(spark, sf_dir):
-    """``(pid, site, balance, n_enc, label)``; label 1 for a patient ever readmitted."""
+    """``(pid, site, balance, n_enc, label)``, stored; label 1 for a patient ever readmitted."""
     table = tables.encounters(spark, sf_dir)
     rows = C.encounter_items(table, table.rows, tables.as_of()).select(*C.ENCOUNTER_COLUMNS)
     per_patient = (
@@ -32,7 +33,7 @@ def _labelled(spark, sf_dir):
         .agg(F.max("value").alias("label"), F.count(F.lit(1)).cast("double").alias("n_enc"))
     )
     patients = tables.patients(spark, sf_dir).df.select(F.col("ref").alias("pid"), "site", "balance")
-    return patients.join(per_patient, "pid", "left").na.fill(0.0, ["label", "n_enc"])
+    return materialize(patients.join(per_patient, "pid", "left").na.fill(0.0, ["label", "n_enc"]))
 
 
 def predictions(spark, sf_dir):
