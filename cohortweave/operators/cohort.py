@@ -22,7 +22,7 @@ from cohortweave.spec import Criterion, Readmission, SpecError
 def restrict_to_patients(table: ResourceTable, df: DataFrame, patients: DataFrame) -> DataFrame:
     """Rows of ``df`` whose subject (Patient: whose own reference) is a ``pid`` of ``patients``."""
     keyed = df.withColumn("_subject", table.role("subject"))
-    allowed = patients.select(F.col("pid").alias("_subject")).distinct()
+    allowed = patients.select(F.col("pid").alias("_subject"))
     return keyed.join(allowed, "_subject", "left_semi").drop("_subject")
 
 
@@ -41,7 +41,7 @@ def restrict_to_encounters(
     """
     role = encounter_key(table, existence)
     keyed = df.withColumn("_key", table.role(role))
-    allowed = encounters.select(F.col(role).alias("_key")).distinct()
+    allowed = encounters.select(F.col(role).alias("_key"))
     return keyed.join(allowed, "_key", "left_semi").drop("_key")
 
 

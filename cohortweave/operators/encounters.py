@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortweave.functions.expressions import day_bucket, days_after, days_before, months_before
+from cohortweave.operators.skew import part_bit, part_of, parts_in
 
 # Fixed value: type of an encounter that counts as a readmission.
 UNPLANNED = "unplanned"
@@ -31,7 +32,12 @@ def _flag(condition: Column) -> Column:
 
 
 def readmission(
-    encounters: DataFrame, days: int, kind: int = 2, within: Column | None = None, name: str = "value"
+    encounters: DataFrame,
+    days: int,
+    kind: int = 2,
+    within: Column | None = None,
+    name: str = "value",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """``encounters`` with column ``name``, 1.0 or 0.0; both bounds are strict.
 
@@ -41,46 +47,54 @@ def readmission(
 
     Buckets are ``days`` wide. Within one bucket two moments are always closer
     than ``days``, so only the order matters; in the neighbouring bucket only the
-    distance does. One extreme each decides.
+    distance does. One extreme each decides. The rows that ask about a bucket are
+    joined in up to 64 parts, so a crowded bucket is not one task.
 
     With ``within``, only encounters for which it is true are compared; the others
-    get 0.0.
+    get 0.0. ``source`` may name the same encounters where they are cheaper to read
+    again, without columns that were added since.
     """
-    compared = encounters if within is None else encounters.filter(within)
     if kind == 1:
-        moments = compared.filter(F.col("type") == UNPLANNED).select("subject", F.col("start").alias("m"))
-        same, other, shift = F.max("same"), F.min("other"), -1
-        probe = F.col("end")
+        moment, probe, shift = F.col("start"), F.col("end"), -1
+        same, other = F.max("same"), F.min("other")
         hit = (F.col("same") > probe) | (F.col("other") < days_after(probe, days))
     else:
-        moments = compared.select("subject", F.col("end").alias("m"))
-        same, other, shift = F.min("same"), F.max("other"), 1
-        probe = F.col("start")
+        moment, probe, shift = F.col("end"), F.col("start"), 1
+        same, other = F.min("same"), F.max("other")
         hit = (F.col("type") == UNPLANNED) & (
             (F.col("same") < probe) | (F.col("other") > days_before(probe, days))
         )
     if within is not None:
         hit = hit & within
-    bucket = day_bucket(F.col("m"), days)
-    nothing = F.lit(None).cast(moments.schema["m"].dataType)
+    none, no_bit = F.lit(None).cast(encounters.schema["start"].dataType), F.lit(None).cast("long")
+    participates = F.lit(True) if within is None else within
+    if kind == 1:
+        participates = participates & (F.col("type") == UNPLANNED)
+
+    def entry(bucket: Column, same: Column, other: Column, bit: Column) -> Column:
+        return F.struct(bucket.alias("bucket"), same.alias("same"), other.alias("other"), bit.alias("bit"))
+
+    at = day_bucket(moment, days)
+    entries = F.array(
+        entry(day_bucket(probe, days), none, none, part_bit(F.col("encounter"))),
+        F.when(participates, entry(at, moment, none, no_bit)),
+        F.when(participates, entry(at + shift, none, moment, no_bit)),
+    )
+    # One row per bucket that is asked about, and per part of the rows that ask.
     extremes = (
-        moments.select(
-            "subject",
-            F.explode(
-                F.array(
-                    F.struct(bucket.alias("bucket"), F.col("m").alias("same"), nothing.alias("other")),
-                    F.struct((bucket + shift).alias("bucket"), nothing.alias("same"), F.col("m").alias("other")),
-                )
-            ).alias("s"),
-        )
-        .select("subject", "s.*")
+        (encounters if source is None else source)
+        .select("subject", F.explode(entries).alias("e"))
+        .filter("e is not null")
+        .select("subject", "e.*")
         .groupBy("subject", "bucket")
-        .agg(same.alias("same"), other.alias("other"))
+        .agg(same.alias("same"), other.alias("other"), F.bit_or("bit").alias("bits"))
+        .filter("bits is not null")
+        .select("subject", "bucket", "same", "other", F.explode(parts_in(F.col("bits"))).alias("part"))
     )
     columns = encounters.columns
     return (
-        encounters.withColumn("bucket", day_bucket(probe, days))
-        .join(extremes, ["subject", "bucket"], "left")
+        encounters.withColumns({"bucket": day_bucket(probe, days), "part": part_of(F.col("encounter"))})
+        .join(extremes, ["subject", "bucket", "part"], "left")
         .select(*columns, _flag(F.coalesce(hit, F.lit(False))).alias(name))
     )
 
@@ -161,22 +175,29 @@ def _timeline(encounters: DataFrame, counted: Sequence[tuple[int, Column]]) -> D
 
 
 def hospitalization_counts(
-    encounters: DataFrame, counted: Mapping[str, tuple[int, Column | None]], bucket_days: int = 1
+    encounters: DataFrame,
+    counted: Mapping[str, tuple[int, Column | None]],
+    bucket_days: int = 1,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Several :func:`hospitalization_count` columns, name -> (months, within), in one pass."""
+    """Several :func:`hospitalization_count` columns, name -> (months, within), in one pass.
+
+    ``source`` as in :func:`readmission`.
+    """
     kind = encounters.schema["start"].dataType
     columns = encounters.columns
     compared = [(months, F.lit(True) if w is None else w) for months, w in counted.values()]
     changes = [f"c{i}" for i in range(len(compared))]
     bucket = day_bucket(F.col("t"), bucket_days)
     timeline = _timeline(encounters, compared).withColumn("bucket", bucket)
+    totals = timeline if source is None else _timeline(source, compared).withColumn("bucket", bucket)
 
     # Value at the start of every bucket: sums per bucket, then a running sum over
     # a subject's buckets, of which there are no more than days in the data.
     before = Window.partitionBy("subject").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first_moment = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("bucket") * bucket_days).cast("int"))
     carried = (
-        timeline.groupBy("subject", "bucket")
+        totals.groupBy("subject", "bucket")
         .agg(*[F.sum(c).alias(c) for c in changes])
         .select("subject", "bucket", *[F.sum(c).over(before).alias(c) for c in changes])
         .filter(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in changes]))

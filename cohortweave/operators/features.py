@@ -23,6 +23,7 @@ from cohortweave.operators.cohort import (
     restrict_to_encounters,
 )
 from cohortweave.operators.encounters import hospitalization_counts, mortality_flag, readmission
+from cohortweave.operators.skew import hot_keys, lookup
 from cohortweave.session import materialize
 from cohortweave.sources.resources import Resources, ResourceTable
 from cohortweave.spec import Criterion, Featureset, Variable
@@ -171,22 +172,20 @@ def patient_features(
 def _timed_features(encounters: DataFrame, table: ResourceTable, variables: Sequence[Variable]) -> DataFrame:
     """``encounters`` with ``own_`` columns of the variables that compare encounters.
 
-    Each variable reads the encounters more than once, hence from a written table.
-    Stays are counted for all variables together, and last: a readmission adds its
-    column by a left join, which the plan leaves out where the column is not used.
+    Each variable adds a column to the rows, and reads ``encounters`` itself, a
+    written table, for what it compares them with.
     """
 
     def within(v: Variable) -> Column | None:
         return None if table.condition(v.query) is None else F.col(f"within_{v.column}")
 
+    extended = encounters
     for v in variables:
         if v.kind == "readmission":
             spec = v.readmission
-            encounters = readmission(encounters, spec.days, spec.kind, within(v), f"own_{v.column}")
+            extended = readmission(extended, spec.days, spec.kind, within(v), f"own_{v.column}", encounters)
     counted = {f"own_{v.column}": (v.months, within(v)) for v in variables if v.kind == "hospitalization"}
-    if counted:
-        encounters = hospitalization_counts(encounters, counted)
-    return encounters
+    return hospitalization_counts(extended, counted, source=encounters) if counted else extended
 
 
 def encounter_features(
@@ -195,7 +194,6 @@ def encounter_features(
     """One row per eligible encounter; ``pid`` holds the encounter's reference."""
     variables = featureset.variables
     patient_table, table = resources["Patient"], resources["Encounter"]
-    patients = eligible_patients(resources, criteria)
 
     def is_own(v: Variable) -> bool:
         return v.resource == "Encounter" and v.kind in ("value", "exists")
@@ -205,33 +203,43 @@ def encounter_features(
     by_patient = [v for v in variables if v.resource == "Patient"]
     rest = [v for v in variables if not is_own(v) and v not in timed and v not in by_patient]
 
+    # The cohorts are written out: several steps read them, and a shuffle straight
+    # from a scan is one that can be split at run time.
+    patients = materialize(
+        eligible_patients(resources, criteria).select(
+            "pid", *[_own_value(patient_table, v).alias(f"own_{v.column}") for v in by_patient]
+        )
+    )
     extra = {f"own_{v.column}": _own_value(table, v) for v in own}
     extra.update({f"within_{v.column}": _condition(table, v) for v in timed})
     encounters = eligible_encounters(resources, criteria, patients.select("pid"), as_of, extra)
 
-    if timed:
-        encounters = _timed_features(materialize(encounters), table, timed)
+    encounters = materialize(encounters)
+    cohort = encounters.select(*ENCOUNTER_COLUMNS)
+    hot = hot_keys(cohort, "subject")
+    encounters = _timed_features(encounters, table, timed)
 
     # Everything known per patient first, in one row per patient; then one join to
-    # the encounters, where a patient with many encounters can be split at run time.
+    # the encounters, in which patients with very many encounters are spread out.
     def key_of(v: Variable) -> str:
         return "encounter" if v.kind == "value" or v.group_by == "encounter" else "subject"
 
     by_subject = [v for v in rest if v.kind in ("exists", "mortality")]
     if by_patient or by_subject:
-        known = patients.select(
-            "pid", *[_own_value(patient_table, v).alias(f"own_{v.column}") for v in by_patient]
-        )
-        known = _subject_features(resources, known, by_subject)
-        encounters = encounters.join(known.withColumnRenamed("pid", "subject"), "subject", "left")
+        known = _subject_features(resources, patients, by_subject).withColumnRenamed("pid", "subject")
+        encounters = lookup(encounters, known, "subject", "encounter", hot)
     # Aggregates count only resources that belong to an eligible encounter.
     aggregated = [v for v in rest if v not in by_subject]
     for (name, key, _), group in _groups(resources, aggregated, key_of).items():
         source = resources[name]
         rows = _wanted(source, group)
         if key == "subject" and group[0].kind == "aggr":
-            rows = restrict_to_encounters(source, rows, encounters.select(*ENCOUNTER_COLUMNS))
-        encounters = encounters.join(feature_aggregates(source, group, key, rows), key, "left")
+            rows = restrict_to_encounters(source, rows, cohort)
+        parts = feature_aggregates(source, group, key, rows)
+        if key == "subject":
+            encounters = lookup(encounters, parts, key, "encounter", hot)
+        else:
+            encounters = encounters.join(parts, key, "left")
 
     def result(v: Variable) -> Column:
         if v in own or v in timed or v in by_patient:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cohortweave.functions.expressions import ratio
+from cohortweave.session import broadcast_if_bounded
 
 # Number of values listed by themselves, and the name of the rest.
 TOP_K = 4
@@ -89,9 +90,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, by: Sequen
 def distribution(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """:func:`value_counts` with the percentage of all records."""
     keys = [*by, "variable"]
-    records = summary(df, columns, by).select(*keys, "records")
-    if not by:
-        records = F.broadcast(records)  # one row per variable
+    # One row per variable and group; a shuffle by variable would gather its values.
+    records = broadcast_if_bounded(summary(df, columns, by).select(*keys, "records"))
     joined = value_counts(df, columns, by).join(records, keys)
     return joined.select(
         *by, "variable", "value", "count", (ratio(F.col("count"), F.col("records")) * 100).alias("percentage")
