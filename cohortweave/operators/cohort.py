@@ -50,16 +50,16 @@ def satisfying(df: DataFrame, predicate: str) -> DataFrame:
 
     Write ``try_cast``, ``try_divide`` and the like where a value may be malformed.
     """
-    return df.filter(F.coalesce(F.expr(predicate), F.lit(False)))
+    return df.filter(F.expr(predicate))
 
 
 def _matches(table: ResourceTable, criterion: Criterion) -> Column:
     """Predicate of a criterion that looks at single resources."""
     condition = table.condition(criterion.query)
-    match = F.lit(True) if condition is None else condition
-    if criterion.kind == "satisfy":
-        match = match & F.expr(criterion.expression)
-    return F.coalesce(match, F.lit(False))
+    if criterion.kind != "satisfy":
+        return F.lit(True) if condition is None else condition
+    predicate = F.expr(criterion.expression)
+    return predicate if condition is None else condition & predicate
 
 
 def patients_of_criterion(resources: Resources, criterion: Criterion) -> DataFrame:
@@ -109,7 +109,7 @@ def eligible_patients(resources: Resources, criteria: Sequence[Criterion] = ())
         flags = [_matches(table, c) for c in group]
         touched = table.rows.filter(reduce(lambda a, b: a | b, flags))
         subjects = touched.groupBy(table.role("subject").alias("pid")).agg(
-            *[F.bool_or(flag).alias(f"_c{i}") for i, flag in enumerate(flags)]
+            *[F.bool_or(F.coalesce(flag, F.lit(False))).alias(f"_c{i}") for i, flag in enumerate(flags)]
         )
         every = reduce(lambda a, b: a & b, [F.col(f"_c{i}") for i in range(len(flags))])
         patients = patients.join(subjects.filter(every).select("pid"), "pid", "left_semi")

@@ -48,7 +48,7 @@ def readmission(
     Buckets are ``days`` wide. Within one bucket two moments are always closer
     than ``days``, so only the order matters; in the neighbouring bucket only the
     distance does. One extreme each decides. The rows that ask about a bucket are
-    joined in up to 64 parts, so a crowded bucket is not one task.
+    joined in up to 63 parts, so a crowded bucket is not one task.
 
     With ``within``, only encounters for which it is true are compared; the others
     get 0.0. ``source`` may name the same encounters where they are cheaper to read

@@ -47,8 +47,8 @@ def lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, hot: Sequen
 
 # --- parts without a search for hot keys --------------------------------------
 
-# A set of parts is kept in the bits of one long.
-BITS = 64
+# A set of parts is kept in the bits of one long, without its sign.
+BITS = 63
 
 
 def part_of(row_id: Column) -> Column:
@@ -62,5 +62,8 @@ def part_bit(row_id: Column) -> Column:
 
 def parts_in(bits: Column) -> Column:
     """The parts of such a set, as an array."""
+    # Most sets hold one part, which needs no search.
+    only = F.array(F.round(F.log2(bits)).cast("int"))
     numbers = F.sequence(F.lit(0), F.lit(BITS - 1))
-    return F.filter(numbers, lambda n: F.call_function("getbit", bits, n) == 1)
+    several = F.filter(numbers, lambda n: F.call_function("getbit", bits, n) == 1)
+    return F.when(F.bit_count(bits) == 1, only).otherwise(several)

@@ -76,7 +76,7 @@ class ResourceTable:
             return reduce(lambda a, b: a | b, [self._date_term(parameter, v) for v in values])
         column = F.expr(parameter.expression)
         if parameter.kind == REFERENCE:
-            return column.isin(values)
+            return _one_of(column, values)
         is_array = isinstance(self.df.select(column).schema[0].dataType, T.ArrayType)
         if modifier == "sw":
             def starts(c: Column) -> Column:
@@ -87,7 +87,7 @@ class ResourceTable:
             raise SpecError(f"unknown modifier in {key!r}")
         if is_array:
             return F.arrays_overlap(column, F.array(*[F.lit(v) for v in values]))
-        return column.isin(values)
+        return _one_of(column, values)
 
     def _date_term(self, parameter: SearchParameter, text: str) -> Column:
         column = F.expr(parameter.expression)
@@ -110,6 +110,11 @@ class ResourceTable:
         return self.rows if condition is None else self.rows.filter(condition)
 
 
+def _one_of(column: Column, values: list[str]) -> Column:
+    # An equality can be moved into the branches of a derived column, a list cannot.
+    return column == values[0] if len(values) == 1 else column.isin(values)
+
+
 class Resources(dict):
     """Resource tables by name."""
 

@@ -36,4 +36,11 @@ def test_parts_of_a_key(spark):
     )
     assert sets.filter(skew.parts_in(F.col("bits")) != F.col("expected")).count() == 0
     hot = sets.filter("key = 'hot'").first()
-    assert len(hot["expected"]) > 60
+    assert len(hot["expected"]) > 55
+
+
+def test_every_single_part_is_found(spark):
+    sets = spark.range(skew.BITS).select(
+        F.col("id").cast("int").alias("n"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("id").cast("int")).alias("bits")
+    )
+    assert sets.filter(skew.parts_in(F.col("bits")) != F.array("n")).count() == 0
