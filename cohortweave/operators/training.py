@@ -227,53 +227,69 @@ def _prepared(features: PipelineModel, rows: DataFrame) -> DataFrame:
     return features.transform(rows).select("features", "label").persist()
 
 
-def cross_validate(training: DataFrame, featureset: Featureset, algorithm: Algorithm) -> list[tuple[dict, float]]:
-    """Each point of the grid with its metric, averaged over the folds.
+def shares_features(a: Algorithm, b: Algorithm) -> bool:
+    """Whether two algorithms see the same features and folds."""
+    return all(a.tuning(name) == b.tuning(name) for name in ("handle_invalid", "imputation_strategy", "num_folds"))
+
+
+def cross_validate(
+    training: DataFrame, featureset: Featureset, algorithms: Sequence[Algorithm]
+) -> list[list[tuple[dict, float]]]:
+    """For each algorithm the points of its grid with their metric, averaged over the folds.
 
     The feature stages belong to the validated pipeline: they are fitted on the
-    training part of a fold, once for all points of the grid. Folds are drawn by a
-    hash of the id, so neither the file layout nor a lost executor changes them.
+    training part of a fold, once for all points of all algorithms. Folds are drawn
+    by a hash of the id, so neither the file layout nor a lost executor changes them.
     """
-    estimator = algorithm.estimator()
-    grid = algorithm.grid(estimator)
-    folds = int(algorithm.tuning("num_folds"))
+    if not all(shares_features(a, algorithms[0]) for a in algorithms):
+        raise SpecError("these algorithms need different features or folds")
+    estimators = [a.estimator() for a in algorithms]
+    grids = [a.grid(e) for a, e in zip(algorithms, estimators, strict=True)]
+    points = [(i, point) for i, grid in enumerate(grids) for point in grid]
+    folds = int(algorithms[0].tuning("num_folds"))
     fold = F.pmod(F.xxhash64("pid", F.lit(SPLIT_SEED)), F.lit(folds))
-    evaluator = _evaluator(algorithm)
-    metrics = [0.0] * len(grid)
-    for i in range(folds):
-        inside, outside = training.filter(fold != i), training.filter(fold == i)
-        features = Pipeline(stages=feature_stages(featureset, algorithm)).fit(inside)
+    metrics = [0.0] * len(points)
+    for n in range(folds):
+        inside, outside = training.filter(fold != n), training.filter(fold == n)
+        features = Pipeline(stages=feature_stages(featureset, algorithms[0])).fit(inside)
         fitting, validating = _prepared(features, inside), _prepared(features, outside)
 
-        def score(point: dict, fitting=fitting, validating=validating) -> float:
-            return evaluator.evaluate(estimator.fit(fitting, point).transform(validating))
+        def score(entry: tuple[int, dict], fitting=fitting, validating=validating) -> float:
+            i, point = entry
+            model = estimators[i].fit(fitting, point)
+            return _evaluator(algorithms[i]).evaluate(model.transform(validating))
 
-        with ThreadPoolExecutor(int(algorithm.tuning("max_parallelism"))) as pool:
-            for n, metric in enumerate(pool.map(score, grid)):
-                metrics[n] += metric / folds
+        with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
+            for k, metric in enumerate(pool.map(score, points)):
+                metrics[k] += metric / folds
         fitting.unpersist()
         validating.unpersist()
-    named = [{param.name: value for param, value in point.items()} for point in grid]
-    return list(zip(named, metrics, strict=True))
+    results: list[list[tuple[dict, float]]] = [[] for _ in algorithms]
+    for (i, point), metric in zip(points, metrics, strict=True):
+        results[i].append(({param.name: value for param, value in point.items()}, metric))
+    return results
 
 
-def train(training: DataFrame, featureset: Featureset, algorithm: Algorithm) -> PipelineModel:
-    """The pipeline with the best point of the grid, fitted on all training rows.
+def train(training: DataFrame, featureset: Featureset, algorithms: Sequence[Algorithm]) -> list[PipelineModel]:
+    """For each algorithm the pipeline with the best point of its grid, fitted on all rows.
 
-    ``training`` has ``pid``, the columns of the featureset and ``label``. A grid of
-    one point has nothing to choose from and is not cross-validated.
+    ``training`` has ``pid``, the columns of the featureset and ``label``. The feature
+    stages are fitted once for all algorithms. A grid of one point has nothing to
+    choose from and is not cross-validated.
     """
-    estimator = algorithm.estimator()
-    grid = algorithm.grid(estimator)
-    best = 0
-    if len(grid) > 1:
-        metrics = [metric for _, metric in cross_validate(training, featureset, algorithm)]
-        best = metrics.index(max(metrics))
-    features = Pipeline(stages=feature_stages(featureset, algorithm)).fit(training)
+    estimators = [a.estimator() for a in algorithms]
+    best = [a.grid(e)[0] for a, e in zip(algorithms, estimators, strict=True)]
+    chosen = [i for i, a in enumerate(algorithms) if len(a.grid(estimators[i])) > 1]
+    if chosen:
+        for i, results in zip(chosen, cross_validate(training, featureset, [algorithms[i] for i in chosen]), strict=True):
+            metrics = [metric for _, metric in results]
+            best[i] = algorithms[i].grid(estimators[i])[metrics.index(max(metrics))]
+    features = Pipeline(stages=feature_stages(featureset, algorithms[0])).fit(training)
     prepared = _prepared(features, training)
-    model = estimator.fit(prepared, grid[best])
+    with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
+        models = list(pool.map(lambda i: estimators[i].fit(prepared, best[i]), range(len(algorithms))))
     prepared.unpersist()
-    return PipelineModel(stages=[*features.stages, model])
+    return [PipelineModel(stages=[*features.stages, model]) for model in models]
 
 
 def training_split(dataset: DataFrame) -> DataFrame:

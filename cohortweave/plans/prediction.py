@@ -44,19 +44,31 @@ def train_per_site(
     Fits are independent Spark jobs; a few run side by side.
     """
 
-    def fit(site: str, algorithm: T.Algorithm) -> SiteModel:
+    # Algorithms with the same features and folds are fitted together.
+    groups: list[list[T.Algorithm]] = []
+    for algorithm in algorithms:
+        group = next((g for g in groups if T.shares_features(g[0], algorithm)), None)
+        if group is None:
+            groups.append([algorithm])
+        else:
+            group.append(algorithm)
+
+    def fit(site: str, group: list[T.Algorithm]) -> list[SiteModel]:
         rows = T.training_split(dataset.filter(F.col("site") == site))
         try:
-            labelled = T.with_label(rows, featureset, labels, algorithm)
+            labelled = T.with_label(rows, featureset, labels, group[0])
             if labelled.select("label").distinct().count() < 2:
-                return SiteModel(site, algorithm, None, f"{site}: only one class to train on")
-            return SiteModel(site, algorithm, T.train(labelled, featureset, algorithm))
+                return [SiteModel(site, a, None, f"{site}: only one class to train on") for a in group]
+            models = T.train(labelled, featureset, group)
+            return [SiteModel(site, a, m) for a, m in zip(group, models, strict=True)]
         except Exception as error:  # one site must not stop the others
-            return SiteModel(site, algorithm, None, f"{site}: {error}")
+            if len(group) > 1:  # nor one algorithm the others
+                return [m for a in group for m in fit(site, [a])]
+            return [SiteModel(site, group[0], None, f"{site}: {error}")]
 
-    tasks = [(site, algorithm) for algorithm in algorithms for site in sites]
+    tasks = [(site, group) for group in groups for site in sites]
     with ThreadPoolExecutor(parallel_fits) as pool:
-        return list(pool.map(lambda task: fit(*task), tasks))
+        return [model for models in pool.map(lambda task: fit(*task), tasks) for model in models]
 
 
 def model_predictions(models: Sequence[SiteModel], rows: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def labels(dataset):
 def test_every_classifier(dataset, labels, name):
     algorithm = T.Algorithm(name, {**SMALL[name], "num_folds": 2})
     labelled = T.with_label(dataset, FEATURES, labels, algorithm)
-    model = T.train(T.training_split(labelled), FEATURES, algorithm)
+    model = T.train(T.training_split(labelled), FEATURES, [algorithm])[0]
     scored = T.add_prediction(T.test_split(labelled), model, "m")
     assert scored.columns == [*labelled.columns, "m"]
     bad = scored.filter("abs(m.negative + m.positive - 1) > 1e-9 or m.prediction not in (0.0, 1.0)")
@@ -83,11 +83,36 @@ def test_grid_and_parameters():
 def test_cross_validation_prefers_the_deeper_tree(dataset, labels):
     algorithm = T.Algorithm(T.DECISION_TREE, {"max_depth": "0,3", "num_folds": 3})
     labelled = T.with_label(dataset, FEATURES, labels, algorithm)
-    metrics = T.cross_validate(labelled, FEATURES, algorithm)
+    metrics = T.cross_validate(labelled, FEATURES, [algorithm])[0]
     assert metrics[0][0]["maxDepth"] == 0
     assert metrics[0][1] == pytest.approx(0.5)
     assert metrics[1][1] > 0.9
-    assert T.train(labelled, FEATURES, algorithm).stages[-1].depth == 3
+    assert T.train(labelled, FEATURES, [algorithm])[0].stages[-1].depth == 3
+
+
+def test_algorithms_trained_together_equal_those_trained_alone(dataset, labels):
+    algorithms = [
+        T.Algorithm(T.DECISION_TREE, {"max_depth": "1,3"}),
+        T.Algorithm(T.LOGISTIC_REGRESSION, {"max_iter": 5, "reg_param": "0.001,0.5"}),
+        T.Algorithm(T.NAIVE_BAYES),
+    ]
+    labelled = T.with_label(dataset, FEATURES, labels, algorithms[0])
+    together = T.train(labelled, FEATURES, algorithms)
+    for algorithm, model in zip(algorithms, together, strict=True):
+        alone = T.train(labelled, FEATURES, [algorithm])[0]
+        both = T.add_prediction(T.add_prediction(labelled, model, "a"), alone, "b")
+        assert both.filter("abs(a.positive - b.positive) > 1e-6").count() == 0
+    other = T.Algorithm(T.SVM, {"handle_invalid": "skip"})
+    with pytest.raises(SpecError):
+        T.cross_validate(labelled, FEATURES, [algorithms[0], other])
+
+
+def test_one_failing_algorithm_does_not_stop_the_others(dataset, labels):
+    broken = T.Algorithm(T.DECISION_TREE, {"max_depth": 99})
+    sound = T.Algorithm(T.NAIVE_BAYES)
+    models = P.train_per_site(dataset, FEATURES, [broken, sound], ["A"], labels)
+    assert [(m.algorithm.name, m.model is None) for m in models] == [(T.DECISION_TREE, True), (T.NAIVE_BAYES, False)]
+    assert models[0].error.startswith("A: ")
 
 
 def test_skip_drops_rows_and_keep_does_not(dataset, labels):
@@ -96,14 +121,14 @@ def test_skip_drops_rows_and_keep_does_not(dataset, labels):
     complete = dataset.na.drop(subset=["kind", "size"]).count()
     assert T.with_label(dataset, FEATURES, labels, skip).count() == complete < 600
     assert T.with_label(dataset, FEATURES, labels, keep).count() == 600
-    model = T.train(T.with_label(dataset, FEATURES, labels, skip), FEATURES, skip)
+    model = T.train(T.with_label(dataset, FEATURES, labels, skip), FEATURES, [skip])[0]
     assert [type(s).__name__ for s in model.stages][0] == "StringIndexerModel"
 
 
 def test_stored_model_predicts_the_same(dataset, labels, tmp_path):
     algorithm = T.Algorithm(T.LOGISTIC_REGRESSION, {"max_iter": 5})
     labelled = T.with_label(dataset, FEATURES, labels, algorithm)
-    model = T.train(labelled, FEATURES, algorithm)
+    model = T.train(labelled, FEATURES, [algorithm])[0]
     T.save_model(model, str(tmp_path / "model"))
     both = T.add_prediction(T.add_prediction(labelled, model, "a"), T.load_model(str(tmp_path / "model")), "b")
     assert both.filter("a.prediction <> b.prediction or a.positive <> b.positive").count() == 0

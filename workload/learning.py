@@ -71,7 +71,7 @@ def _trained(spark, sf_dir, name, **more):
     dataset = stored(spark, sf_dir)
     labels = T.label_order(dataset, LEARNED)
     labelled = T.with_label(dataset, LEARNED, labels, algorithm)
-    model = T.train(T.training_split(labelled), LEARNED, algorithm)
+    model = T.train(T.training_split(labelled), LEARNED, [algorithm])[0]
     scored = T.add_prediction(labelled, model, "m").select(
         F.when(T.in_training_split(F.col("pid")), "train").otherwise("test").alias("split"), "label", "m.prediction"
     )
@@ -115,7 +115,7 @@ def cross_validate(spark, sf_dir):
     algorithm = _algorithm(T.DECISION_TREE, **more)
     dataset = stored(spark, sf_dir)
     labelled = T.with_label(dataset, LEARNED, T.label_order(dataset, LEARNED), algorithm)
-    results = T.cross_validate(T.training_split(labelled), LEARNED, algorithm)
+    results = T.cross_validate(T.training_split(labelled), LEARNED, [algorithm])[0]
     rows = [(p["maxDepth"], p["impurity"], float(metric)) for p, metric in results]  # one per point of the grid
     return spark.createDataFrame(rows, "max_depth int, impurity string, metric double")
 
@@ -126,7 +126,7 @@ def model_persist(spark, sf_dir):
     algorithm = _algorithm(T.LOGISTIC_REGRESSION)
     dataset = stored(spark, sf_dir)
     labelled = T.with_label(dataset, LEARNED, T.label_order(dataset, LEARNED), algorithm)
-    model = T.train(T.training_split(labelled), LEARNED, algorithm)
+    model = T.train(T.training_split(labelled), LEARNED, [algorithm])[0]
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/model"
     T.save_model(model, path)
     both = T.add_prediction(T.add_prediction(labelled, model, "a"), T.load_model(path), "b")
