@@ -41,6 +41,13 @@ class ResourceTable:
     end: str | None = None
     type: str | None = None
     parameters: Mapping[str, SearchParameter] = field(default_factory=dict)
+    _types: dict[str, T.DataType] = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def _type(self, expression: str) -> T.DataType:
+        """Type of an expression over the table; finding it means analysing the table's plan."""
+        if expression not in self._types:
+            self._types[expression] = self.df.select(F.expr(expression)).schema[0].dataType
+        return self._types[expression]
 
     @property
     def rows(self) -> DataFrame:
@@ -77,7 +84,7 @@ class ResourceTable:
         column = F.expr(parameter.expression)
         if parameter.kind == REFERENCE:
             return _one_of(column, values)
-        is_array = isinstance(self.df.select(column).schema[0].dataType, T.ArrayType)
+        is_array = isinstance(self._type(parameter.expression), T.ArrayType)
         if modifier == "sw":
             def starts(c: Column) -> Column:
                 return reduce(lambda a, b: a | b, [c.startswith(v) for v in values])
@@ -92,7 +99,7 @@ class ResourceTable:
     def _date_term(self, parameter: SearchParameter, text: str) -> Column:
         column = F.expr(parameter.expression)
         prefix, moment = (text[:2], text[2:]) if text[:2].isalpha() else ("eq", text)
-        bound = F.lit(moment).cast(self.df.select(column).schema[0].dataType)
+        bound = F.lit(moment).cast(self._type(parameter.expression))
         comparisons = {
             "gt": column > bound,
             "ge": column >= bound,
@@ -124,9 +131,10 @@ class Resources(dict):
 
     def table(self, query: str) -> ResourceTable:
         name = resource_of(query)
-        if name not in self:
-            raise SpecError(f"no table for resource {name!r}")
-        return self[name]
+        try:
+            return self[name]
+        except KeyError:
+            raise SpecError(f"no table for resource {name!r}") from None
 
     def search(self, query: str) -> DataFrame:
         return self.table(query).search(query)

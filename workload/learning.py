@@ -54,10 +54,16 @@ def _algorithm(name: str, **more) -> T.Algorithm:
 
 
 def stored(spark, sf_dir):
-    """The prepared dataset, stored by site."""
-    dataset = prepare_features(tables.resources(spark, sf_dir), LEARNED, as_of=tables.as_of())
-    store = DatasetStore(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
-    store.save_dataset("learned", dataset, partition_by=["site"])
+    """The prepared dataset, stored by site.
+
+    It is prepared once per application and data folder; like every user of a
+    dataset store, each training reads what is stored.
+    """
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{sf_dir.strip('/').replace('/', '-')}"
+    store = DatasetStore(spark, folder)
+    if store.dataset("learned") is None:
+        dataset = prepare_features(tables.resources(spark, sf_dir), LEARNED, as_of=tables.as_of())
+        store.save_dataset("learned", dataset, partition_by=["site"])
     return store.dataset("learned")
 
 

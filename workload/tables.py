@@ -13,6 +13,8 @@ Observation               events with their type as code, and one ``death`` per
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,9 @@ def as_of():
     return F.lit(AS_OF_TEXT).cast("timestamp_ntz")
 
 
+@lru_cache(maxsize=None)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; its file's schema is looked up once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -148,14 +152,26 @@ def observations(spark: SparkSession, sf_dir: str) -> ResourceTable:
     )
 
 
+class ClinicalResources(Resources):
+    """The five resource tables, each built when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._build = {
+            "Patient": lambda: patients(spark, sf_dir),
+            "Encounter": lambda: encounters(spark, sf_dir),
+            "MedicationStatement": lambda: _statements(spark, sf_dir, "MedicationStatement", "p_brand"),
+            "Condition": lambda: _statements(spark, sf_dir, "Condition", "p_type"),
+            "Observation": lambda: observations(spark, sf_dir),
+        }
+
+    def __missing__(self, name: str) -> ResourceTable:
+        self[name] = self._build[name]()
+        return self[name]
+
+
 def resources(spark: SparkSession, sf_dir: str) -> Resources:
-    return Resources.of(
-        patients(spark, sf_dir),
-        encounters(spark, sf_dir),
-        _statements(spark, sf_dir, "MedicationStatement", "p_brand"),
-        _statements(spark, sf_dir, "Condition", "p_type"),
-        observations(spark, sf_dir),
-    )
+    return ClinicalResources(spark, sf_dir)
 
 
 # The same relations for the checking SQL, to be put behind WITH.
