@@ -222,7 +222,7 @@ def encounter_features(
     # Everything known per patient first, in one row per patient; then one join to
     # the encounters, in which patients with very many encounters are spread out.
     def key_of(v: Variable) -> str:
-        return "encounter" if v.kind == "value" or v.group_by == "encounter" else "subject"
+        return "encounter" if v.kind == "value" else v.aggregated_by
 
     by_subject = [v for v in rest if v.kind in ("exists", "mortality")]
     if by_patient or by_subject:

@@ -21,9 +21,9 @@ STATISTICS_SCHEMA = """exception string, variable string, data_type string, reco
 
 @dataclass(frozen=True)
 class Prepared:
-    """A prepared dataset and its statistics; ``dataset`` is None if preparation failed."""
+    """A prepared dataset, as stored, and its statistics."""
 
-    dataset: DataFrame | None
+    dataset: DataFrame
     statistics: DataFrame
 
 

@@ -10,7 +10,8 @@ resource's columns:
 ``value:readmission:[t:]<days>`` readmission flag, type 1 or 2 (default 2)
 ``value:hospitalization:<m>``    earlier stays within m calendar months
 ``value:mortality:<m>``          encounter dated after (observation - m months)
-``aggr:<fn>[:<expr>]``           fn in count, sum, avg, min, max
+``aggr:<fn>[:<expr>]``           fn in count, sum, avg, min, max; also written
+                                 ``aggr:groupBy(<Resource>.subject.reference,<fn>(<expr>))``
 ``aggr:exists:<predicate>``      1.0 where the aggregate predicate holds
 ``satisfy:<predicate>``          criteria: keep resources that satisfy it
 ``aggr:<predicate>``             criteria: keep patients whose group satisfies it
@@ -20,7 +21,7 @@ resource's columns:
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -42,6 +43,7 @@ INVALID_NAME_CHARACTERS = r"""[\s`*{}\[\]()>#+:~'%^&@<?;,"!$=|.]"""
 DEFAULT_MORTALITY_MONTHS = 6
 
 AGGREGATE_FUNCTIONS = ("count", "sum", "avg", "min", "max")
+GROUPED_AGGREGATE = re.compile(r"groupBy\(\s*\w+\.(subject|encounter|context)\.reference\s*,\s*(\w+)\((.*)\)\s*\)")
 
 
 class SpecError(ValueError):
@@ -130,11 +132,23 @@ class Variable:
     @property
     def aggregate(self) -> tuple[str, str | None]:
         """Function and argument of an ``aggr:`` path."""
-        function, _, argument = self.expression.partition(":")
+        grouped = GROUPED_AGGREGATE.fullmatch(self.expression)
+        if grouped:
+            function, argument = grouped[2], grouped[3].strip()
+        else:
+            function, _, argument = self.expression.partition(":")
         if function not in AGGREGATE_FUNCTIONS:
             raise SpecError(f"unknown aggregate in variable {self.name!r}: {function!r}")
         return function, argument or None
 
+    @property
+    def aggregated_by(self) -> str:
+        """Role of the reference an ``aggr:`` variable groups by: subject or encounter."""
+        grouped = GROUPED_AGGREGATE.fullmatch(self.expression)
+        if grouped:
+            return "subject" if grouped[1] == "subject" else "encounter"
+        return self.group_by
+
     @property
     def readmission(self) -> Readmission:
         return Readmission.parse(self.expression)
@@ -213,6 +227,16 @@ class Featureset:
         return next((v for v in self.variables if v.role == DEPENDENT), None)
 
 
+def from_request(request: Mapping) -> tuple[Featureset, list[Criterion]]:
+    """Featureset and criteria of a preparation request given as a parsed JSON document."""
+    variables = [
+        Variable(v["name"], v["fhir_query"], v["fhir_path"], v["variable_data_type"], v["variable_type"])
+        for v in request["featureset"]["variables"]
+    ]
+    criteria = [Criterion(c["fhir_query"], c.get("fhir_path")) for c in request.get("eligibility_criteria", ())]
+    return Featureset(variables), criteria
+
+
 def validate(featureset: Featureset, criteria: Sequence[Criterion] = ()) -> None:
     """Raise ``SpecError`` for anything that could not be prepared."""
     if not featureset.variables:

@@ -9,7 +9,7 @@ from cohortweave.operators.features import known_columns, prepare_features
 from cohortweave.plans.prepare import prepare_dataset
 from cohortweave.sources.resources import Resources, nested_table, with_rows
 from cohortweave.sources.store import DatasetStore
-from cohortweave.spec import CATEGORICAL, DEPENDENT, Criterion, Featureset, SpecError, Variable
+from cohortweave.spec import CATEGORICAL, DEPENDENT, Criterion, Featureset, SpecError, Variable, from_request
 
 AS_OF = "timestamp'2021-01-01'"
 AGE = f"value:floor(months_between({AS_OF}, to_date(Patient.birthDate)) / 12)"
@@ -136,6 +136,38 @@ def test_encounter_grain_needs_as_of(resources):
         prepare_features(resources, ENCOUNTERS)
 
 
+def test_request_document(resources):
+    def variable(name, query, path, kind="numeric", role="independent"):
+        return {
+            "name": name, "fhir_query": query, "fhir_path": path, "variable_data_type": kind, "variable_type": role
+        }
+
+    request = {
+        "featureset": {
+            "variables": [
+                variable("gender", "/Patient", "value:Patient.gender", "categorical"),
+                variable("statements", "/MedicationStatement", "aggr:groupBy(MedicationStatement.subject.reference,count())"),
+                variable("most", "/Observation?code=35000", "aggr:groupBy(Observation.subject.reference, max(valueQuantity.value))"),
+                variable("insulin", "/MedicationStatement?code=A10AD04", "value:exists", role="dependent"),
+            ]
+        },
+        "eligibility_criteria": [
+            {"fhir_query": "/Patient?address-country=test-country"},
+            {"fhir_query": "/Observation", "fhir_path": "satisfy:valueQuantity.value > 2"},
+        ],
+    }
+    featureset, criteria = from_request(request)
+    assert featureset.dependent.column == "insulin"
+    assert rows(prepare_features(resources, featureset, criteria)) == {
+        "Patient/p1": ("male", 1.0, 3.0, 1.0),
+        "Patient/p3": ("female", 0.0, 5.0, 0.0),
+        "Patient/p6": ("male", 0.0, 5.0, 0.0),
+    }
+    by_encounter = Variable("n", "/MedicationStatement", "aggr:groupBy(MedicationStatement.context.reference,count())")
+    wide = prepare_features(resources, Featureset((ENCOUNTERS.variables[0], by_encounter)), (), as_of())
+    assert {pid: r[1] for pid, r in rows(wide).items()} == {"Encounter/e1": 1.0, "Encounter/e4": 1.0, "Encounter/e7": 1.0}
+
+
 def test_known_columns(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert known_columns(df, ["b", "what-is-this-1"]).columns == ["b"]
