@@ -22,12 +22,10 @@ MIN_CONFIDENCE = 0.8
 # Up to this many items, all itemsets are counted without a local support bound.
 MAX_ENUMERATED_ITEMS = 12
 
-SEPARATOR = "|"
-
 
 def itemset_key(items: Column) -> Column:
-    """The itemset as text: equal for equal sets."""
-    return F.concat_ws(SEPARATOR, F.array_sort(items))
+    """The itemset in one order, so that equal sets compare, group and join as equal."""
+    return F.array_sort(items)
 
 
 def item_frequencies(items: DataFrame, by: Sequence[str] = ("site",)) -> DataFrame:

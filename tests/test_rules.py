@@ -128,3 +128,13 @@ def test_item_order_does_not_matter(spark):
     assert [(r["items"], r["freq"]) for r in R.merge_itemset_counts(itemsets).collect()] == [(["a", "b"], 5)]
     rules = spark.createDataFrame([(["b", "a"], ["c"]), (["a", "b"], ["c"])], "antecedent array<string>, consequent array<string>")
     assert R.merge_rules(rules).count() == 1
+
+
+def test_items_may_hold_any_character(spark):
+    rows = [("A", "p1", ["a|b", "c"]), ("A", "p2", ["a", "b|c"]), ("A", "p3", ["a", "b|c"])]
+    transactions = spark.createDataFrame(rows, "site string, pid string, items array<string>")
+    itemsets = R.enumerate_itemsets(transactions)
+    rules = R.association_rules(itemsets, R.record_counts(transactions), 0.5)
+    assert {(r["antecedent"][0], r["consequent"][0], r["confidence"]) for r in rules.collect()} == {
+        ("a|b", "c", 1.0), ("c", "a|b", 1.0), ("a", "b|c", 1.0), ("b|c", "a", 1.0)
+    }

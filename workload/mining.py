@@ -183,8 +183,8 @@ def itemset_normalize(spark, sf_dir):
     shuffled = itemsets.withColumn(
         "items", F.when(F.col("site") < "ASIA", F.reverse("items")).otherwise(F.col("items"))
     )
-    normal = R.normalize_itemsets(shuffled).withColumn("items", R.itemset_key(F.col("items")))
-    return normal.groupBy("items").agg(F.count(F.lit(1)).alias("sites"))
+    normal = R.normalize_itemsets(shuffled)
+    return _text(normal.groupBy("items").agg(F.count(F.lit(1)).alias("sites")), "items")
 
 
 @query(
