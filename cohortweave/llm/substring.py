@@ -83,7 +83,7 @@ def _block_hashes(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, ok, place % BLOCK == 0
 
 
-def _post_blocks(buckets: int) -> Callable:
+def _post_blocks(buckets: int, bits: int) -> Callable:
     """Each distinct run of a chunk: whether it is a block somewhere, whether two documents have it."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -91,7 +91,7 @@ def _post_blocks(buckets: int) -> Callable:
         hashes, ok, block = _block_hashes(words, ids)
         short = hashes[ok]
         bucket = _buckets(short, buckets)
-        code = (bucket << ANCHOR_BITS) | (short & np.uint64((1 << ANCHOR_BITS) - 1)).astype(np.int64)
+        code = (bucket << bits) | (short & np.uint64((1 << bits) - 1)).astype(np.int64)
         order = np.argsort(code, kind="stable")  # by code, then by document
         code, doc, block = code[order], own[: len(hashes)][ok][order], block[ok][order]
         first = np.flatnonzero(np.diff(code, prepend=-1))
@@ -102,8 +102,8 @@ def _post_blocks(buckets: int) -> Callable:
             several = anchor = np.zeros(0, bool)
         code = code[first]
         out = []
-        for k, rows in _parcels(code >> ANCHOR_BITS, np.arange(len(code)), buckets):
-            low = code[rows] & ((1 << ANCHOR_BITS) - 1)
+        for k, rows in _parcels(code >> bits, np.arange(len(code)), buckets):
+            low = code[rows] & ((1 << bits) - 1)
             flags = np.packbits(np.concatenate([several[rows], anchor[rows]])).tobytes()
             out.append((k, len(low), pack(low) + flags))
         return _parcel_table(out, key[0].as_py())
@@ -122,36 +122,40 @@ def _parcel_table(rows: list, chunk: int) -> pa.Table:
     )
 
 
-def _find_anchors(key: tuple, table: pa.Table) -> pa.Table:
+def _find_anchors(bits: int) -> Callable:
     """Of each chunk's hashes those that are a block somewhere and stand in two documents."""
-    ns, bodies = table.column("n").to_pylist(), table.column("body").to_pylist()
-    docs, anchor = np.zeros(1 << ANCHOR_BITS, np.uint8), np.zeros(1 << ANCHOR_BITS, bool)
-    lists = []
-    for n, body in zip(ns, bodies, strict=True):
-        flags = -(-2 * n // 8)
-        low = unpack(body[: len(body) - flags])
-        bits = np.unpackbits(np.frombuffer(body[len(body) - flags :], np.uint8))[: 2 * n].astype(bool)
-        docs[low] = np.minimum(docs[low] + 1 + bits[:n], 2)
-        anchor[low[bits[n:]]] = True
-        lists.append(low)
-    shared = (docs > 1) & anchor
-    found = [low[shared[low]] for low in lists]
-    return pa.table(
-        {
-            "bucket": table.column("bucket"),
-            "chunk": table.column("chunk"),
-            "n": pa.array([len(x) for x in found], pa.int64()),
-            "body": pa.array([pack(x) for x in found], pa.binary()),
-        }
-    )
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ns, bodies = table.column("n").to_pylist(), table.column("body").to_pylist()
+        docs, anchor = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, bool)
+        lists = []
+        for n, body in zip(ns, bodies, strict=True):
+            at = len(body) - -(-2 * n // 8)
+            low = unpack(body[:at])
+            flags = np.unpackbits(np.frombuffer(body[at:], np.uint8))[: 2 * n].astype(bool)
+            docs[low] = np.minimum(docs[low] + 1 + flags[:n], 2)
+            anchor[low[flags[n:]]] = True
+            lists.append(low)
+        shared = (docs > 1) & anchor
+        found = [low[shared[low]] for low in lists]
+        return pa.table(
+            {
+                "bucket": table.column("bucket"),
+                "chunk": table.column("chunk"),
+                "n": pa.array([len(x) for x in found], pa.int64()),
+                "body": pa.array([pack(x) for x in found], pa.binary()),
+            }
+        )
+
+    return run
 
 
-def _candidate_runs(words: Words, ids: np.ndarray, anchors: pa.Table, buckets: int) -> np.ndarray:
+def _candidate_runs(words: Words, ids: np.ndarray, anchors: pa.Table, buckets: int, bits: int) -> np.ndarray:
     """Starts of runs of WINDOW words in one document that hold an anchor."""
     hashes, ok, _ = _block_hashes(words, ids)
-    code = (_buckets(hashes, buckets) << ANCHOR_BITS) | (hashes & np.uint64((1 << ANCHOR_BITS) - 1)).astype(np.int64)
+    code = (_buckets(hashes, buckets) << bits) | (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
     lists = [
-        (b << ANCHOR_BITS) | unpack(body)
+        (b << bits) | unpack(body)
         for b, body in zip(anchors.column("bucket").to_pylist(), anchors.column("body").to_pylist(), strict=True)
     ]
     known = np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
@@ -166,14 +170,14 @@ def _candidate_runs(words: Words, ids: np.ndarray, anchors: pa.Table, buckets: i
     return np.flatnonzero(has & inside(words.text, WINDOW))
 
 
-def _post_runs(buckets: int) -> Callable:
+def _post_runs(buckets: int, bits: int) -> Callable:
     """Fingerprints of a chunk's candidate runs, each once, with the smallest document that has it."""
 
     def run(key: tuple, docs: pa.Table, anchors: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _parcel_table([], 0)
         words, ids, own, _ = _words(docs)
-        starts = _candidate_runs(words, ids, anchors, buckets)
+        starts = _candidate_runs(words, ids, anchors, buckets, bits)
         prints = windows(words.hashes, WINDOW)[starts]
         doc = own[starts]
         order = np.lexsort((doc, prints))
@@ -314,9 +318,9 @@ def remove_repeats(
     documents = documents.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text), *carry)
     last = "kept_text" if with_text else "kept_sha256"
     docs, buckets = _dealt(documents.where(F.col(key).isNotNull()), key, text, carry)
-    posted = docs.groupBy("chunk").applyInArrow(_post_blocks(buckets), PARCEL)
-    anchors = materialize(posted.groupBy("bucket").applyInArrow(_find_anchors, PARCEL).where("n > 0"))
-    runs = docs.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_post_runs(buckets), PARCEL)
+    posted = docs.groupBy("chunk").applyInArrow(_post_blocks(buckets, ANCHOR_BITS), PARCEL)
+    anchors = materialize(posted.groupBy("bucket").applyInArrow(_find_anchors(ANCHOR_BITS), PARCEL).where("n > 0"))
+    runs = docs.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_post_runs(buckets, ANCHOR_BITS), PARCEL)
     repeats = materialize(runs.groupBy("bucket").applyInArrow(_find_repeats, PARCEL).where("n > 0"))
     schema = "doc_id long, n_words long, n_removed long, kept string"
     if carry:

@@ -146,8 +146,10 @@ def filter_urls(
 
     def work(texts: pa.Array) -> list:
         hits = automaton.match(texts)
-        fits = hits[:, : 2 * n].reshape(-1, n, 2).any(axis=2)
-        rule = np.where(fits.any(axis=1), fits.argmax(axis=1), n) if n else np.zeros(len(hits), int)
+        fits = np.zeros((len(hits), n + 1), bool)
+        fits[:, :n] = hits[:, : 2 * n : 2] | hits[:, 1 : 2 * n : 2]
+        fits[:, n] = True  # no rule
+        rule = fits.argmax(axis=1)
         bad = hits[:, 2 * n :].any(axis=1)
         return [
             pa.array(pd.Series(names[rule]), pa.string(), from_pandas=True),
