@@ -15,13 +15,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortweave.session import materialize
+
 # Support over all sites, and confidence within a site.
 MIN_SUPPORT = 0.3
 MIN_CONFIDENCE = 0.8
 
-# Up to this many items, all itemsets are counted without a local support bound.
-MAX_ENUMERATED_ITEMS = 12
-
 
 def itemset_key(items: Column) -> Column:
     """The itemset in one order, so that equal sets compare, group and join as equal."""
@@ -53,9 +52,13 @@ def global_frequent_items(
     )
 
 
-def keep_items(transactions: DataFrame, items: Sequence[str]) -> DataFrame:
-    """Transactions with only the given items left; rows stay even when empty."""
-    wanted = F.array(*[F.lit(i) for i in items]).cast("array<string>")
+def keep_items(transactions: DataFrame, items: DataFrame) -> DataFrame:
+    """Transactions with only the ``item`` values of ``items`` left; rows stay even when empty.
+
+    The items are handed to the rows as the value of a scalar subquery. Frequent items are few:
+    at most the mean number of items in a row, divided by the support.
+    """
+    wanted = items.agg(F.collect_list(F.col("item").cast("string")).alias("wanted")).scalar()
     return transactions.withColumn("items", F.array_intersect("items", wanted))
 
 
@@ -66,19 +69,6 @@ def distinct_transactions(transactions: DataFrame, by: Sequence[str] = ("site",)
     )
 
 
-def enumerate_itemsets(transactions: DataFrame, by: Sequence[str] = ("site",)) -> DataFrame:
-    """``(by, items, freq)`` for every itemset that occurs, however rarely.
-
-    For transactions over few items (see ``MAX_ENUMERATED_ITEMS``): each distinct
-    transaction contributes its subsets, numbered by the bits of a counter.
-    """
-    distinct = distinct_transactions(transactions, by).filter(F.size("items") > 0)
-    last = (F.lit(1).cast("long") * F.pow(F.lit(2.0), F.size("items"))).cast("long") - 1
-    subsets = distinct.select(*by, "items", "n", F.explode(F.sequence(F.lit(1).cast("long"), last)).alias("bits"))
-    chosen = F.filter("items", lambda x, i: F.expr("bits").bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) != 0)
-    return subsets.select(*by, chosen.alias("items"), "n").groupBy(*by, "items").agg(F.sum("n").alias("freq"))
-
-
 def fp_growth(
     transactions: DataFrame,
     min_support: float = 0.0,
@@ -92,32 +82,33 @@ def fp_growth(
     return growth.fit(transactions)
 
 
-def frequent_itemsets(
-    transactions: DataFrame,
-    items: Sequence[str],
-    sites: Sequence[str] = (),
-    local_support: float = 0.0,
-) -> DataFrame:
-    """``(site, items, freq)`` of the itemsets of the globally frequent ``items``.
+def frequent_itemsets(transactions: DataFrame, items: DataFrame, local_support: float = 0.0) -> DataFrame:
+    """``(site, items, freq, local)`` of the itemsets of the frequent ``items``, for all sites in one plan.
 
-    With few items all itemsets are counted, in one plan for all sites. With more,
-    the number of itemsets is not bounded by anything but their support, so
-    ``local_support`` is required and FP-growth runs once per site.
+    Sets are grown by one item at a time, in sorted order, over the distinct transactions that
+    hold them. A set is a candidate if it has the share ``local_support`` of the records of some
+    site (0: if it occurs). Every candidate is counted exactly at every site, so that counts can be
+    summed; ``local`` says where it has the support itself.
     """
     kept = keep_items(transactions, items)
-    if len(items) <= MAX_ENUMERATED_ITEMS:
-        counted = enumerate_itemsets(kept)
-        if local_support <= 0:
-            return counted
-        records = record_counts(kept)
-        return (
-            counted.join(records, "site")
-            .filter(F.col("freq") >= F.ceil(F.col("records") * local_support))
-            .drop("records")
-        )
-    if local_support <= 0 or not sites:
-        raise ValueError(f"{len(items)} frequent items need local_support > 0 and the list of sites")
-    return fp_growth_itemsets(kept, sites, local_support)
+    bounds = materialize(
+        record_counts(kept).select("site", F.greatest(F.lit(1), F.ceil(F.col("records") * local_support)).alias("least"))
+    )
+    held = distinct_transactions(kept).filter(F.size("items") > 0)
+    held = held.select("site", F.col("items").alias("all"), "n", F.lit(-1).alias("at"), F.array().cast("array<string>").alias("items"))
+    levels = []
+    while True:
+        after = held.filter(F.col("at") < F.size("all") - 1)
+        after = after.select("site", "all", "n", "items", F.explode(F.sequence(F.col("at") + 1, F.size("all") - 1)).alias("at"))
+        grown = materialize(after.withColumn("items", F.array_append("items", F.get("all", F.col("at")))))
+        counts = grown.groupBy("site", "items").agg(F.sum("n").alias("freq")).join(bounds, "site")
+        counts = materialize(counts.withColumn("local", F.col("freq") >= F.col("least")).drop("least"))
+        if levels and counts.isEmpty():
+            break
+        candidates = counts.filter("local").select("items").distinct()
+        levels.append(counts.join(candidates, "items", "left_semi").select("site", "items", "freq", "local"))
+        held = grown.join(candidates, "items", "left_semi")
+    return reduce(DataFrame.unionByName, levels)
 
 
 def fp_growth_itemsets(transactions: DataFrame, sites: Sequence[str], local_support: float = 0.0) -> DataFrame:

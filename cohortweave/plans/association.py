@@ -11,9 +11,6 @@ from cohortweave.operators import rules as R
 from cohortweave.operators.encode import items_array
 from cohortweave.session import materialize
 
-# The frequent items become literals of the plan.
-MAX_ITEMS = 2_000
-
 
 @dataclass(frozen=True)
 class Mined:
@@ -32,21 +29,20 @@ def federated_rules(
 ) -> Mined:
     """Rules over all sites of ``dataset(site, pid, ...)``.
 
-    Between the steps only counts of items and itemsets are passed on. The frequent
-    items and the site totals come to the driver; rows never do.
+    Between the steps only counts of items and itemsets are passed on. The totals of
+    the sites come to the driver; items and rows never do. Each site's rules come from
+    the itemsets that have ``local_support`` there; merged figures from exact counts of
+    all candidates at all sites.
     """
     transactions = items_array(dataset, keep=("site", "pid"))
     long = transactions.select("site", "pid", F.explode("items").alias("item"))
     frequencies = R.item_frequencies(long)
     records = materialize(R.record_counts(transactions))
-    frequent = R.global_frequent_items(frequencies, records, min_support)
-    items = [row["item"] for row in frequent.select("item").orderBy("item").limit(MAX_ITEMS + 1).collect()]
-    if len(items) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items are frequent; raise min_support")
+    frequent = materialize(R.global_frequent_items(frequencies, records, min_support))
     totals = {row["site"]: row["records"] for row in records.collect()}
     # Counts of itemsets are small, and the steps below read them many times.
-    itemsets = materialize(R.frequent_itemsets(transactions, items, sorted(totals), local_support))
-    site_rules = R.association_rules(itemsets, records, min_confidence)
+    itemsets = materialize(R.frequent_itemsets(transactions, frequent, local_support))
+    site_rules = R.association_rules(itemsets.filter("local"), records, min_confidence)
     if len(totals) == 1:
         # With one site its own figures stand.
         merged = site_rules.drop("site")

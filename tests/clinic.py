@@ -1,22 +1,29 @@
-"""Ten patients with an observation each, three medications, and a few encounters."""
+"""Twelve invented patients with a lab value each, some prescriptions, and a few encounters."""
 
 import json
 
 from cohortweave.sources import resources as S
 
-# number, gender, birth date, number of medications, on insulin
+LAB, DRUG, COUNTRY = "lab-glucose", "rx-17", "Norvania"
+
+# number, gender, birth date, lab value, has the prescription
 PATIENTS = [
-    (1, "male", "1922-06-21", 3, True),
-    (2, "male", "1955-02-20", 2, False),
-    (3, "female", "1926-06-16", 5, False),
-    (4, "female", "1941-06-20", 0, True),
-    (5, "male", "1923-07-17", 1, False),
-    (6, "male", "1934-03-05", 5, False),
-    (7, "female", "1923-06-28", 1, True),
-    (8, "female", "1920-12-26", 0, False),
-    (9, "female", "1927-01-29", 2, False),
-    (10, "male", "1957-11-09", 0, False),
+    (1, "female", "1961-02-03", 4, False),
+    (2, "male", "1948-11-30", 0, True),
+    (3, "male", "1979-08-08", 6, False),
+    (4, "female", "1952-05-17", 3, True),
+    (5, "female", "1990-01-25", 0, False),
+    (6, "male", "1936-09-12", 7, True),
+    (7, "female", "1944-04-04", 2, True),
+    (8, "male", "1967-12-19", 0, False),
+    (9, "male", "1957-10-02", 4, False),
+    (10, "female", "1985-03-28", 1, False),
+    (11, "male", "1940-07-21", 5, True),
+    (12, "female", "1973-06-14", 2, False),
 ]
+#: Completed years on 2022-07-01.
+AGES = [61, 73, 42, 70, 32, 85, 78, 54, 64, 37, 81, 49]
+WITH_DRUG = [n for n, _, _, _, drug in PATIENTS if drug]
 
 
 def coded(code):
@@ -24,25 +31,30 @@ def coded(code):
 
 
 def _resources():
-    for n, gender, birth, medications, insulin in PATIENTS:
+    for n, gender, birth, value, drug in PATIENTS:
         subject = {"reference": f"Patient/p{n}"}
         yield {
             "resourceType": "Patient", "id": f"p{n}", "gender": gender, "birthDate": birth,
-            "address": [{"country": "test-country"}], "identifier": [{"value": f"nr-{n}"}],
+            "address": [{"country": COUNTRY}], "identifier": [{"value": f"nr-{n}"}],
         }
         yield {
-            "resourceType": "Observation", "id": f"o{n}", "code": coded("35000"), "subject": subject,
-            "effectiveDateTime": f"2020-0{n % 9 + 1}-01T10:00:00Z", "valueQuantity": {"value": medications},
+            "resourceType": "Observation", "id": f"o{n}", "code": coded(LAB), "subject": subject,
+            "effectiveDateTime": f"2022-{n:02}-11T07:30:00Z", "valueQuantity": {"value": value},
         }
-        if insulin:
+        if drug:
+            yield {
+                "resourceType": "MedicationStatement", "id": f"m{n}", "medicationCodeableConcept": coded(DRUG),
+                "subject": subject, "context": {"reference": f"Encounter/e{n}"}, "effectiveDateTime": "2022-04-20",
+            }
+        if n in (3, 9):
             yield {
-                "resourceType": "MedicationStatement", "id": f"m{n}", "medicationCodeableConcept": coded("A10AD04"),
-                "subject": subject, "context": {"reference": f"Encounter/e{n}"}, "effectiveDateTime": "2020-03-15",
+                "resourceType": "Condition", "id": f"c{n}", "code": coded("dx-5"), "subject": subject,
+                "onsetDateTime": "2021-02-02",
             }
     for n, start, end, kind in (
-        (1, "2020-03-01T08:00:00Z", "2020-03-10T08:00:00Z", "planned"),
-        (4, "2020-03-14T08:00:00Z", "2020-03-20T08:00:00Z", "unplanned"),
-        (7, "2020-05-01T08:00:00Z", None, None),
+        (2, "2022-04-02T09:00:00Z", "2022-04-09T15:00:00Z", "elective"),
+        (6, "2022-04-18T22:00:00Z", "2022-04-25T11:00:00Z", "emergency"),
+        (11, "2022-06-03T10:00:00Z", None, None),
     ):
         period = {"start": start, **({"end": end} if end else {})}
         yield {

@@ -95,8 +95,7 @@ def _transactions(spark, sf_dir):
 
 def _frequent(transactions):
     frequencies = R.item_frequencies(transactions.select("site", F.explode("items").alias("item")))
-    frequent = R.global_frequent_items(frequencies, R.record_counts(transactions), MIN_SUPPORT)
-    return [row["item"] for row in frequent.select("item").orderBy("item").collect()]
+    return R.global_frequent_items(frequencies, R.record_counts(transactions), MIN_SUPPORT)
 
 
 @query(
@@ -139,7 +138,7 @@ ITEMSETS_SQL = ITEMSETS_WITH + "select site, items, freq from itemsets join name
 @query("frequent_itemsets", ITEMSETS_SQL)
 def frequent_itemsets(spark, sf_dir):
     transactions = _transactions(spark, sf_dir)
-    return _text(R.frequent_itemsets(transactions, _frequent(transactions)), "items")
+    return _text(R.frequent_itemsets(transactions, _frequent(transactions)).drop("local"), "items")
 
 
 @query("frequent_itemsets_fpgrowth", ITEMSETS_SQL)
@@ -219,6 +218,34 @@ def rule_confidence_lift(spark, sf_dir):
     return _rounded_rules(R.rule_confidence_lift(rules, R.merge_itemset_counts(itemsets), total))
 
 
+# So low a support that all of the 14 and more items count.
+LOW_SUPPORT = 0.0
+LOCAL_SUPPORT = 0.05
+LOW_FREQUENT = FREQUENT.replace(f"cast({MIN_SUPPORT} as double)", f"cast({LOW_SUPPORT} as double)")
+
+
+def _merged_sql(*parts):
+    return with_sql(PAT, MED, ITEMS, RECORDS, *parts, MERGED) + MERGED_SQL[len(MERGED_WITH) :]
+
+
 @query("federated_rules", MERGED_SQL)
 def federated_rules_query(spark, sf_dir):
     return _rounded_rules(federated_rules(dataset(spark, sf_dir), MIN_SUPPORT).rules)
+
+
+@query("federated_rules_many_items", _merged_sql(LOW_FREQUENT, ITEMSETS, SITE_RULES))
+def federated_rules_many_items(spark, sf_dir):
+    """The same with every item."""
+    return _rounded_rules(federated_rules(dataset(spark, sf_dir), LOW_SUPPORT).rules)
+
+
+# Rules of a site from the itemsets that have the support there; all counts for the merged figures.
+LOCAL_RULES = SITE_RULES.replace(
+    "from itemsets join names using (m)", f"""from (select itemsets.* from itemsets join records using (site)
+    where freq >= ceil(n * cast({LOCAL_SUPPORT} as double))) itemsets join names using (m)""")
+
+
+@query("federated_rules_local_support", _merged_sql(LOW_FREQUENT, ITEMSETS, LOCAL_RULES))
+def federated_rules_local_support(spark, sf_dir):
+    """Candidates with a support at some site, counted exactly at every site."""
+    return _rounded_rules(federated_rules(dataset(spark, sf_dir), LOW_SUPPORT, local_support=LOCAL_SUPPORT).rules)
