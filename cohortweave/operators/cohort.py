@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.operators.encounters import readmission
+from cohortweave.session import lenient, materialize
 from cohortweave.sources.resources import Resources, ResourceTable
 from cohortweave.spec import Criterion, Readmission, SpecError
 
@@ -45,11 +46,9 @@ def restrict_to_encounters(
     return keyed.join(allowed, "_key", "left_semi").drop("_key")
 
 
+@lenient
 def satisfying(df: DataFrame, predicate: str) -> DataFrame:
-    """Rows whose predicate is true; null counts as false.
-
-    Write ``try_cast``, ``try_divide`` and the like where a value may be malformed.
-    """
+    """Rows whose predicate is true; null counts as false, and so does a malformed value."""
     return df.filter(F.expr(predicate))
 
 
@@ -62,6 +61,7 @@ def _matches(table: ResourceTable, criterion: Criterion) -> Column:
     return predicate if condition is None else condition & predicate
 
 
+@lenient
 def patients_of_criterion(resources: Resources, criterion: Criterion) -> DataFrame:
     """``pid`` of the subjects of all resources that meet one criterion."""
     table = resources.table(criterion.query)
@@ -90,6 +90,7 @@ def base_patients(resources: Resources, criteria: Sequence[Criterion]) -> DataFr
     return rows
 
 
+@lenient
 def eligible_patients(resources: Resources, criteria: Sequence[Criterion] = ()) -> DataFrame:
     """Rows of Patient, with ``pid``, that meet every criterion.
 
@@ -135,21 +136,26 @@ def encounter_items(table: ResourceTable, df: DataFrame, as_of: Column) -> DataF
 ENCOUNTER_COLUMNS = ("encounter", "subject", "start", "end", "type")
 
 
+@lenient
 def encounters_of_criterion(
     resources: Resources, criterion: Criterion, patients: DataFrame, as_of: Column
 ) -> DataFrame:
     """Encounters of ``patients`` that meet one Encounter criterion."""
     table = resources["Encounter"]
-    found = restrict_to_patients(table, table.search(criterion.query), patients)
+    found = table.search(criterion.query)
+    if criterion.kind == "satisfy":
+        found = satisfying(found, criterion.expression)
+    found = restrict_to_patients(table, found, patients)
     items = encounter_items(table, found, as_of).select(*ENCOUNTER_COLUMNS)
     if criterion.kind == "readmission":
         spec = Readmission.parse(criterion.expression)
         return readmission(items, spec.days, spec.kind).filter("value = 1.0").select(*ENCOUNTER_COLUMNS)
-    if criterion.kind != "any":
-        raise SpecError(f"an Encounter criterion takes no path but a readmission: {criterion.path!r}")
+    if criterion.kind not in ("any", "satisfy"):
+        raise SpecError(f"an Encounter criterion takes satisfy or a readmission: {criterion.path!r}")
     return items
 
 
+@lenient
 def eligible_encounters(
     resources: Resources,
     criteria: Sequence[Criterion],
@@ -162,13 +168,16 @@ def eligible_encounters(
     ``extra`` names further columns, computed from the rows of Encounter.
     """
     table = resources["Encounter"]
+    # Written, so that both sides of the semi-join come straight out of a shuffle and a patient with
+    # very many encounters can be split at run time.
+    patients = materialize(patients.select("pid"))
     on_encounters = [c for c in criteria if c.resource == "Encounter"]
     rows = table.rows
-    # Criteria without a path are conditions on one row: one scan for all of them.
+    # Criteria about single encounters are conditions on one row: one scan for all of them.
+    on_rows = ("any", "satisfy")
     for criterion in on_encounters:
-        if criterion.kind == "any":
-            condition = table.condition(criterion.query)
-            rows = rows if condition is None else rows.filter(condition)
+        if criterion.kind in on_rows:
+            rows = rows.filter(_matches(table, criterion))
     # The encounter columns may hide columns of the table, so extras come first.
     named = {f"_x{i}": column for i, column in enumerate((extra or {}).values())}
     rows = restrict_to_patients(table, rows.withColumns(named) if named else rows, patients)
@@ -176,7 +185,7 @@ def eligible_encounters(
         *ENCOUNTER_COLUMNS, *[F.col(f"_x{i}").alias(name) for i, name in enumerate(extra or {})]
     )
     for criterion in on_encounters:
-        if criterion.kind != "any":
+        if criterion.kind not in on_rows:
             keep = encounters_of_criterion(resources, criterion, patients, as_of).select("encounter")
             items = items.join(keep, "encounter", "left_semi")
     return items

@@ -23,8 +23,8 @@ from cohortweave.operators.cohort import (
     restrict_to_encounters,
 )
 from cohortweave.operators.encounters import hospitalization_counts, mortality_flag, readmission
-from cohortweave.operators.skew import hot_keys, lookup
-from cohortweave.session import materialize
+from cohortweave.operators.skew import lookup
+from cohortweave.session import lenient, materialize
 from cohortweave.sources.resources import Resources, ResourceTable
 from cohortweave.spec import Criterion, Featureset, Variable
 
@@ -76,6 +76,7 @@ def _aggregates(table: ResourceTable, variable: Variable) -> list[Column]:
     return columns
 
 
+@lenient
 def feature_aggregates(
     table: ResourceTable, variables: Sequence[Variable], key: str, rows: DataFrame | None = None
 ) -> DataFrame:
@@ -153,6 +154,7 @@ def _subject_result(variable: Variable) -> Column:
     return _result(variable)
 
 
+@lenient
 def patient_features(
     resources: Resources, featureset: Featureset, criteria: Sequence[Criterion] = ()
 ) -> DataFrame:
@@ -188,6 +190,7 @@ def _timed_features(encounters: DataFrame, table: ResourceTable, variables: Sequ
     return hospitalization_counts(extended, counted, source=encounters) if counted else extended
 
 
+@lenient
 def encounter_features(
     resources: Resources, featureset: Featureset, criteria: Sequence[Criterion], as_of: Column
 ) -> DataFrame:
@@ -216,7 +219,6 @@ def encounter_features(
 
     encounters = materialize(encounters)
     cohort = encounters.select(*ENCOUNTER_COLUMNS)
-    hot = hot_keys(cohort, "subject")
     encounters = _timed_features(encounters, table, timed)
 
     # Everything known per patient first, in one row per patient; then one join to
@@ -227,7 +229,7 @@ def encounter_features(
     by_subject = [v for v in rest if v.kind in ("exists", "mortality")]
     if by_patient or by_subject:
         known = _subject_features(resources, patients, by_subject).withColumnRenamed("pid", "subject")
-        encounters = lookup(encounters, known, "subject", "encounter", hot)
+        encounters = lookup(encounters, known, "subject", "encounter", cohort)
     # Aggregates count only resources that belong to an eligible encounter.
     aggregated = [v for v in rest if v not in by_subject]
     for (name, key, _), group in _groups(resources, aggregated, key_of).items():
@@ -237,7 +239,7 @@ def encounter_features(
             rows = restrict_to_encounters(source, rows, cohort)
         parts = feature_aggregates(source, group, key, rows)
         if key == "subject":
-            encounters = lookup(encounters, parts, key, "encounter", hot)
+            encounters = lookup(encounters, parts, key, "encounter", cohort)
         else:
             encounters = encounters.join(parts, key, "left")
 

@@ -2,51 +2,16 @@
 
 A run-time split of skewed partitions works only where both sides of a join come
 straight out of a shuffle. A side that has been aggregated or joined on the key does
-not, so here the few keys that matter are found beforehand and spread out.
+not, so here the rows of every key are dealt out to parts by a hash of the row, and
+what they look up is repeated once for each part that the key's rows fall into. A key
+with one row has one part; nothing has to be counted beforehand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot if it holds more than this share of the rows, and at least this many.
-# There are never more than 1 / HOT_SHARE hot keys, however large the data.
-HOT_SHARE = 0.001
-HOT_ROWS = 1_000_000
-# Parts that the rows of a hot key are spread over.
-PARTS = 256
-
-
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list:
-    """The hot values of a column. Counts combine before the shuffle."""
-    total = df.count()
-    if total <= rows:
-        return []
-    bound = max(total * share, rows)
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return [row[key] for row in counts.filter(F.col("_n") > bound).select(key).collect()]
-
-
-def lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, hot: Sequence, parts: int = PARTS) -> DataFrame:
-    """Left join to ``right``, which has one row per key.
-
-    Rows of a hot key are spread by a hash of ``row_id``; only the rows of ``right``
-    for hot keys are repeated, once per part.
-    """
-    if not hot:
-        return left.join(right, key, "left")
-    is_hot = F.col(key).isin(list(hot))
-    part = F.when(is_hot, F.pmod(F.xxhash64(row_id), F.lit(parts))).otherwise(F.lit(0)).cast("int")
-    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    spread = right.withColumn("_part", F.explode(every))
-    return left.withColumn("_part", part).join(spread, [key, "_part"], "left").drop("_part")
-
-
-# --- parts without a search for hot keys --------------------------------------
-
 # A set of parts is kept in the bits of one long, without its sign.
 BITS = 63
 
@@ -67,3 +32,14 @@ def parts_in(bits: Column) -> Column:
     numbers = F.sequence(F.lit(0), F.lit(BITS - 1))
     several = F.filter(numbers, lambda n: F.call_function("getbit", bits, n) == 1)
     return F.when(F.bit_count(bits) == 1, only).otherwise(several)
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, source: DataFrame | None = None) -> DataFrame:
+    """Left join to ``right``, which has one row per key, in up to 63 parts of each key.
+
+    ``source`` may name the rows of ``left`` where they are cheaper to read again.
+    """
+    rows = left if source is None else source
+    asked = rows.groupBy(key).agg(F.bit_or(part_bit(F.col(row_id))).alias("_bits"))
+    spread = right.join(asked, key).withColumn("_part", F.explode(parts_in(F.col("_bits")))).drop("_bits")
+    return left.withColumn("_part", part_of(F.col(row_id))).join(spread, [key, "_part"], "left").drop("_part")

@@ -14,7 +14,10 @@ from cohortweave.sources.resources import Resources
 from cohortweave.sources.store import DatasetStore
 from cohortweave.spec import Criterion, Featureset, validate
 
-STATISTICS_SCHEMA = """exception string, variable string, data_type string, records bigint, nulls bigint,
+# Kind of the documents that say why a preparation failed.
+FAILURES = "failures"
+
+STATISTICS_SCHEMA = """variable string, data_type string, records bigint, nulls bigint,
     null_percentage double, min double, max double, mean double,
     value_distribution array<struct<value: string, count: bigint, percentage: double>>"""
 
@@ -39,8 +42,9 @@ def prepare_dataset(
     """Prepare, store and profile a dataset; one that is stored already is returned as it is.
 
     The statistics read the stored table, so the extraction runs once. A failure is
-    stored as a document with the error message, and raised. An empty cohort gives
-    an empty dataset with zero records.
+    stored under a kind of its own, with the error message, and raised; the next
+    call prepares the dataset anew. An empty cohort gives an empty dataset with
+    zero records.
     """
     validate(featureset, criteria)
     existing = store.dataset(dataset_id)
@@ -49,12 +53,11 @@ def prepare_dataset(
             store.save_dataset(dataset_id, prepare_features(resources, featureset, criteria, as_of))
         except Exception as error:
             failure = spark.range(1).select(F.lit(str(error)).alias("exception"))
-            store.save_document("statistics", dataset_id, failure)
+            store.save_document(FAILURES, dataset_id, failure, replace=True)
             raise
         existing = store.dataset(dataset_id)
     statistics = store.document("statistics", dataset_id, STATISTICS_SCHEMA)
     if statistics is None:
-        computed = profile(existing).withColumn("exception", F.lit(None).cast("string"))
-        store.save_document("statistics", dataset_id, computed)
+        store.save_document("statistics", dataset_id, profile(existing))
         statistics = store.document("statistics", dataset_id, STATISTICS_SCHEMA)
     return Prepared(existing, statistics)

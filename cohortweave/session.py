@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings that can change at run time; the operators rely on the first one.
 RUNTIME_SETTINGS = {
@@ -16,10 +19,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
-# A side with at most this many rows may be broadcast.
-BROADCAST_ROWS = 20_000
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators expect to an existing session."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -28,7 +27,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A single-machine session, for tests and for the benchmark."""
+    """A single-machine session, for tests and for the benchmark; its folder goes with it."""
+    folder = _own_folder(app)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -36,32 +36,38 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", f"{folder}/shared")
+        .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
     )
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-_local_folders: dict[str, str] = {}
+_own_folders: dict[str, str] = {}
+
+
+def _own_folder(app: str) -> str:
+    """A temporary folder of this process, removed when it ends."""
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="cohortweave-")
+        atexit.register(shutil.rmtree, _own_folders[app], ignore_errors=True)
+    return _own_folders[app]
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may go without the setting: driver and executors
-    are then one process, and a temporary folder is given out once per
-    application.
+    Only a session whose driver and executors are one process may go without the
+    setting; it gets a folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="cohortweave-")
-    return _local_folders[app]
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder(context.applicationId)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -75,13 +81,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after seeing that ``df`` has at most ``max_rows`` rows.
+def lenient(build: Callable) -> Callable:
+    """For functions that build plans from the expressions of a request.
 
-    The check stops after ``max_rows + 1`` rows. Beyond the bound the frame is
-    returned as it is, and the join is planned by size, with adaptive skew
-    handling on the other side.
+    Such expressions meet malformed data: what cannot be cast, parsed or found in an array
+    is null there, not the end of the job. How an expression treats errors is fixed when its
+    plan is built, so the setting is changed only meanwhile.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+
+    @wraps(build)
+    def run(*args, **kwargs):
+        conf = SparkSession.active().conf
+        before = conf.get("spark.sql.ansi.enabled")
+        conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            return build(*args, **kwargs)
+        finally:
+            conf.set("spark.sql.ansi.enabled", before)
+
+    return run

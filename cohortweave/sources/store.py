@@ -4,30 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Written by the committer as the last file of a table.
+COMPLETE = "_SUCCESS"
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end; what a failed job left is no table."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{COMPLETE}")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    return spark.read.parquet(path) if is_complete(spark, path) else None
 
 
 def write_new(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write a table that must not exist yet."""
-    writer = df.write.mode("errorifexists")
+    """Write a table that must not exist yet; remains of an unfinished write are replaced."""
+    mode = "errorifexists" if is_complete(df.sparkSession, path) else "overwrite"
+    writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
 class DatasetStore:
-    """Tables and one-cell JSON documents by kind and id."""
+    """Tables and JSON documents by kind and id."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -43,23 +47,21 @@ class DatasetStore:
         """The stored dataset, or None if there is none."""
         return read_if_exists(self.spark, self.path("datasets", dataset_id))
 
-    def save_document(self, kind: str, key: str, result: DataFrame) -> None:
-        """Store a result as one JSON cell.
-
-        For results whose size is set by the request (statistics, counts, rules):
-        the rows are gathered into one array, in a stable order.
-        """
-        rows = F.array_sort(F.collect_list(F.struct(*result.columns)))
-        document = result.agg(F.to_json(F.struct(rows.alias("rows")), {"ignoreNullFields": "false"}).alias("value"))
-        write_new(document, self.path(kind, key))
+    def save_document(self, kind: str, key: str, result: DataFrame, replace: bool = False) -> None:
+        """Store a result as one JSON text per row; ``replace`` overwrites an earlier one."""
+        value = F.to_json(F.struct(*[F.col(f"`{c}`") for c in result.columns]), {"ignoreNullFields": "false"})
+        document, path = result.select(value.alias("value")), self.path(kind, key)
+        if replace:
+            document.write.mode("overwrite").parquet(path)
+        else:
+            write_new(document, path)
 
     def document(self, kind: str, key: str, schema: str) -> DataFrame | None:
         """The rows of a stored result with the given DDL schema, or None."""
         stored = read_if_exists(self.spark, self.path(kind, key))
         if stored is None:
             return None
-        parsed = stored.select(F.from_json("value", f"rows array<struct<{schema}>>").alias("d"))
-        return parsed.select(F.inline("d.rows"))
+        return stored.select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
 SITE_SCHEMA = "agent_id string, name string, endpoint string"

@@ -1,6 +1,6 @@
 """Declarative description of a feature table: variables and eligibility criteria.
 
-A *query* picks resources: ``/Observation?code=35000``. A *path* says what to
+A *query* picks resources: ``/Observation?code=lab-glucose``. A *path* says what to
 take from them, as a prefix followed by a Spark SQL expression over the
 resource's columns:
 

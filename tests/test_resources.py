@@ -16,20 +16,20 @@ def resources(spark):
 @pytest.mark.parametrize(
     ("search", "count"),
     [
-        ("/Patient", 10),
-        ("/Patient?address-country=test-country", 10),
-        ("/Patient?address-country=test-country&gender=female", 5),
-        ("/Patient?identifier=not-existing-identifier", 0),
-        ("/Patient?birthdate=gt1940-01-01", 3),
-        ("/Observation?code=35000", 10),
-        ("/Observation?code:sw=35,99", 10),
+        ("/Patient", 12),
+        ("/Patient?address-country=Norvania", 12),
+        ("/Patient?address-country=Norvania&gender=female", 6),
+        ("/Patient?identifier=nr-99", 0),
+        ("/Patient?birthdate=gt1960-01-01", 6),
+        ("/Observation?code=lab-glucose", 12),
+        ("/Observation?code:sw=lab,99", 12),
         ("/Observation?code:sw=99", 0),
-        ("/Observation?date=gt2020-05-01", 5),
+        ("/Observation?date=gt2022-07-01", 6),
         ("/Observation?subject=Patient/p1,Patient/p2", 2),
-        ("/MedicationStatement?code=A10AD04,B01", 3),
-        ("/MedicationStatement?context=Encounter/e4", 1),
-        ("/Encounter?type=unplanned", 1),
-        ("/Condition", 0),
+        ("/MedicationStatement?code=rx-17,B01", 5),
+        ("/MedicationStatement?context=Encounter/e6", 1),
+        ("/Encounter?type=emergency", 1),
+        ("/Condition", 2),
     ],
 )
 def test_search(resources, search, count):
@@ -44,14 +44,14 @@ def test_unknown_search(resources, search):
 
 def test_pages_cover_everything_once(resources):
     seen = [
-        row["id"] for page in (1, 2, 3, 4) for row in S.resource_page(resources, "/Patient", page, 3).collect()
+        row["id"] for page in (1, 2, 3, 4, 5) for row in S.resource_page(resources, "/Patient", page, 3).collect()
     ]
-    assert len(seen) == len(set(seen)) == 10
+    assert len(seen) == len(set(seen)) == 12
 
 
 def test_latest(resources):
     latest = {r["subject"]: r["ref"] for r in S.latest_resource(resources, "/Encounter").collect()}
-    assert latest == {"Patient/p1": "Encounter/e1", "Patient/p4": "Encounter/e4", "Patient/p7": "Encounter/e7"}
+    assert latest == {f"Patient/p{n}": f"Encounter/e{n}" for n in (2, 6, 11)}
 
 
 def test_bundle_files(spark, tmp_path):
@@ -59,7 +59,7 @@ def test_bundle_files(spark, tmp_path):
         (tmp_path / f"{i}.json").write_text(json.dumps(json.loads(text), indent=2))
     entries = S.flatten_bundles(S.read_bundle_files(spark, str(tmp_path)))
     assert dict(entries.groupBy("kind").count().collect()) == {
-        "Patient": 10, "Observation": 10, "MedicationStatement": 3, "Encounter": 3
+        "Patient": 12, "Observation": 12, "MedicationStatement": 5, "Encounter": 3, "Condition": 2
     }
     assert entries.filter("method <> 'PUT'").count() == 0
 
@@ -93,5 +93,5 @@ def test_upsert_and_delete_of_a_bundle(spark):
 
     empty = batch("PUT").drop("method").limit(0)
     stored = S.upsert(empty, batch("PUT"), "id", "version")
-    assert stored.count() == 26
+    assert stored.count() == 34
     assert S.upsert(stored, batch("DELETE"), "id", "version").count() == 0

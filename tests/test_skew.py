@@ -11,22 +11,23 @@ def rows(spark):
     )
 
 
-def test_hot_keys(spark):
-    df = rows(spark)
-    assert skew.hot_keys(df, "key", share=0.1, rows=100) == ["hot"]
-    assert skew.hot_keys(df, "key", share=0.5, rows=100) == []
-    assert skew.hot_keys(df, "key") == []
-
-
-def test_lookup_with_and_without_hot_keys(spark):
+def test_lookup_is_a_left_join(spark):
     left = rows(spark)
     right = left.groupBy("key").agg(F.count("*").alias("n")).filter("key <> 'k7'")
-    plain = skew.lookup(left, right, "key", "row", [])
-    spread = skew.lookup(left, right, "key", "row", ["hot"], parts=8)
+    plain, spread = left.join(right, "key", "left"), skew.lookup(left, right, "key", "row", left)
     assert spread.columns == plain.columns
     assert spread.count() == 1000
     assert plain.exceptAll(spread).count() == spread.exceptAll(plain).count() == 0
     assert spread.filter("n is null").select("key").distinct().first()["key"] == "k7"
+    no_key = left.withColumn("key", F.lit(None).cast("string"))
+    assert skew.lookup(no_key, right, "key", "row").filter("n is null").count() == 1000
+
+
+def test_a_hot_key_is_dealt_out(spark):
+    """A third of the rows under one key; no part of a key holds more than a few hundredths of them."""
+    left = rows(spark).withColumn("part", skew.part_of(F.col("row")))
+    largest = left.groupBy("key", "part").count().agg(F.max("count")).first()[0]
+    assert largest <= 0.03 * 1000
 
 
 def test_parts_of_a_key(spark):

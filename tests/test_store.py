@@ -3,7 +3,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from cohortweave.session import broadcast_if_bounded, shared_dir
+from cohortweave.session import shared_dir
 from cohortweave.sources.store import DatasetStore, read_sites
 
 
@@ -18,16 +18,31 @@ def test_round_trip(spark, tmp_path):
         store.save_dataset("numbers", df)
 
 
-def test_document_is_one_cell(spark, tmp_path):
+def test_documents_are_rows(spark, tmp_path):
     store = DatasetStore(spark, str(tmp_path))
     result = spark.createDataFrame([("b", None), ("a", 1.5)], "name string, value double")
     store.save_document("results", "m1", result)
     raw = spark.read.parquet(store.path("results", "m1"))
     assert raw.columns == ["value"]
-    assert json.loads(raw.first()["value"]) == {"rows": [{"name": "a", "value": 1.5}, {"name": "b", "value": None}]}
+    assert sorted(json.loads(r["value"])["name"] for r in raw.collect()) == ["a", "b"]
     back = store.document("results", "m1", "name string, value double")
     assert {tuple(r) for r in back.collect()} == {("b", None), ("a", 1.5)}
     assert store.document("results", "m2", "name string") is None
+    with pytest.raises(Exception, match="exists"):
+        store.save_document("results", "m1", result)
+    store.save_document("results", "m1", result.limit(0), replace=True)
+    assert store.document("results", "m1", "name string, value double").count() == 0
+
+
+def test_half_written_tables_do_not_exist(spark, tmp_path):
+    store = DatasetStore(spark, str(tmp_path))
+    bad = spark.range(4).selectExpr("cast(if(id = 3, 'x', '1') as int) as n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        store.save_dataset("d", bad)
+    assert (tmp_path / "datasets" / "d").exists()
+    assert store.dataset("d") is None
+    store.save_dataset("d", spark.range(2))
+    assert store.dataset("d").count() == 2
 
 
 def test_sites(spark, tmp_path):
@@ -47,12 +62,8 @@ class Session:
 def test_shared_folder_is_what_the_session_names(spark):
     assert shared_dir(Session("yarn", {"spark.checkpoint.dir": "/shared/folder/"})) == "/shared/folder"
     assert shared_dir(Session("local[2]", {"spark.checkpoint.dir": "/shared/folder"})) == "/shared/folder"
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(Session("yarn", {}))
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session(master, {}))
+    assert shared_dir(Session("local[2]", {})) == shared_dir(Session("local[2]", {}))
     assert shared_dir(spark) == shared_dir(spark)
-
-
-def test_broadcast_only_below_the_bound(spark):
-    df = spark.range(10)
-    assert "broadcast" in broadcast_if_bounded(df, 10)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in broadcast_if_bounded(df, 9)._jdf.queryExecution().logical().toString().lower()
