@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +21,25 @@ def string_columns(df: DataFrame, exclude: Sequence[str] = ("pid",)) -> list[str
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in exclude]
 
 
-def onehot_wide(df: DataFrame, columns: Sequence[str], max_columns: int = 2_000) -> DataFrame:
-    """Replace each string column by one 0/1 column ``{column}_{value}`` per distinct value.
+def onehot_wide(
+    df: DataFrame, columns: Sequence[str], categories: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """Replace each string column by one 0/1 column ``{column}_{value}`` per value.
 
-    The values become columns of the plan, so they pass through the driver, from one
-    scan for all columns. More than ``max_columns`` of them is an error;
-    :func:`items_long` has no such bound and gives the same information.
+    ``categories`` may list the values of a column; those of the others are looked up, in one scan
+    for all. Values become columns of the plan and so pass through the driver, as a wide form asks
+    for; :func:`items_long` gives the same information as rows, for any number of values.
     """
     if not columns:
         return df
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _col(c).alias("v")) for i, c in enumerate(columns)])
-    values = df.select(F.explode(pairs).alias("p")).select("p.*").filter("v is not null").distinct()
-    found = sorted(tuple(row) for row in values.limit(max_columns + 1).collect())
-    if len(found) > max_columns:
-        raise ValueError(f"more than {max_columns} values would become columns; use items_long")
+    known = {c: list(v) for c, v in (categories or {}).items()}
+    found = [(i, v) for i, c in enumerate(columns) for v in known.get(c, ())]
+    unknown = [(i, c) for i, c in enumerate(columns) if c not in known]
+    if unknown:
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), _col(c).alias("v")) for i, c in unknown])
+        values = df.select(F.explode(pairs).alias("p")).select("p.*").filter("v is not null").distinct()
+        found += [tuple(row) for row in values.collect()]
+    found = sorted(set(found))
     flags = [
         F.when(_col(columns[i]) == v, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{columns[i]}_{v}")
         for i, v in found
@@ -53,9 +58,11 @@ def age_bands(df: DataFrame, column: str = AGE) -> DataFrame:
     return df.select(*[_col(c) for c in df.columns if c != column], *flags)
 
 
-def categorical_transform(df: DataFrame, exclude: Sequence[str] = ("pid",)) -> DataFrame:
+def categorical_transform(
+    df: DataFrame, exclude: Sequence[str] = ("pid",), categories: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
     """One-hot encode every string column but the excluded ones; band a column named age."""
-    encoded = onehot_wide(df, string_columns(df, exclude))
+    encoded = onehot_wide(df, string_columns(df, exclude), categories)
     age = next((c for c in encoded.columns if c.lower() == AGE), None)
     if age is None:
         return encoded
@@ -147,7 +154,15 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_SCALED")
 
 
 def drop_invalid(df: DataFrame, columns: Sequence[str], handle_invalid: str) -> DataFrame:
-    """The row policy: ``skip`` drops rows with a null in a used column, the others keep them."""
+    """The row policy for nulls in used columns: ``skip`` drops the rows, ``keep`` keeps them.
+
+    With ``error`` a job that reads such a row fails.
+    """
     if handle_invalid not in ("keep", "error", "skip"):
         raise ValueError(f"unknown handle_invalid: {handle_invalid!r}")
+    if handle_invalid == "error":
+        for c in columns:
+            message = F.lit(f"column {c} holds a null and handle_invalid is error")
+            df = df.filter(F.when(_col(c).isNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+        return df
     return df.na.drop(subset=list(columns)) if handle_invalid == "skip" else df

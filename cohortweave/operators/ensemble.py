@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortweave.operators.evaluate import combine_statistics
-from cohortweave.session import broadcast_if_bounded
+from cohortweave.session import materialize
 
 # Sums of doubles depend on the order of addition, which a distributed sum does
 # not fix. Votes are compared with 0 after rounding to this many digits.
@@ -51,10 +51,10 @@ def _votes(
 ) -> DataFrame:
     """Sums over the models of an ensemble, for records that every model scored.
 
-    Weights are one row per site and algorithm. They are broadcast when that is
-    seen to be so, since a shuffle by model would gather all records of a model.
+    Weights are one row per site and algorithm. They are computed and written once;
+    from the size of what was written Spark sees that it can broadcast them.
     """
-    ensembles = broadcast_if_bounded(weights.select(*model, "weight", "models"))
+    ensembles = materialize(weights.select(*model, "weight", "models"))
     sign = F.when(F.col("prediction") == 0.0, F.lit(-1.0)).otherwise(F.lit(1.0))
     # The weight of a single model does not count.
     weight = F.when(F.col("models") == 1, F.lit(1.0)).otherwise(F.col("weight"))
@@ -78,6 +78,11 @@ def _votes(
     return voted.filter(F.col("_scored") == F.col("_models")).drop("_scored", "_models")
 
 
+def vote_class(votes: Column) -> Column:
+    """The class of a weighted sum of votes; a balance, up to the error of the sum, is 0."""
+    return _zero_or_one(F.round(votes, VOTE_DIGITS) <= 0)
+
+
 def _zero_or_one(is_zero: Column) -> Column:
     return F.when(is_zero, F.lit(0.0)).otherwise(F.lit(1.0))
 
@@ -90,7 +95,7 @@ def weighted_vote(
 ) -> DataFrame:
     """Prediction 1 where the weighted votes for 1 outweigh those for 0, else 0."""
     votes = _votes(predictions, weights, key, model).drop("signed_votes")
-    return votes.withColumn("prediction", _zero_or_one(F.col("weighted_prediction") <= 0))
+    return votes.withColumn("prediction", vote_class(F.col("weighted_prediction")))
 
 
 def weighted_probability(

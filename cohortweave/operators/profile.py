@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cohortweave.functions.expressions import ratio
-from cohortweave.session import broadcast_if_bounded
+from cohortweave.session import materialize
 
 # Number of values listed by themselves, and the name of the rest.
 TOP_K = 4
@@ -90,8 +90,9 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, by: Sequen
 def distribution(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """:func:`value_counts` with the percentage of all records."""
     keys = [*by, "variable"]
-    # One row per variable and group; a shuffle by variable would gather its values.
-    records = broadcast_if_bounded(summary(df, columns, by).select(*keys, "records"))
+    # One row per variable and group, written so that its size is known; a shuffle by
+    # variable would gather its values.
+    records = materialize(summary(df, columns, by).select(*keys, "records"))
     joined = value_counts(df, columns, by).join(records, keys)
     return joined.select(
         *by, "variable", "value", "count", (ratio(F.col("count"), F.col("records")) * 100).alias("percentage")
@@ -99,17 +100,22 @@ def distribution(df: DataFrame, columns: Sequence[str] | None = None, by: Sequen
 
 
 def top_values(
-    df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), top_k: int = TOP_K
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    by: Sequence[str] = (),
+    top_k: int = TOP_K,
+    numbers: DataFrame | None = None,
 ) -> DataFrame:
     """The ``top_k`` most frequent values per variable, and ``Others`` if there are more.
 
-    Ties go by value. Also carries ``rank``, 1 for the most frequent.
+    Ties go by value. Also carries ``rank``, 1 for the most frequent. ``numbers`` may
+    hold the :func:`summary` that has been computed already.
     """
     keys = [*by, "variable"]
     order = Window.partitionBy(*keys).orderBy(F.col("count").desc(), F.col("value").asc_nulls_last())
     ranked = value_counts(df, columns, by).withColumn("rank", F.row_number().over(order))
     first = ranked.filter(F.col("rank") <= top_k + 1)
-    numbers = summary(df, columns, by).select(*keys, "records")
+    numbers = (summary(df, columns, by) if numbers is None else numbers).select(*keys, "records")
     # From here on there are at most top_k + 1 rows per variable.
     listed = F.array_sort(F.collect_list(F.struct("rank", "value", "count")))
     lists = first.groupBy(*keys).agg(listed.alias("listed")).join(numbers, keys)
@@ -140,8 +146,9 @@ def profile(
     """All statistics of every variable, with ``value_distribution`` as an array."""
     keys = [*by, "variable"]
     entry = F.struct("rank", "value", "count", "percentage")
+    numbers = materialize(summary(df, columns, by))
     distributions = (
-        top_values(df, columns, by, top_k)
+        top_values(df, columns, by, top_k, numbers)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
         .select(
@@ -152,4 +159,4 @@ def profile(
             ).alias("value_distribution"),
         )
     )
-    return summary(df, columns, by).join(distributions, keys, "left")
+    return numbers.join(distributions, keys, "left")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.functions.expressions import SPLIT_SEED, in_training_split
-from cohortweave.operators.encode import drop_invalid, impute
+from cohortweave.operators.encode import drop_invalid
 from cohortweave.spec import Featureset, SpecError
 
 # Algorithm names, parameter names, and defaults.
@@ -161,17 +161,37 @@ def _dependent(featureset: Featureset) -> str:
     return featureset.dependent.column
 
 
-def with_label(dataset: DataFrame, featureset: Featureset, labels: Sequence, algorithm: Algorithm) -> DataFrame:
-    """Add ``label``, the number of the row's class, after the row policy for nulls."""
+def label_fill(training: DataFrame, featureset: Featureset, algorithm: Algorithm) -> float | None:
+    """What stands for a null label, from training rows: of a numeric label its median or mean.
+
+    One value for all rows that are labelled later, be they of one site, of all, or held out.
+    """
     column = _dependent(featureset)
-    policy = algorithm.tuning("handle_invalid")
-    used = [v.column for v in featureset.variables]
-    rows = drop_invalid(dataset, used, policy)
-    source = column
-    if policy == "keep" and not featureset.dependent.is_categorical:
-        rows = impute(rows, [column], algorithm.tuning("imputation_strategy"))
-        source = f"{column}_NUM"
-    return add_label(rows, source, labels).drop(f"{column}_NUM").filter("label is not null")
+    if algorithm.tuning("handle_invalid") != "keep" or featureset.dependent.is_categorical:
+        return None
+    known = training.select(column).na.drop()
+    if known.isEmpty():
+        return None
+    imputer = Imputer(inputCols=[column], outputCols=["filled"], strategy=algorithm.tuning("imputation_strategy"))
+    return imputer.fit(known).surrogateDF.first()[column]
+
+
+def with_label(
+    dataset: DataFrame, featureset: Featureset, labels: Sequence, algorithm: Algorithm, fill: float | None = None
+) -> DataFrame:
+    """Add ``label``, the number of the row's class, after the row policy for nulls.
+
+    ``fill`` is the :func:`label_fill` of the training rows; without it, that of ``dataset``'s own.
+    """
+    column = _dependent(featureset)
+    rows = drop_invalid(dataset, [v.column for v in featureset.variables], algorithm.tuning("handle_invalid"))
+    if fill is None:
+        fill = label_fill(training_split(dataset), featureset, algorithm)
+    number = add_label(rows, column, labels)
+    if fill is not None:
+        filled = next((float(i) for i, v in enumerate(labels) if v == fill), None)
+        number = number.withColumn("label", F.when(F.col(column).isNull(), F.lit(filled)).otherwise(F.col("label")))
+    return number.filter("label is not null")
 
 
 def add_label(rows: DataFrame, column: str, labels: Sequence) -> DataFrame:
@@ -259,11 +279,13 @@ def cross_validate(
             model = estimators[i].fit(fitting, point)
             return _evaluator(algorithms[i]).evaluate(model.transform(validating))
 
-        with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
-            for k, metric in enumerate(pool.map(score, points)):
-                metrics[k] += metric / folds
-        fitting.unpersist()
-        validating.unpersist()
+        try:
+            with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
+                for k, metric in enumerate(pool.map(score, points)):
+                    metrics[k] += metric / folds
+        finally:
+            fitting.unpersist()
+            validating.unpersist()
     results: list[list[tuple[dict, float]]] = [[] for _ in algorithms]
     for (i, point), metric in zip(points, metrics, strict=True):
         results[i].append(({param.name: value for param, value in point.items()}, metric))
@@ -286,9 +308,11 @@ def train(training: DataFrame, featureset: Featureset, algorithms: Sequence[Algo
             best[i] = algorithms[i].grid(estimators[i])[metrics.index(max(metrics))]
     features = Pipeline(stages=feature_stages(featureset, algorithms[0])).fit(training)
     prepared = _prepared(features, training)
-    with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
-        models = list(pool.map(lambda i: estimators[i].fit(prepared, best[i]), range(len(algorithms))))
-    prepared.unpersist()
+    try:
+        with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
+            models = list(pool.map(lambda i: estimators[i].fit(prepared, best[i]), range(len(algorithms))))
+    finally:
+        prepared.unpersist()
     return [PipelineModel(stages=[*features.stages, model]) for model in models]
 
 

@@ -10,16 +10,29 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave.operators import training as T
-from cohortweave.operators.ensemble import ensemble_weights
+from cohortweave.operators.ensemble import ensemble_weights, vote_class
 from cohortweave.operators.evaluate import binary_statistics, combine_statistics
 from cohortweave.spec import Featureset
 
 
+# What a fit may raise: errors of Spark and its JVM side, and of the request.
+FIT_ERRORS = (PySparkException, Py4JError, ValueError)
+
+
+class TrainingError(ValueError):
+    """Some sites gave no model; the message holds all their errors."""
+
+    def __init__(self, errors: Sequence[str]):
+        super().__init__("; ".join(sorted(errors)) or "no models")
+
+
 @dataclass(frozen=True)
 class SiteModel:
     """A model trained at one site, or the reason why there is none."""
@@ -53,30 +66,41 @@ def train_per_site(
         else:
             group.append(algorithm)
 
-    def fit(site: str, group: list[T.Algorithm]) -> list[SiteModel]:
+    # A null label is filled alike at all sites.
+    fills = [T.label_fill(T.training_split(dataset), featureset, group[0]) for group in groups]
+
+    def fit(site: str, group: list[T.Algorithm], fill: float | None) -> list[SiteModel]:
         rows = T.training_split(dataset.filter(F.col("site") == site))
         try:
-            labelled = T.with_label(rows, featureset, labels, group[0])
+            labelled = T.with_label(rows, featureset, labels, group[0], fill)
             if labelled.select("label").distinct().count() < 2:
                 return [SiteModel(site, a, None, f"{site}: only one class to train on") for a in group]
             models = T.train(labelled, featureset, group)
             return [SiteModel(site, a, m) for a, m in zip(group, models, strict=True)]
-        except Exception as error:  # one site must not stop the others
+        except FIT_ERRORS as error:  # one site must not stop the others
             if len(group) > 1:  # nor one algorithm the others
-                return [m for a in group for m in fit(site, [a])]
+                return [m for a in group for m in fit(site, [a], fill)]
             return [SiteModel(site, group[0], None, f"{site}: {error}")]
 
-    tasks = [(site, group) for group in groups for site in sites]
+    tasks = [(site, group, fill) for group, fill in zip(groups, fills, strict=True) for site in sites]
     with ThreadPoolExecutor(parallel_fits) as pool:
         return [model for models in pool.map(lambda task: fit(*task), tasks) for model in models]
 
 
+def training_results(spark: SparkSession, models: Sequence[SiteModel], model_id: str) -> DataFrame:
+    """``(model_id, algorithm, site, error_message)``, one row per model or failure; for ``error_rollup``."""
+    rows = [(model_id, m.algorithm.name, m.site, m.error) for m in models]
+    return spark.createDataFrame(rows, "model_id string, algorithm string, site string, error_message string")
+
+
 def model_predictions(models: Sequence[SiteModel], rows: DataFrame) -> DataFrame:
     """The long prediction table of all models on labelled rows ``(site, pid, label, ...)``.
 
     ``own`` tells the rows of the site that trained the model from those of others.
     """
     fitted = [m for m in models if m.model is not None]
+    if not fitted:
+        raise TrainingError([m.error for m in models])
     scored = rows
     for i, m in enumerate(fitted):
         scored = T.add_prediction(scored, m.model, f"_m{i}")
@@ -123,14 +147,23 @@ class Ensemble:
             vote = vote + F.when(p["prediction"] == 0.0, -w).otherwise(w)
             negative = negative + w * p["negative"]
             positive = positive + w * p["positive"]
-        prediction = F.when(vote <= 0, F.lit(0.0)).otherwise(F.lit(1.0))
+        prediction = vote_class(vote)
         return scored.select(
             *keep, prediction.alias("prediction"), negative.alias("negative"), positive.alias("positive")
         )
 
 
-def build_ensembles(models: Sequence[SiteModel], statistics: DataFrame) -> dict[str, Ensemble]:
-    """Ensembles by algorithm, weighted by the combined statistics of their models."""
+def build_ensembles(
+    models: Sequence[SiteModel], statistics: DataFrame, without_failed: bool = False
+) -> dict[str, Ensemble]:
+    """Ensembles by algorithm, weighted by the combined statistics of their models.
+
+    A model that failed makes this a :class:`TrainingError`, unless ``without_failed`` asks for
+    ensembles of the others.
+    """
+    errors = [m.error for m in models if m.model is None]
+    if errors and not without_failed:
+        raise TrainingError(errors)
     rows = ensemble_weights(statistics).select("algorithm", "model_site", "weight").collect()
     weights = {(r["algorithm"], r["model_site"]): r["weight"] for r in rows}
     ensembles: dict[str, list] = {}

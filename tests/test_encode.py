@@ -19,8 +19,14 @@ def test_onehot(mixed):
     assert {r["pid"]: (r["s_x"], r["s_y"]) for r in wide.collect()} == {
         "a": (1.0, 0.0), "b": (0.0, 1.0), "c": (0.0, 0.0), "d": (1.0, 0.0)
     }
-    with pytest.raises(ValueError, match="items_long"):
-        encode.onehot_wide(mixed, ["s"], max_columns=1)
+    listed = encode.onehot_wide(mixed, ["s"], {"s": ["y", "z"]})
+    assert listed.columns == ["pid", "n", "Age", "s_y", "s_z"]
+    assert {r["pid"]: (r["s_y"], r["s_z"]) for r in listed.collect()}["b"] == (1.0, 0.0)
+
+
+def test_onehot_has_no_bound_of_values(spark):
+    df = spark.range(2500).select(F.col("id").alias("pid"), F.concat(F.lit("v"), F.col("id")).alias("s"))
+    assert len(encode.onehot_wide(df, ["s"]).columns) == 2501
 
 
 def test_bands_are_half_open(spark):
@@ -55,6 +61,9 @@ def test_policies(mixed):
     assert encode.drop_invalid(mixed, ["s", "n"], "keep").count() == 4
     with pytest.raises(ValueError, match="unknown"):
         encode.drop_invalid(mixed, ["s"], "ignore")
+    with pytest.raises(Exception, match="column n holds a null"):
+        encode.drop_invalid(mixed, ["n"], "error").count()
+    assert encode.drop_invalid(mixed.na.drop(), ["s", "n"], "error").count() == 3
 
 
 def test_label_zero_is_the_majority(spark):

@@ -4,9 +4,10 @@ import pytest
 
 import check
 from __spark_entry__ import entry, oracle_sql, queries
+from workload import ORACLE, QUERIES
 
-NAMES = list(queries())
-SQL = oracle_sql()
+NAMES = list(QUERIES)
+SQL = ORACLE
 # Queries that fit several models are covered by test_training.
 SLOW = {
     "train_per_site",
@@ -45,6 +46,10 @@ def test_every_query_without_sql_is_a_fit_or_approximate():
     assert without - SLOW == {"impute_median", "train_logistic_regression", "train_decision_tree"}
 
 
+def test_all_are_registered():
+    assert set(NAMES) <= set(queries()) and set(SQL) <= set(oracle_sql())
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns[0] == "pid"

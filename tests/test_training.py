@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortweave.operators import training as T
+from cohortweave.operators.ensemble import vote_class
 from cohortweave.operators.evaluate import binary_statistics
+from cohortweave.operators.federation import error_rollup
 from cohortweave.plans import prediction as P
 from cohortweave.spec import CATEGORICAL, DEPENDENT, Featureset, SpecError, Variable
 from cohortweave.streaming.scoring import score_stream
@@ -194,3 +196,37 @@ def test_a_site_with_one_class_is_reported(dataset, labels):
     labelled = T.with_label(one_class, FEATURES, labels, algorithm)
     statistics = P.site_statistics(models, T.training_split(labelled))
     assert {r["model_site"] for r in statistics.collect()} == {"A"}
+    with pytest.raises(P.TrainingError, match="B: only one class"):
+        P.build_ensembles(models, statistics)
+    assert len(P.build_ensembles(models, statistics, without_failed=True)[T.DECISION_TREE].members) == 1
+    results = P.training_results(dataset.sparkSession, models, "m1")
+    rolled = error_rollup(results).collect()
+    assert [(r["model_id"], r["error_message"]) for r in rolled] == [("m1", "B: only one class to train on")]
+    with pytest.raises(P.TrainingError, match="B: only"):
+        P.model_predictions([m for m in models if m.model is None], labelled)
+
+
+def test_nothing_stays_cached_after_a_failed_fit(spark, dataset, labels):
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    broken = T.Algorithm(T.DECISION_TREE, {"max_depth": "99,98"})
+    P.train_per_site(dataset, FEATURES, [broken], ["A"], labels)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_a_null_label_is_filled_by_the_training_rows(dataset, labels):
+    algorithm = T.Algorithm(T.DECISION_TREE)
+    training = F.col("pid").isin([r["pid"] for r in T.training_split(dataset).select("pid").collect()])
+    # Held-out rows say otherwise than the training rows.
+    changed = dataset.withColumn("ill", F.when(~training, 1.0).when(F.col("noise") > 5, 0.0))
+    labelled = T.with_label(changed, FEATURES, labels, algorithm)
+    assert labelled.filter("ill is null and label <> 0").count() == 0
+    assert labelled.count() == 600
+    error = T.Algorithm(T.DECISION_TREE, {"handle_invalid": "error"})
+    with pytest.raises(Exception, match="holds a null"):
+        T.with_label(changed, FEATURES, labels, error).count()
+
+
+def test_balanced_votes_are_the_negative_class(spark, run):
+    """Weights 0.1, 0.2 and 0.3 with votes +, +, -: 0.1 + 0.2 - 0.3 is not quite 0 in doubles."""
+    votes = spark.createDataFrame([(0.1 + 0.2 - 0.3,), (0.1,), (-0.1,)], "v double")
+    assert [r[0] for r in votes.select(vote_class(F.col("v"))).collect()] == [0.0, 1.0, 0.0]

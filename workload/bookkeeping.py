@@ -38,14 +38,19 @@ SOURCES = """sources as (
 
 
 def _results(spark, sf_dir):
-    """``(model_id, algorithm, site)``: results that have come from a site, repeats included."""
+    """``(model_id, algorithm, site)``: results that have come from a site, repeats included.
+
+    Every order is one. Large open ones belong to the runs that have sources, the others to
+    runs by status and price class.
+    """
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    large = (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 350000)
+    other = F.concat_ws(" ", "c_mktsegment", "o_orderstatus", F.floor(F.col("o_totalprice") / 100000).cast("string"))
     return (
-        orders.filter("o_orderstatus = 'P' and o_totalprice > 350000")
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
-            F.col("c_mktsegment").alias("model_id"),
+            F.when(large, F.col("c_mktsegment")).otherwise(other).alias("model_id"),
             F.col("o_orderpriority").alias("algorithm"),
             F.col("n_name").alias("site"),
             F.col("o_orderkey").alias("result_id"),
@@ -55,10 +60,10 @@ def _results(spark, sf_dir):
 
 
 RESULTS = """results as (
-  select c_mktsegment as model_id, o_orderpriority as algorithm, n_name as site, o_orderkey as result_id,
-         o_totalprice as price
-  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
-  where o_orderstatus = 'P' and o_totalprice > 350000)"""
+  select case when o_orderstatus = 'P' and o_totalprice > 350000 then c_mktsegment
+           else c_mktsegment || ' ' || o_orderstatus || ' ' || cast(floor(o_totalprice / 100000) as bigint) end as model_id,
+         o_orderpriority as algorithm, n_name as site, o_orderkey as result_id, o_totalprice as price
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""
 
 
 @query(
@@ -98,17 +103,17 @@ def dataset_state_rollup(spark, sf_dir):
 @query(
     "merge_source_results",
     with_sql(SOURCES, RESULTS)
-    + """, newer as (select model_id, site, count(*) as n from results where algorithm = '5-LOW' and price > 400000 group by 1, 2)
+    + """, newer as (select model_id, site, count(*) as n from results group by 1, 2)
     select sources.model_id, sources.site, case when n is null then records else n end as records,
-      case when n is null then state when n > 3 then 'final' else 'error' end as state,
+      case when n is null then state when n > 12 then 'final' else 'error' end as state,
       case when n is null then selection end as selection,
-      case when n is null then error_message when n > 3 then null else 'few' end as error_message
+      case when n is null then error_message when n > 12 then null else 'few' end as error_message
     from sources left join newer using (model_id, site)""",
 )
 def merge_source_results(spark, sf_dir):
-    arrived = _results(spark, sf_dir).filter("algorithm = '5-LOW' and price > 400000")
+    arrived = _results(spark, sf_dir)
     newer = arrived.groupBy("model_id", "site").agg(F.count(F.lit(1)).alias("records"))
-    many = F.col("records") > 3
+    many = F.col("records") > 12
     results = newer.select(
         "model_id",
         "site",
@@ -164,7 +169,7 @@ def validation_pairs(spark, sf_dir):
       select model_id, algorithm, site as model_site, n_name as site from results
       join lineitem on l_orderkey = result_id join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
     present as (select distinct model_id, algorithm, site as model_site from results),
-    requested as (select model_id, algorithm from results where site = 'NATION_3')
+    requested as (select model_id || ' at ' || site as model_id, algorithm from results)
     select model_id, 'duplicate algorithm' as "check", algorithm as detail from requested group by 1, 3 having count(*) > 1
     union all
     select model_id, 'site missing from ensemble', algorithm || '/' || model_site from
@@ -187,7 +192,7 @@ def integrity_checks(spark, sf_dir):
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select("model_id", "algorithm", "model_site", F.col("n_name").alias("site"))
     )
-    requested = results.filter("site = 'NATION_3'").select("model_id", "algorithm")
+    requested = results.select(F.concat_ws(" at ", "model_id", "site").alias("model_id"), "algorithm")
     return J.integrity_violations(requested, results.withColumnRenamed("site", "model_site"), statistics)
 
 

@@ -17,7 +17,7 @@ from cohortweave.sources.store import DatasetStore, read_sites
 from cohortweave.spec import CATEGORICAL, DEPENDENT, Criterion, Featureset, Variable
 from workload import tables
 from workload.registry import query
-from workload.tables import DEATH, ENC, MED, OBS, PAT, day, with_sql
+from workload.tables import DEATH, ENC, EVERY_OBS, MED, OBS, PAT, day, with_sql
 
 
 def _text_day(column: str):
@@ -131,7 +131,7 @@ def latest_resource(spark, sf_dir):
                       from customer),
     batch as (select o_custkey as id, o_totalprice as balance, o_orderdate as updated,
                      case when o_orderstatus = 'P' then 'DELETE' else 'PUT' end as method
-              from orders where o_orderpriority = '1-URGENT'),
+              from orders),
     ranked as (select *, row_number() over (partition by id order by updated desc, method, balance desc) as rn
                from (select * from store union all select * from batch))
     select id, balance, strftime(updated, '%Y-%m-%d') as updated from ranked where rn = 1 and method = 'PUT'""",
@@ -142,7 +142,7 @@ def bundle_upsert(spark, sf_dir):
     store = customer.select(
         F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), start.alias("updated")
     )
-    batch = orders.filter("o_orderpriority = '1-URGENT'").select(
+    batch = orders.select(
         F.col("o_custkey").alias("id"),
         F.col("o_totalprice").alias("balance"),
         F.col("o_orderdate").alias("updated"),
@@ -271,24 +271,24 @@ def filter_date_gt(spark, sf_dir):
 
 @query(
     "restrict_to_patients",
-    with_sql(PAT, OBS)
-    + "select cast(event_id as varchar) as id, subj as subject from obs semi join pat on subj = pid and segment = 'MACHINERY'",
+    with_sql(PAT, OBS, DEATH, EVERY_OBS)
+    + "select id, subj as subject from everyobs semi join pat on subj = pid and segment = 'MACHINERY'",
 )
 def restrict_to_patients(spark, sf_dir):
     resources = tables.resources(spark, sf_dir)
     table = resources["Observation"]
     machinery = resources.search("/Patient?segment=MACHINERY").select(F.col("ref").alias("pid"))
-    events = table.search("/Observation?code=view,click,error,signup,purchase")
+    events = table.search("/Observation")
     return C.restrict_to_patients(table, events, machinery).select("id", F.col("patient").alias("subject"))
 
 
 @query(
     "restrict_to_encounters",
-    with_sql(ENC, MED, OBS, PAT)
+    with_sql(ENC, MED, OBS, PAT, DEATH, EVERY_OBS)
     + """, chosen as (select * from enc where priority = '1-URGENT' and st > timestamp '2000-12-31')
     select 'Patient' as resource, pid as ref from pat semi join chosen on pid = subj
     union all select 'Encounter', enc from chosen
-    union all select 'Observation', cast(event_id as varchar) from obs semi join chosen on obs.subj = chosen.subj
+    union all select 'Observation', id from everyobs semi join chosen on everyobs.subj = chosen.subj
     union all select 'MedicationStatement', id from med semi join chosen on med.enc = chosen.enc""",
 )
 def restrict_to_encounters(spark, sf_dir):
@@ -300,7 +300,7 @@ def restrict_to_encounters(spark, sf_dir):
     for name, text, existence in (
         ("Patient", "/Patient", False),
         ("Encounter", "/Encounter", False),
-        ("Observation", "/Observation?code=view,click,error,signup,purchase", True),
+        ("Observation", "/Observation", True),
         ("MedicationStatement", "/MedicationStatement", False),
     ):
         table = resources[name]
@@ -319,7 +319,7 @@ def restrict_to_encounters(spark, sf_dir):
 )
 def satisfy_predicate(spark, sf_dir):
     rows = tables.observations(spark, sf_dir).rows
-    kept = C.satisfying(rows, "value > 20 and try_cast(get_json_object(props, '$.k') as int) < 50")
+    kept = C.satisfying(rows, "value > 20 and cast(get_json_object(props, '$.k') as int) < 50")
     return kept.select("id", "value")
 
 
@@ -349,7 +349,7 @@ def sanitize_names(spark, sf_dir):
     with_sql(PAT, LIGHT_SQL) + "select pid, age from light",
 )
 def select_known_columns(spark, sf_dir):
-    return known_columns(light(spark, sf_dir), ["pid", "no such item", "age", "what-is-this"])
+    return known_columns(light(spark, sf_dir), ["pid", "no such item", "age", "nowhere"])
 
 
 # --- cohorts ----------------------------------------------------------------
@@ -450,7 +450,7 @@ def _features(spark, sf_dir, *variables, criteria=()):
 
 @query(
     "feature_value",
-    with_sql(PAT, OBS)
+    with_sql(PAT, OBS, DEATH, EVERY_OBS)
     + """select pid, nullif(segment, 'BUILDING') as segment, case when balance >= 0 then balance end as balance,
       case when v.subj is null then 0.0 else v.v end as view,
       case when k.subj is null then 0.0 else k.v end as setting,
@@ -463,7 +463,7 @@ def _features(spark, sf_dir, *variables, criteria=()):
        (select *, row_number() over (partition by subj order by dt, cast(event_id as varchar)) as rn from obs where code = 'click') where rn = 1) k
       on k.subj = pid
     left join (select subj, code from
-       (select *, row_number() over (partition by subj order by dt, cast(event_id as varchar)) as rn from obs) where rn = 1) w
+       (select *, row_number() over (partition by subj order by dt, id) as rn from everyobs) where rn = 1) w
       on w.subj = pid""",
 )
 def feature_value(spark, sf_dir):
@@ -472,8 +472,8 @@ def feature_value(spark, sf_dir):
         LIGHT.variables[0],
         LIGHT.variables[2],
         Variable("view", "/Observation?code=view", "value:case when value > 20 then Observation.value end"),
-        Variable("setting", "/Observation?code=click", "value:try_cast(get_json_object(props, '$.k') as double)"),
-        Variable("first code", "/Observation?code=view,click,error,signup,purchase", "value:Observation.code", CATEGORICAL),
+        Variable("setting", "/Observation?code=click", "value:cast(get_json_object(props, '$.k') as double)"),
+        Variable("first code", "/Observation", "value:Observation.code", CATEGORICAL),
     )
 
 
@@ -629,14 +629,14 @@ def mortality_flag(spark, sf_dir):
 
 @query(
     "first_value_per_key",
-    with_sql(PAT, OBS)
+    with_sql(PAT, OBS, DEATH, EVERY_OBS)
     + """select pid, case when v.subj is null then 0.0 else v.value end as first
     from pat left join (select subj, value from
-       (select *, row_number() over (partition by subj order by dt, cast(event_id as varchar)) as rn from obs) where rn = 1) v
+       (select *, row_number() over (partition by subj order by dt, id) as rn from everyobs) where rn = 1) v
       on v.subj = pid""",
 )
 def first_value_per_key(spark, sf_dir):
-    text = "/Observation?code=view,click,error,signup,purchase"
+    text = "/Observation"
     return _features(spark, sf_dir, Variable("first", text, "value:Observation.value"))
 
 

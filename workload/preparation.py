@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import PySparkException
 from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.functions.expressions import in_training_split
@@ -119,11 +123,11 @@ def stat_topk_others(spark, sf_dir):
     return _rounded(top, "percentage")
 
 
-PROFILE_LONG = """long as (
-  select 'segment' as variable, segment as value from wide semi join chosen on wide.pid = chosen.pid
-  union all select 'brand12', cast(brand12 as varchar) from wide semi join chosen on wide.pid = chosen.pid
-  union all select 'numberofmedications', cast(numberofmedications as varchar) from wide semi join chosen on wide.pid = chosen.pid
-  union all select 'deceased', cast(deceased as varchar) from wide semi join chosen on wide.pid = chosen.pid)"""
+PROFILED = ("segment", "age", "balance", "numberofmedications", "brand12", "economy", "purchase", "deceased")
+PROFILE_LONG = "long as (" + " union all ".join(
+    f"select '{v}' as variable, cast({v} as varchar) as value from wide semi join chosen on wide.pid = chosen.pid"
+    for v in PROFILED
+) + ")"
 
 
 @query(
@@ -148,9 +152,8 @@ def profile_dataset(spark, sf_dir):
         "value_distribution",
         lambda r: F.concat(F.coalesce(r["value"], F.lit("null")), F.lit("="), r["count"].cast("string")),
     )
-    chosen = statistics.filter(F.col("variable").isin("segment", "brand12", "numberofmedications", "deceased"))
     return _rounded(
-        chosen.drop("exception").withColumn("value_distribution", F.concat_ws("|", text)), "mean", "null_percentage"
+        statistics.withColumn("value_distribution", F.concat_ws("|", text)), "mean", "null_percentage"
     )
 
 
@@ -236,11 +239,24 @@ def impute_mean(spark, sf_dir):
     return _rounded(rows.select("pid", "balance_NUM", "age_NUM"), "balance_NUM", "age_NUM")
 
 
-@query("impute_median")
+@query(
+    "impute_median",
+    LIGHT_WITH
+    + """select pid, balance, balance is null as filled_balance, age is null as filled_age, true as is_median from light""",
+)
 def impute_median(spark, sf_dir):
-    """The median is approximate, so there is no SQL with the same value."""
+    """The median is approximate: what fills a gap must have its rank within a hundredth."""
     rows = encode.impute(light(spark, sf_dir), ["balance", "age"], "median")
-    return rows.select("pid", "balance", "balance_NUM", "age_NUM")
+    sound = F.lit(True)
+    for c in ("balance", "age"):
+        filled = rows.select(F.when(F.col(c).isNull(), F.col(f"{c}_NUM")).alias("v")).agg(F.max("v")).scalar()
+        bounds = rows.agg(F.percentile(c, F.array(F.lit(0.49), F.lit(0.51)))).scalar()
+        sound = sound & F.coalesce(filled.between(bounds[0], bounds[1]), F.lit(True))
+        sound = sound & F.when(F.col(c).isNull(), F.col(f"{c}_NUM") == filled).otherwise(F.col(f"{c}_NUM") == F.col(c))
+    return rows.select(
+        "pid", "balance", F.col("balance").isNull().alias("filled_balance"), F.col("age").isNull().alias("filled_age"),
+        sound.alias("is_median"),
+    )
 
 
 INDEX_SQL = """indexed as (
@@ -333,17 +349,31 @@ def minmax_scale_vector(spark, sf_dir):
     "handle_invalid",
     LIGHT_WITH
     + """select 'skip' as policy, pid, segment, balance from light where segment is not null and balance is not null
-    union all select 'keep', pid, segment, balance from light""",
+    union all select 'keep', pid, segment, balance from light
+    union all select 'error', pid, segment, balance from light where segment is not null and balance is not null
+    union all select 'error raised', null, null, null from light
+      having bool_or(segment is null or balance is null)""",
 )
 def handle_invalid(spark, sf_dir):
+    """``error`` on complete rows gives them all; on the others it raises, which shows as a row."""
     rows = light(spark, sf_dir)
+    used = ["segment", "balance"]
+    try:
+        encode.drop_invalid(rows, used, "error").write.format("noop").mode("overwrite").save()
+        raised = rows.limit(0)
+    except PySparkException:
+        raised = rows.limit(1)
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("pid", *used)]
+    errors = encode.drop_invalid(rows.na.drop(subset=used), used, "error")
     parts = [
         encode.drop_invalid(rows, ["segment", "balance"], policy).select(
             F.lit(policy).alias("policy"), "pid", "segment", "balance"
         )
         for policy in ("skip", "keep")
     ]
-    return parts[0].unionByName(parts[1])
+    parts.append(errors.select(F.lit("error").alias("policy"), "pid", "segment", "balance"))
+    parts.append(raised.select(F.lit("error raised").alias("policy"), *none))
+    return reduce(DataFrame.unionByName, parts)
 
 
 SPLIT_SQL = "(cast('0x' || substr(md5(pid || ':11'), 1, 8) as bigint) % 100) < 80"

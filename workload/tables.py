@@ -203,6 +203,12 @@ DEATH = """death as (
   from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R' group by 1)"""
 
 
+# Every observation, deaths included.
+EVERY_OBS = """everyobs as (
+  select subj, code, value, dt, cast(event_id as varchar) as id from obs
+  union all select subj, 'death', null, dt, 'death-' || substr(subj, 9) from death)"""
+
+
 def with_sql(*parts: str) -> str:
     return "with " + ",\n".join(parts) + "\n"
 
