@@ -40,12 +40,15 @@ def test_groups_are_those_of_brute_force(documents, texts, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
-def test_a_hot_group_of_near_copies(spark):
+@pytest.mark.parametrize("few", [0, 16, 10_000])
+def test_a_hot_group_of_near_copies(spark, monkeypatch, few):
+    """However many members outside a component meet it directly, and however many by a pivot."""
+    monkeypatch.setattr(minhash, "FEW", few)
     base = [f"w{k}" for k in range(300)]
     rows = []
     for i in range(400):
         words = list(base)
-        for k in range(i % 20):
+        for k in range(i % 30):
             words[(i * 37 + k * 11) % 300] = f"x{i}_{k}"
         rows.append((i, " ".join(words)))
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")

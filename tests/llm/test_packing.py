@@ -31,6 +31,23 @@ def test_best_fit(lengths):
     assert len(rooms) == len(bins)
 
 
+def test_ids_are_those_of_the_tokenizers_library():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    assert P.byte_level_ranks(PATH) is not None
+    odd = ["", " ", "a  b \n c\t", "<|endoftext|> don't", "日本語 😀 é\u0301", "x" * 3000, "\x1c\x85\u00a0 z", "12 ½ Ⅷ"]
+    odd += [f"a{chr(c)}b {chr(c)}. {chr(c)}\n" for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    for text, ids in zip(odd, P.tokens(PATH).encode(odd), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_are_run_by_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert P.byte_level_ranks(path) is None
+    ids = next(P.Tokens(path).encode(["Some words"]))
+    assert ids.tolist() == Tokenizer.from_file(path).encode("Some words", add_special_tokens=False).ids
+
+
 def check(rows, texts, capacity, least):
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
