@@ -8,22 +8,24 @@ one task with few items is left or a round merges next to nothing. A sequence ca
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortweave.llm.chunks import chunks
 from cohortweave.llm.words import map_texts
 from cohortweave.session import materialize
 
-KEPT, KEPT_LENGTH = 400_000, 64
+#: How a byte-level file with use_regex cuts texts (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens of a sequence that may stay empty for it to be emitted before the last round.
 SLACK = 8
 #: Items that a task packs at once in a later round, and rounds packed in fewer tasks at the same time.
@@ -32,32 +34,45 @@ TASK_ITEMS, FAN_IN = 2_000, 4
 WORTH = 0.95
 
 
+def byte_level_ranks(path: str) -> dict[bytes, int] | None:
+    """Ranks of a byte-level BPE file, or None where its ids are not the order of its merges."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    if spec.get("normalizer") or model["type"] != "BPE" or not plain or model.get("ignore_merges"):
+        return None
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [model["vocab"]["".join(m)] for m in pairs]
+    if any(a >= b for a, b in zip(ids[:-1], ids[1:], strict=True)):
+        return None
+    # Printable bytes stand for themselves, the others for code points from 256 on.
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    of = {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(kept))}
+    special = {t["content"] for t in spec["added_tokens"]}
+    return {bytes(of[c] for c in t): k for t, k in model["vocab"].items() if t not in special}
+
+
 class Tokens:
-    """Ids of texts; chunks that occurred before are not tokenized again."""
+    """Ids of texts as the tokenizer file gives them, special tokens being ordinary text.
+
+    A byte-level file whose ids are the order of its merges is run by tiktoken, which gives the
+    same ids several times faster; any other by the tokenizers library itself.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [chunks(t) for t in texts]
-        asked = set().union(*cut)
-        new = list(asked.difference(self.kept).difference(self.older))
-        ids_of = {}
-        for at in range(0, len(new), 4096):  # an encoding holds far more than its ids
-            part = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            ids_of.update((c, np.array(e.ids, np.uint32).tobytes()) for c, e in zip(part, encoded, strict=True))
-        keep = {c: ids for c, ids in ids_of.items() if len(c) <= KEPT_LENGTH}
-        for c in asked.difference(new):
-            ids_of[c] = keep[c] = self.kept[c] if c in self.kept else self.older[c]
-        out = [np.frombuffer(b"".join(map(ids_of.__getitem__, row)), np.uint32) for row in cut]
-        self.kept.update(keep)
-        if len(self.kept) > KEPT:
-            self.older, self.kept = self.kept, {}
-        return out
+        ranks = byte_level_ranks(path)
+        if ranks is not None:
+            fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.one = fast.encode_ordinary
+        else:
+            slow = Tokenizer.from_file(path)
+            slow.encode_special_tokens = True
+            self.one = lambda text: slow.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for text in texts:
+            yield np.array(self.one(text), np.uint32)
 
 
 @lru_cache(maxsize=2)
