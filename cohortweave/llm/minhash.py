@@ -7,7 +7,8 @@ merging: long lists are never read, their matches are counted on the signatures
 Pairs that agree often enough are confirmed on the full sets.
 
 A list is not expanded into all its pairs. First every member meets central members of its lists;
-the confirmed links make components. Then only members of different components of a list meet.
+the confirmed links make components. Members of different components of a list are then compared
+by what they do not share with one central member, a pivot, and what few members have.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ from cohortweave.session import materialize
 #: At a similarity of 0.8 a pair shares 51 on average; fewer than 38 happen once in 20,000 pairs.
 COORDINATES, MATCHES = 64, 38
 SIMILARITY = 80  # per cent
-#: Rounds in which members meet further centres, at most, and the share of the postings (one in GAIN)
-#: that must become links for another one; the last comparison is complete in any case.
-ROUNDS, GAIN = 3, 100
+#: Members outside a component up to which they meet it directly.
+FEW = 16
 
 _RNG = np.random.default_rng(20_240_601)
 _XOR = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -153,6 +153,7 @@ def _postings(classes: DataFrame) -> DataFrame:
     tokens = classes.select("node", F.posexplode("sig").alias("k", "v")).select(
         "node", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v")).alias("token")
     )
+    tokens = tokens.repartition("token")  # once, for the count and for the join with it
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     lists = tokens.join(shared, "token").groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens")  # COORDINATES at most
@@ -184,21 +185,117 @@ def _meetings(members: DataFrame, centres: DataFrame, most: int) -> DataFrame:
 
 
 def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, node, label, main, pairs) of the lists with several components.
+    """(token, node, weight, label, main) of the lists with several components.
 
-    ``main`` is the largest component of the list, ``pairs`` a bound of the pairs still to compare.
+    ``main`` is the component that most members of the list belong to.
     """
-    placed = postings.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+    placed = postings.join(labels, "node", "left").select(
+        "token", "node", "weight", F.coalesce("label", "node").alias("label")
+    )
     shares = placed.groupBy("token", "label").agg(F.count("*").alias("n"))
     lists = (
         shares.groupBy("token")
-        .agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
-        .where(F.col("n") > F.col("m.n"))
-        .select("token", F.col("m.label").alias("main"), ((F.col("n") - F.col("m.n")) * F.col("n")).alias("pairs"))
+        .agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels"))
+        .where("labels > 1")
+        .select("token", F.col("m.label").alias("main"))
     )
     return materialize(placed.join(lists, "token"))
 
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member with the pivot of its list's main component: sizes, and what they do not share."""
+    for batch in batches:
+        sizes, differ, near, linked = [], [], [], []
+        for own, pivot in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            x, c = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(pivot.as_buffer(), np.uint64)
+            other = np.setxor1d(x, c, assume_unique=True)
+            sizes.append((len(x), len(c), len(other)))
+            # Two sets are similar if what they do not share is small: 100 both >= 80 united.
+            both = (len(x) + len(c) - len(other)) // 2
+            united = len(x) + len(c) - both
+            linked.append(100 * both >= SIMILARITY * united)
+            near.append(2 * both >= united)
+            differ.append(other.view(np.int64) if near[-1] else np.zeros(0, np.int64))
+        columns = np.array(sizes, np.int64).reshape(-1, 3)
+        at = np.concatenate([[0], np.cumsum([len(d) for d in differ])]).astype(np.int32)
+        flat = np.concatenate(differ) if differ else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(n) for n in ("main", "node", "label", "b")]
+            + [pa.array(columns[:, k]) for k in range(3)]
+            + [pa.array(near, pa.bool_()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+            names=["main", "node", "label", "pivot", "n", "n_pivot", "d", "near", "linked", "differ"],
+        )
+
+
+COMPARED = """main long, node long, label long, pivot long, n long, n_pivot long, d long, near boolean, linked boolean,
+    differ array<long>"""
+
+
+def _remaining(mixed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with pivots, and the pairs (a, b) of different components still to be compared.
+
+    Let D be what a member does not share with the pivot c, and x a member that is not similar to c.
+    As x and y do not share |Dx| + |Dy| - 2 |Dx & Dy| shingles, they are similar only if
+    18 |Dx & Dy| >= 9 |Dx| - |x| + 9 |Dy| - |y|, where 9 |Dx| - |x| > |c| and 9 |Dy| - |y| >= -|c|.
+    So they share a good part of D, and hence one of its rarest members: D, which holds what few
+    have, is posted by prefix in place of what the whole group has. Members with less than half in
+    common with the pivot meet the others of their lists, and so do members outside a component
+    that has no more than FEW of them: that makes at most FEW pairs for each member of a list.
+    """
+    outside = mixed.where("label != main").groupBy("main").agg(F.count_distinct("node").alias("n"))
+    mixed = mixed.join(outside.select("main", (F.col("n") > FEW).alias("many")), "main")
+    simple = mixed.where("not many")
+    mixed = mixed.where("many").drop("many")
+    pivots = mixed.where("label = main").groupBy("main").agg(F.max(F.struct("weight", "node")).alias("p"))
+    members = mixed.select("main", "node", "label").distinct()
+    asked = members.join(pivots.select("main", F.col("p.node").alias("b")), "main")
+    of = lambda s, c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{s}"))
+    asked = asked.join(of("a", "node"), "node").join(of("b", "b"), "b")
+    seen = materialize(
+        asked.select("main", "node", "label", "b", "set_a", "set_b").mapInArrow(_compared, COMPARED)
+    )
+    to_pivot = seen.where("linked and label != main").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+    differing = seen.where("near").select("main", "node", F.explode("differ").alias("shingle"))
+    common = differing.groupBy("main", "shingle").agg(F.count("*").alias("k")).where("k > 1")
+    ranked = (
+        differing.join(common, ["main", "shingle"])
+        .groupBy("main", "node")
+        .agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("ranked"))  # of one document
+        .join(seen.drop("differ"), ["main", "node"])
+    )
+    # What no other member has is the rarest and takes the first places of either prefix.
+    alone = F.col("d") - F.size("ranked")
+    least_y = F.greatest(F.lit(1), F.floor((F.col("n_pivot") + 9 * F.col("d") - F.col("n")) / 18) + 1)
+    least_x = F.greatest(F.lit(1), F.ceil((9 * F.col("d") - F.col("n") - F.col("n_pivot")) / 18))
+
+    def posted(rows: DataFrame, least, name: str) -> DataFrame:
+        length = F.greatest(F.lit(0), F.col("d") - least + 1 - alone).cast("int")
+        prefix = F.posexplode(F.slice("ranked", F.lit(1), length)).alias("place", "r")
+        behind = F.col("d") - F.col("alone") - F.col("place") - 1  # members of D after this one
+        return rows.select("main", "node", "label", "n", "d", alone.alias("alone"), prefix).select(
+            "main", F.col("r.shingle").alias("shingle"), F.struct("node", "label", "n", "d", behind.alias("left")).alias(name)
+        )
+
+    left, right = posted(ranked.where("not linked"), least_x, "x"), posted(ranked, least_y, "y")
+    # At the first shingle that both post, what is left behind it bounds what they can share.
+    needed = 9 * (F.col("x.d") + F.col("y.d")) - F.col("x.n") - F.col("y.n")
+    enough = 18 * (1 + F.least("x.left", "y.left")) >= needed
+    sharing = left.join(right, ["main", "shingle"]).where((F.col("x.label") != F.col("y.label")) & enough)
+    pairs = sharing.select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+    ).distinct()
+
+    # Those far from the pivot, against all others of their lists.
+    status = seen.select("main", "node", "near")
+    placed = mixed.join(status, ["main", "node"])
+    side = lambda rows, s: rows.select("token", F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
+    met = side(placed.where("not near"), "x").join(side(placed, "y"), "token").where("label_x != label_y")
+    direct = side(simple.where("label != main"), "x").join(side(simple, "y"), "token").where("label_x != label_y")
+    met = met.unionByName(direct).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return to_pivot, pairs.unionByName(met).distinct()
+
+
 def near_duplicates(documents: DataFrame, key: str, text: str, size: int = 2) -> DataFrame:
     """Per row: ``key``, n_shingles, component_id and kept.
 
@@ -216,56 +313,33 @@ def near_duplicates(documents: DataFrame, key: str, text: str, size: int = 2) ->
             F.min(key).alias("first"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles")
         )
     )
-    postings = materialize(_postings(classes))
+    posted = materialize(_postings(classes))
+    several = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    postings = materialize(posted.join(several, "token"))
 
-    # The full sets of all classes that have postings, from one scan of the texts.
-    asked = postings.select("node").distinct().join(classes.select("node", "first"), "node")
-    wanted = asked.select(F.col("first").alias(key)).distinct()
-    sets = materialize(_sets(documents.join(wanted, key, "left_semi"), key, "__text", size).join(
-        asked.select("node"), "node", "left_semi"
-    ))
+    # The full sets of all classes that have postings, from one scan of the texts. Where rows of one
+    # key differ, those with the class's own set count.
+    asked = postings.select("node").distinct().join(classes.select("node", F.col("first").alias(key)), "node")
+    texts = documents.join(asked.select(key, F.col("node").alias("__node")), key)
+    texts = texts.dropDuplicates([key, "__node", "__text"])
+    sets = materialize(_sets(texts, "__node", "__text", size).where("node = __node").drop("__node"))
 
     # First every member meets the heaviest members of its lists: those whose values most others have.
     centres = postings.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("c"))
     links = materialize(_confirmed(_agreeing(_meetings(postings, centres, 2), classes), sets))
     labels = components(links, "a", "b")
-    mixed = _mixed(postings, labels)
-    bound = postings.count()
-    for round_ in range(ROUNDS):
-        # While much is left to compare, members outside a list's main component meet others of it.
-        left = mixed.select("token", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0
-        if left <= bound:
-            break
-        centres = (
-            mixed.where("label = main")
-            .groupBy("token")
-            .agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node")).alias("c"))
-        )
-        outside = mixed.where("label != main")
-        more = materialize(_confirmed(_agreeing(_meetings(outside, centres, 4), classes), sets))
-        if not (found := more.count()):
-            break
-        links = links.unionByName(more)
-        labels = components(links, "a", "b")
-        mixed = _mixed(postings, labels)
-        if GAIN * found < bound:
-            break
-
-    # At last all members of different components of a list meet, so no link is missed.
-    few = mixed.where("label != main").select("token", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    every = mixed.select("token", F.col("node").alias("b"), "label", "main")
-    pairs = (
-        few.join(every, "token")
-        .where((F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("b"))))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    more = materialize(_confirmed(_agreeing(pairs, classes), sets))
-    if more.limit(1).count():
-        labels = components(links.unionByName(more), "a", "b")
-
-    named = classes.join(labels, "node", "left").select(
-        "node", "proof", "first", F.coalesce("label", "node").alias("label")
+    # Then members of different components of one list, so that no link is missed.
+    to_pivot, pairs = _remaining(_mixed(postings, labels), sets)
+    more = _confirmed(_agreeing(pairs, classes), sets).unionByName(to_pivot)
+    # Components are linked as wholes: of the links between two of them one is enough.
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("label").alias("__l"))
+        more = more.join(of, end, "left").withColumn(end, F.coalesce("__l", end)).drop("__l")
+    merged = components(more.where("a != b").distinct(), "a", "b")
+    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    wider = merged.select(F.col("node").alias("label"), F.col("label").alias("wider"))
+    named = named.join(wider, "label", "left").select(
+        "node", "proof", "first", F.coalesce("wider", "label").alias("label")
     )
     groups = named.groupBy("label").agg(F.min("first").alias("component_id"))
     component = materialize(named.join(groups, "label").select("node", "proof", "component_id"))
