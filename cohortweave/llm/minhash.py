@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.llm.components import components
+from cohortweave.llm.tables import bucketed
 from cohortweave.llm.words import inside, map_texts, mix, windows, words_of
 from cohortweave.session import materialize
 
@@ -308,10 +309,14 @@ def near_duplicates(documents: DataFrame, key: str, text: str, size: int = 2) ->
     documents = documents.select(F.col(key).cast("long").alias(key), F.col(text).alias("__text"))
     signed = materialize(_signed(documents, key, "__text", size))
     full = signed.where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
-    classes = materialize(
+    # Signatures and sets are joined by node several times: bucketed, they are shuffled once.
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = bucketed(
         full.groupBy("node", "proof").agg(
             F.min(key).alias("first"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles")
-        )
+        ),
+        "node",
+        parts,
     )
     posted = materialize(_postings(classes))
     several = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
@@ -322,7 +327,7 @@ def near_duplicates(documents: DataFrame, key: str, text: str, size: int = 2) ->
     asked = postings.select("node").distinct().join(classes.select("node", F.col("first").alias(key)), "node")
     texts = documents.join(asked.select(key, F.col("node").alias("__node")), key)
     texts = texts.dropDuplicates([key, "__node", "__text"])
-    sets = materialize(_sets(texts, "__node", "__text", size).where("node = __node").drop("__node"))
+    sets = bucketed(_sets(texts, "__node", "__text", size).where("node = __node").drop("__node"), "node", parts)
 
     # First every member meets the heaviest members of its lists: those whose values most others have.
     centres = postings.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("c"))
