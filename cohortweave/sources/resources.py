@@ -145,13 +145,20 @@ def resource_count(resources: Resources, query: str) -> DataFrame:
     return resources.search(query).agg(F.count(F.lit(1)).alias("total"))
 
 
-def resource_page(resources: Resources, query: str, page: int, count: int) -> DataFrame:
+def resource_page(
+    resources: Resources, query: str, page: int, count: int, after: str | None = None
+) -> DataFrame:
     """Page number ``page`` (from 1) of ``count`` resources, in order of their reference.
 
-    Extraction never pages; this is for a reader who wants to look at a page.
+    Extraction never pages; this is for a reader who wants to look at a page. With ``after``,
+    the last reference seen, pages are counted from there: a reader who goes on page by page
+    asks for page 1 each time, and no earlier row is sorted or carried along.
     """
     table = resources.table(query)
-    return table.search(query).orderBy(table.role("ref")).offset((page - 1) * count).limit(count)
+    found = table.search(query)
+    if after is not None:
+        found = found.filter(table.role("ref") > after)
+    return found.orderBy(table.role("ref")).offset((page - 1) * count).limit(count)
 
 
 def latest_resource(resources: Resources, query: str) -> DataFrame:
@@ -274,16 +281,33 @@ def flatten_bundles(bundles: DataFrame, column: str = "value") -> DataFrame:
 
 
 def resources_from_bundles(entries: DataFrame, names: list[str] | None = None) -> Resources:
-    """Nested tables out of flattened bundle entries."""
+    """Nested tables out of flattened bundle entries.
+
+    Entries that delete, and resources without an id, are no data; see :func:`bundle_rejects`.
+    """
+    kept = entries.filter(F.coalesce(F.col("method"), F.lit("PUT")) != "DELETE")
     tables = []
     for name in names or list(RESOURCE_SCHEMAS):
-        parsed = entries.filter(F.col("kind") == name).select(
+        parsed = kept.filter(F.col("kind") == name).select(
             F.from_json("resource", RESOURCE_SCHEMAS[name]).alias("r")
         )
-        tables.append(nested_table(name, parsed.select("r.*")))
+        tables.append(nested_table(name, parsed.filter("r.id is not null").select("r.*")))
     return Resources.of(*tables)
 
 
+def bundle_rejects(bundles: DataFrame, column: str = "value") -> DataFrame:
+    """``(line, reason)``: bundles that are not valid, and entries whose resource cannot be used."""
+    broken = bundles.filter(F.from_json(F.col(column), BUNDLE_SCHEMA)["entry"].isNull())
+    entries = flatten_bundles(bundles, column).filter(F.coalesce(F.col("method"), F.lit("PUT")) != "DELETE")
+    has_id = F.get_json_object("resource", "$.id").isNotNull()
+    known = F.coalesce(F.col("kind").isin(*RESOURCE_SCHEMAS), F.lit(False))
+    reason = F.when(~known, "unknown kind of resource").when(~has_id, "no id")
+    unusable = entries.withColumn("reason", reason).filter("reason is not null")
+    return broken.select(F.col(column).alias("line"), F.lit("not a bundle").alias("reason")).unionByName(
+        unusable.select(F.col("resource").alias("line"), "reason")
+    )
+
+
 def read_bundle_files(spark: SparkSession, path: str) -> DataFrame:
     """Bundle files (one JSON document each) as JSON text, for :func:`flatten_bundles`."""
     return spark.read.text(path, wholetext=True)

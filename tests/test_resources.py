@@ -49,6 +49,14 @@ def test_pages_cover_everything_once(resources):
     assert len(seen) == len(set(seen)) == 12
 
 
+def test_pages_by_the_last_reference(resources):
+    seen, last = [], ""
+    while page := [r["id"] for r in S.resource_page(resources, "/Patient", 1, 5, after=last).collect()]:
+        seen += page
+        last = f"Patient/{page[-1]}"
+    assert len(seen) == 12 and seen == sorted(seen)
+
+
 def test_latest(resources):
     latest = {r["subject"]: r["ref"] for r in S.latest_resource(resources, "/Encounter").collect()}
     assert latest == {f"Patient/p{n}": f"Encounter/e{n}" for n in (2, 6, 11)}
@@ -64,6 +72,24 @@ def test_bundle_files(spark, tmp_path):
     assert entries.filter("method <> 'PUT'").count() == 0
 
 
+def test_bundles_without_use_are_reported(spark):
+    def bundle(*entries):
+        return json.dumps({"resourceType": "Bundle", "entry": [{"resource": r, "request": {"method": m}} for r, m in entries]})
+
+    good, other = {"resourceType": "Patient", "id": "a"}, {"resourceType": "Patient", "id": "b"}
+    texts = [
+        bundle((good, "PUT"), (other, "DELETE"), ({"resourceType": "Patient"}, "PUT")),
+        bundle(({"resourceType": "Spaceship", "id": "c"}, "PUT")),
+        "{not a bundle",
+        "{}",
+    ]
+    bundles = spark.createDataFrame([(t,) for t in texts], "value string")
+    tables = S.resources_from_bundles(S.flatten_bundles(bundles))
+    assert [r["id"] for r in tables["Patient"].rows.collect()] == ["a"]
+    reasons = sorted(r["reason"] for r in S.bundle_rejects(bundles).collect())
+    assert reasons == ["no id", "not a bundle", "not a bundle", "unknown kind of resource"]
+
+
 def test_malformed_lines_are_set_aside(spark, tmp_path):
     good = {"resourceType": "Patient", "id": "p1", "gender": "male"}
     (tmp_path / "p.ndjson").write_text(json.dumps(good) + "\n{not json\n" + json.dumps({"gender": "x"}) + "\n")
