@@ -163,9 +163,12 @@ def fit(texts: Sequence[str], langs: Sequence[str]) -> LanguageModel:
 
 
 def sample(documents: DataFrame, key: str, text: str, lang: str, learn: Column) -> tuple[list[str], list[str]]:
-    """At most LEARN_ROWS texts with a language, by a hash of the key; nulls teach nothing."""
+    """At most LEARN_ROWS texts with a language, by a hash of the key; nulls teach nothing.
+
+    Rows without a key are left out, as there is nothing to draw them by.
+    """
     rows = (
-        documents.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
+        documents.where(learn & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
         .select(F.col(key), F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang"))
         .where(F.char_length("__text") <= LEARN_CHARS // 64)
     )

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortweave.llm import langid as L
-from cohortweave.llm.queries import QUERIES
+from cohortweave.llm.queries import QUERIES, language_model
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -56,3 +56,17 @@ def test_sample_and_operator(spark, documents, texts, nothing, model):
     for i, t in texts:
         assert (found[i].lang_pred == L.UNKNOWN) == (not any(c.isalpha() for c in t or ""))
     assert L.identify(nothing, ["doc_id"], "text", model).collect() == []
+
+
+def test_rows_without_a_key_teach_nothing_but_are_identified(spark):
+    schema = "doc_id long, text string, lang string"
+    keyed = [(k, f"the cat and dog {k}" if k % 2 else f"der hund und katze {k}", "en" if k % 2 else "de") for k in range(40)]
+    bare = [(None, "the cat and the dog", "en"), (None, "der hund", "xx"), (None, None, "de"), (None, "le chat", None)]
+    docs = spark.createDataFrame(keyed + bare, schema)
+    expected = L.sample(spark.createDataFrame(keyed, schema), "doc_id", "text", "lang", F.lit(True))
+    assert len(expected[0]) == 40 and L.sample(docs, "doc_id", "text", "lang", F.lit(True)) == expected
+    assert L.sample(spark.createDataFrame(bare, schema), "doc_id", "text", "lang", F.lit(True)) == ([], [])
+    model = language_model(docs)
+    assert model.languages == ("de", "en")
+    found = L.identify(docs, ["doc_id"], "text", model).collect()
+    assert len(found) == 44 and sum(r.doc_id is None for r in found) == 4
