@@ -44,11 +44,32 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
+    """Of each group of near duplicates one row: the one with the smallest doc_id.
+
+    Rows are told apart by a 64-bit hash of all their columns, so that rows of one doc_id are judged
+    each by its own text; of those that share a group's smallest doc_id the smallest hash stays.
+    Rows without a doc_id come last. Rows that are equal in all columns are one, with words or
+    without; other rows without words are near nothing and stay.
+    """
     ready(spark)
-    found = minhash.near_duplicates(docs, "doc_id", "text", size=5)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # The hash passes over nulls, so it is told where they are.
+    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    marked = docs.withColumn("__row", row)
+    found = minhash.near_duplicates(marked, "__row", "text", size=5)
+    rows = (
+        found.groupBy("__row", "component_id")
+        .agg(F.count("*").alias("n"))
+        .join(marked.select("__row", "doc_id").distinct(), "__row")
+    )
+    rows = materialize(rows)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    first = rows.groupBy("component_id").agg(least.alias("f")).select("f.__row", F.lit(True).alias("stays"))
+    judged = materialize(rows.join(first, "__row", "left"))
+    # Only rows that occur more than once are shuffled once more to leave one of them.
+    repeated = materialize(judged.where("stays and n > 1").select("__row"))
+    single = marked.join(judged.where("stays is null or n > 1").select("__row"), "__row", "left_anti")
+    one_each = marked.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+    return single.unionByName(one_each).select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

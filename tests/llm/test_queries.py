@@ -89,3 +89,25 @@ def test_pipeline_runs(spark, sf_dir):
     made = corpus_pipeline.run(spark, sf_dir)
     assert made.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert made.count() > 0
+
+
+def test_one_row_of_a_group_of_near_duplicates_stays(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    a, b, c, d = (" ".join(f"{name}{k}" for k in range(60)) for name in "abcd")
+    rows = [
+        (1, a, "en", "x", 7), (1, a, "en", "x", 7), (1, a, None, "x", 7), (1, a, "x", None, 7),  # repeated
+        (2, a + " more", "en", "x", 7), (2, b, "en", "x", 7),  # the first is near 1, the second is clean
+        (None, b + " more", "en", "x", 7), (None, c, "en", "x", 7), (None, c, "de", "x", 7),
+        (3, d + " more", "en", "x", 7), (3, d, "en", "x", 7), (3, c[:40], "en", "x", 7),
+        (4, "", "en", "x", 0), (4, "", "en", "x", 0), (5, None, None, None, None), (6, "", "en", "x", 0),
+    ]
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, schema).repartition(3)
+        single = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+        assert single.dtypes == docs.dtypes
+        found.append(sorted(map(tuple, single.collect()), key=str))
+    assert found[0] == found[1] and set(found[0]) <= set(rows)
+    kept = [(i, "" if t is None else t[:2]) for i, t, *_ in found[0]]
+    expected = [(1, "a0"), (2, "b0"), (None, "c0"), (3, "c0"), (3, "d0"), (4, ""), (5, ""), (6, "")]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
