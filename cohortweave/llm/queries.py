@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import bpe, langid, license_scan, minhash, neighbours, packing, quality, substring, toxicity
+from cohortweave.llm import align, bpe, centroids, langid, license_scan, minhash, neighbours, packing, quality
+from cohortweave.llm import sentence_pieces, substring, toxicity
 from cohortweave.llm import url_filter as urls
 from cohortweave.llm.sql import ORACLE, RULES, SPAM
 from cohortweave.session import configure
@@ -17,6 +18,7 @@ from cohortweave.session import configure
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -128,4 +130,22 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers go together in every text."""
+    return align.align(table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER, PIECES)
+
+
+@query
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text and what they decode to."""
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", PIECES)
+
+
 __all__ = ["ORACLE", "QUERIES"]

@@ -167,3 +167,40 @@ gone as (
 select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
 from words left join kept using (doc_id)
 """
+
+
+def _clusters(k: int, size: int, scale: int, rounds: int, seed: int) -> str:
+    """Rounds of assigning and moving as one chain of tables ``c0``, ``c1``, ..."""
+    assigned = """
+  select vec_id, v, c.cluster, d, c.u from (
+    select vec_id, rid, v, arg_min(cluster, d * {k} + cluster) as cluster, min(d) as d from (
+      select vec_id, rid, v, cluster, list_sum([(v[i] - u[i]) * (v[i] - u[i]) for i in range(1, {to})])::bigint as d
+      from kept, c{r}
+    ) group by vec_id, rid, v
+  ) a join c{r} c using (cluster)"""
+    tables = []
+    for r in range(rounds):
+        tables.append(f"a{r} as ({assigned.format(k=k, to=size + 1, r=r)})")
+        tables.append(f"""m{r} as (
+  select cluster, list((s - ((s % n) + n) % n) // n order by i) as w from (
+    select cluster, i, sum(v[i]) as s, count(*) as n from a{r}, range(1, {size + 1}) t(i) group by cluster, i
+  ) group by cluster
+), c{r + 1} as (
+  select cluster, coalesce(w, u)::bigint[] as u from c{r} left join m{r} using (cluster)
+)""")
+    return f"""
+with kept as (
+  select vec_id, row_number() over () as rid, [floor({scale} * x::double)::bigint for x in embedding] as v from embeddings
+  where len(embedding) = {size} and len([x for x in embedding if x is not null and isfinite(x)]) = {size}
+), c0 as (
+  select row_number() over (order by sha256('{seed}:' || vec_id), v) - 1 as cluster, v as u from kept
+  where vec_id is not null
+  qualify cluster < {k}
+), {", ".join(tables)}, a as ({assigned.format(k=k, to=size + 1, r=rounds)})
+select vec_id, cluster::int as cluster, d as distance, (sum(d) over (partition by cluster))::bigint as cluster_inertia,
+  (sum(d) over ())::bigint as inertia, sha256(array_to_string(u, ',')) as centroid_sha256
+from a
+"""
+
+
+ORACLE["op11_centroid_clustering"] = _clusters(16, 64, 64, 3, 1)

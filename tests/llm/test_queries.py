@@ -29,7 +29,7 @@ def test_registration():
     assert [n for n in queries() if n.startswith("op")] == list(QUERIES)
     assert queries()["pipeline"] is corpus_pipeline.run
     assert set(ORACLE) <= set(oracle_sql())
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_toxicity_holds_rows_out(spark):
