@@ -1,18 +1,20 @@
 """Association rules: item frequencies, itemsets, rules, and their merge across sites.
 
-The items that are frequent over all sites are few. Rows are therefore first
-reduced to distinct transactions with a count, which combines before the shuffle;
-everything after that depends on the number of distinct transactions, not on the
-number of rows. All sites are counted in one plan.
+Itemsets are counted on vertical bitmaps: for every site and every 64 rows, one word per item
+says which of the rows have it. A candidate's count is the number of bits that its items' words
+have in common, so no subset of a row is ever written, only the counts of a level. All sites are
+counted in one plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortweave.session import materialize
@@ -20,6 +22,8 @@ from cohortweave.session import materialize
 # Support over all sites, and confidence within a site.
 MIN_SUPPORT = 0.3
 MIN_CONFIDENCE = 0.8
+# Candidates that are counted side by side; more are counted in blocks.
+CANDIDATES = 20_000
 
 
 def itemset_key(items: Column) -> Column:
@@ -82,33 +86,108 @@ def fp_growth(
     return growth.fit(transactions)
 
 
+def item_numbers(items: DataFrame) -> DataFrame:
+    """``(item, no)``: the distinct items numbered from 0 in sorted order. Frequent items are few."""
+    distinct = items.select(F.col("item").cast("string").alias("item")).filter("item is not null").distinct()
+    return distinct.withColumn("no", F.row_number().over(Window.orderBy("item")) - 1)
+
+
+def vertical_words(transactions: DataFrame, numbers: DataFrame, n_items: int) -> DataFrame:
+    """``(site, word, bits)``: for 64 rows of a site, at each item's number the rows that have the item.
+
+    Only words with an item are there. Rows are numbered once and stored, so that a repeated task
+    cannot number them differently.
+    """
+    rows = materialize(
+        transactions.select("site", "items")
+        .sortWithinPartitions("site")  # so that the 64 rows of a word are mostly of one site
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    bit = F.expr("shiftleft(1L, cast(row & 63 as int))")
+    long = rows.select("site", F.shiftright("row", 6).alias("word"), bit.alias("bit"), F.explode("items").alias("item"))
+    words = long.join(numbers, "item").groupBy("site", "word", "no").agg(F.bit_or("bit").alias("bits"))
+    of = F.map_from_entries(F.collect_list(F.struct("no", "bits")))
+    every = F.array(*[F.lit(i) for i in range(n_items)]).cast("array<int>")
+    dense = F.transform(every, lambda i: F.coalesce(F.try_element_at("of", i), F.lit(0).cast("long")))
+    return words.groupBy("site", "word").agg(of.alias("of")).select("site", "word", dense.alias("bits"))
+
+
+def first_candidates(numbers: DataFrame, n_items: int) -> tuple[DataFrame, int]:
+    """All sets of up to ``size`` items, and that ``size``: the largest with at most CANDIDATES sets, 1 at least."""
+    size, total = 1, n_items
+    while size < n_items and (total := total + comb(n_items, size + 1)) <= CANDIDATES:
+        size += 1
+    if size == 1:
+        return numbers.select(F.array(F.struct("no", "item")).alias("items")), 1
+    # So few items (less than 200) that their names may be part of the plan.
+    names = F.array(*[F.struct(F.lit(r["no"]).alias("no"), F.lit(r["item"]).alias("item")) for r in numbers.orderBy("no").collect()])
+    sets = [(list(c),) for k in range(1, size + 1) for c in combinations(range(n_items), k)]
+    some = numbers.sparkSession.createDataFrame(sets, "at array<int>")
+    return some.select(F.transform("at", lambda i: F.get(names, i)).alias("items")), size
+
+
+def candidate_sets(sets: DataFrame, size: int) -> DataFrame:
+    """Sets of ``size`` + 1 items, each ``(no, item)``, whose first and last ``size``-item prefixes are both in ``sets``."""
+    prefix = F.slice("items", 1, size - 1).alias("prefix")
+    first = sets.select(prefix, F.get("items", F.lit(size - 1)).alias("a"))
+    second = sets.select(prefix, F.get("items", F.lit(size - 1)).alias("b"))
+    grown = first.join(second, "prefix").filter("a < b")
+    return grown.select(F.concat("prefix", F.array("a", "b")).alias("items"))
+
+
+def count_sets(words: DataFrame, candidates: DataFrame, blocks: int = 1) -> DataFrame:
+    """``(site, items, freq)`` of the candidates that occur at a site.
+
+    Candidates are handed to the words as scalar subqueries, in ``blocks`` of a bounded size.
+    """
+    parts = []
+    for k in range(blocks):
+        own = candidates.filter(F.pmod(F.xxhash64("items"), F.lit(blocks)) == k) if blocks > 1 else candidates
+        asked = F.explode(own.agg(F.collect_list("items")).scalar())
+        common = F.aggregate("items", F.lit(-1).cast("long"), lambda held, i: held.bitwiseAND(F.get("bits", i["no"])))
+        found = words.select("site", "bits", asked.alias("items")).select("site", "items", common.alias("both"))
+        found = found.filter("both <> 0").groupBy("site", "items")
+        parts.append(found.agg(F.sum(F.bit_count("both").cast("long")).alias("freq")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def frequent_itemsets(transactions: DataFrame, items: DataFrame, local_support: float = 0.0) -> DataFrame:
     """``(site, items, freq, local)`` of the itemsets of the frequent ``items``, for all sites in one plan.
 
-    Sets are grown by one item at a time, in sorted order, over the distinct transactions that
-    hold them. A set is a candidate if it has the share ``local_support`` of the records of some
-    site (0: if it occurs). Every candidate is counted exactly at every site, so that counts can be
-    summed; ``local`` says where it has the support itself.
+    All small sets are counted in one pass, as far as their number is bounded (:func:`first_candidates`).
+    Larger ones grow by one item at a time, from two that differ in their last item only. A set stays if it
+    has the share ``local_support`` of the records of some site (0: if it occurs). Every set that stays
+    is counted exactly at every site, so that counts can be summed; ``local`` says where it has the
+    support itself. A null item counts as none; an item twice in a row counts once.
     """
-    kept = keep_items(transactions, items)
-    bounds = materialize(
-        record_counts(kept).select("site", F.greatest(F.lit(1), F.ceil(F.col("records") * local_support)).alias("least"))
-    )
-    held = distinct_transactions(kept).filter(F.size("items") > 0)
-    held = held.select("site", F.col("items").alias("all"), "n", F.lit(-1).alias("at"), F.array().cast("array<string>").alias("items"))
-    levels = []
+    numbers = materialize(item_numbers(items))
+    n_items = numbers.count()
+    words = materialize(vertical_words(transactions, numbers, n_items))
+    if local_support > 0:
+        least = F.greatest(F.lit(1), F.ceil(F.col("records") * local_support)).alias("least")
+        bounds = materialize(record_counts(transactions).select("site", least))
+    candidates, size = first_candidates(numbers, n_items)
+    blocks, levels = 1 if size > 1 else max(1, -(-n_items // CANDIDATES)), []
     while True:
-        after = held.filter(F.col("at") < F.size("all") - 1)
-        after = after.select("site", "all", "n", "items", F.explode(F.sequence(F.col("at") + 1, F.size("all") - 1)).alias("at"))
-        grown = materialize(after.withColumn("items", F.array_append("items", F.get("all", F.col("at")))))
-        counts = grown.groupBy("site", "items").agg(F.sum("n").alias("freq")).join(bounds, "site")
-        counts = materialize(counts.withColumn("local", F.col("freq") >= F.col("least")).drop("least"))
-        if levels and counts.isEmpty():
+        counts = count_sets(words, candidates, blocks)
+        if local_support > 0:
+            counts = counts.join(bounds, "site").withColumn("local", F.col("freq") >= F.col("least")).drop("least")
+        else:
+            counts = counts.withColumn("local", F.lit(True))
+        counts = materialize(counts)
+        sets = counts.filter("local").select("items").distinct()
+        levels.append(counts if local_support == 0 else counts.join(sets, "items", "left_semi").select(counts.columns))
+        if size >= n_items:
+            break
+        sets = sets.filter(F.size("items") == size)
+        # How many sets the next level has: pairs of sets that share their prefix.
+        alike = sets.groupBy(F.slice("items", 1, size - 1).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        n = alike.agg(F.sum(F.expr("n * (n - 1) div 2")).alias("n")).first()["n"]
+        if not n:
             break
-        candidates = counts.filter("local").select("items").distinct()
-        levels.append(counts.join(candidates, "items", "left_semi").select("site", "items", "freq", "local"))
-        held = grown.join(candidates, "items", "left_semi")
-    return reduce(DataFrame.unionByName, levels)
+        candidates, blocks, size = candidate_sets(sets, size), -(-n // CANDIDATES), size + 1
+    found = reduce(DataFrame.unionByName, levels)
+    return found.withColumn("items", F.transform("items", lambda i: i["item"]))
 
 
 def fp_growth_itemsets(transactions: DataFrame, sites: Sequence[str], local_support: float = 0.0) -> DataFrame:

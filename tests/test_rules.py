@@ -182,3 +182,38 @@ def test_items_may_hold_any_character(spark):
     assert {(r["antecedent"][0], r["consequent"][0], r["confidence"]) for r in rules.collect()} == {
         ("a|b", "c", 1.0), ("c", "a|b", 1.0), ("a", "b|c", 1.0), ("b|c", "a", 1.0)
     }
+
+
+def test_many_items_in_a_row_do_not_become_subsets(spark, monkeypatch):
+    """25 items per row: words and counts grow with items and candidates, not with 2^25."""
+    rows = [(("A", "B")[i % 2], f"p{i}", [f"i{(7 * i + 11 * j + i * j) % 55:02}" for j in range(25)]) for i in range(300)]
+    transactions = spark.createDataFrame(rows, "site string, pid string, items array<string>")
+    own = [(site, set(i)) for site, _, i in rows]
+    frequent = frequent_of(own, 0.3)
+    assert len(frequent) > 20
+    items = spark.createDataFrame([(i,) for i in frequent], "item string")
+    bound = lambda site: -(-150 * 0.3 // 1)
+    found = {}
+    level = {(i,) for i in frequent}
+    while level:
+        counts = Counter((s, c) for s, t in own for c in level if t.issuperset(c))
+        kept = {c for (s, c), n in counts.items() if n >= bound(s)}
+        found |= {(s, c): n for (s, c), n in counts.items() if c in kept}
+        level = {tuple(sorted({*a, *b})) for a in kept for b in kept if a[:-1] == b[:-1] and a < b}
+    for most in (R.CANDIDATES, 50):
+        monkeypatch.setattr(R, "CANDIDATES", most)
+        mined = R.frequent_itemsets(transactions, items, 0.3).collect()
+        assert {(r["site"], tuple(r["items"])): r["freq"] for r in mined} == found
+    numbers = R.item_numbers(items)
+    words = R.vertical_words(transactions, numbers, len(frequent))
+    assert words.count() <= 2 * (300 // 64 + 2 * transactions.rdd.getNumPartitions())
+    bits = words.agg(F.sum(F.aggregate("bits", F.lit(0).cast("long"), lambda n, b: n + F.bit_count(b)))).first()[0]
+    assert bits == sum(len(t & set(frequent)) for _, t in own)
+
+
+def test_null_and_repeated_items(spark):
+    rows = [("A", "p1", ["x", "x", None, "y"]), ("A", "p2", ["x"]), ("B", "p3", None), ("B", "p4", [None])]
+    transactions = spark.createDataFrame(rows, "site string, pid string, items array<string>")
+    items = spark.createDataFrame([("x",), ("y",), (None,), ("x",)], "item string")
+    found = {(r["site"], tuple(r["items"])): r["freq"] for r in R.frequent_itemsets(transactions, items).collect()}
+    assert found == {("A", ("x",)): 2, ("A", ("y",)): 1, ("A", ("x", "y")): 1}
