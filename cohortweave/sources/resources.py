@@ -313,26 +313,32 @@ def read_bundle_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def last_entries(entries: DataFrame, key: str, version: str, source: str | None = None) -> DataFrame:
+    """Per key the last of ``entries`` (with ``method``), by a total order, so that no layout changes it.
+
+    The highest ``version`` is last; of one version DELETE comes after PUT, then the higher ``source``,
+    then the larger row, column by column (a null before any value). Rows without a key are no entries.
+    One aggregation: it combines before the shuffle, so a key with very many versions does not gather
+    in one task.
+    """
+    columns = [c for c in entries.columns if c != source]
+    ranks = [F.col(version), F.col("method") == "DELETE"] + ([F.col(source)] if source else [])
+    order = F.struct(*ranks, *[F.col(c) for c in columns])
+    last = entries.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
+    return last.agg(F.max_by(F.struct(*columns), order).alias("last")).select("last.*")
+
+
 def upsert(store: DataFrame, batch: DataFrame, key: str, version: str) -> DataFrame:
     """Apply a batch of PUT and DELETE entries to a table of resources.
 
-    ``batch`` has the columns of ``store`` and ``method``. Per key the entry with
-    the highest ``version`` wins; a key whose last entry is DELETE disappears.
-    One aggregation does both: it combines before the shuffle, so a key with
-    very many versions does not gather in one task.
+    ``batch`` has the columns of ``store`` and ``method``. Per key the last entry stays, in the order
+    of :func:`last_entries`, where an entry of the batch comes after the stored row of the same
+    version; a key whose last entry is DELETE disappears.
     """
     columns = store.columns
-    unioned = store.withColumn("method", F.lit("PUT")).unionByName(batch.select(*columns, "method"))
-    row = F.struct("method", *columns)
-    # A batch entry wins over the stored row of the same version; DELETE over PUT.
-    order = F.struct(F.col(version), (F.col("method") == "DELETE"))
-    return (
-        unioned.groupBy(F.col(key).alias("_key"))
-        .agg(F.max_by(row, order).alias("last"))
-        .filter("last.method = 'PUT'")
-        .select("last.*")
-        .select(*columns)
-    )
+    stored = store.withColumns({"method": F.lit("PUT"), "_batch": F.lit(0)})
+    unioned = stored.unionByName(batch.select(*columns, "method").withColumn("_batch", F.lit(1)))
+    return last_entries(unioned, key, version, "_batch").filter("method = 'PUT'").select(*columns)
 
 
 def with_rows(table: ResourceTable, df: DataFrame) -> ResourceTable:

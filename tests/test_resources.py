@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortweave.sources import resources as S
+from cohortweave.sources.store import ResourceStore
 from cohortweave.spec import SpecError
 
 
@@ -121,3 +122,53 @@ def test_upsert_and_delete_of_a_bundle(spark):
     stored = S.upsert(empty, batch("PUT"), "id", "version")
     assert stored.count() == 34
     assert S.upsert(stored, batch("DELETE"), "id", "version").count() == 0
+
+
+def test_upsert_has_a_total_order(spark):
+    rows = [("a", 1, 5, "PUT"), ("a", 1, 6, "PUT"), ("b", 2, None, "PUT"), ("b", 2, 1, "PUT"), ("c", 1, 9, "PUT"),
+            ("d", 1, 1, "PUT"), ("d", 1, 2, "DELETE"), (None, 1, 1, "PUT"), ("e", None, 1, "PUT"), ("e", 0, 0, "PUT")]
+    store = spark.createDataFrame([("c", 1, 99), ("f", 1, 7)], "id string, version int, x int")
+    for order in (rows, rows[::-1]):
+        for parts in (1, 5):
+            batch = spark.createDataFrame(order, "id string, version int, x int, method string").repartition(parts)
+            state = {r["id"]: r["x"] for r in S.upsert(store.repartition(parts), batch, "id", "version").collect()}
+            # Of one version the batch comes after the store, and the larger row after the smaller.
+            assert state == {"a": 6, "b": 1, "c": 9, "e": 0, "f": 7}
+
+
+def files_below(folder):
+    return {p: (p.stat().st_mtime_ns, p.stat().st_size) for p in folder.rglob("*.parquet") if p.is_file()}
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    schema = "id string, version int, x int, method string"
+    store = ResourceStore(spark, str(tmp_path), "id", "version", buckets=8)
+    assert store.read() is None
+    store.apply(spark.createDataFrame([(f"k{i}", 1, i, "PUT") for i in range(100)], schema))
+    before = files_below(tmp_path / "rows")
+    assert len(before) == 8
+    store.apply(spark.createDataFrame([("k7", 2, 70, "PUT"), ("k7", 3, 0, "DELETE"), ("new", 1, 1, "PUT")], schema))
+    after = files_below(tmp_path / "rows")
+    assert {p: after[p] for p in before} == before and 1 <= len(after) - len(before) <= 2
+    state = {r["id"]: r["x"] for r in store.read().collect()}
+    assert state == {**{f"k{i}": i for i in range(100) if i != 7}, "new": 1}
+    assert store.read().columns == ["id", "version", "x"]
+    # An older PUT that comes late does not bring a deleted key back; a newer one does.
+    store.apply(spark.createDataFrame([("k7", 2, 71, "PUT")], schema))
+    assert store.read().filter("id = 'k7'").count() == 0
+    store.apply(spark.createDataFrame([("k7", 4, 72, "PUT"), (None, 1, 1, "PUT")], schema))
+    assert store.read().filter("id = 'k7'").first()["x"] == 72
+    store.apply(spark.createDataFrame([], schema))
+    assert store.read().count() == 101
+
+
+def test_a_failed_batch_leaves_the_store_and_can_be_repeated(spark, tmp_path):
+    schema = "id string, version int, x int, method string"
+    store = ResourceStore(spark, str(tmp_path), "id", "version", buckets=4)
+    store.apply(spark.createDataFrame([("a", 1, 1, "PUT")], schema))
+    batch = spark.createDataFrame([("a", 2, 2, "PUT"), ("b", 1, 3, "PUT")], schema)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        store.apply(batch.withColumn("x", F.concat("id", F.lit("?")).cast("int")))
+    assert [tuple(r) for r in store.read().collect()] == [("a", 1, 1)]
+    store.apply(batch)
+    assert sorted(tuple(r) for r in store.read().collect()) == [("a", 2, 2), ("b", 1, 3)]

@@ -13,7 +13,7 @@ from cohortweave.operators.features import known_columns, prepare_features
 from cohortweave.plans.prepare import prepare_dataset
 from cohortweave.session import shared_dir
 from cohortweave.sources import resources as S
-from cohortweave.sources.store import DatasetStore, read_sites
+from cohortweave.sources.store import DatasetStore, ResourceStore, read_sites
 from cohortweave.spec import CATEGORICAL, DEPENDENT, Criterion, Featureset, Variable
 from workload import tables
 from workload.registry import query
@@ -125,18 +125,18 @@ def latest_resource(spark, sf_dir):
     return latest.select("subject", "ref", _text_day("date").alias("date"))
 
 
-@query(
-    "bundle_upsert",
-    """with store as (select c_custkey as id, c_acctbal as balance, timestamp '1990-01-01' as updated, 'PUT' as method
+UPSERTED_SQL = """with store as (select c_custkey as id, c_acctbal as balance, timestamp '1990-01-01' as updated, 'PUT' as method
                       from customer),
     batch as (select o_custkey as id, o_totalprice as balance, o_orderdate as updated,
                      case when o_orderstatus = 'P' then 'DELETE' else 'PUT' end as method
               from orders),
     ranked as (select *, row_number() over (partition by id order by updated desc, method, balance desc) as rn
                from (select * from store union all select * from batch))
-    select id, balance, strftime(updated, '%Y-%m-%d') as updated from ranked where rn = 1 and method = 'PUT'""",
-)
-def bundle_upsert(spark, sf_dir):
+    select id, balance, strftime(updated, '%Y-%m-%d') as updated from ranked where rn = 1 and method = 'PUT'"""
+
+
+def _versions(spark, sf_dir):
+    """Customers as stored resources, and orders as entries that change or delete them."""
     customer, orders = tables.table(spark, sf_dir, "customer"), tables.table(spark, sf_dir, "orders")
     start = F.lit("1990-01-01").cast("timestamp_ntz")
     store = customer.select(
@@ -148,10 +148,26 @@ def bundle_upsert(spark, sf_dir):
         F.col("o_orderdate").alias("updated"),
         F.when(F.col("o_orderstatus") == "P", "DELETE").otherwise("PUT").alias("method"),
     )
-    state = S.upsert(store, batch, key="id", version="updated")
+    return store, batch
+
+
+@query("bundle_upsert", UPSERTED_SQL)
+def bundle_upsert(spark, sf_dir):
+    state = S.upsert(*_versions(spark, sf_dir), key="id", version="updated")
     return state.withColumn("updated", _text_day("updated"))
 
 
+@query("bundle_upsert_batches", UPSERTED_SQL)
+def bundle_upsert_batches(spark, sf_dir):
+    """The same in three batches of a store by buckets, the newer orders before the older ones."""
+    stored, orders = _versions(spark, sf_dir)
+    store = ResourceStore(spark, _new_folder(spark), "id", "updated", buckets=8)
+    newer = F.col("updated") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    for batch in (stored.withColumn("method", F.lit("PUT")), orders.filter(newer), orders.filter(~newer)):
+        store.apply(batch)
+    return store.read().withColumn("updated", _text_day("updated"))
+
+
 LIGHT = Featureset(
     (
         Variable("segment", "/Patient", "value:nullif(segment, 'BUILDING')", CATEGORICAL),
