@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortweave.functions.expressions import ratio
+from cohortweave.session import materialize
 
 COUNTS = ("tp", "tn", "fp", "fn", "total")
 
@@ -114,6 +115,56 @@ def aupr() -> Column:
     )
 
 
+def score_curve(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
+    """``(by, threshold, tp, fp, positives, negatives, tp_before, fp_before)``, one row per distinct score.
+
+    ``tp`` and ``fp`` count the rows with at least that score, ``_before`` those above it; rows without a
+    score or with a label other than 0 and 1 are left out. Running counts are prefix sums over ranges of
+    the scores: counts within a range, and the totals of the ranges before it, of which there are as many
+    as partitions. So no task holds all scores of a group.
+    """
+    known = scored.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1))
+    counted = known.groupBy(*by, F.col(score).alias("threshold")).agg(
+        F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n")
+    )
+    ranges = counted.repartitionByRange(*by, F.col("threshold").desc()).withColumn("part", F.spark_partition_id())
+    ranges = materialize(ranges)
+    totals = ranges.groupBy(*by, "part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *by, "part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_p", "_n")],
+        F.sum("_p").over(whole).alias("positives"), F.sum("_n").over(whole).alias("negatives"),
+    )
+    within = Window.partitionBy(*by, "part").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    running = ranges.withColumns({"_rp": F.sum("p").over(within), "_rn": F.sum("n").over(within)})
+    joined = running.join(offsets, [*by, "part"])
+    tp, fp = F.col("_p_before") + F.col("_rp"), F.col("_n_before") + F.col("_rn")
+    return joined.select(
+        *by, "threshold", tp.alias("tp"), fp.alias("fp"), "positives", "negatives",
+        (tp - F.col("p")).alias("tp_before"), (fp - F.col("n")).alias("fp_before"),
+    )
+
+
+def curve_areas(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, points, auroc, aupr)`` of :func:`score_curve`: trapezoids between neighbouring scores.
+
+    The precision-recall curve starts at the precision of the highest score. A group without positives
+    has 0.0 for both areas, one without negatives an ROC area of 1.0, as for 0/1 predictions.
+    """
+    tpr = ratio(F.col("tp") + F.col("tp_before"), 2 * F.col("positives"), 0.0)
+    step = ratio(F.col("fp") - F.col("fp_before"), F.col("negatives"), 0.0)
+    now = F.col("tp") / (F.col("tp") + F.col("fp"))
+    before = F.coalesce(F.try_divide("tp_before", F.col("tp_before") + F.col("fp_before")), now)
+    gained = ratio(F.col("tp") - F.col("tp_before"), F.col("positives"), 0.0)
+    areas = curve.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("points"), F.sum(step * tpr).alias("_roc"), F.sum(gained * (now + before) / 2).alias("aupr"),
+        F.max("positives").alias("_p"), F.max("negatives").alias("_n"),
+    )
+    roc = F.when(F.col("_p") == 0, 0.0).when(F.col("_n") == 0, 1.0).otherwise(F.col("_roc"))
+    return areas.select(*by, "points", roc.alias("auroc"), "aupr")
+
+
 def binary_statistics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts, accuracy, precision, recall, F, areas under ROC and PR per group."""
     counts = confusion_matrix(predictions, by)

@@ -242,6 +242,15 @@ def _evaluator(algorithm: Algorithm) -> BinaryClassificationEvaluator:
     )
 
 
+# Rows that one task of a fit passes over; a fit makes hundreds of passes.
+ROWS_PER_TASK = 50_000
+
+
+def in_few_tasks(rows: DataFrame) -> DataFrame:
+    """Cached rows in as few partitions as their number asks for, by joining neighbours."""
+    return rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK)))
+
+
 def _prepared(features: PipelineModel, rows: DataFrame) -> DataFrame:
     """What a classifier reads, cached for its passes: two columns, not the whole row."""
     return features.transform(rows).select("features", "label").persist()
@@ -274,7 +283,7 @@ def cross_validate(
         features = Pipeline(stages=feature_stages(featureset, algorithms[0])).fit(inside)
         fitting, validating = _prepared(features, inside), _prepared(features, outside)
 
-        def score(entry: tuple[int, dict], fitting=fitting, validating=validating) -> float:
+        def score(entry: tuple[int, dict], fitting=in_few_tasks(fitting), validating=in_few_tasks(validating)) -> float:
             i, point = entry
             model = estimators[i].fit(fitting, point)
             return _evaluator(algorithms[i]).evaluate(model.transform(validating))
@@ -310,12 +319,39 @@ def train(training: DataFrame, featureset: Featureset, algorithms: Sequence[Algo
     prepared = _prepared(features, training)
     try:
         with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
-            models = list(pool.map(lambda i: estimators[i].fit(prepared, best[i]), range(len(algorithms))))
+            passes = in_few_tasks(prepared)
+            models = list(pool.map(lambda i: estimators[i].fit(passes, best[i]), range(len(algorithms))))
     finally:
         prepared.unpersist()
     return [PipelineModel(stages=[*features.stages, model]) for model in models]
 
 
+def fit_best(sets: DataFrame, algorithm: Algorithm):
+    """The classifier of the best point of the grid, from features that are there already.
+
+    ``sets(set, validating, features, label)`` holds one site's training rows (set -1) and, for a grid
+    of several points, those of each fold.
+    """
+    estimator = algorithm.estimator()
+    grid = algorithm.grid(estimator)
+    best = grid[0]
+    if len(grid) > 1:
+        metrics = [0.0] * len(grid)
+        for n in range(int(algorithm.tuning("num_folds"))):
+            fold = sets.filter(F.col("set") == n).persist()
+            inside, outside = (in_few_tasks(fold.filter(c).select("features", "label").persist()) for c in ("not validating", "validating"))
+            for k, point in enumerate(grid):
+                metrics[k] += _evaluator(algorithm).evaluate(estimator.fit(inside, point).transform(outside))
+            for held in (fold, inside, outside):
+                held.unpersist()
+        best = grid[metrics.index(max(metrics))]
+    whole = sets.filter("set = -1 and not validating").select("features", "label").persist()
+    try:
+        return estimator.fit(in_few_tasks(whole), best)
+    finally:
+        whole.unpersist()
+
+
 def training_split(dataset: DataFrame) -> DataFrame:
     return dataset.filter(in_training_split(F.col("pid")))
 

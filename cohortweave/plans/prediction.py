@@ -9,17 +9,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortweave.operators import site_models as M
 from cohortweave.operators import training as T
 from cohortweave.operators.ensemble import ensemble_weights, vote_class
-from cohortweave.operators.evaluate import binary_statistics, combine_statistics
-from cohortweave.spec import Featureset
+from cohortweave.operators.evaluate import binary_statistics, combine_statistics, curve_areas, score_curve
+from cohortweave.session import materialize
+from cohortweave.spec import Featureset, SpecError
 
 
 # What a fit may raise: errors of Spark and its JVM side, and of the request.
@@ -87,6 +91,116 @@ def train_per_site(
         return [model for models in pool.map(lambda task: fit(*task), tasks) for model in models]
 
 
+@dataclass(frozen=True)
+class ModelTable:
+    """Models of all sites as rows, the features they read, and the errors of those that there are not."""
+
+    featureset: Featureset
+    policy: str
+    features: DataFrame
+    models: DataFrame
+    errors: Sequence[tuple[str, str, str]]  # site, algorithm, message
+
+    def predictions(self, rows: DataFrame) -> DataFrame:
+        """The long prediction table of all models on labelled rows, in one plan; see :func:`model_predictions`."""
+        used = [v.column for v in self.featureset.independent]
+        wanted = rows.select("site", "pid", "label", *[F.col(f"`{c}`") for c in used if c not in ("site", "pid", "label")])
+        long = M.predict(wanted, self.features, self.models, self.featureset, self.policy)
+        return long.select(
+            "site", "model_site", "algorithm", "pid", "label", "prediction", "negative", "positive",
+            (F.col("site") == F.col("model_site")).alias("own"),
+        )
+
+    def statistics(self, labelled: DataFrame) -> DataFrame:
+        """As :func:`site_statistics`."""
+        statistics = binary_statistics(self.predictions(labelled), ("algorithm", "model_site", "site", "own"))
+        return statistics.withColumn("step", F.when(F.col("own"), "train").otherwise("validate")).drop("own")
+
+
+def train_models(
+    dataset: DataFrame,
+    featureset: Featureset,
+    algorithms: Sequence[T.Algorithm],
+    sites: Sequence[str],
+    labels: Sequence,
+    parallel_fits: int = 8,
+) -> ModelTable:
+    """One model per site and algorithm, as rows; the algorithms must share their features and folds.
+
+    Features of all sites and folds come from one plan. So do the logistic regressions of all sites,
+    folds and grid points, and naive Bayes; the other algorithms are fitted by MLlib, a site at a time,
+    on the stored features. A site or an algorithm that cannot train gives an error, not a failure.
+    """
+    lead = algorithms[0]
+    if not all(T.shares_features(lead, a) for a in algorithms):
+        raise SpecError("these algorithms need different features or folds")
+    rows = T.training_split(dataset.filter(F.col("site").isin(list(sites))))
+    labelled = T.with_label(rows, featureset, labels, lead, T.label_fill(T.training_split(dataset), featureset, lead))
+    classes = {r["site"]: r["n"] for r in labelled.groupBy("site").agg(F.count_distinct("label").alias("n")).collect()}
+    ready = [site for site in sites if classes.get(site, 0) > 1]
+    errors = [(s, a.name, f"{s}: only one class to train on") for s in sites if s not in ready for a in algorithms]
+    grids = {a: [{p.name: v for p, v in point.items()} for point in a.grid(a.estimator())] for a in algorithms}
+    folds = int(lead.tuning("num_folds")) if any(len(g) > 1 for g in grids.values()) else 0
+    policy = lead.tuning("handle_invalid")
+    sets = M.training_sets(labelled.filter(F.col("site").isin(ready)), folds)
+    fitted = materialize(M.fit_features(sets, featureset, policy, lead.tuning("imputation_strategy")))
+    vector = M.feature_vector(featureset, policy).alias("features")
+    featured = sets.join(fitted, ["site", "set"]).select("site", "set", "validating", vector, "label")
+    table = materialize(featured.filter("features is not null"))
+    parts, rest = [], []
+    for a in algorithms:
+        points = grids[a]
+        plain = all(set(p) <= {"regParam", "elasticNetParam", "threshold"} for p in points) and "metric" not in a.parameters
+        if a.name == T.LOGISTIC_REGRESSION and plain and ready:
+            parts.append(_logistic(table, a, points))
+        elif a.name == T.NAIVE_BAYES and ready:
+            whole = table.filter((F.col("set") == M.WHOLE) & ~F.col("validating"))
+            kind = T.SETTINGS[T.NAIVE_BAYES]["modelType"]
+            bayes = M.naive_bayes(M.class_statistics(whole), kind)
+            parts.append(M.model_rows(bayes.withColumn("algorithm", F.lit(a.name))))
+        else:
+            rest.append(a)
+
+    def fit(task: tuple[T.Algorithm, str]) -> DataFrame | tuple[str, str, str]:
+        a, site = task
+        own = table.filter(F.col("site") == site).select("set", "validating", array_to_vector("features").alias("features"), "label")
+        try:
+            return M.fitted_row(T.fit_best(own, a), site, a.name)
+        except FIT_ERRORS as error:  # neither one site nor one algorithm must stop the others
+            return (site, a.name, f"{site}: {error}")
+
+    with ThreadPoolExecutor(parallel_fits) as pool:
+        for made in pool.map(fit, [(a, site) for a in rest for site in ready]):
+            (parts if isinstance(made, DataFrame) else errors).append(made)
+    if not parts:
+        raise TrainingError([message for _, _, message in errors])
+    models = materialize(reduce(DataFrame.unionByName, parts))
+    return ModelTable(featureset, policy, fitted, models, errors)
+
+
+def _logistic(table: DataFrame, algorithm: T.Algorithm, grid: Sequence[dict]) -> DataFrame:
+    """The best point of every site, by the area under ROC averaged over its folds."""
+    defaults = {mllib: value for mllib, value in T.CLASSIFIERS[algorithm.name][1].values()}
+    full = [{**defaults, **point} for point in grid]
+    points = [M.Point(float(p["regParam"]), float(p["elasticNetParam"])) for p in full]
+    used = table if len(points) > 1 else table.filter(F.col("set") == M.WHOLE)
+    fits = materialize(M.fit_logistic(used, points, int(defaults["maxIter"])))
+    best = fits.filter(F.col("set") == M.WHOLE)
+    if len(points) > 1:
+        keys = ["site", "set", "point"]
+        areas = curve_areas(score_curve(M.logistic_scores(table, fits.filter(F.col("set") != M.WHOLE)), keys), keys)
+        judged = areas.groupBy("site", "point").agg(F.avg("auroc").alias("area"))
+        # Of equal ones the first point of the grid.
+        chosen = judged.groupBy("site").agg(F.max_by("point", F.struct("area", -F.col("point"))).alias("point"))
+        best = best.join(chosen, ["site", "point"], "left_semi")
+    thresholds = F.array(*[F.lit(float(p["threshold"])) for p in full])
+    return M.model_rows(
+        best.withColumns(
+            {"algorithm": F.lit(algorithm.name), "kind": F.lit("linear"), "threshold": F.get(thresholds, F.col("point"))}
+        )
+    )
+
+
 def training_results(spark: SparkSession, models: Sequence[SiteModel], model_id: str) -> DataFrame:
     """``(model_id, algorithm, site, error_message)``, one row per model or failure; for ``error_rollup``."""
     rows = [(model_id, m.algorithm.name, m.site, m.error) for m in models]
