@@ -21,6 +21,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortweave.functions.expressions import SPLIT_SEED
 from cohortweave.session import materialize, shared_dir
@@ -91,17 +92,18 @@ def _one_hot(values: Column, value: Column) -> Column:
     return F.transform(values, lambda v: F.when(v == value, 1.0).otherwise(0.0))
 
 
-def feature_vector(featureset: Featureset, policy: str = "keep") -> Column:
+def feature_vector(featureset: Featureset, policy: str = "keep", fitted: str = "") -> Column:
     """The features of a row that has the columns of ``fit_features``; null where the policy skips the row.
 
     Numbers, then zeros and ones for the categories, in the order of the variables, scaled to
-    [0, 1] by the bounds of the training rows; what is constant there is 0.5.
+    [0, 1] by the bounds of the training rows; what is constant there is 0.5. ``fitted`` stands before
+    the names of the fitted columns (``"name."`` where they are the fields of a struct).
     """
     parts, n, k = [F.array().cast("array<double>")], 0, 0
     usable = F.lit(True)
     for v in featureset.independent:
         if v.is_categorical:
-            value, values = F.col(f"`{v.column}`").cast("string"), F.get("categories", F.lit(k))
+            value, values = F.col(f"`{v.column}`").cast("string"), F.get(f"{fitted}categories", F.lit(k))
             used = values if policy == "keep" else F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0)))
             parts.append(_one_hot(used, value))
             if policy != "keep":
@@ -109,12 +111,12 @@ def feature_vector(featureset: Featureset, policy: str = "keep") -> Column:
             k += 1
         else:
             value = F.col(f"`{v.column}`").cast("double")
-            parts.append(F.array(F.coalesce(value, F.get("fills", F.lit(n))) if policy == "keep" else value))
+            parts.append(F.array(F.coalesce(value, F.get(f"{fitted}fills", F.lit(n))) if policy == "keep" else value))
             n += 1
     raw = F.concat(*parts)
 
     def scale(x: Column, i: Column) -> Column:
-        low, high = F.get("low", i), F.get("high", i)
+        low, high = F.get(f"{fitted}low", i), F.get(f"{fitted}high", i)
         return F.when(high > low, (x - low) / (high - low)).otherwise(0.5)
 
     if policy == "keep":
@@ -134,9 +136,9 @@ class Point:
     elasticnet_param: float = 0.0
 
 
-def _sums(table: DataFrame, schema_key: Sequence[tuple[str, int]], size: int, work) -> dict[int, np.ndarray]:
+def _sums(table: DataFrame, keys: Sequence[tuple[str, int]], size: int, work) -> dict[int, np.ndarray]:
     """Sums over all rows of the arrays that ``work(key, features, labels)`` gives: one job."""
-    names = {key: i for i, key in enumerate(schema_key)}
+    names = {key: i for i, key in enumerate(keys)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -390,62 +392,88 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _leaf(tree: Column, depth: Column) -> Column:
-    """Value of the leaf that ``features`` reach: one step down per level."""
+def _logistic(margin: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -margin))
 
-    def down(at: Column, _: Column) -> Column:
-        n = F.get(tree, at)
-        return F.when(n["left"] < 0, at).when(F.get("features", n["feature"]) <= n["threshold"], n["left"]).otherwise(n["right"])
 
-    return F.get(tree, F.aggregate(F.sequence(F.lit(0), depth), F.lit(0), down))["value"]
+def _leaves(tree: dict[str, np.ndarray], features: np.ndarray, depth: int) -> np.ndarray:
+    """Values of the leaves that the rows of ``features`` reach, all rows one step down per level."""
+    at = np.zeros(len(features), np.int64)
+    rows = np.arange(len(features))
+    for _ in range(depth):
+        inner = tree["left"][at] >= 0
+        column = np.where(inner, tree["feature"][at], 0)
+        goes_left = features[rows, column] <= tree["threshold"][at]
+        at = np.where(inner, np.where(goes_left, tree["left"][at], tree["right"][at]), at)
+    return tree["value"][at]
 
 
-def add_scores(rows: DataFrame) -> DataFrame:
-    """Rows with ``features`` and the columns of a model, plus prediction, negative and positive.
+class _Scorer:
+    """A row of MODEL as arrays."""
 
-    As MLlib predicts: class 1 above a probability of one half (or the model's threshold), for margins above 0. A linear SVM has
-    no probabilities; the logistic function of its margin stands in.
-    """
-    margin = _dot(F.col("coefficients"), F.col("features")) + F.col("intercept")
-    logistic = lambda m: 1 / (1 + F.exp(-m))
-
-    def of_class(c: int) -> Column:
-        theta, sigma = F.get("theta", F.lit(c)), F.get("sigma", F.lit(c))
-        far = F.zip_with(
-            F.zip_with("features", theta, lambda x, m: (x - m) * (x - m)), sigma, lambda d, v: -0.5 * (F.log(v) + d / v)
-        )
-        gaussian = F.aggregate(far, F.lit(0.0), lambda s, x: s + x)
-        return F.get("priors", F.lit(c)) + F.when(F.size(sigma) > 0, gaussian).otherwise(_dot(theta, F.col("features")))
-
-    votes = _dot(F.transform("trees", lambda t: _leaf(t, F.col("depth"))), F.col("weights"))
-    total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
-    kind = F.col("kind")
-    positive = (
-        F.when(kind.isin("linear", "margin"), logistic(margin))
-        .when(kind.isin("gaussian", "multinomial"), logistic(of_class(1) - of_class(0)))
-        .when(kind == "boosted", logistic(2 * votes))
-        .otherwise(votes / total)
-    )
-    scored = rows.withColumn("positive", positive).withColumn("negative", 1 - F.col("positive"))
-    return scored.withColumn("prediction", F.when(F.col("positive") > F.coalesce("threshold", F.lit(0.5)), 1.0).otherwise(0.0))
+    def __init__(self, row):
+        self.algorithm, self.kind, self.depth = row.algorithm, row.kind, row.depth
+        self.threshold = 0.5 if row.threshold is None else row.threshold
+        if row.kind in ("linear", "margin"):
+            self.intercept, self.coefficients = row.intercept, np.array(row.coefficients)
+        elif row.kind in ("gaussian", "multinomial"):
+            self.priors, self.theta, self.sigma = (np.array(x) for x in (row.priors, row.theta, row.sigma))
+        else:
+            kinds = {"feature": np.int64, "threshold": np.float64, "left": np.int64, "right": np.int64, "value": np.float64}
+            self.trees = [{k: np.array([0 if n[k] is None else n[k] for n in t], v) for k, v in kinds.items()} for t in row.trees]
+            self.weights = row.weights
+
+    def positive(self, x: np.ndarray) -> np.ndarray:
+        """Probability of class 1; for a linear SVM, which has none, the logistic function of its margin."""
+        if self.kind in ("linear", "margin"):
+            return _logistic(x @ self.coefficients + self.intercept)
+        if self.kind == "multinomial":
+            of_class = x @ self.theta.T + self.priors
+        elif self.kind == "gaussian":
+            of_class = np.stack(
+                [p - 0.5 * (np.log(v) + (x - m) ** 2 / v).sum(axis=1) for p, m, v in zip(self.priors, self.theta, self.sigma, strict=True)], 1
+            )
+        else:
+            votes = sum(w * _leaves(t, x, self.depth) for w, t in zip(self.weights, self.trees, strict=True))
+            return _logistic(2 * votes) if self.kind == "boosted" else votes / sum(self.weights)
+        return _logistic(of_class[:, 1] - of_class[:, 0])
 
 
 def predict(rows: DataFrame, features: DataFrame, models: DataFrame, featureset: Featureset, policy: str = "keep") -> DataFrame:
     """Every row scored by every model: ``rows``, model_site, algorithm, prediction, negative, positive.
 
-    ``features`` are :func:`fit_features` of the sites' whole training rows. Each row gets the features
-    of every site once, whatever the number of that site's models. Models are few rows and joined to
-    all records by their site; nothing of the records is shuffled while they are broadcast.
+    As MLlib predicts: class 1 above a probability of one half, or the model's threshold. ``features``
+    are :func:`fit_features` of the sites' whole training rows; each row gets the features of every site
+    once, whatever the number of that site's models. All models are one plan without a shuffle: they
+    are handed to the tasks, a row for each site and algorithm, and score a batch of records at a time.
+    Columns of ``rows`` may have any names but those added and ``_fit`` and ``_features``.
     """
-    fitted = features.filter(F.col("set") == WHOLE).drop("set")
-    held = models.groupBy("site").agg(F.collect_list(F.struct(*[c for c in models.columns if c != "site"])).alias("models"))
-    sites = materialize(fitted.join(held, "site").withColumnRenamed("site", "model_site"))
-    named = sorted(r[0] for r in sites.select("model_site").collect())
-    of_site = rows.withColumn("model_site", F.explode(F.array(*[F.lit(s) for s in named])))
-    # A site's row may be larger than Spark broadcasts by itself; there is one per site.
-    joined = of_site.join(sites, "model_site").withColumn("features", feature_vector(featureset, policy))
-    if policy == "skip":
-        joined = joined.filter("features is not null")
-    each = joined.select(*rows.columns, "model_site", "features", F.explode("models").alias("m"))
-    each = each.select(*rows.columns, "model_site", "features", *[F.col(f"m.{c}").alias(c) for c in models.columns if c != "site"])
-    return add_scores(each).select(*rows.columns, "model_site", "algorithm", "prediction", "negative", "positive")
+    of_site: dict[str, list[_Scorer]] = {}
+    for row in models.collect():
+        of_site.setdefault(row.site, []).append(_Scorer(row))
+    fitted = features.filter((F.col("set") == WHOLE) & F.col("site").isin(list(of_site)))
+    sites = fitted.select(F.col("site").alias("model_site"), F.struct("fills", "categories", "low", "high").alias("_fit"))
+    named = F.explode(F.array(*[F.lit(s) for s in sorted(of_site)]).cast("array<string>"))
+    joined = rows.withColumn("model_site", named).join(sites, "model_site")
+    vector = joined.withColumn("_features", feature_vector(featureset, policy, "_fit."))
+    kept = vector.select(*rows.columns, "model_site", "_features").filter("_features is not null")
+    made = "algorithm string, prediction double, negative double, positive double"
+    whole = StructType([*kept.schema.fields[:-1], *StructType.fromDDL(made).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = np.array(batch.column(batch.num_columns - 2).to_pylist(), object)
+            for site in sorted(set(where)):
+                part = batch.take(pa.array(np.flatnonzero(where == site)))
+                vectors = part.column(batch.num_columns - 1)
+                x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                kept_columns = part.columns[:-1]
+                for model in of_site[site]:
+                    positive = model.positive(x)
+                    names = pa.array([model.algorithm] * len(x), pa.string())
+                    classes = pa.array((positive > model.threshold).astype(np.float64))
+                    yield pa.RecordBatch.from_arrays(
+                        [*kept_columns, names, classes, pa.array(1 - positive), pa.array(positive)], names=whole.names
+                    )
+
+    return kept.mapInArrow(run, whole)

@@ -139,8 +139,8 @@ def train_models(
     classes = {r["site"]: r["n"] for r in labelled.groupBy("site").agg(F.count_distinct("label").alias("n")).collect()}
     ready = [site for site in sites if classes.get(site, 0) > 1]
     errors = [(s, a.name, f"{s}: only one class to train on") for s in sites if s not in ready for a in algorithms]
-    grids = {a: [{p.name: v for p, v in point.items()} for point in a.grid(a.estimator())] for a in algorithms}
-    folds = int(lead.tuning("num_folds")) if any(len(g) > 1 for g in grids.values()) else 0
+    grids = [[{p.name: v for p, v in point.items()} for point in a.grid(a.estimator())] for a in algorithms]
+    folds = int(lead.tuning("num_folds")) if any(len(g) > 1 for g in grids) else 0
     policy = lead.tuning("handle_invalid")
     sets = M.training_sets(labelled.filter(F.col("site").isin(ready)), folds)
     fitted = materialize(M.fit_features(sets, featureset, policy, lead.tuning("imputation_strategy")))
@@ -148,8 +148,7 @@ def train_models(
     featured = sets.join(fitted, ["site", "set"]).select("site", "set", "validating", vector, "label")
     table = materialize(featured.filter("features is not null"))
     parts, rest = [], []
-    for a in algorithms:
-        points = grids[a]
+    for a, points in zip(algorithms, grids, strict=True):
         plain = all(set(p) <= {"regParam", "elasticNetParam", "threshold"} for p in points) and "metric" not in a.parameters
         if a.name == T.LOGISTIC_REGRESSION and plain and ready:
             parts.append(_logistic(table, a, points))
