@@ -25,6 +25,8 @@ from cohortweave.llm.sentence_pieces import Pieces
 from cohortweave.llm.words import slices
 from cohortweave.session import materialize
 
+#: Bytes of text in a block (a longer text is a block of its own).
+BLOCK_BYTES = 2 << 20
 #: Tokens compared by the first probe after an irregular group; further ones double.
 PROBE = 4
 
@@ -193,7 +195,7 @@ def align(documents: DataFrame, key: str, text: str, byte_level: str, piece_mode
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pair(byte_level, piece_model)
         for batch in batches:
-            for at, n in slices(batch.column(1)):
+            for at, n in slices(batch.column(1), BLOCK_BYTES):
                 part = batch.slice(at, n)
                 made = Block(own, part.column(1).fill_null("").to_pylist())
                 shas = [hashlib.sha256(g).hexdigest() if g else "" for g in made.groups_text()]
