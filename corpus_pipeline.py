@@ -7,13 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave.llm import minhash, packing, substring, toxicity
-from cohortweave.llm.queries import TOKENIZER, language_model, ready, table, toxicity_model
+from cohortweave.llm.queries import TOKENIZER, language_model, table, toxicity_model
+from cohortweave.llm.queries import ready as ready_for_queries
 from cohortweave.llm.words import buffers, filter_texts
 from cohortweave.session import materialize
 
 #: From this score on a document is toxic; below that probability its language is not identified.
 TOXIC, IDENTIFIED = 0.7, 0.5
 
+#: Five stages run in the same Python workers one after the other. With fixed thresholds a worker's large
+#: arrays go back to the system when they are freed, instead of staying with it for the stages to come.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Settings of the library, and how its Python workers treat freed memory."""
+    spark.sparkContext.environment.update(MEMORY)
+    return ready_for_queries(spark)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC."""
