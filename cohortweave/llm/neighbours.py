@@ -2,10 +2,11 @@
 
 Largest inner product becomes smallest distance by one more component that makes all candidates
 equally long. Vectors are dealt out to lists by their nearest of a few centres (fitted on a bounded
-sample; every vector is indexed). A query visits the lists of its nearest centres. Within a list
-vectors are randomly rotated and stored in blocks of dimensions; after every block a hypothesis test
-on the partial distance abandons candidates that are unlikely to beat the query's k-th distance.
-Scores of the others are exact, from the original vectors in double precision.
+sample; every vector is indexed). A query visits the lists of its nearest centres; lists that lie near
+each other are scanned in one group, so that a query is sent once to all of them and answers with k rows
+for all of them. There vectors are randomly rotated and stored in blocks of dimensions; after every
+block a hypothesis test on the partial distance abandons candidates that are unlikely to beat the
+query's k-th distance. Scores of the others are exact, from the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ SAMPLE_ROWS, FIT_ROUNDS, MAX_LISTS = 32_768, 8, 2_048
 PROBED, LEAST_PROBED = 0.6, 32
 #: Dimensions after which candidates are tested, and the test's strictness.
 DIMENSIONS, EPSILON = 16, 2.1
-#: Rows of a list, and queries of a list, in one group at most (on average); longer ones are split.
+#: Rows of a block of lists, and its queries, in one group at most (on average); more are split.
 GROUP_ROWS, GROUP_QUERIES = 4_096, 4_096
-#: Queries whose distances to a whole list are held at once.
-QUERY_ROWS = 64
+#: Queries and rows of lists whose distances are held at once; share of pairs below which only these go on.
+QUERY_ROWS, LIST_ROWS, FEW_PAIRS = 128, 512, 0.05
+#: Queries whose distances to all centres are held at once.
+VISIT_ROWS = 1_024
 
 
 def usable(vector: Column) -> Column:
@@ -85,44 +88,113 @@ def _longer(vectors: np.ndarray, square: float) -> np.ndarray:
     return np.hstack([vectors, rest[:, None]])
 
 
-def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, names: np.ndarray, square: float, k: int):
-    """The k best of this list for each query: (query's number, ids, scores), by query and rank."""
+def _pairs(blocks: list, parts: list, edges: list[int], alive: np.ndarray, beat: np.ndarray, slack: np.ndarray):
+    """(query, candidate, distance) of the pairs of ``alive`` that no test on a partial distance abandons.
+
+    All pairs are measured side by side, block after block, without the candidates that no query wants
+    any more; where few pairs are left, only these.
+    """
+    size = edges[-1]
+    columns = np.flatnonzero(alive.any(axis=0))
+    alive = alive[:, columns]
+    far = np.zeros(alive.shape)
+    few = None
+    for block, part, to in zip(blocks, parts, edges[1:], strict=True):
+        limit = (beat * (1 + EPSILON / np.sqrt(to)) ** 2 * (to / size) if to < size else beat) + slack
+        if few is not None:
+            q, c, d = few
+            d = d + ((block[c] - part[q]) ** 2).sum(axis=1)
+            keep = d <= limit[q]
+            few = q[keep], c[keep], d[keep]
+            continue
+        own = block[columns]
+        far += (own**2).sum(axis=1) + (part**2).sum(axis=1)[:, None] - 2 * part @ own.T
+        alive &= far <= limit[:, None]
+        wanted = alive.any(axis=0)
+        if wanted.sum() < 0.9 * len(wanted):
+            columns, alive, far = columns[wanted], alive[:, wanted], far[:, wanted]
+        if np.count_nonzero(alive) <= FEW_PAIRS * alive.size:
+            q, c = np.nonzero(alive)
+            few = q, columns[c], far[q, c]
+    if few is not None:
+        return few
+    q, c = np.nonzero(alive)
+    return q, columns[c], far[q, c]
+
+
+def scan(
+    vectors: np.ndarray,
+    ids: np.ndarray,
+    lists: np.ndarray,
+    queries: np.ndarray,
+    names: np.ndarray,
+    visits: np.ndarray,
+    square: float,
+    k: int,
+):
+    """The k best of these lists for each query: (query's number, ids, scores), by query and rank.
+
+    ``lists`` numbers each vector's list, ``visits`` says by query and list what is visited. The k-th
+    distance found so far is the one to beat; it goes on from list to list.
+    """
     size = vectors.shape[1] + 1
     turn, _ = np.linalg.qr(np.random.default_rng(5).standard_normal((size, size)))
     turned = _longer(vectors, square) @ turn
-    edges = [*range(0, size, DIMENSIONS), size]
-    blocks = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     asked = np.hstack([queries, np.zeros((len(queries), 1))]) @ turn
-    parts = [np.ascontiguousarray(asked[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    edges = [*range(0, size, DIMENSIONS), size]
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    blocks = [np.ascontiguousarray(turned[:, a:b]) for a, b in spans]
+    rounding = 1e-9 * (square + (asked**2).sum(axis=1))
     out = []
     for at in range(0, len(queries), QUERY_ROWS):
         some = slice(at, at + QUERY_ROWS)
-        mine = ids[None, :] == names[some, None]
-        # The first candidates are measured in full; the k-th of them is the distance to beat.
-        head = min(len(ids), 2 * k + 1)
-        full = (turned[:head] ** 2).sum(axis=1) + (asked[some] ** 2).sum(axis=1)[:, None] - 2 * asked[some] @ turned[:head].T
-        full[mine[:, :head]] = np.inf
-        beat = np.partition(full, k - 1, axis=1)[:, k - 1] if head >= k else np.full(len(full), np.inf)
-        # The first block of dimensions for all pairs at once, the others for the pairs still alive.
-        first, own = blocks[0], parts[0][some]
-        partial = (first**2).sum(axis=1) + (own**2).sum(axis=1)[:, None] - 2 * own @ first.T
-        alive = partial * (size / edges[1]) <= beat[:, None] * (1 + EPSILON / np.sqrt(edges[1])) ** 2 + 1e-9
-        alive[:, :head] = True
-        alive &= ~mine
-        q, c = np.nonzero(alive)
-        partial = partial[q, c]
-        for block, part, to in zip(blocks[1:], parts[1:], edges[2:], strict=True):
-            partial = partial + ((block[c] - part[some][q]) ** 2).sum(axis=1)
-            slack = (1 + EPSILON / np.sqrt(to)) ** 2 if to < size else 1 + 1e-6
-            keep = (partial * (size / to) <= beat[q] * slack + 1e-9) | (c < head)
-            q, c, partial = q[keep], c[keep], partial[keep]
-        score = (vectors[c] * queries[some][q]).sum(axis=1)
+        parts = [np.ascontiguousarray(asked[some, a:b]) for a, b in spans]
+        slack = rounding[some]
+        best = np.full((len(slack), k), np.inf)
+        found = []
+        for start in range(0, len(ids), LIST_ROWS):
+            here = slice(start, start + LIST_ROWS)
+            alive = visits[some][:, lists[here]] & (ids[None, here] != names[some, None])
+            q, c, far = _pairs([x[here] for x in blocks], parts, edges, alive, best[:, k - 1], slack)
+            if len(q):
+                grid = np.full(alive.shape, np.inf)
+                grid[q, c] = far
+                best = np.partition(np.hstack([best, grid]), k - 1, axis=1)[:, :k]
+                keep = far <= best[q, k - 1] + slack[q]
+                found.append((q[keep], c[keep] + start, far[keep]))
+        if not found:
+            continue
+        q, c, far = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = far <= best[q, k - 1] + slack[q]
+        q, c = q[keep], c[keep]
+        score = np.concatenate(
+            [np.zeros(0)]
+            + [(vectors[c[i : i + 65_536]] * queries[some][q[i : i + 65_536]]).sum(axis=1) for i in range(0, len(q), 65_536)]
+        )
         order = np.lexsort((ids[c], -score, q))
         q, c, score = q[order], c[order], score[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
-        best = rank < k
-        out.append((q[best] + at, ids[c[best]], score[best]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+        top = rank < k
+        out.append((q[top] + at, ids[c[top]], score[top]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def blocks_of_lists(centres: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lists in the order of their centres along the widest direction, block of each in that order).
+
+    A block has lists of GROUP_ROWS rows together, or one longer list.
+    """
+    around = centres - centres.mean(axis=0)
+    order = np.argsort(around @ np.linalg.svd(around, full_matrices=False)[2][0], kind="stable")
+    block, held, out = 0, 0, []
+    for x in sizes[order]:
+        if held and held + x > GROUP_ROWS:
+            block, held = block + 1, 0
+        held += x
+        out.append(block)
+    return order, np.array(out)
 
 
 def search(
@@ -168,44 +240,66 @@ def search(
         sizes[r[0]] = r[1]
     visits = min(lists, max(LEAST_PROBED, int(np.ceil(probed * lists))))
 
+    ordered, block = blocks_of_lists(centres, sizes)
+    block_of = np.zeros(lists, np.int32)
+    block_of[ordered] = block
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _matrix(batch.column("vector"))
-            near, _ = nearest(np.hstack([vectors, np.zeros((len(vectors), 1))]), centres, lists)
-            # At least so many lists, and more until they hold k rows besides the query's own.
-            held = np.cumsum(sizes[near], axis=1)
-            enough = (held <= k).sum(axis=1) + 1
-            ranks = np.arange(lists)[None, :] < np.maximum(visits, enough)[:, None]
-            row, at = np.nonzero(ranks)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(row)), batch.column("vector").take(pa.array(row)),
-                 pa.array(near[row, at].astype(np.int32))],
-                names=["query_id", "query", "list"],
-            )
+        """A row per query and block of lists, with the lists to visit there."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, VISIT_ROWS):
+                batch = whole.slice(at, VISIT_ROWS)
+                vectors = _matrix(batch.column("vector"))
+                near, _ = nearest(np.hstack([vectors, np.zeros((len(vectors), 1))]), centres, lists)
+                # At least so many lists, and more until they hold k rows besides the query's own.
+                held = np.cumsum(sizes[near], axis=1)
+                enough = (held <= k).sum(axis=1) + 1
+                wanted = np.zeros(near.shape, bool)
+                ranks = np.arange(lists)[None, :] < np.maximum(visits, enough)[:, None]
+                np.put_along_axis(wanted, near, ranks, axis=1)
+                row, place = np.nonzero(wanted[:, ordered])
+                starts = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(block[place], prepend=-1))
+                listed = pa.ListArray.from_arrays(
+                    pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(ordered[place].astype(np.int32))
+                )
+                sent = pa.array(row[starts])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("vec_id").take(sent), batch.column("vector").take(sent),
+                     pa.array(block[place[starts]].astype(np.int32)), listed],
+                    names=["query_id", "query", "block", "lists"],
+                )
 
     asked = placed.where("asks").select("vec_id", "vector")
-    visiting = materialize(asked.mapInArrow(visit, f"query_id long, query {kind}, list int"))
-    asking = np.zeros(lists, np.int64)
-    for r in visiting.groupBy("list").count().collect():  # a row per list
+    visiting = materialize(asked.mapInArrow(visit, f"query_id long, query {kind}, block int, lists array<int>"))
+    asking = np.zeros(block[-1] + 1, np.int64)
+    for r in visiting.groupBy("block").count().collect():  # a row per block
         asking[r[0]] = r[1]
-    # Long lists and lists with many queries are split; every part meets every part of the other side.
-    parts = F.array(*[F.lit(int(-(-x // GROUP_ROWS)) or 1) for x in sizes])
+    held = np.bincount(block_of, weights=sizes).astype(np.int64)
+    # Long blocks and blocks with many queries are split; every part meets every part of the other side.
+    parts = F.array(*[F.lit(int(-(-x // GROUP_ROWS)) or 1) for x in held])
     askers = F.array(*[F.lit(int(-(-x // GROUP_QUERIES)) or 1) for x in asking])
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.get(n, F.col("list")) - 1))
-    own = lambda n, c: F.pmod(F.xxhash64(c), F.get(n, F.col("list"))).cast("int")
-    left = placed.select("list", own(parts, "vec_id").alias("part"), every(askers).alias("asker"), "vec_id", "vector")
-    right = visiting.select("list", every(parts).alias("part"), own(askers, "query_id").alias("asker"), "query_id", "query")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.get(n, F.col("block")) - 1))
+    own = lambda n, c: F.pmod(F.xxhash64(c), F.get(n, F.col("block"))).cast("int")
+    left = placed.withColumn("block", F.get(F.array(*[F.lit(int(x)) for x in block_of]), F.col("list")))
+    left = left.select("block", own(parts, "vec_id").alias("part"), every(askers).alias("asker"), "list", "vec_id", "vector")
+    right = visiting.select(
+        "block", every(parts).alias("part"), own(askers, "query_id").alias("asker"), "lists", "query_id", "query"
+    )
 
     def meet(key: tuple, candidates: pa.Table, wanting: pa.Table) -> pa.Table:
         q, near, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         names = wanting.column("query_id").to_numpy()
         if candidates.num_rows and wanting.num_rows:
-            ids = candidates.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
+            ids, listed = candidates.column("vec_id").to_numpy(), candidates.column("list").to_numpy()
+            order = np.lexsort((ids, listed))
+            here, number = np.unique(listed[order], return_inverse=True)
             vectors = _matrix(candidates.column("vector"))[order]
-            q, near, score = scan(vectors, ids[order], _matrix(wanting.column("query")), names, square, k)
+            visited = np.zeros((len(names), lists), bool)
+            each = wanting.column("lists").combine_chunks()
+            visited[np.repeat(np.arange(len(names)), each.value_lengths().to_numpy()), each.flatten().to_numpy()] = True
+            q, near, score = scan(
+                vectors, ids[order], number, _matrix(wanting.column("query")), names, visited[:, here], square, k
+            )
         return pa.table(
             {
                 "query_id": pa.array(names[q], pa.int64()),
@@ -214,7 +308,7 @@ def search(
             }
         )
 
-    by = ["list", "part", "asker"]
+    by = ["block", "part", "asker"]
     met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

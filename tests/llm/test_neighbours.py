@@ -42,7 +42,9 @@ def test_exact_where_all_lists_are_visited(spark):
     share = [len({j for j, _ in found[i]} & {j for j, _ in truth[i]}) / 10 for i in truth]
     assert np.mean(share) > 0.98
     for i in truth:
-        assert np.allclose([s for _, s in found[i]], [s for _, s in truth[i]], atol=0.5)
+        vector = dict(rows)
+        exact = [sum(a * b for a, b in zip(vector[i], vector[j], strict=True)) for j, _ in found[i]]
+        assert np.allclose([s for _, s in found[i]], exact, rtol=0, atol=1e-12)
         scores = [(-s, j) for j, s in found[i]]
         assert scores == sorted(scores)
 
@@ -74,6 +76,27 @@ def test_groups_may_be_split(spark, monkeypatch, parts):
     assert {i: [j for j, _ in v] for i, v in found.items()} == {i: [j for j, _ in v] for i, v in truth.items()}
 
 
+def test_blocks_of_lists(monkeypatch):
+    monkeypatch.setattr(N, "GROUP_ROWS", 10)
+    order, block = N.blocks_of_lists(np.array([[0.0], [3.0], [1.0], [2.0]]), np.array([4, 30, 5, 2]))
+    if order[0] == 1:
+        assert order.tolist() == [1, 3, 2, 0] and block.tolist() == [0, 1, 1, 2]
+    else:
+        assert order.tolist() == [0, 2, 3, 1] and block.tolist() == [0, 0, 1, 2]
+
+
+def test_few_pairs_are_followed_alone(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((12, 40)) * 20
+    rows = [(k, (centres[k % 12] + rng.standard_normal(40)).tolist()) for k in range(600)]
+    truth = brute(rows, 5)
+    for few in (0.0, 1.0):
+        monkeypatch.setattr(N, "FEW_PAIRS", few)
+        found = search(spark, rows, 5)
+        share = [len({j for j, _ in found[i]} & {j for j, _ in truth[i]}) / 5 for i in truth]
+        assert found.keys() == truth.keys() and np.mean(share) > 0.95
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
