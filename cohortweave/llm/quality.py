@@ -2,7 +2,8 @@
 
 Every rule is a condition on counts of one text. A bounded sample tells what each rule costs and
 how many texts it rejects; the rules are then asked in the order of rejections per cost, and a
-text's first failing rule ends its questioning. The order never changes a verdict.
+text's first failing rule ends its questioning: counts that only later rules use are never made for
+it. The order never changes a verdict.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Rows of the sample that sets the order of the rules.
-SAMPLE_ROWS = 512
+#: Rows of the sample that sets the order of the rules, on average and at most.
+SAMPLE_ROWS, SAMPLE_LIMIT = 2_048, 4_096
+#: Times that a rule is timed on the sample (the shortest counts), and the least cost in seconds.
+TIMED, LEAST_COST = 3, 1e-3
+#: Counts that the query's contract returns for every text.
+CONTRACT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -48,18 +53,21 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def counts(words: Column, text: Column) -> dict[str, Column]:
-    """All counts of a text; ``words`` is ``word_array`` of it, ``text`` not null."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    long = lambda c: c.cast("long")
+def line_array(text: Column) -> Column:
+    """Lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def counts(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """Counts of a text, all but that of repeated words; ``text`` is not null."""
     return {
-        "n_words": long(F.size(words)),
-        "word_chars": long(F.char_length(F.concat_ws("", words))),
-        "n_symbols": long(F.regexp_count(text, F.lit(SYMBOLS))),
-        "n_lines": long(F.size(lines)),
-        "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
-        "n_letters": long(F.regexp_count(text, F.lit(r"\p{L}"))),
-        "n_upper": long(F.regexp_count(text, F.lit(r"\p{Lu}"))),
+        "n_words": F.size(words),
+        "word_chars": F.char_length(F.concat_ws("", words)),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_letters": F.regexp_count(text, F.lit(r"\p{L}")),
+        "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
     }
 
 
@@ -103,40 +111,61 @@ def with_repeats(df: DataFrame, words: str, into: str, size: int = 3) -> DataFra
     return df.withColumn(into, F.coalesce(covered, F.lit(0).cast("long"))).drop("__h", "__s", "__p")
 
 
-def with_counts(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with every count; a null text counts as an empty one."""
-    df = df.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    df = df.withColumn("__w", word_array(F.col("__t")))
-    df = with_repeats(df, "__w", "n_repeat_words")
-    return df.withColumns(counts(F.col("__w"), F.col("__t"))).drop("__t", "__w")
-
-
-def measured(df: DataFrame, text: str, rules: Sequence[QualityRule]) -> list[QualityRule]:
-    """``rules`` in the order of rejections per second, seen on at most SAMPLE_ROWS texts.
-
-    A rule that rejects nothing in the sample comes last; ties go by name.
+def prepared(documents: DataFrame, text: str, *others: Column) -> DataFrame:
+    """``__text`` and its words ``__w`` next to the other columns; a null text is an empty one."""
+    df = documents.select(*others, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    return df.withColumn("__w", word_array(F.col("__text")))
+
+
+def with_counts(df: DataFrame, names: Sequence[str], asked: Column | None = None) -> DataFrame:
+    """``df`` of ``prepared`` with the counts it lacks, made only for rows where ``asked`` holds."""
+    asked = F.lit(True) if asked is None else asked
+    for name in names:
+        if name in df.columns:
+            continue
+        if name == "n_repeat_words":
+            df = with_repeats(df.withColumn("__asked", F.when(asked, F.col("__w"))), "__asked", name).drop("__asked")
+            continue
+        if name in ("n_lines", "n_dup_lines") and "__lines" not in df.columns:
+            df = df.withColumn("__lines", F.when(asked, line_array(F.col("__text"))))
+        count = counts(F.col("__text"), F.col("__w"), F.col("__lines"))[name]
+        df = df.withColumn(name, F.when(asked, count.cast("long")))
+    return df
+
+
+def measured(
+    df: DataFrame, text: str, rules: Sequence[QualityRule], always: Sequence[str] = CONTRACT
+) -> list[QualityRule]:
+    """``rules`` in the order of rejections per second, seen on a random sample.
+
+    A rule's cost is the time that it takes for the whole sample beyond that of a rule without
+    counts; what is counted ``always`` is no cost of a rule. A rule that rejects nothing in the
+    sample comes last; ties go by name.
     """
-    sample = df.select(text).limit(SAMPLE_ROWS).persist()
+    rows = df.count()
+    sample = df.sample(min(1.0, SAMPLE_ROWS / max(1, rows)), seed=6).limit(SAMPLE_LIMIT)
+    sample = with_counts(prepared(sample, text), always).repartition(1).persist()
+
+    def timed(fails: Column, uses: Sequence[str]) -> tuple[float, int]:
+        verdict = with_counts(sample, uses).agg(F.count_if(fails).alias("n"))
+        took = []
+        for _ in range(TIMED):
+            began = time.monotonic()
+            rejected = verdict.first()["n"]
+            took.append(time.monotonic() - began)
+        return min(took), rejected
+
     try:
         total = sample.count()
+        nothing, _ = timed(F.size("__w") < 0, ())
         out = []
         for rule in rules:
-            counted = with_counts(sample, text).select(*rule.uses)
-            verdict = counted.agg(F.count_if(F.expr(rule.fails)).alias("n"))
-            began = time.monotonic()
-            rejected = verdict.first()["n"]
-            out.append(replace(rule, cost=time.monotonic() - began, rejected=rejected / max(1, total)))
+            took, rejected = timed(F.expr(rule.fails), rule.uses)
+            cost = max(LEAST_COST, took - nothing) if set(rule.uses) - set(always) else LEAST_COST
+            out.append(replace(rule, cost=cost, rejected=rejected / max(1, total)))
     finally:
         sample.unpersist()
-    return sorted(out, key=lambda r: (-r.rejected / max(r.cost, 1e-9), r.name))
-
-
-def first_failure(rules: Sequence[QualityRule]) -> Column:
-    """Name of the first rule, in the given order, that a text fails; null if it passes all."""
-    case = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        case = F.when(F.expr(rule.fails), F.lit(rule.name)).otherwise(case)
-    return case
+    return sorted(out, key=lambda r: (-r.rejected / r.cost, r.name))
 
 
 def quality(
@@ -145,14 +174,28 @@ def quality(
     text: str,
     rules: Sequence[QualityRule] = RULES,
     order: bool = True,
+    always: Sequence[str] = CONTRACT,
 ) -> DataFrame:
-    """``key``, the counts, ``failed_rule`` (null: none) and ``kept``, one row per document.
+    """``key``, the counts of ``always``, ``failed_rule`` (null: none), ``rules_asked`` and ``kept``, a row per document.
 
-    With ``order`` the cascade is ordered by the sample, so that of several failed rules
-    ``failed_rule`` names the first one asked; ``kept`` does not depend on it. Null and empty
-    texts have no words. Repeated rows and null keys stay; other columns are ignored.
+    Rules are asked one after the other, as long as none fails; ``rules_asked`` says how many were, the
+    failed one included. Counts that are not in ``always`` are made when the first rule that uses them is
+    asked. With ``order`` the sample sets the order, so that of several failed rules ``failed_rule``
+    names the first one asked; ``kept`` does not depend on it. Null and empty texts have no words.
+    Repeated rows and null keys stay; other columns are ignored.
     """
-    only = documents.select(F.col(key), F.col(text).alias("__text"))
-    asked = measured(only, "__text", rules) if order else list(rules)
-    counted = with_counts(only, "__text").drop("__text")
-    return counted.withColumn("failed_rule", first_failure(asked)).withColumn("kept", F.col("failed_rule").isNull())
+    asked = measured(documents, text, rules, always) if order else list(rules)
+    df = with_counts(prepared(documents, text, F.col(key).alias("__key")), always)
+    df = df.withColumn("__failed", F.lit(None).cast("int"))
+    for number, rule in enumerate(asked):
+        df = with_counts(df, rule.uses, F.col("__failed").isNull())
+        df = df.withColumn("__failed", F.coalesce(F.col("__failed"), F.when(F.expr(rule.fails), F.lit(number))))
+    names = F.array(*[F.lit(r.name) for r in asked]).cast("array<string>")
+    failed = F.col("__failed")
+    return df.select(
+        F.col("__key").alias(key),
+        *always,
+        F.get(names, failed).alias("failed_rule"),
+        F.coalesce(failed + 1, F.lit(len(asked))).alias("rules_asked"),
+        failed.isNull().alias("kept"),
+    )

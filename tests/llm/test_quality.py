@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortweave.llm import quality as Q
 
@@ -56,6 +57,37 @@ def test_rules_that_reject_more_for_less_come_first(documents):
     assert Q.quality(documents, "doc_id", "text", rules).select("failed_rule").distinct().collect()[0][0] == "always"
 
 
+def test_a_failed_rule_ends_the_questions(spark, monkeypatch):
+    plain = Q.counts
+    monkeypatch.setattr(
+        Q, "counts", lambda t, w, n: plain(t, w, n) | {"dear": F.when(F.size(w) > 2, 0).otherwise(F.raise_error(F.lit("asked")))}
+    )
+    rules = [
+        Q.QualityRule("short", "n_words < 3", ("n_words",)),
+        Q.QualityRule("dear", "dear > 0", ("dear",)),
+        Q.QualityRule("many", "n_repeat_words > 2", ("n_repeat_words",)),
+    ]
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b c d"), (4, "a b c a b c"), (5, "")], "doc_id long, text string")
+    for always in ((), ("n_words",), Q.CONTRACT):
+        found = {r.doc_id: r for r in Q.quality(rows, "doc_id", "text", rules, order=False, always=always).collect()}
+        assert {k: r.failed_rule for k, r in found.items()} == {1: "short", 2: "short", 3: None, 4: "many", 5: "short"}
+        assert {k: r.rules_asked for k, r in found.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 1}
+        assert all(r.kept == (r.failed_rule is None) for r in found.values())
+    with pytest.raises(Exception, match="asked"):
+        Q.quality(rows, "doc_id", "text", rules[1:], order=False).collect()
+
+
+def test_counts_made_only_when_asked_do_not_change_verdicts(documents):
+    whole = {r.doc_id: r.kept for r in Q.quality(documents, "doc_id", "text").collect()}
+    assert whole == {r.doc_id: r.kept for r in Q.quality(documents, "doc_id", "text", always=()).collect()}
+
+
+def test_a_key_may_be_named_as_a_count(documents):
+    renamed = documents.select(F.col("doc_id").alias("n_letters"), "text", F.lit(1).alias("__w"), F.lit(2).alias("kept"))
+    found = {r.n_letters: r.kept for r in Q.quality(renamed, "n_letters", "text").collect()}
+    assert found == {r.doc_id: r.kept for r in Q.quality(documents, "doc_id", "text").collect()}
+
+
 def test_no_python_in_the_plan(documents):
     plan = Q.quality(documents, "doc_id", "text", order=False)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
