@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.functions.expressions import in_training_split
-from cohortweave.operators import encode, profile
+from cohortweave.operators import dictionary, encode, profile
 from workload import tables
 from workload.extraction import LIGHT_SQL, PREPARE_COHORT_SQL, WIDE_SQL, light, prepared
 from workload.registry import query
@@ -225,6 +225,56 @@ def items_long(spark, sf_dir):
     return encode.items_long(light(spark, sf_dir), keep=("site", "pid"))
 
 
+# --- dictionaries of categories ---------------------------------------------
+
+# Statements of medication by brand, patient and day; the patients grow with the data.
+CATEGORIES = ("code", "patient", "date")
+CATEGORIES_SQL = """cat as (
+  select id, brand as code, subj as patient, strftime(dt, '%Y-%m-%d') as date from med
+), entries as (
+  select 'code' as "column", code as value from cat union all select 'patient', patient from cat
+  union all select 'date', date from cat
+), counted as (
+  select "column", value, count(*) as count from entries group by 1, 2
+), dict as (
+  select *, row_number() over (partition by "column" order by value) - 1 as index,
+    row_number() over (partition by "column" order by count desc, value) - 1 as by_frequency,
+    count(*) over (partition by "column") as size from counted
+)"""
+
+
+def _categories(spark, sf_dir):
+    rows = tables.resources(spark, sf_dir)["MedicationStatement"].df
+    return rows.select("id", "code", "patient", F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+@query(
+    "category_dictionary",
+    with_sql(MED, CATEGORIES_SQL) + """select "column", value, count, index, by_frequency, size from dict""",
+)
+def category_dictionary(spark, sf_dir):
+    """Every value of three columns, numbered alphabetically and by frequency."""
+    counts = dictionary.value_counts(_categories(spark, sf_dir), CATEGORIES)
+    frequent = dictionary.numbered(counts, "frequency").select("column", "value", F.col("index").alias("by_frequency"))
+    return dictionary.numbered(counts).join(frequent, ["column", "value"])
+
+
+@query(
+    "category_sparse_rows",
+    with_sql(MED, CATEGORIES_SQL)
+    + """select id, cast(c.size + p.size + d.size as bigint) as size,
+      concat_ws(',', c.index, c.size + p.index, c.size + p.size + d.index) as positions
+    from cat join dict c on c."column" = 'code' and c.value = code
+    join dict p on p."column" = 'patient' and p.value = patient
+    join dict d on d."column" = 'date' and d.value = date""",
+)
+def category_sparse_rows(spark, sf_dir):
+    """Where the one-hot vector of every statement over all values of three columns holds a 1."""
+    rows = _categories(spark, sf_dir)
+    sparse = dictionary.sparse_rows(rows, "id", CATEGORIES, dictionary.dictionary(rows, CATEGORIES))
+    return sparse.withColumn("positions", F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))))
+
+
 # --- learning inputs --------------------------------------------------------
 
 
