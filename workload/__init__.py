@@ -2,6 +2,7 @@
 
 from workload import (  # noqa: F401 - they register their queries
     bookkeeping,
+    bundles,
     extraction,
     learning,
     mining,
