@@ -5,13 +5,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, VectorAssembler
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.functions.expressions import in_training_split
-from cohortweave.operators import dictionary, encode, profile
+from cohortweave.operators import dictionary, encode, profile, sketches
+from cohortweave.operators.training import LOGISTIC_REGRESSION, Algorithm, feature_stages
+from cohortweave.session import materialize
+from cohortweave.spec import CATEGORICAL, Featureset, Variable
 from workload import tables
 from workload.extraction import LIGHT_SQL, PREPARE_COHORT_SQL, WIDE_SQL, light, prepared
 from workload.registry import query
@@ -225,6 +228,52 @@ def items_long(spark, sf_dir):
     return encode.items_long(light(spark, sf_dir), keep=("site", "pid"))
 
 
+# --- sketches ---------------------------------------------------------------
+
+QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
+
+
+@query(
+    "federated_quantiles",
+    with_sql(PAT, MED)
+    + f"""select v.variable, p.p as probability, cast(n as bigint) as "values", true as within,
+      case when p.p = 0 then least when p.p = 1 then most end as exact_end
+    from (select 'balance' as variable, count(balance) as n, min(balance) as least, max(balance) as most from pat
+          union all select 'quantity', count(qty), min(qty), max(qty) from med) v,
+      (values {", ".join(f"(cast({p} as double))" for p in QUANTILES)}) p(p)""",
+)
+def federated_quantiles(spark, sf_dir):
+    """Quantiles over all sites from the sites' sketches; their ranks among all values are counted exactly.
+
+    ``within``: the share asked for lies between the shares of smaller and of not larger values, up to the
+    error that the sketch allows. The lowest and highest value are exact.
+    """
+    resources = tables.resources(spark, sf_dir)
+    sites = resources["Patient"].df.select(F.col("ref").alias("patient"), "site")
+    measures = {
+        "balance": resources["Patient"].df.select("site", F.col("balance").alias("value")),
+        "quantity": resources["MedicationStatement"].df.join(sites, "patient").select("site", F.col("quantity").alias("value")),
+    }
+    long = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("variable"), "*") for n, df in measures.items()])
+    per_site = reduce(
+        DataFrame.unionByName,
+        [sketches.quantile_sketches(df.withColumnRenamed("value", n), [n], ["site"]) for n, df in measures.items()],
+    )
+    found = materialize(sketches.quantiles(sketches.merged_sketches(per_site), QUANTILES))
+    # A few quantiles of a variable as one row, so that every value meets it once.
+    asked = found.groupBy("variable").agg(F.collect_list(F.struct("probability", "quantile", "values")).alias("q"))
+    met = long.join(F.broadcast(asked), "variable").select("variable", "value", F.explode("q").alias("q"))
+    ranks = met.groupBy("variable", "q.probability", "q.quantile", "q.values").agg(
+        F.count_if(F.col("value") < F.col("q.quantile")).alias("below"), F.count_if(F.col("value") <= F.col("q.quantile")).alias("upto")
+    )
+    p, n, error = F.col("probability"), F.col("values"), F.lit(sketches.RANK_ERROR)
+    return ranks.select(
+        "variable", "probability", "values",
+        ((F.col("below") / n - error <= p) & (p <= F.col("upto") / n + error)).alias("within"),
+        F.when(p.isin(0.0, 1.0), F.col("quantile")).alias("exact_end"),
+    )
+
+
 # --- dictionaries of categories ---------------------------------------------
 
 # Statements of medication by brand, patient and day; the patients grow with the data.
@@ -323,6 +372,12 @@ def string_index(spark, sf_dir):
     return encode.string_index(light(spark, sf_dir), ["segment"]).select("pid", "segment", "segment_INDEX")
 
 
+def _staged(rows, *variables, **tuning):
+    """Rows through the feature stages that every classifier gets."""
+    stages = feature_stages(Featureset(variables), Algorithm(LOGISTIC_REGRESSION, tuning))
+    return Pipeline(stages=stages).fit(rows).transform(rows)
+
+
 @query(
     "onehot_vector",
     with_sql(PAT, LIGHT_SQL, INDEX_SQL)
@@ -331,8 +386,7 @@ def string_index(spark, sf_dir):
 )
 def onehot_vector(spark, sf_dir):
     """The position of the 1 in each vector, 0 if there is none, and the vector's size."""
-    indexed = encode.string_index(light(spark, sf_dir), ["segment"])
-    encoded = OneHotEncoder(inputCols=["segment_INDEX"], outputCols=["segment_VEC"]).fit(indexed).transform(indexed)
+    encoded = _staged(light(spark, sf_dir), Variable("segment", "/Patient", "value:segment", CATEGORICAL))
     array = vector_to_array("segment_VEC")
     return encoded.select(
         "pid", F.array_position(array, 1.0).alias("position"), F.size(array).cast("long").alias("size")
@@ -345,12 +399,10 @@ def onehot_vector(spark, sf_dir):
     + """select pid, age as first, round(coalesce(balance, (select avg(balance) from light)), 6) as second from light""",
 )
 def assemble_vector(spark, sf_dir):
-    rows = encode.impute(light(spark, sf_dir), ["balance", "age"], "mean")
-    assembler = VectorAssembler(
-        inputCols=["age_NUM", "balance_NUM"], outputCol="nonScaledFeatures", handleInvalid="keep"
-    )
+    rows = light(spark, sf_dir)
+    staged = _staged(rows, *[Variable(c, "/Patient", f"value:{c}") for c in ("age", "balance")], imputation_strategy="mean")
     array = vector_to_array("nonScaledFeatures")
-    return assembler.transform(rows).select("pid", array[0].alias("first"), F.round(array[1], 6).alias("second"))
+    return staged.select("pid", array[0].alias("first"), F.round(array[1], 6).alias("second"))
 
 
 @query(
@@ -387,10 +439,9 @@ def minmax_scale(spark, sf_dir):
 )
 def minmax_scale_vector(spark, sf_dir):
     rows = tables.patients(spark, sf_dir).df.select(F.col("ref").alias("pid"), "age", "balance")
-    vectors = VectorAssembler(inputCols=["age", "balance"], outputCol="nonScaledFeatures").transform(rows)
-    scaler = MinMaxScaler(inputCol="nonScaledFeatures", outputCol="features").fit(vectors)
+    staged = _staged(rows, *[Variable(c, "/Patient", f"value:{c}") for c in ("age", "balance")])
     array = vector_to_array("features")
-    return scaler.transform(vectors).select(
+    return staged.select(
         "pid", F.round(array[0], 6).alias("first"), F.round(array[1], 6).alias("second")
     )
 
