@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.llm.components import components
 from cohortweave.llm.tables import bucketed
-from cohortweave.llm.words import inside, map_texts, mix, windows, words_of
+from cohortweave.llm.words import SLICE_BYTES, buffers, inside, map_texts, mix, windows, words_of
 from cohortweave.session import materialize
 
 #: Length of a signature, and how many coordinates a pair must share to be confirmed on its sets.
@@ -100,35 +101,78 @@ def _signed(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return map_texts(documents, [key], text, "n_shingles long, node long, proof long, sig array<int>", work)
 
 
-def _sets(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(node, shingles) per row, the set as sorted 64-bit hashes."""
+def _zipped(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, zip) per row: the text compressed. It is shuffled and stored in place of its set,
+    whose hashes take several times as much and cannot be compressed."""
 
     def work(texts: pa.Array) -> list:
-        hashes, offsets = shingle_sets(texts, size)
-        node, _ = fingerprints(hashes, offsets)
-        raw = hashes.tobytes()
-        return [node, [raw[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]]
-
-    return map_texts(documents, [key], text, "node long, shingles binary", work)
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose sets are similar enough."""
-    for batch in batches:
-        left, right = batch.column("set_a"), batch.column("set_b")
-        keep = np.zeros(batch.num_rows, bool)
-        for k in range(batch.num_rows):
-            x = np.frombuffer(left[k].as_buffer(), np.uint64)
-            y = np.frombuffer(right[k].as_buffer(), np.uint64)
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            if 100 * len(small) < SIMILARITY * len(large):
-                continue
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            keep[k] = 100 * both >= SIMILARITY * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"]
-        )
+        data, at = buffers(texts)
+        compress = zstandard.ZstdCompressor().compress
+        return [[compress(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]]
+
+    return map_texts(documents, [key], text, "zip binary", work)
+
+
+def _portions(*zips: pa.Array) -> Iterator[slice]:
+    """Runs of rows whose texts have at most SLICE_BYTES together, or of one row with longer texts."""
+    size = sum(np.array([zstandard.frame_content_size(z.as_buffer()) for z in c], np.int64) for c in zips)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def _sets_of(zips: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    decompress = zstandard.ZstdDecompressor().decompress
+    return shingle_sets(pa.array([decompress(z.as_buffer()) for z in zips], pa.binary()), size)
+
+
+def _own_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, zip) of the rows whose text has the set that node names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, zips = np.asarray(batch.column("node")), batch.column("zip")
+            keep = np.zeros(batch.num_rows, bool)
+            for rows in _portions(zips):
+                keep[rows] = fingerprints(*_sets_of(list(zips[rows]), size))[0] == nodes[rows]
+            yield batch.filter(pa.array(keep))
+
+    return texts.select("node", "zip").mapInArrow(run, "node long, zip binary")
+
+
+def _paired(batch: pa.RecordBatch, a: str, b: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two sets of every row; a set that several rows of a portion name is made once."""
+    left, right = batch.column("zip_a"), batch.column("zip_b")
+    x, y = np.asarray(batch.column(a)), np.asarray(batch.column(b))
+    for rows in _portions(left, right):
+        zips = list(left[rows]) + list(right[rows])
+        _, first, at = np.unique(np.concatenate([x[rows], y[rows]]), return_index=True, return_inverse=True)
+        hashes, offsets = _sets_of([zips[k] for k in first], size)
+        half = len(at) // 2
+        for i, j in zip(at[:half], at[half:], strict=True):
+            yield hashes[offsets[i] : offsets[i + 1]], hashes[offsets[j] : offsets[j + 1]]
+
+
+def _similar(size: int):
+    """Of batches of pairs (a, b) those whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(_paired(batch, "a", "b", size)):
+                small, large = (x, y) if len(x) <= len(y) else (y, x)
+                if 100 * len(small) < SIMILARITY * len(large):
+                    continue
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int((large[at] == small).sum())
+                keep[k] = 100 * both >= SIMILARITY * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -143,10 +187,10 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(sizes & (same >= MATCHES)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    of = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    of = lambda s: sets.select(F.col("node").alias(s), F.col("zip").alias(f"zip_{s}"))
     joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
+    return joined.select("a", "b", "zip_a", "zip_b").mapInArrow(_similar(size), "a long, b long")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -203,36 +247,39 @@ def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(placed.join(lists, "token"))
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(size: int):
     """Each member with the pivot of its list's main component: sizes, and what they do not share."""
-    for batch in batches:
-        sizes, differ, near, linked = [], [], [], []
-        for own, pivot in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, c = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(pivot.as_buffer(), np.uint64)
-            other = np.setxor1d(x, c, assume_unique=True)
-            sizes.append((len(x), len(c), len(other)))
-            # Two sets are similar if what they do not share is small: 100 both >= 80 united.
-            both = (len(x) + len(c) - len(other)) // 2
-            united = len(x) + len(c) - both
-            linked.append(100 * both >= SIMILARITY * united)
-            near.append(2 * both >= united)
-            differ.append(other.view(np.int64) if near[-1] else np.zeros(0, np.int64))
-        columns = np.array(sizes, np.int64).reshape(-1, 3)
-        at = np.concatenate([[0], np.cumsum([len(d) for d in differ])]).astype(np.int32)
-        flat = np.concatenate(differ) if differ else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(n) for n in ("main", "node", "label", "b")]
-            + [pa.array(columns[:, k]) for k in range(3)]
-            + [pa.array(near, pa.bool_()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-            names=["main", "node", "label", "pivot", "n", "n_pivot", "d", "near", "linked", "differ"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, differ, near, linked = [], [], [], []
+            for x, c in _paired(batch, "node", "b", size):
+                other = np.setxor1d(x, c, assume_unique=True)
+                sizes.append((len(x), len(c), len(other)))
+                # Two sets are similar if what they do not share is small: 100 both >= 80 united.
+                both = (len(x) + len(c) - len(other)) // 2
+                united = len(x) + len(c) - both
+                linked.append(100 * both >= SIMILARITY * united)
+                near.append(2 * both >= united)
+                differ.append(other.view(np.int64) if near[-1] else np.zeros(0, np.int64))
+            columns = np.array(sizes, np.int64).reshape(-1, 3)
+            at = np.concatenate([[0], np.cumsum([len(d) for d in differ])]).astype(np.int32)
+            flat = np.concatenate(differ) if differ else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(n) for n in ("main", "node", "label", "b")]
+                + [pa.array(columns[:, k]) for k in range(3)]
+                + [pa.array(near, pa.bool_()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                names=["main", "node", "label", "pivot", "n", "n_pivot", "d", "near", "linked", "differ"],
+            )
+
+    return run
 
 
 COMPARED = """main long, node long, label long, pivot long, n long, n_pivot long, d long, near boolean, linked boolean,
     differ array<long>"""
 
 
-def _remaining(mixed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _remaining(mixed: DataFrame, sets: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Links with pivots, and the pairs (a, b) of different components still to be compared.
 
     Let D be what a member does not share with the pivot c, and x a member that is not similar to c.
@@ -250,10 +297,10 @@ def _remaining(mixed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]
     pivots = mixed.where("label = main").groupBy("main").agg(F.max(F.struct("weight", "node")).alias("p"))
     members = mixed.select("main", "node", "label").distinct()
     asked = members.join(pivots.select("main", F.col("p.node").alias("b")), "main")
-    of = lambda s, c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{s}"))
+    of = lambda s, c: sets.select(F.col("node").alias(c), F.col("zip").alias(f"zip_{s}"))
     asked = asked.join(of("a", "node"), "node").join(of("b", "b"), "b")
     seen = materialize(
-        asked.select("main", "node", "label", "b", "set_a", "set_b").mapInArrow(_compared, COMPARED)
+        asked.select("main", "node", "label", "b", "zip_a", "zip_b").mapInArrow(_compared(size), COMPARED)
     )
     to_pivot = seen.where("linked and label != main").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
@@ -325,17 +372,16 @@ def near_duplicates(documents: DataFrame, key: str, text: str, size: int = 2) ->
     # The full sets of all classes that have postings, from one scan of the texts. Where rows of one
     # key differ, those with the class's own set count.
     asked = postings.select("node").distinct().join(classes.select("node", F.col("first").alias(key)), "node")
-    texts = documents.join(asked.select(key, F.col("node").alias("__node")), key)
-    texts = texts.dropDuplicates([key, "__node", "__text"])
-    sets = bucketed(_sets(texts, "__node", "__text", size).where("node = __node").drop("__node"), "node", parts)
+    texts = _zipped(documents.where(F.col(key).isNotNull()), key, "__text").join(asked, key).dropDuplicates([key, "node", "zip"])
+    sets = bucketed(_own_sets(texts, size), "node", parts)
 
     # First every member meets the heaviest members of its lists: those whose values most others have.
     centres = postings.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("c"))
-    links = materialize(_confirmed(_agreeing(_meetings(postings, centres, 2), classes), sets))
+    links = materialize(_confirmed(_agreeing(_meetings(postings, centres, 2), classes), sets, size))
     labels = components(links, "a", "b")
     # Then members of different components of one list, so that no link is missed.
-    to_pivot, pairs = _remaining(_mixed(postings, labels), sets)
-    more = _confirmed(_agreeing(pairs, classes), sets).unionByName(to_pivot)
+    to_pivot, pairs = _remaining(_mixed(postings, labels), sets, size)
+    more = _confirmed(_agreeing(pairs, classes), sets, size).unionByName(to_pivot)
     # Components are linked as wholes: of the links between two of them one is enough.
     for end in ("a", "b"):
         of = labels.select(F.col("node").alias(end), F.col("label").alias("__l"))
