@@ -8,7 +8,8 @@ Pairs that agree often enough are confirmed on the full sets.
 
 A list is not expanded into all its pairs. First every member meets central members of its lists;
 the confirmed links make components. Members of different components of a list are then compared
-by what they do not share with one central member, a pivot, and what few members have.
+by what they do not share with one central member, a pivot, and what few members have: in a few
+rounds with two members each, then with all whose components are still apart.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ COORDINATES, MATCHES = 64, 38
 SIMILARITY = 80  # per cent
 #: Members outside a component up to which they meet it directly.
 FEW = 16
+#: Rounds in which members meet two of their list before those still apart meet all.
+ROUNDS = 2
 
 _RNG = np.random.default_rng(20_240_601)
 _XOR = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -198,8 +201,8 @@ def _postings(classes: DataFrame) -> DataFrame:
     tokens = classes.select("node", F.posexplode("sig").alias("k", "v")).select(
         "node", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v")).alias("token")
     )
-    tokens = tokens.repartition("token")  # once, for the count and for the join with it
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    tokens = tokens.repartition("token")  # once: the count reads the same columns as the join with it
+    shared = tokens.groupBy("token").agg(F.count("node").alias("n")).where("n > 1")
     lists = tokens.join(shared, "token").groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens")  # COORDINATES at most
     )
@@ -279,17 +282,8 @@ COMPARED = """main long, node long, label long, pivot long, n long, n_pivot long
     differ array<long>"""
 
 
-def _remaining(mixed: DataFrame, sets: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Links with pivots, and the pairs (a, b) of different components still to be compared.
-
-    Let D be what a member does not share with the pivot c, and x a member that is not similar to c.
-    As x and y do not share |Dx| + |Dy| - 2 |Dx & Dy| shingles, they are similar only if
-    18 |Dx & Dy| >= 9 |Dx| - |x| + 9 |Dy| - |y|, where 9 |Dx| - |x| > |c| and 9 |Dy| - |y| >= -|c|.
-    So they share a good part of D, and hence one of its rarest members: D, which holds what few
-    have, is posted by prefix in place of what the whole group has. Members with less than half in
-    common with the pivot meet the others of their lists, and so do members outside a component
-    that has no more than FEW of them: that makes at most FEW pairs for each member of a list.
-    """
+def _against_pivots(mixed: DataFrame, sets: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of lists with few and with many members outside a component, the latter's pivots compared."""
     outside = mixed.where("label != main").groupBy("main").agg(F.count_distinct("node").alias("n"))
     mixed = mixed.join(outside.select("main", (F.col("n") > FEW).alias("many")), "main")
     simple = mixed.where("not many")
@@ -299,11 +293,19 @@ def _remaining(mixed: DataFrame, sets: DataFrame, size: int) -> tuple[DataFrame,
     asked = members.join(pivots.select("main", F.col("p.node").alias("b")), "main")
     of = lambda s, c: sets.select(F.col("node").alias(c), F.col("zip").alias(f"zip_{s}"))
     asked = asked.join(of("a", "node"), "node").join(of("b", "b"), "b")
-    seen = materialize(
-        asked.select("main", "node", "label", "b", "zip_a", "zip_b").mapInArrow(_compared(size), COMPARED)
-    )
-    to_pivot = seen.where("linked and label != main").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    seen = asked.select("main", "node", "label", "b", "zip_a", "zip_b").mapInArrow(_compared(size), COMPARED)
+    return simple, mixed, materialize(seen)
+
 
+def _differences(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(main, shingle, node, label, n, d, left) posted for members unlike the pivot, and for all.
+
+    Let D be what a member does not share with the pivot c, and x a member that is not similar to c.
+    As x and y do not share |Dx| + |Dy| - 2 |Dx & Dy| shingles, they are similar only if
+    18 |Dx & Dy| >= 9 |Dx| - |x| + 9 |Dy| - |y|, where 9 |Dx| - |x| > |c| and 9 |Dy| - |y| >= -|c|.
+    So they share a good part of D, and hence one of its rarest members: D, which holds what few
+    have, is posted by prefix in place of what the whole group has.
+    """
     differing = seen.where("near").select("main", "node", F.explode("differ").alias("shingle"))
     common = differing.groupBy("main", "shingle").agg(F.count("*").alias("k")).where("k > 1")
     ranked = (
@@ -317,31 +319,92 @@ def _remaining(mixed: DataFrame, sets: DataFrame, size: int) -> tuple[DataFrame,
     least_y = F.greatest(F.lit(1), F.floor((F.col("n_pivot") + 9 * F.col("d") - F.col("n")) / 18) + 1)
     least_x = F.greatest(F.lit(1), F.ceil((9 * F.col("d") - F.col("n") - F.col("n_pivot")) / 18))
 
-    def posted(rows: DataFrame, least, name: str) -> DataFrame:
+    def posted(rows: DataFrame, least) -> DataFrame:
         length = F.greatest(F.lit(0), F.col("d") - least + 1 - alone).cast("int")
         prefix = F.posexplode(F.slice("ranked", F.lit(1), length)).alias("place", "r")
         behind = F.col("d") - F.col("alone") - F.col("place") - 1  # members of D after this one
-        return rows.select("main", "node", "label", "n", "d", alone.alias("alone"), prefix).select(
-            "main", F.col("r.shingle").alias("shingle"), F.struct("node", "label", "n", "d", behind.alias("left")).alias(name)
+        rows = rows.select("main", "node", "label", "n", "d", alone.alias("alone"), prefix)
+        return materialize(
+            rows.select("main", F.col("r.shingle").alias("shingle"), "node", "label", "n", "d", behind.alias("left"))
         )
 
-    left, right = posted(ranked.where("not linked"), least_x, "x"), posted(ranked, least_y, "y")
+    return posted(ranked.where("not linked"), least_x), posted(ranked, least_y)
+
+
+def _two_of(rows: DataFrame, by: list[str], salt: int) -> DataFrame:
+    """Of every list the members with the smallest and the largest hash; ``salt`` changes which."""
+    member = F.struct(F.xxhash64("node", F.lit(salt)).alias("__h"), *[c for c in rows.columns if c not in by])
+    ends = rows.groupBy(*by).agg(F.min(member).alias("lo"), F.max(member).alias("hi"))
+    return ends.select(*by, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("m")).select(*by, "m.*").drop("__h")
+
+
+def _apart(
+    posted: tuple[DataFrame, DataFrame], far: DataFrame, placed: DataFrame, few: DataFrame, wider: DataFrame, salt: int | None
+) -> DataFrame:
+    """Pairs (a, b) of a list whose components are not linked so far.
+
+    With a ``salt`` members meet two of their list; without, all that are still apart: by the
+    differences from the pivot, and those far from it (less than half in common) by their lists, as
+    do members outside a component with no more than FEW of them, which makes at most FEW pairs for
+    each member of a list.
+    """
+
+    def now(rows: DataFrame) -> DataFrame:
+        rows = rows.join(wider, "label", "left")
+        return rows.withColumn("label", F.coalesce("wider", "label")).drop("wider")
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("token", F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
+
+    x, y = map(now, posted)
+    far, placed = now(far), now(placed)
+    if salt is not None:
+        y, placed = _two_of(y, ["main", "shingle"], salt), _two_of(far, ["token"], salt)
+    of = lambda rows, s: rows.select("main", "shingle", F.struct("node", "label", "n", "d", "left").alias(s))
     # At the first shingle that both post, what is left behind it bounds what they can share.
     needed = 9 * (F.col("x.d") + F.col("y.d")) - F.col("x.n") - F.col("y.n")
     enough = 18 * (1 + F.least("x.left", "y.left")) >= needed
-    sharing = left.join(right, ["main", "shingle"]).where((F.col("x.label") != F.col("y.label")) & enough)
-    pairs = sharing.select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    ).distinct()
+    sharing = of(x, "x").join(of(y, "y"), ["main", "shingle"]).where((F.col("x.label") != F.col("y.label")) & enough)
+    pairs = sharing.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+    met = side(far, "x").join(side(placed, "y"), "token").where("label_x != label_y")
+    if salt is None:
+        few = now(few)
+        direct = side(few.where("outside"), "x").join(side(few, "y"), "token").where("label_x != label_y")
+        met = met.unionByName(direct)
+    pairs = pairs.unionByName(met.select("x", "y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The components (a, b) that links connect: of the links between two of them one is enough."""
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("label").alias("__l"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce("__l", end)).drop("__l")
+    return links.where("a != b").distinct()
 
-    # Those far from the pivot, against all others of their lists.
-    status = seen.select("main", "node", "near")
-    placed = mixed.join(status, ["main", "node"])
-    side = lambda rows, s: rows.select("token", F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
-    met = side(placed.where("not near"), "x").join(side(placed, "y"), "token").where("label_x != label_y")
-    direct = side(simple.where("label != main"), "x").join(side(simple, "y"), "token").where("label_x != label_y")
-    met = met.unionByName(direct).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return to_pivot, pairs.unionByName(met).distinct()
+
+def _joined(
+    postings: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, size: int
+) -> DataFrame:
+    """(label, wider): components that links between members of one list connect.
+
+    Members are compared with pivots first, then with two members of their list in each of ROUNDS
+    rounds, each of which leaves out what the ones before have linked. Then those that are still
+    apart are all compared, so that no link is lost, but a group of similar members, which the
+    rounds have linked, is not expanded into its pairs.
+    """
+    simple, mixed, seen = _against_pivots(_mixed(postings, labels), sets, size)
+    posted = _differences(seen)
+    placed = materialize(mixed.join(seen.select("main", "node", "near"), ["main", "node"]))
+    few = simple.withColumn("outside", F.col("label") != F.col("main"))
+    linked = seen.where("linked and label != main").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    edges = materialize(_between(linked, labels))
+    for salt in (*range(ROUNDS), None):
+        wider = components(edges, "a", "b").select(F.col("node").alias("label"), F.col("label").alias("wider"))
+        pairs = _apart(posted, placed.where("not near"), placed, few, wider, salt)
+        found = _confirmed(_agreeing(pairs, classes), sets, size)
+        edges = materialize(edges.unionByName(_between(found, labels)).distinct())
+    return components(edges, "a", "b").select(F.col("node").alias("label"), F.col("label").alias("wider"))
 
 
 def near_duplicates(documents: DataFrame, key: str, text: str, size: int = 2) -> DataFrame:
@@ -380,15 +443,8 @@ def near_duplicates(documents: DataFrame, key: str, text: str, size: int = 2) ->
     links = materialize(_confirmed(_agreeing(_meetings(postings, centres, 2), classes), sets, size))
     labels = components(links, "a", "b")
     # Then members of different components of one list, so that no link is missed.
-    to_pivot, pairs = _remaining(_mixed(postings, labels), sets, size)
-    more = _confirmed(_agreeing(pairs, classes), sets, size).unionByName(to_pivot)
-    # Components are linked as wholes: of the links between two of them one is enough.
-    for end in ("a", "b"):
-        of = labels.select(F.col("node").alias(end), F.col("label").alias("__l"))
-        more = more.join(of, end, "left").withColumn(end, F.coalesce("__l", end)).drop("__l")
-    merged = components(more.where("a != b").distinct(), "a", "b")
+    wider = _joined(postings, labels, classes, sets, size)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    wider = merged.select(F.col("node").alias("label"), F.col("label").alias("wider"))
     named = named.join(wider, "label", "left").select(
         "node", "proof", "first", F.coalesce("wider", "label").alias("label")
     )
