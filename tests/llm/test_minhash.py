@@ -55,6 +55,23 @@ def test_a_hot_group_of_near_copies(spark, monkeypatch, few):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == groups(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_families_beside_a_hot_group(spark, monkeypatch, rounds):
+    """Families that share most of a hot group's words, found with and without rounds before the last step."""
+    monkeypatch.setattr(minhash, "FEW", 0)
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(150):
+        family = i % 5
+        words = base + [f"f{family}_{k}" for k in range(60 * (family > 0))]
+        for k in range(i % 12):
+            words[(i * 37 + k * 11) % len(words)] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == groups(rows)
+
+
 def test_repeated_rows_null_keys_and_nothing(spark, nothing):
     assert minhash.near_duplicates(nothing, "doc_id", "text").collect() == []
     rows = [(3, "a b c"), (3, "a b c"), (None, "a b c"), (5, "A b  c"), (None, None), (7, None), (8, "")]
