@@ -9,6 +9,7 @@ makes one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,37 +77,40 @@ def sparse_rows(df: DataFrame, key: str, columns: Sequence[str], entries: DataFr
     The columns' values lie one after the other in the order of ``columns``. ``unknown`` says what becomes of
     rows with a null or a value that ``entries`` (of :func:`dictionary`) lacks: ``keep`` gives the value no
     position, ``skip`` leaves the row out, ``error`` fails the job. Rows of equal keys and rows that repeat
-    stay as many rows as they are. A small dictionary is sent to the rows; for a large one rows of one
-    value are dealt out to parts, as a value may have a large share of the rows.
+    stay as many rows as they are. A column's values are looked up by one join: a small dictionary is sent to
+    the rows; for a large one rows of one value are dealt out to parts, as a value may have a large share of
+    the rows. Each large column reads ``df`` once more, which should be stored then.
     """
     if unknown not in ("keep", "skip", "error"):
         raise ValueError(f"unknown policy: {unknown!r}")
-    sizes = {r["column"]: r["size"] for r in entries.groupBy("column").agg(F.max("size").alias("size")).collect()}
-    start, starts = 0, []
-    for c in columns:  # a number per column
-        starts.append(F.struct(F.lit(c).alias("column"), F.lit(start).cast("long").alias("start")))
-        start += sizes.get(c, 0)
-    first = F.filter(F.array(*starts), lambda s: s["column"] == F.col("column"))[0]["start"]
-    right = entries.where(F.col("column").isin(*columns)).select(
-        F.struct("column", "value").alias("_entry"), (first + F.col("index")).alias("_position")
+    extents = entries.groupBy("column").agg(
+        F.max("size").alias("size"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes")
     )
-    left = df.select(_col(key).alias("_key"), _entries(columns).alias("_row"), F.spark_partition_id().alias("_read"))
-    left = left.select("_key", "_row", "_read", F.explode("_row").alias("_entry"))
-    extent = entries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes")).first()
-    if extent["n"] <= SMALL_ENTRIES and (extent["bytes"] or 0) <= SMALL_BYTES:
-        found = left.join(F.broadcast(right), "_entry", "left")
-    else:
-        found = skew.lookup(left, right, "_entry", "_key")
-    # Rows of a partition that are alike in key and values meet in one group, which stands for all of them.
-    rows = found.groupBy("_key", "_row", "_read").agg(
-        F.array_sort(F.collect_set("_position")).alias("positions"),
-        F.count_if(F.col("_position").isNull()).alias("_lost"),
-        (F.count(F.lit(1)) / len(columns)).cast("int").alias("_alike"),
-    )
-    rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_alike"))))
+    extents = {r["column"]: r for r in extents.collect()}  # a row per column
+    start, starts = 0, {}
+    for c in columns:
+        starts.setdefault(c, start)
+        start += extents[c]["size"] if c in extents else 0
+    rows = df.select(_col(key).alias("_key"), *[_col(c).cast("string").alias(f"_value{i}") for i, c in enumerate(columns)])
+    # Small dictionaries first: what is dealt out for a large one then holds their positions, not their values.
+    sizes = {i: (extents[c]["n"], extents[c]["bytes"] or 0) if c in extents else (0, 0) for i, c in enumerate(columns)}
+    found, sent, sent_bytes = rows, 0, 0
+    for i in sorted(sizes, key=sizes.get):
+        right = entries.where(F.col("column") == columns[i]).select(
+            F.col("value").alias(f"_value{i}"), (F.col("index") + starts[columns[i]]).cast("long").alias(f"_at{i}")
+        )
+        if sent + sizes[i][0] <= SMALL_ENTRIES and sent_bytes + sizes[i][1] <= SMALL_BYTES:
+            sent, sent_bytes = sent + sizes[i][0], sent_bytes + sizes[i][1]
+            found = found.join(F.broadcast(right), f"_value{i}", "left")
+        else:
+            found = skew.lookup(found, right, f"_value{i}", "_key", rows)
+        found = found.drop(f"_value{i}")
+    places = [F.col(f"_at{i}") for i in range(len(columns))]
+    lost = reduce(lambda a, b: a | b, [p.isNull() for p in places], F.lit(False))
+    rows = found.select("_key", lost.alias("_lost"), F.array_sort(F.array_distinct(F.array_compact(F.array(*places)))).alias("positions"))
     if unknown == "skip":
-        rows = rows.where("_lost = 0")
+        rows = rows.where("not _lost")
     elif unknown == "error":
         message = F.lit("a row holds a null or a value that the dictionary lacks")
-        rows = rows.where(F.when(F.col("_lost") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+        rows = rows.where(F.when(F.col("_lost"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
     return rows.select(F.col("_key").alias(key), F.lit(start).cast("long").alias("size"), "positions")

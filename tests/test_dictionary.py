@@ -93,3 +93,13 @@ def test_a_million_values(spark):
     sparse = D.sparse_rows(many, "pid", ["s"], entries)
     wrong = F.col("positions")[0] != F.when(F.col("pid").cast("long") < n, F.col("pid").cast("long")).otherwise(5)
     assert sparse.agg(F.count("*"), F.count_if(wrong)).first()[:] == (2 * n, 0)
+
+
+def test_large_dictionaries_are_joined_column_by_column(rows, monkeypatch):
+    """A row is not taken apart into its values, each with the whole row beside it, and gathered again."""
+    entries = D.dictionary(rows, ["s", "n.1"])
+    small = sorted(tuple(r) for r in D.sparse_rows(rows, "pid", ["s", "n.1"], entries).collect())
+    monkeypatch.setattr(D, "SMALL_ENTRIES", 0)
+    large = D.sparse_rows(rows, "pid", ["s", "n.1"], entries)
+    assert sorted(tuple(r) for r in large.collect()) == small
+    assert "collect_set" not in large._jdf.queryExecution().optimizedPlan().toString()

@@ -319,7 +319,7 @@ def category_dictionary(spark, sf_dir):
 )
 def category_sparse_rows(spark, sf_dir):
     """Where the one-hot vector of every statement over all values of three columns holds a 1."""
-    rows = _categories(spark, sf_dir)
+    rows = materialize(_categories(spark, sf_dir))
     sparse = dictionary.sparse_rows(rows, "id", CATEGORIES, dictionary.dictionary(rows, CATEGORIES))
     return sparse.withColumn("positions", F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))))
 
