@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortweave.functions.expressions import day_bucket, days_after, days_before, months_before
-from cohortweave.operators.skew import part_bit, part_of, parts_in
+from cohortweave.operators.skew import dealt, hot_keys, repeated
 
 # Fixed value: type of an encounter that counts as a readmission.
 UNPLANNED = "unplanned"
@@ -48,7 +48,7 @@ def readmission(
     Buckets are ``days`` wide. Within one bucket two moments are always closer
     than ``days``, so only the order matters; in the neighbouring bucket only the
     distance does. One extreme each decides. The rows that ask about a bucket are
-    joined in up to 63 parts, so a crowded bucket is not one task.
+    joined in up to 63 parts of a crowded subject, so a crowded bucket is not one task.
 
     With ``within``, only encounters for which it is true are compared; the others
     get 0.0. ``source`` may name the same encounters where they are cheaper to read
@@ -66,35 +66,37 @@ def readmission(
         )
     if within is not None:
         hit = hit & within
-    none, no_bit = F.lit(None).cast(encounters.schema["start"].dataType), F.lit(None).cast("long")
+    none = F.lit(None).cast(encounters.schema["start"].dataType)
     participates = F.lit(True) if within is None else within
     if kind == 1:
         participates = participates & (F.col("type") == UNPLANNED)
 
-    def entry(bucket: Column, same: Column, other: Column, bit: Column) -> Column:
-        return F.struct(bucket.alias("bucket"), same.alias("same"), other.alias("other"), bit.alias("bit"))
+    def entry(bucket: Column, same: Column, other: Column, asks: bool = False) -> Column:
+        return F.struct(bucket.alias("bucket"), same.alias("same"), other.alias("other"), F.lit(asks).alias("asks"))
 
     at = day_bucket(moment, days)
     entries = F.array(
-        entry(day_bucket(probe, days), none, none, part_bit(F.col("encounter"))),
-        F.when(participates, entry(at, moment, none, no_bit)),
-        F.when(participates, entry(at + shift, none, moment, no_bit)),
+        entry(day_bucket(probe, days), none, none, True),
+        F.when(participates, entry(at, moment, none)),
+        F.when(participates, entry(at + shift, none, moment)),
     )
-    # One row per bucket that is asked about, and per part of the rows that ask.
+    # One row per bucket that is asked about; of a crowded subject, per part of the rows that ask.
+    read = encounters if source is None else source
+    hot = hot_keys(read, "subject", "encounter")
     extremes = (
-        (encounters if source is None else source)
+        read
         .select("subject", F.explode(entries).alias("e"))
         .filter("e is not null")
         .select("subject", "e.*")
         .groupBy("subject", "bucket")
-        .agg(same.alias("same"), other.alias("other"), F.bit_or("bit").alias("bits"))
-        .filter("bits is not null")
-        .select("subject", "bucket", "same", "other", F.explode(parts_in(F.col("bits"))).alias("part"))
+        .agg(same.alias("same"), other.alias("other"), F.max("asks").alias("asks"))
+        .filter("asks")
+        .drop("asks")
     )
     columns = encounters.columns
     return (
-        encounters.withColumns({"bucket": day_bucket(probe, days), "part": part_of(F.col("encounter"))})
-        .join(extremes, ["subject", "bucket", "part"], "left")
+        dealt(encounters.withColumn("bucket", day_bucket(probe, days)), hot, "subject", "encounter", "part")
+        .join(repeated(extremes, hot, "subject", "part"), ["subject", "bucket", "part"], "left")
         .select(*columns, _flag(F.coalesce(hit, F.lit(False))).alias(name))
     )
 
@@ -126,7 +128,7 @@ def _timeline(encounters: DataFrame, counted: Sequence[tuple[int, Column]]) -> D
     """
     kind = encounters.schema["start"].dataType
     day = F.col("start").cast("date")
-    row = F.struct(*encounters.columns)
+    row = F.struct(*[c for c in encounters.columns if c not in ("subject", "start")])  # these are beside it
     asks = encounters.select(
         "subject",
         "start",
@@ -193,14 +195,15 @@ def hospitalization_counts(
     totals = timeline if source is None else _timeline(source, compared).withColumn("bucket", bucket)
 
     # Value at the start of every bucket: sums per bucket, then a running sum over
-    # a subject's buckets, of which there are no more than days in the data.
+    # a subject's buckets, of which there are no more than days in the data. Only
+    # buckets in which a row asks need it.
     before = Window.partitionBy("subject").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first_moment = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("bucket") * bucket_days).cast("int"))
     carried = (
         totals.groupBy("subject", "bucket")
-        .agg(*[F.sum(c).alias(c) for c in changes])
-        .select("subject", "bucket", *[F.sum(c).over(before).alias(c) for c in changes])
-        .filter(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in changes]))
+        .agg(*[F.sum(c).alias(c) for c in changes], F.bool_or(F.col("row").isNotNull()).alias("asked"))
+        .select("subject", "bucket", "asked", *[F.sum(c).over(before).alias(c) for c in changes])
+        .filter(F.col("asked") & reduce(lambda a, b: a | b, [F.col(c) != 0 for c in changes]))
     )
     no_row = F.lit(None).cast(timeline.schema["row"].dataType)
     openings = carried.select("subject", first_moment.cast(kind).alias("t"), *changes, no_row.alias("row"), "bucket")
@@ -216,9 +219,9 @@ def hospitalization_counts(
     ]
     return (
         timeline.unionByName(openings)
-        .select("row", *counts)
+        .select("subject", "t", "row", *counts)
         .filter("row is not null")
-        .select("row.*", *[f"_{c}" for c in changes])
+        .select("subject", F.col("t").alias("start"), "row.*", *[f"_{c}" for c in changes])
         .select(*columns, *values)
     )
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # A set of parts is kept in the bits of one long, without its sign.
 BITS = 63
+#: A key with so many rows is hot. There are at most as many hot keys as rows by this number.
+HOT_ROWS = 10_000
 
 
 def part_of(row_id: Column) -> Column:
@@ -34,12 +36,28 @@ def parts_in(bits: Column) -> Column:
     return F.when(F.bit_count(bits) == 1, only).otherwise(several)
 
 
+def hot_keys(rows: DataFrame, key: str, row_id: str) -> DataFrame:
+    """``key`` and ``_bits``, the parts its rows fall into, of keys with at least HOT_ROWS rows; sent to all executors."""
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.bit_or(part_bit(F.col(row_id))).alias("_bits"))
+    return F.broadcast(counted.filter(F.col(key).isNotNull() & (F.col("_n") >= HOT_ROWS)).drop("_n"))
+
+
+def dealt(rows: DataFrame, hot: DataFrame, key: str, row_id: str, part: str = "_part") -> DataFrame:
+    """``rows`` with their part: 0, but for rows of a hot key or of none, which are dealt out."""
+    own = F.when(F.col("_bits").isNotNull() | F.col(key).isNull(), part_of(F.col(row_id))).otherwise(0)
+    return rows.join(hot, key, "left").withColumn(part, own).drop("_bits")
+
+
+def repeated(looked_up: DataFrame, hot: DataFrame, key: str, part: str = "_part") -> DataFrame:
+    """``looked_up`` once for each part that :func:`dealt` gives to the rows of its key."""
+    parts = F.when(F.col("_bits").isNull(), F.array(F.lit(0))).otherwise(parts_in(F.col("_bits")))
+    return looked_up.join(hot, key, "left").withColumn(part, F.explode(parts)).drop("_bits")
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, source: DataFrame | None = None) -> DataFrame:
-    """Left join to ``right``, which has one row per key, in up to 63 parts of each key.
+    """Left join to ``right``, which has one row per key, in up to 63 parts of each hot key.
 
     ``source`` may name the rows of ``left`` where they are cheaper to read again.
     """
-    rows = left if source is None else source
-    asked = rows.groupBy(key).agg(F.bit_or(part_bit(F.col(row_id))).alias("_bits"))
-    spread = right.join(asked, key).withColumn("_part", F.explode(parts_in(F.col("_bits")))).drop("_bits")
-    return left.withColumn("_part", part_of(F.col(row_id))).join(spread, [key, "_part"], "left").drop("_part")
+    hot = hot_keys(left if source is None else source, key, row_id)
+    return dealt(left, hot, key, row_id).join(repeated(right, hot, key), [key, "_part"], "left").drop("_part")

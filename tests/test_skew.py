@@ -45,3 +45,15 @@ def test_every_single_part_is_found(spark):
         F.col("id").cast("int").alias("n"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("id").cast("int")).alias("bits")
     )
     assert sets.filter(skew.parts_in(F.col("bits")) != F.array("n")).count() == 0
+
+
+def test_only_hot_keys_are_repeated(spark, monkeypatch):
+    """What keys with few rows look up is there once, not once for each of their rows."""
+    left = rows(spark)
+    right = left.groupBy("key").agg(F.count("*").alias("n"))
+    parts = lambda: skew.repeated(right, skew.hot_keys(left, "key", "row"), "key").groupBy("key").count()
+    assert parts().filter("count > 1").isEmpty()
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    assert [r["key"] for r in parts().filter("count > 1").collect()] == ["hot"]
+    plain, spread = left.join(right, "key", "left"), skew.lookup(left, right, "key", "row")
+    assert plain.exceptAll(spread).count() == spread.exceptAll(plain).count() == 0

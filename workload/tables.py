@@ -96,8 +96,9 @@ def encounters(spark: SparkSession, sf_dir: str) -> ResourceTable:
 def _statements(spark: SparkSession, sf_dir: str, name: str, code: str) -> ResourceTable:
     lineitem, orders, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     df = (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        # Parts first, so that the lines of an order leave the last join side by side.
+        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
             F.concat(F.lit("Patient/"), _text("o_custkey")).alias("patient"),
