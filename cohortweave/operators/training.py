@@ -21,7 +21,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -256,6 +256,71 @@ def _prepared(features: PipelineModel, rows: DataFrame) -> DataFrame:
     return features.transform(rows).select("features", "label").persist()
 
 
+#: Longest feature vector whose equal rows are gathered.
+WIDEST_GATHERED = 512
+
+
+def _bins(rows: DataFrame, size: int, most: int) -> list[list[float]]:
+    """For each feature at most ``most`` values that stand for all: its own if they are that few, else quantiles."""
+    if rows.isEmpty():
+        return [[] for _ in range(size)]
+    value = [F.get("x", F.lit(j)) for j in range(size)]
+    shares = F.array(*[F.lit((k + 0.5) / most) for k in range(most)])
+    told = rows.agg(
+        *[F.percentile_approx(v, shares, 10000).alias(f"q{j}") for j, v in enumerate(value)],
+        *[F.approx_count_distinct(v).alias(f"n{j}") for j, v in enumerate(value)],
+    ).first()
+    few = [j for j in range(size) if told[f"n{j}"] <= 2 * most]  # the count is approximate
+    own = rows.agg(F.lit(0).alias("_"), *[F.collect_set(value[j]).alias(f"v{j}") for j in few]).first()
+    return [
+        sorted(own[f"v{j}"]) if j in few and len(own[f"v{j}"]) <= most else sorted(set(told[f"q{j}"])) for j in range(size)
+    ]  # one list of at most ``most`` numbers per feature
+
+
+def gathered(rows: DataFrame, most: int) -> DataFrame:
+    """``rows(features, label)`` in the bins of trees, with equal ones as one: ``features, label, weight``.
+
+    A tree tells at most ``most`` values of a feature apart. Each value moves to the nearest of those that
+    :func:`_bins` gives, so the splits that MLlib then considers, midway between them, send a value and what
+    stands for it the same way, in training and in prediction. The passes of a fit go over as many rows as
+    there are distinct ones, however many rows there are.
+    """
+    long = rows.select(vector_to_array("features").alias("x"), "label")
+    first = long.first()
+    if first is None or len(first["x"]) > WIDEST_GATHERED:
+        return rows.withColumn("weight", F.lit(1.0))
+    values = _bins(long, len(first["x"]), most)
+
+    def nearest(j: int, kept: list[float]) -> Column:
+        x = F.get("x", F.lit(j))
+        edges = [F.lit((low + high) / 2) for low, high in zip(kept, kept[1:])]
+        return F.get(F.array(*[F.lit(v) for v in kept]), F.size(F.filter(F.array(*edges), lambda e: e < x)) if edges else F.lit(0))
+
+    moved = [nearest(j, kept) for j, kept in enumerate(values)]
+    equal = long.select(F.array(*moved).alias("x"), "label").groupBy("x", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return equal.select(array_to_vector("x").alias("features"), "label", "weight")
+
+
+#: Whose fit on weighted rows is that on the rows themselves; a forest draws rows one by one.
+GATHERED = (DecisionTreeClassifier, GBTClassifier)
+
+
+def fit_points(estimator, rows: DataFrame, points: Sequence[dict]) -> list:
+    """The classifier fitted on ``rows(features, label)``, in few tasks, at each of the points.
+
+    Trees of more rows than one task passes over are fitted on :func:`gathered` rows.
+    """
+    if not isinstance(estimator, GATHERED) or rows.count() <= ROWS_PER_TASK:
+        return [estimator.fit(rows, point) for point in points]
+    weighted = gathered(rows, estimator.getMaxBins()).persist()
+    try:
+        passes = in_few_tasks(weighted)
+        weighing = estimator.copy().setWeightCol("weight")
+        return [weighing.fit(passes, point) for point in points]
+    finally:
+        weighted.unpersist()
+
+
 def shares_features(a: Algorithm, b: Algorithm) -> bool:
     """Whether two algorithms see the same features and folds."""
     return all(a.tuning(name) == b.tuning(name) for name in ("handle_invalid", "imputation_strategy", "num_folds"))
@@ -283,15 +348,14 @@ def cross_validate(
         features = Pipeline(stages=feature_stages(featureset, algorithms[0])).fit(inside)
         fitting, validating = _prepared(features, inside), _prepared(features, outside)
 
-        def score(entry: tuple[int, dict], fitting=in_few_tasks(fitting), validating=in_few_tasks(validating)) -> float:
-            i, point = entry
-            model = estimators[i].fit(fitting, point)
-            return _evaluator(algorithms[i]).evaluate(model.transform(validating))
+        def score(i: int, fitting=in_few_tasks(fitting), validating=in_few_tasks(validating)) -> list[float]:
+            models = fit_points(estimators[i], fitting, grids[i])
+            return [_evaluator(algorithms[i]).evaluate(model.transform(validating)) for model in models]
 
         try:
             with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
-                for k, metric in enumerate(pool.map(score, points)):
-                    metrics[k] += metric / folds
+                found = [metric for each in pool.map(score, range(len(algorithms))) for metric in each]
+            metrics = [total + metric / folds for total, metric in zip(metrics, found, strict=True)]
         finally:
             fitting.unpersist()
             validating.unpersist()
@@ -320,7 +384,7 @@ def train(training: DataFrame, featureset: Featureset, algorithms: Sequence[Algo
     try:
         with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
             passes = in_few_tasks(prepared)
-            models = list(pool.map(lambda i: estimators[i].fit(passes, best[i]), range(len(algorithms))))
+            models = list(pool.map(lambda i: fit_points(estimators[i], passes, [best[i]])[0], range(len(algorithms))))
     finally:
         prepared.unpersist()
     return [PipelineModel(stages=[*features.stages, model]) for model in models]
@@ -340,14 +404,14 @@ def fit_best(sets: DataFrame, algorithm: Algorithm):
         for n in range(int(algorithm.tuning("num_folds"))):
             fold = sets.filter(F.col("set") == n).persist()
             inside, outside = (in_few_tasks(fold.filter(c).select("features", "label").persist()) for c in ("not validating", "validating"))
-            for k, point in enumerate(grid):
-                metrics[k] += _evaluator(algorithm).evaluate(estimator.fit(inside, point).transform(outside))
+            for k, model in enumerate(fit_points(estimator, inside, grid)):
+                metrics[k] += _evaluator(algorithm).evaluate(model.transform(outside))
             for held in (fold, inside, outside):
                 held.unpersist()
         best = grid[metrics.index(max(metrics))]
     whole = sets.filter("set = -1 and not validating").select("features", "label").persist()
     try:
-        return estimator.fit(in_few_tasks(whole), best)
+        return fit_points(estimator, in_few_tasks(whole), [best])[0]
     finally:
         whole.unpersist()
 

@@ -230,3 +230,19 @@ def test_balanced_votes_are_the_negative_class(spark, run):
     """Weights 0.1, 0.2 and 0.3 with votes +, +, -: 0.1 + 0.2 - 0.3 is not quite 0 in doubles."""
     votes = spark.createDataFrame([(0.1 + 0.2 - 0.3,), (0.1,), (-0.1,)], "v double")
     assert [r[0] for r in votes.select(vote_class(F.col("v"))).collect()] == [0.0, 1.0, 0.0]
+
+
+def test_trees_pass_over_distinct_rows(spark):
+    """Equal rows are one with a weight; the split of a value is that of what stands for it."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.range(60_000).select(
+        array_to_vector(F.array((F.col("id") % 1000).cast("double"), (F.col("id") % 3).cast("double"))).alias("features"),
+        F.when(F.col("id") % 1000 > 612, 1.0).otherwise(0.0).alias("label"),
+    )
+    equal = T.gathered(rows, 32)
+    assert equal.count() <= 32 * 3 * 2 and equal.agg(F.sum("weight")).first()[0] == 60_000
+    assert T.gathered(rows.limit(0), 32).count() == 0
+    model = T.fit_points(T.GBTClassifier(maxIter=5), rows, [{}])[0]
+    right = model.transform(rows).filter(F.col("prediction") == F.col("label")).count()
+    assert right > 0.97 * 60_000
