@@ -439,12 +439,12 @@ class _Scorer:
         return _logistic(of_class[:, 1] - of_class[:, 0])
 
 
-def predict(rows: DataFrame, features: DataFrame, models: DataFrame, featureset: Featureset, policy: str = "keep") -> DataFrame:
+def predict(rows: DataFrame, features: DataFrame, models: DataFrame, featureset: Featureset, policy: str = "keep", own: bool = False) -> DataFrame:
     """Every row scored by every model: ``rows``, model_site, algorithm, prediction, negative, positive.
 
     As MLlib predicts: class 1 above a probability of one half, or the model's threshold. ``features``
     are :func:`fit_features` of the sites' whole training rows; each row gets the features of every site
-    once, whatever the number of that site's models. All models are one plan without a shuffle: they
+    once, whatever the number of that site's models; with ``own``, of its own site only. All models are one plan without a shuffle: they
     are handed to the tasks, a row for each site and algorithm, and score a batch of records at a time.
     Columns of ``rows`` may have any names but those added and ``_fit`` and ``_features``.
     """
@@ -454,7 +454,7 @@ def predict(rows: DataFrame, features: DataFrame, models: DataFrame, featureset:
     fitted = features.filter((F.col("set") == WHOLE) & F.col("site").isin(list(of_site)))
     sites = fitted.select(F.col("site").alias("model_site"), F.struct("fills", "categories", "low", "high").alias("_fit"))
     named = F.explode(F.array(*[F.lit(s) for s in sorted(of_site)]).cast("array<string>"))
-    joined = rows.withColumn("model_site", named).join(sites, "model_site")
+    joined = rows.withColumn("model_site", F.col("site") if own else named).join(sites, "model_site")
     vector = joined.withColumn("_features", feature_vector(featureset, policy, "_fit."))
     kept = vector.select(*rows.columns, "model_site", "_features").filter("_features is not null")
     made = "algorithm string, prediction double, negative double, positive double"

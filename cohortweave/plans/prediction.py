@@ -101,11 +101,14 @@ class ModelTable:
     models: DataFrame
     errors: Sequence[tuple[str, str, str]]  # site, algorithm, message
 
-    def predictions(self, rows: DataFrame) -> DataFrame:
-        """The long prediction table of all models on labelled rows, in one plan; see :func:`model_predictions`."""
+    def predictions(self, rows: DataFrame, own: bool = False) -> DataFrame:
+        """The long prediction table of all models on labelled rows, in one plan; see :func:`model_predictions`.
+
+        With ``own`` rows are scored only by the models of their own site.
+        """
         used = [v.column for v in self.featureset.independent]
         wanted = rows.select("site", "pid", "label", *[F.col(f"`{c}`") for c in used if c not in ("site", "pid", "label")])
-        long = M.predict(wanted, self.features, self.models, self.featureset, self.policy)
+        long = M.predict(wanted, self.features, self.models, self.featureset, self.policy, own)
         return long.select(
             "site", "model_site", "algorithm", "pid", "label", "prediction", "negative", "positive",
             (F.col("site") == F.col("model_site")).alias("own"),

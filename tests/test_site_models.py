@@ -246,3 +246,15 @@ def test_curves_of_one_class_and_of_nothing(spark):
     areas = {r.g: (r.auroc, r.aupr) for r in E.curve_areas(E.score_curve(df, ["g"]), ["g"]).collect()}
     assert areas == {"p": (1.0, 1.0), "n": (0.0, 0.0)}
     assert E.curve_areas(E.score_curve(df.limit(0), ["g"]), ["g"]).collect() == []
+
+
+def test_own_models_only(whole, featured):
+    """Asked for the models of a row's own site, those of others do not score it."""
+    sets, fitted = whole
+    training = featured.filter((F.col("set") == S.WHOLE) & ~F.col("validating"))
+    models = S.model_rows(S.naive_bayes(S.class_statistics(training)).withColumn("algorithm", F.lit("bayes")))
+    plain = sets.filter(F.col("set") == S.WHOLE).drop("set", "validating")
+    every = S.predict(plain, fitted, models, FEATURES).filter("site = model_site")
+    own = S.predict(plain, fitted, models, FEATURES, own=True)
+    assert own.count() == every.count() > 0
+    assert own.exceptAll(every).count() == every.exceptAll(own).count() == 0
