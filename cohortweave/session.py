@@ -70,14 +70,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder(context.applicationId)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     For tables that a plan would otherwise compute several times. The copy outlives
-    lost executors, and later steps read only the columns they need.
+    lost executors, and later steps read only the columns they need. ``options`` are those of
+    the Parquet writer.
     """
     path = f"{shared_dir(df.sparkSession)}/intermediate/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from cohortweave.session import materialize
 
 PAGE_SCHEMA = "entry array<string>, link array<struct<relation: string, url: string>>, total bigint"
+# Entries that are objects can be counted without a copy of their text; others make the list null or have a null in it.
+_OBJECTS = "entry array<struct<request: struct<method: string>>>, link array<struct<relation: string, url: string>>, total bigint"
 
 
 def _link(relation: str) -> Column:
@@ -26,6 +28,12 @@ def _address(column: str) -> Column:
     return F.get(F.filter(F.from_json(column, PAGE_SCHEMA)["link"], lambda x: x["relation"] == "self"), 0)["url"]
 
 
+def _counted(column: str) -> Column:
+    """The number of a page's entries, whatever they are, its links and total."""
+    page = F.from_json(column, PAGE_SCHEMA)
+    return F.struct(F.coalesce(F.size(page["entry"]), F.lit(0)).alias("entries"), page["link"].alias("link"), page["total"].alias("total"))
+
+
 def page_chains(bundles: DataFrame, column: str = "value") -> DataFrame:
     """A row per address: ``page``, ``next``, ``chain`` (its first page), ``position``, ``entries``, ``total``,
     ``copies`` (bundles of that address), ``missing`` (the next page is not there).
@@ -34,10 +42,11 @@ def page_chains(bundles: DataFrame, column: str = "value") -> DataFrame:
     several pages that name one as their next the smallest address counts. Bundles without an address
     of their own are single, not pages, and have no row; nor have texts that are no bundles.
     """
-    pages = bundles.select(F.from_json(column, PAGE_SCHEMA).alias("p")).select(
-        _link("self").alias("page"), _link("next").alias("next"), F.coalesce(F.size("p.entry"), F.lit(0)).alias("entries"),
-        "p.total",
-    )
+    told = bundles.select(F.col(column).alias("_text"), F.from_json(column, _OBJECTS).alias("o"))
+    objects = F.coalesce(F.forall("o.entry", lambda e: e.isNotNull()), F.lit(False))
+    pages = told.select(F.when(objects, F.struct(F.size("o.entry").alias("entries"), "o.link", "o.total")).otherwise(_counted("_text")).alias("p")).select(
+        _link("self").alias("page"), _link("next").alias("next"), "p.entries", "p.total"
+    )
     once = pages.where("page is not null").groupBy("page").agg(
         F.min("next").alias("next"), F.sum("entries").alias("entries"), F.max("total").alias("total"),
         F.count(F.lit(1)).alias("copies"),
@@ -93,4 +102,5 @@ def sound_bundles(bundles: DataFrame, chains: DataFrame, column: str = "value")
     """``bundles`` without those of chains that have a problem; single bundles stay."""
     broken = chain_problems(chains).select("chain").distinct()
     pages = chains.join(broken, chains["chain"].eqNullSafe(broken["chain"]), "left_semi").select(F.col("page").alias("_page"))
-    return bundles.withColumn("_page", _address(column)).join(pages, "_page", "left_anti").drop("_page")
+    # Written first, so that Spark knows that they are few and moves no bundles.
+    return bundles.withColumn("_page", _address(column)).join(materialize(pages), "_page", "left_anti").drop("_page")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,102 +21,117 @@ from workload.tables import DEATH, ENC, MED, OBS, PAT, with_sql
 
 
 def _entry(kind: str, id_: Column | None, method: str = "PUT", **fields: Column) -> Column:
-    """An entry of a bundle as JSON text."""
-    named = [F.lit(kind).alias("resourceType")] + ([id_.alias("id")] if id_ is not None else [])
-    resource = F.struct(*named, *[c.alias(n) for n, c in fields.items()])
-    url = F.concat(F.lit(f"{kind}/"), id_ if id_ is not None else F.lit(""))
-    request = F.struct(F.lit(method).alias("method"), url.alias("url"))
-    return F.to_json(F.struct(resource.alias("resource"), request.alias("request")))
+    """An entry of a bundle; nulls are left out of its JSON text."""
+    id_ = F.lit(None).cast("string") if id_ is None else id_
+    resource = F.struct(F.lit(kind).alias("resourceType"), id_.alias("id"), *[c.alias(n) for n, c in fields.items()])
+    request = F.struct(F.lit(method).alias("method"), F.concat(F.lit(f"{kind}/"), F.coalesce(id_, F.lit(""))).alias("url"))
+    return F.struct(resource.alias("resource"), request.alias("request"))
 
 
 def _coded(code: Column) -> Column:
     return F.struct(F.array(F.struct(code.alias("code"))).alias("coding"))
 
 
-def _to(reference: str) -> Column:
-    return F.struct(F.col(reference).alias("reference"))
-
-
-def _text(column: str) -> Column:
-    return F.col(column).cast("string")
-
-
-def _entries(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
-    """By search: entries (``entry``) and the number that deals them out to pages (``number``)."""
+def _searches(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, Column, dict[str, Callable[[Column], list[Column]]]]]:
+    """Rows, the number that deals them out to pages, and by search the entries that are made of a row."""
     flat = tables.resources(spark, sf_dir)
-    patients, encounters = flat["Patient"].df, flat["Encounter"].df
-    number = F.col("id").cast("long")
-
-    def vital(name: str, value: str) -> Column:
-        return _entry(
-            "Observation", F.concat(F.lit(f"{name}-"), "id"), code=_coded(F.lit(name)), subject=_to("ref"),
-            valueQuantity=F.struct(F.col(value).alias("value")),
-        )
+    text = lambda c: c.cast("string")
+    to = lambda c: F.struct(c.alias("reference"))
+
+    def patient(r: Column) -> list[Column]:
+        names = F.array(
+            F.struct(F.lit("segment").alias("system"), r["segment"].alias("value")),
+            F.struct(F.lit("site").alias("system"), r["site"].alias("value")),
+        )
+        return [_entry("Patient", r["id"], identifier=names, address=r["address"])]
+
+    def vitals(r: Column) -> list[Column]:
+        return [
+            _entry(
+                "Observation", F.concat(F.lit(f"{name}-"), r["id"]), code=_coded(F.lit(name)),
+                subject=to(F.concat(F.lit("Patient/"), r["id"])), valueQuantity=F.struct(r[name].alias("value")),
+            )
+            for name in ("age", "balance")
+        ]
+
+    def retired(r: Column) -> list[Column]:
+        """Resources that were deleted, and some without an id."""
+        return [_entry("Patient", F.concat(F.lit("gone-"), r["id"]), "DELETE"), _entry("Patient", None)]
+
+    def observation(r: Column) -> list[Column]:
+        value = F.struct(r["value"].alias("value"))
+        return [_entry("Observation", r["id"], code=_coded(r["code"]), subject=to(r["patient"]), effectiveDateTime=text(r["date"]), valueQuantity=value)]
+
+    def encounter(r: Column) -> list[Column]:
+        period = F.struct(text(r["period_start"]).alias("start"), text(r["period_end"]).alias("end"))
+        return [_entry("Encounter", r["id"], subject=to(r["patient"]), type=F.array(_coded(r["kind"])), period=period)]
+
+    def statement(kind: str, value: str, code: str, context: str, date: str) -> Callable[[Column], list[Column]]:
+        def made(r: Column) -> list[Column]:
+            told = tables.statement_columns(r.getField)
+            fields = {code: _coded(r[value]), "subject": to(told["patient"]), context: to(told["context"]), date: text(told["date"])}
+            return [_entry(kind, told["id"], **fields)]
+
+        return made
 
-    names = F.array(
-        F.struct(F.lit("segment").alias("system"), F.col("segment").alias("value")),
-        F.struct(F.lit("site").alias("system"), F.col("site").alias("value")),
-    )
+    number = F.col("id").cast("long")
     statements = {
-        "MedicationStatement": ("medicationCodeableConcept", "context", "effectiveDateTime"),
-        "Condition": ("code", "encounter", "onsetDateTime"),
+        "MedicationStatement": statement("MedicationStatement", "p_brand", "medicationCodeableConcept", "context", "effectiveDateTime"),
+        "Condition": statement("Condition", "p_type", "code", "encounter", "onsetDateTime"),
     }
-    observed = flat["Observation"].df.select(
-        _entry(
-            "Observation", F.col("id"), code=_coded(F.col("code")), subject=_to("patient"),
-            effectiveDateTime=_text("date"), valueQuantity=F.struct("value"),
-        ).alias("entry"),
-        # A death is named by its patient.
-        F.regexp_extract("id", "[0-9]+", 0).cast("long").alias("number"),
-    )
-    found = [
-        ("Patient", patients.select(_entry("Patient", F.col("id"), identifier=names, address=F.col("address")).alias("entry"), number.alias("number"))),
-        ("Observation?vital", patients.select(F.explode(F.array(vital("age", "age"), vital("balance", "balance"))).alias("entry"), number.alias("number"))),
-        ("Observation", observed),
+    return [
         (
-            "Encounter",
-            encounters.select(
-                _entry(
-                    "Encounter", F.col("id"), subject=_to("patient"), type=F.array(_coded(F.col("kind"))),
-                    period=F.struct(_text("period_start").alias("start"), _text("period_end").alias("end")),
-                ).alias("entry"),
-                number.alias("number"),
-            ),
+            flat["Patient"].df.select("id", "segment", "site", "address", "age", "balance"), number,
+            {"Patient": patient, "Observation?vital": vitals, "Patient?retired": retired},
         ),
-        # Resources that were deleted, and some without an id.
+        # A death is named by its patient.
         (
-            "Patient?retired",
-            patients.select(
-                F.explode(F.array(_entry("Patient", F.concat(F.lit("gone-"), "id"), "DELETE"), _entry("Patient", None))).alias("entry"),
-                number.alias("number"),
-            ),
+            flat["Observation"].df.select("id", "patient", "code", "date", "value"), F.regexp_extract("id", "[0-9]+", 0).cast("long"),
+            {"Observation": observation},
         ),
+        (flat["Encounter"].df.select("id", "patient", "kind", "period_start", "period_end"), number, {"Encounter": encounter}),
+        (tables.statement_lines(spark, sf_dir), F.col("l_orderkey").cast("long"), statements),
     ]
-    for kind, (code, context, date) in statements.items():
-        fields = {code: _coded(F.col("code")), "subject": _to("patient"), context: _to("context"), date: _text("date")}
-        order = F.substring_index("context", "/", -1).cast("long")
-        found.append((kind, flat[kind].df.select(_entry(kind, F.col("id"), **fields).alias("entry"), order.alias("number"))))
-    return found
+
+
+def _filled(rows: DataFrame, number: Column, searches: dict[str, Callable[[Column], list[Column]]]) -> DataFrame:
+    """Pages that have entries: ``search``, ``page``, ``entries`` as text, and their number ``n``.
+
+    Rows are gathered by page as they are, and only then written out as text, for all searches made of them.
+    """
+    gathered = rows.select(F.floor(number / BUNDLE_PAGE).alias("page"), F.struct("*").alias("row")).groupBy("page").agg(F.collect_list("row").alias("rows"))
+
+    def text(entries: Callable[[Column], list[Column]]) -> Column:
+        return F.to_json(F.flatten(F.transform("rows", lambda r: F.array(*entries(r)))))
+
+    parts = [
+        F.struct(F.lit(name).alias("search"), text(entries).alias("entries"), (F.size("rows") * F.lit(len(entries(F.col("_"))))).cast("long").alias("n"))
+        for name, entries in searches.items()
+    ]  # one for each of a few searches
+    return gathered.select("page", F.explode(F.array(*parts)).alias("s")).select("s.search", "page", "s.entries", "s.n")
 
 
 def bundle_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All resources as pages of bundles, held as JSON text; the pages of a search name each other."""
-    searches = [df.select(F.lit(name).alias("search"), "*") for name, df in _entries(spark, sf_dir)]
-    entries = reduce(DataFrame.unionByName, searches).withColumn("page", F.floor(F.col("number") / BUNDLE_PAGE))
-    entries = materialize(entries.drop("number"))
-    extent = entries.groupBy("search").agg(F.count(F.lit(1)).alias("total"), F.max("page").alias("last"))
-    every = extent.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    filled = entries.groupBy("search", "page").agg(F.concat_ws(",", F.collect_list("entry")).alias("entries"))
+    """All resources as pages of bundles, held as JSON text; the pages of a search name each other.
+
+    The text is written once, compressed; links and totals are put to it when it is read.
+    """
+    filled = materialize(reduce(DataFrame.unionByName, [_filled(*s) for s in _searches(spark, sf_dir)]), compression="zstd")
+    extent = materialize(filled.groupBy("search").agg(F.sum("n").alias("total"), F.max("page").alias("last")))
+    every = extent.select("search", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("page"))
+    empty = materialize(every.join(filled, ["search", "page"], "left_anti")).withColumn("entries", F.lit("[]"))
+    kept = F.col("page").between(F.least(F.lit(0), "last"), F.greatest(F.lit(0), "last"))
+    each = filled.select("search", "page", "entries").unionByName(empty).join(extent, "search").filter(kept)
     address = lambda n: F.concat(F.col("search"), F.lit("#"), n.cast("string"))
     link = lambda relation, url: F.struct(F.lit(relation).alias("relation"), url.alias("url"))
     links = F.array_compact(
         F.array(link("self", address(F.col("page"))), F.when(F.col("page") < F.col("last"), link("next", address(F.col("page") + 1))))
     )
     text = F.concat(
-        F.lit('{"resourceType":"Bundle","entry":['), F.coalesce("entries", F.lit("")), F.lit('],"link":'), F.to_json(links),
+        F.lit('{"resourceType":"Bundle","entry":'), F.col("entries"), F.lit(',"link":'), F.to_json(links),
         F.lit(',"total":'), F.col("total").cast("string"), F.lit("}"),
     )
-    return materialize(every.join(filled, ["search", "page"], "left").select(text.alias("value")))
+    return each.select(text.alias("value"))
 
 
 SEARCHES_SQL = """searches as (
@@ -181,7 +197,7 @@ def prepare_dataset_bundles(spark, sf_dir):
     """From pages of nested resources to the stored dataset: chains checked, entries taken out, cohort, variables."""
     bundles = bundle_pages(spark, sf_dir)
     sound = pages.sound_bundles(bundles, materialize(pages.page_chains(bundles)))
-    resources = S.resources_from_bundles(materialize(S.flatten_bundles(sound)))
+    resources = S.resources_from_bundles(materialize(S.flatten_bundles(sound), compression="zstd"))
     store = DatasetStore(spark, _new_folder(spark))
     as_of = F.lit(tables.AS_OF_TEXT).cast("timestamp")
     return prepare_dataset(spark, resources, NESTED, NESTED_CRITERIA, store, "nested", as_of).dataset

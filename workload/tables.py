@@ -13,9 +13,10 @@ Observation               events with their type as code, and one ``death`` per
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave.sources.resources import DATE, REFERENCE, Resources, ResourceTable, SearchParameter
@@ -93,20 +94,32 @@ def encounters(spark: SparkSession, sf_dir: str) -> ResourceTable:
     )
 
 
-def _statements(spark: SparkSession, sf_dir: str, name: str, code: str) -> ResourceTable:
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with the brand and type of their part and the patient of their order, as the tables hold them."""
     lineitem, orders, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    df = (
-        # Parts first, so that the lines of an order leave the last join side by side.
+    # Parts first, so that the lines of an order leave the last join side by side.
+    return (
         lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
-            F.concat(F.lit("Patient/"), _text("o_custkey")).alias("patient"),
-            F.concat(F.lit("Encounter/"), _text("l_orderkey")).alias("context"),
-            F.col(code).alias("code"),
-            F.col("l_shipdate").alias("date"),
-            F.col("l_quantity").alias("quantity"),
-        )
+        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "p_brand", "p_type", "l_shipdate", "l_quantity")
+    )
+
+
+def statement_columns(column: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """What a statement tells besides its code, from a line of :func:`statement_lines`."""
+    return {
+        "id": F.concat_ws("-", *[column(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]),
+        "patient": F.concat(F.lit("Patient/"), column("o_custkey").cast("string")),
+        "context": F.concat(F.lit("Encounter/"), column("l_orderkey").cast("string")),
+        "date": column("l_shipdate"),
+        "quantity": column("l_quantity"),
+    }
+
+
+def _statements(spark: SparkSession, sf_dir: str, name: str, code: str) -> ResourceTable:
+    told = {name: c.alias(name) for name, c in statement_columns().items()}
+    df = statement_lines(spark, sf_dir).select(
+        told["id"], told["patient"], told["context"], F.col(code).alias("code"), told["date"], told["quantity"]
     )
     return ResourceTable(
         name, df, ref="id", subject="patient", encounter="context", date="date",
