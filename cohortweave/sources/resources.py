@@ -269,6 +269,10 @@ BUNDLE_SCHEMA = """entry array<struct<resource: string, request: struct<method:
     link array<struct<relation: string>>, total bigint"""
 
 
+# What tells whether an entry can be used.
+_GLANCE = "entry array<struct<resource: struct<resourceType: string, id: string>, request: struct<method: string>>>"
+
+
 def flatten_bundles(bundles: DataFrame, column: str = "value") -> DataFrame:
     """``entry[].resource`` of bundles held as JSON text: kind, method, url, resource text."""
     entries = bundles.select(F.explode(F.from_json(F.col(column), BUNDLE_SCHEMA)["entry"]).alias("e"))
@@ -297,15 +301,26 @@ def resources_from_bundles(entries: DataFrame, names: list[str] | None = None) -
 
 def bundle_rejects(bundles: DataFrame, column: str = "value") -> DataFrame:
     """``(line, reason)``: bundles that are not valid, and entries whose resource cannot be used."""
-    broken = bundles.filter(F.from_json(F.col(column), BUNDLE_SCHEMA)["entry"].isNull())
-    entries = flatten_bundles(bundles, column).filter(F.coalesce(F.col("method"), F.lit("PUT")) != "DELETE")
-    has_id = F.get_json_object("resource", "$.id").isNotNull()
-    known = F.coalesce(F.col("kind").isin(*RESOURCE_SCHEMAS), F.lit(False))
-    reason = F.when(~known, "unknown kind of resource").when(~has_id, "no id")
-    unusable = entries.withColumn("reason", reason).filter("reason is not null")
-    return broken.select(F.col(column).alias("line"), F.lit("not a bundle").alias("reason")).unionByName(
-        unusable.select(F.col("resource").alias("line"), "reason")
+    # Most bundles have nothing to reject, which their kinds and ids tell without the text of their entries.
+    glance = F.from_json(F.col(column), _GLANCE)["entry"]
+    deleted = lambda e: F.coalesce(e["request"]["method"], F.lit("PUT")) == "DELETE"
+    known = lambda e: e["resource"]["resourceType"].isin(*RESOURCE_SCHEMAS) & e["resource"]["id"].isNotNull()
+    usable = F.forall(glance, lambda e: F.coalesce(e.isNotNull() & (deleted(e) | known(e)), F.lit(False)))
+    suspected = bundles.filter(~F.coalesce(usable, F.lit(False)))
+    parsed = suspected.select(F.col(column).alias("line"), F.from_json(F.col(column), BUNDLE_SCHEMA)["entry"].alias("entry"))
+    # The text of a bundle goes with its entries only where it is not valid: it has one row then.
+    whole = F.when(F.col("entry").isNull(), F.col("line")).alias("line")
+    none = F.array(F.lit(None).cast("struct<resource: string, request: struct<method: string, url: string>>"))
+    entries = parsed.select(F.col("entry").isNull().alias("broken"), whole, F.explode(F.coalesce("entry", none)).alias("e"))
+    kind, has_id = (F.get_json_object("e.resource", path) for path in ("$.resourceType", "$.id"))
+    reason = (
+        F.when(F.col("broken"), "not a bundle")
+        .when(F.coalesce(F.col("e.request.method"), F.lit("PUT")) == "DELETE", None)
+        .when(~F.coalesce(kind.isin(*RESOURCE_SCHEMAS), F.lit(False)), "unknown kind of resource")
+        .when(has_id.isNull(), "no id")
     )
+    line = F.when(F.col("broken"), F.col("line")).otherwise(F.col("e.resource")).alias("line")
+    return entries.withColumn("reason", reason).filter("reason is not null").select(line, "reason")
 
 
 def read_bundle_files(spark: SparkSession, path: str) -> DataFrame:
