@@ -136,6 +136,17 @@ class Point:
     elasticnet_param: float = 0.0
 
 
+def _key_numbers(sites: pa.Array, sets: np.ndarray, names: Mapping[tuple[str, int], int]) -> np.ndarray:
+    """The number of each row's key; a site and a set are looked up once a batch, not once a row."""
+    coded = sites.dictionary_encode()
+    values, codes = coded.dictionary.to_pylist(), coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+    values.append(None)
+    low, span = (int(sets.min()), int(np.ptp(sets)) + 1) if len(sets) else (0, 1)
+    met, which = np.unique(codes.astype(np.int64) * span + (sets - low), return_inverse=True)
+    numbers = np.array([names[values[m // span], int(m % span) + low] for m in met], np.int64)
+    return numbers[which]
+
+
 def _sums(table: DataFrame, keys: Sequence[tuple[str, int]], size: int, work) -> dict[int, np.ndarray]:
     """Sums over all rows of the arrays that ``work(key, features, labels)`` gives: one job."""
     names = {key: i for i, key in enumerate(keys)}
@@ -143,16 +154,22 @@ def _sums(table: DataFrame, keys: Sequence[tuple[str, int]], size: int, work) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            sites, sets = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            own = np.array([names[s, int(n)] for s, n in zip(sites, sets, strict=True)], np.int64)
+            own = _key_numbers(batch.column(0), batch.column(1).to_numpy(), names)
             counts = np.diff(batch.column(2).offsets.to_numpy())
             flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            features = np.zeros((len(own), size))
-            features[np.repeat(np.arange(len(own)), counts), np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)] = flat
+            if (counts == size).all():
+                features = flat.reshape(len(own), size)
+            else:
+                features = np.zeros((len(own), size))
+                features[np.repeat(np.arange(len(own)), counts), np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)] = flat
             labels = batch.column(3).to_numpy()
-            for key in np.unique(own):
-                mine = own == key
-                for name, value in work(int(key), features[mine], labels[mine]).items():
+            # Rows of a key side by side, each row moved once.
+            order = np.argsort(own, kind="stable")
+            own, features, labels = own[order], features[order], labels[order]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else []
+            for start, end in zip(starts, [*starts[1:], len(own)]):
+                key = int(own[start])
+                for name, value in work(key, features[start:end], labels[start:end]).items():
                     totals[name] = totals[name] + value if name in totals else value
         if totals:
             yield pa.RecordBatch.from_arrays(

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
@@ -258,3 +259,10 @@ def test_own_models_only(whole, featured):
     own = S.predict(plain, fitted, models, FEATURES, own=True)
     assert own.count() == every.count() > 0
     assert own.exceptAll(every).count() == every.exceptAll(own).count() == 0
+
+
+def test_keys_are_numbered_once_a_batch():
+    names = {("a", -1): 0, ("a", 2): 1, ("b", -1): 2, (None, 0): 3}
+    sites, sets = pa.array(["b", "a", None, "a", "b"]), np.array([-1, 2, 0, -1, -1], np.int32)
+    assert S._key_numbers(sites, sets, names).tolist() == [2, 1, 3, 0, 2]
+    assert S._key_numbers(sites[:0], sets[:0], names).tolist() == []
