@@ -266,3 +266,28 @@ def test_keys_are_numbered_once_a_batch():
     sites, sets = pa.array(["b", "a", None, "a", "b"]), np.array([-1, 2, 0, -1, -1], np.int32)
     assert S._key_numbers(sites, sets, names).tolist() == [2, 1, 3, 0, 2]
     assert S._key_numbers(sites[:0], sets[:0], names).tolist() == []
+
+
+def test_all_trees_at_once_reach_the_leaves_that_a_walk_reaches():
+    rng = np.random.default_rng(5)
+
+    def grow(depth, nodes):
+        at = len(nodes)
+        nodes.append(None)
+        if depth == 0 or rng.random() < 0.1:
+            nodes[at] = (-1, 0.0, -1, -1, rng.random())
+        else:
+            left = grow(depth - 1, nodes)
+            nodes[at] = (int(rng.integers(4)), float(rng.integers(10)) / 10, left, grow(depth - 1, nodes), 0.0)
+        return at
+
+    trees = []
+    for depth in (0, 1, 3, 5, 5, 6):
+        nodes = []
+        grow(depth, nodes)
+        trees.append({k: np.array([n[i] for n in nodes]) for i, k in enumerate(("feature", "threshold", "left", "right", "value"))})
+    x = np.round(rng.random((500, 4)), 1)  # many equal to a threshold
+    x[0] = np.nan
+    x[1], x[2] = np.inf, -np.inf
+    for tree, reached in zip(trees, S._Forest(trees).leaves(x), strict=True):
+        assert (reached == S._leaves(tree, x, 6)).all()
