@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.llm.components import components
@@ -31,6 +31,10 @@ from cohortweave.session import materialize
 #: At a similarity of 0.8 a pair shares 51 on average; fewer than 38 happen once in 20,000 pairs.
 COORDINATES, MATCHES = 64, 38
 SIMILARITY = 80  # per cent
+#: Largest share of two similar sets together that only one of them has, and a hair for rounding.
+LARGEST = 1 - SIMILARITY / 100 + 1e-9
+#: Bits of a coordinate's value by which unequal ones are told before a pair is made.
+MARKED = 4
 #: Members outside a component up to which they meet it directly.
 FEW = 16
 #: Rounds in which members meet two of their list before those still apart meet all.
@@ -297,8 +301,14 @@ def _against_pivots(mixed: DataFrame, sets: DataFrame, size: int) -> tuple[DataF
     return simple, mixed, materialize(seen)
 
 
-def _differences(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(main, shingle, node, label, n, d, left) posted for members unlike the pivot, and for all.
+def _with_lists(postings: DataFrame, *columns: str) -> DataFrame:
+    """One row per member of a component's lists: main, node, ``columns`` and the tokens of its lists."""
+    # A member has as many lists as its prefix is long, so this array is bounded.
+    return postings.groupBy("main", "node", *columns).agg(F.collect_list("token").alias("tokens"))
+
+
+def _differences(seen: DataFrame) -> DataFrame:
+    """(main, node, ranked, alone, length_x, length_y): what is posted for members unlike the pivot, and for all.
 
     Let D be what a member does not share with the pivot c, and x a member that is not similar to c.
     As x and y do not share |Dx| + |Dy| - 2 |Dx & Dy| shingles, they are similar only if
@@ -318,17 +328,20 @@ def _differences(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     alone = F.col("d") - F.size("ranked")
     least_y = F.greatest(F.lit(1), F.floor((F.col("n_pivot") + 9 * F.col("d") - F.col("n")) / 18) + 1)
     least_x = F.greatest(F.lit(1), F.ceil((9 * F.col("d") - F.col("n") - F.col("n_pivot")) / 18))
+    length = lambda least: F.greatest(F.lit(0), F.col("d") - least + 1 - alone).cast("int")
+    length_x, length_y = F.when(F.col("linked"), 0).otherwise(length(least_x)), length(least_y)
+    return ranked.select(
+        "main", "node", F.slice("ranked.shingle", F.lit(1), F.greatest(length_x, length_y)).alias("ranked"),
+        alone.alias("alone"), length_x.alias("length_x"), length_y.alias("length_y"),
+    )
 
-    def posted(rows: DataFrame, least) -> DataFrame:
-        length = F.greatest(F.lit(0), F.col("d") - least + 1 - alone).cast("int")
-        prefix = F.posexplode(F.slice("ranked", F.lit(1), length)).alias("place", "r")
-        behind = F.col("d") - F.col("alone") - F.col("place") - 1  # members of D after this one
-        rows = rows.select("main", "node", "label", "n", "d", alone.alias("alone"), prefix)
-        return materialize(
-            rows.select("main", F.col("r.shingle").alias("shingle"), "node", "label", "n", "d", behind.alias("left"))
-        )
 
-    return posted(ranked.where("not linked"), least_x), posted(ranked, least_y)
+def _posted(members: DataFrame, length: str) -> DataFrame:
+    """(main, shingle, node, label, n, d, left) of the prefix that a member posts."""
+    behind = F.col("d") - F.col("alone") - F.col("place") - 1  # members of D after this one
+    prefix = F.posexplode(F.slice("ranked", F.lit(1), F.col(length))).alias("place", "shingle")
+    rows = members.select("main", "node", "label", "n", "d", "alone", prefix)
+    return rows.select("main", "shingle", "node", "label", "n", "d", behind.alias("left"))
 
 
 def _two_of(rows: DataFrame, by: list[str], salt: int) -> DataFrame:
@@ -338,40 +351,60 @@ def _two_of(rows: DataFrame, by: list[str], salt: int) -> DataFrame:
     return ends.select(*by, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("m")).select(*by, "m.*").drop("__h")
 
 
-def _apart(
-    posted: tuple[DataFrame, DataFrame], far: DataFrame, placed: DataFrame, few: DataFrame, wider: DataFrame, salt: int | None
-) -> DataFrame:
+def _relabelled(rows: DataFrame, wider: DataFrame) -> DataFrame:
+    """``rows`` with the component that their label belongs to now; given one row per member, not per posting."""
+    rows = rows.join(wider, "label", "left")
+    return rows.withColumn("label", F.coalesce("wider", "label")).drop("wider")
+
+
+def _marks(sig) -> Column:
+    """MARKED words of a signature: word b holds bit b of every coordinate's value."""
+    bit = lambda b: lambda v, k: F.call_function("shiftleft", F.shiftright(v, b).bitwiseAND(F.lit(1)).cast("long"), k)
+    word = lambda b: F.aggregate(F.transform(sig, bit(b)), F.lit(0).cast("long"), lambda w, x: w.bitwiseOR(x))
+    return F.array(*[word(b) for b in range(MARKED)])
+
+
+def _may_agree(x: str, y: str) -> Column:
+    """Whether the marks of two members leave MATCHES equal coordinates possible, and their sizes are comparable."""
+    unequal = F.lit(0).cast("long")
+    for b in range(MARKED):
+        unequal = unequal.bitwiseOR(F.get(f"{x}.marks", F.lit(b)).bitwiseXOR(F.get(f"{y}.marks", F.lit(b))))
+    sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= SIMILARITY * F.greatest(f"{x}.n", f"{y}.n")
+    return sizes & (F.bit_count(unequal) <= COORDINATES - MATCHES)
+
+
+def _apart(members: DataFrame, few: DataFrame, salt: int | None) -> DataFrame:
     """Pairs (a, b) of a list whose components are not linked so far.
 
     With a ``salt`` members meet two of their list; without, all that are still apart: by the
     differences from the pivot, and those far from it (less than half in common) by their lists, as
-    do members outside a component with no more than FEW of them, which makes at most FEW pairs for
-    each member of a list.
+    do members outside a component with no more than FEW of them. Who is far meets only those that are
+    not near the pivot by more than it can be: the share that two sets do not have in common is a
+    distance, and similar sets are within LARGEST of each other. Of those that meet in a list only pairs
+    whose marks leave them enough equal coordinates are made.
     """
+    listed = lambda rows: rows.select(F.explode("tokens").alias("token"), "node", "label", "n", "marks")
 
-    def now(rows: DataFrame) -> DataFrame:
-        rows = rows.join(wider, "label", "left")
-        return rows.withColumn("label", F.coalesce("wider", "label")).drop("wider")
-
-    def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("token", F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
+    def meeting(one: DataFrame, other: DataFrame) -> DataFrame:
+        side = lambda rows, s: rows.select("token", F.struct("node", "label", "n", "marks").alias(s))
+        met = side(one, "x").join(side(other, "y"), "token")
+        met = met.where((F.col("x.label") != F.col("y.label")) & _may_agree("x", "y"))
+        return met.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
 
-    x, y = map(now, posted)
-    far, placed = now(far), now(placed)
-    if salt is not None:
-        y, placed = _two_of(y, ["main", "shingle"], salt), _two_of(far, ["token"], salt)
+    x, y = _posted(members.where("near"), "length_x"), _posted(members.where("near"), "length_y")
+    far = listed(members.where("not near"))
+    if salt is None:
+        met = meeting(far, listed(members.where(F.col("away") >= 0.5 - LARGEST)))
+        met = met.unionByName(meeting(listed(few.where("outside")), listed(few)))
+    else:
+        y = _two_of(y, ["main", "shingle"], salt)
+        met = meeting(far, _two_of(far, ["token"], salt))
     of = lambda rows, s: rows.select("main", "shingle", F.struct("node", "label", "n", "d", "left").alias(s))
     # At the first shingle that both post, what is left behind it bounds what they can share.
     needed = 9 * (F.col("x.d") + F.col("y.d")) - F.col("x.n") - F.col("y.n")
     enough = 18 * (1 + F.least("x.left", "y.left")) >= needed
     sharing = of(x, "x").join(of(y, "y"), ["main", "shingle"]).where((F.col("x.label") != F.col("y.label")) & enough)
-    pairs = sharing.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
-    met = side(far, "x").join(side(placed, "y"), "token").where("label_x != label_y")
-    if salt is None:
-        few = now(few)
-        direct = side(few.where("outside"), "x").join(side(few, "y"), "token").where("label_x != label_y")
-        met = met.unionByName(direct)
-    pairs = pairs.unionByName(met.select("x", "y"))
+    pairs = sharing.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).unionByName(met)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -394,14 +427,23 @@ def _joined(
     rounds have linked, is not expanded into its pairs.
     """
     simple, mixed, seen = _against_pivots(_mixed(postings, labels), sets, size)
-    posted = _differences(seen)
-    placed = materialize(mixed.join(seen.select("main", "node", "near"), ["main", "node"]))
-    few = simple.withColumn("outside", F.col("label") != F.col("main"))
+    # The share of a member and its pivot together that only one of them has; n + n_pivot + d is their union twice.
+    away = 2 * F.col("d") / (F.col("n") + F.col("n_pivot") + F.col("d"))
+    members = (
+        _with_lists(mixed)
+        .join(seen.select("main", "node", "label", "n", "d", "near", away.alias("away")), ["main", "node"])
+        .join(_differences(seen), ["main", "node"], "left")
+    )
+    marks = classes.select("node", _marks(F.col("sig")).alias("marks"))
+    few = _with_lists(simple, "label").withColumn("outside", F.col("label") != F.col("main"))
+    few = few.join(classes.select("node", F.col("n_shingles").alias("n"), _marks(F.col("sig")).alias("marks")), "node")
+    members, few = materialize(members.join(marks, "node")), materialize(few)
     linked = seen.where("linked and label != main").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     edges = materialize(_between(linked, labels))
     for salt in (*range(ROUNDS), None):
         wider = components(edges, "a", "b").select(F.col("node").alias("label"), F.col("label").alias("wider"))
-        pairs = _apart(posted, placed.where("not near"), placed, few, wider, salt)
+        now = materialize(_relabelled(members, wider))
+        pairs = _apart(now, _relabelled(few, wider) if salt is None else few, salt)
         found = _confirmed(_agreeing(pairs, classes), sets, size)
         edges = materialize(edges.unionByName(_between(found, labels)).distinct())
     return components(edges, "a", "b").select(F.col("node").alias("label"), F.col("label").alias("wider"))
@@ -445,8 +487,8 @@ def near_duplicates(documents: DataFrame, key: str, text: str, size: int = 2) ->
     # Then members of different components of one list, so that no link is missed.
     wider = _joined(postings, labels, classes, sets, size)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(wider, "label", "left").select(
-        "node", "proof", "first", F.coalesce("wider", "label").alias("label")
+    named = materialize(
+        named.join(wider, "label", "left").select("node", "proof", "first", F.coalesce("wider", "label").alias("label"))
     )
     groups = named.groupBy("label").agg(F.min("first").alias("component_id"))
     component = materialize(named.join(groups, "label").select("node", "proof", "component_id"))

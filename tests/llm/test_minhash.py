@@ -1,7 +1,9 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortweave.llm import minhash
 from cohortweave.llm.components import components
@@ -72,6 +74,41 @@ def test_families_beside_a_hot_group(spark, monkeypatch, rounds):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == groups(rows)
 
 
+def test_members_of_a_list_that_cannot_agree_do_not_meet(spark, monkeypatch):
+    """Texts that share a part of many others' words are not paired with all of them."""
+    monkeypatch.setattr(minhash, "FEW", 0)
+    agreeing, met = minhash._agreeing, []
+
+    def counted(pairs, classes):
+        met.append(pairs.count())
+        return agreeing(pairs, classes)
+
+    monkeypatch.setattr(minhash, "_agreeing", counted)
+    rows = []
+    for i in range(120):
+        # Five passages in three versions each: many share most lists, few are nearly alike.
+        versions = [i * 7 // 3**k % 3 for k in range(5)]
+        rows.append((i, " ".join(f"p{k}_{v}_{n}" for k, v in enumerate(versions) for n in range(40))))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == groups(rows)
+    assert met[0] and met[-1] <= 4 * len(rows), met
+
+
+def test_marks_leave_all_pairs_that_agree(spark):
+    """Marks say no only of pairs with too few equal coordinates."""
+    rng, rows = np.random.default_rng(3), []
+    for i in range(200):
+        one = rng.integers(-(2**31), 2**31, minhash.COORDINATES)
+        other = np.where(rng.random(minhash.COORDINATES) < rng.random(), one, rng.integers(-(2**31), 2**31, minhash.COORDINATES))
+        rows.append((i, one.tolist(), other.tolist(), int((one == other).sum())))
+    pairs = spark.createDataFrame(rows, "i long, a array<int>, b array<int>, same int")
+    marked = lambda c: F.struct(F.lit(10).alias("n"), minhash._marks(F.col(c)).alias("marks"))
+    told = pairs.select("same", marked("a").alias("x"), marked("b").alias("y")).select("same", minhash._may_agree("x", "y").alias("may"))
+    told = told.collect()
+    assert all(r.may for r in told if r.same >= minhash.MATCHES)
+    assert not any(r.may for r in told if r.same < minhash.MATCHES // 2)
+
+
 def test_repeated_rows_null_keys_and_nothing(spark, nothing):
     assert minhash.near_duplicates(nothing, "doc_id", "text").collect() == []
     rows = [(3, "a b c"), (3, "a b c"), (None, "a b c"), (5, "A b  c"), (None, None), (7, None), (8, "")]
