@@ -185,7 +185,7 @@ def with_label(
     """
     column = _dependent(featureset)
     rows = drop_invalid(dataset, [v.column for v in featureset.variables], algorithm.tuning("handle_invalid"))
-    if fill is None:
+    if fill is None and not dataset.filter(F.col(column).isNull()).isEmpty():
         fill = label_fill(training_split(dataset), featureset, algorithm)
     number = add_label(rows, column, labels)
     if fill is not None:
@@ -244,11 +244,20 @@ def _evaluator(algorithm: Algorithm) -> BinaryClassificationEvaluator:
 
 # Rows that one task of a fit passes over; a fit makes hundreds of passes.
 ROWS_PER_TASK = 50_000
+# The same for linear models, whose passes are so short that starting a task costs as much as 50,000 rows.
+LINEAR_ROWS_PER_TASK = 200_000
 
 
-def in_few_tasks(rows: DataFrame) -> DataFrame:
+def in_few_tasks(rows: DataFrame, estimator=None) -> DataFrame:
     """Cached rows in as few partitions as their number asks for, by joining neighbours."""
-    return rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK)))
+    each = LINEAR_ROWS_PER_TASK if isinstance(estimator, (LogisticRegression, LinearSVC)) else ROWS_PER_TASK
+    return rows.coalesce(max(1, -(-rows.count() // each)))
+
+
+def held(labelled: DataFrame, featureset: Featureset) -> DataFrame:
+    """What training reads of labelled rows, cached: the stages of every fold pass over them."""
+    used = dict.fromkeys(["pid", *[v.column for v in featureset.independent], "label"])
+    return labelled.select(*[F.col(f"`{c}`") for c in used]).persist()
 
 
 def _prepared(features: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -340,6 +349,12 @@ def cross_validate(
     estimators = [a.estimator() for a in algorithms]
     grids = [a.grid(e) for a, e in zip(algorithms, estimators, strict=True)]
     points = [(i, point) for i, grid in enumerate(grids) for point in grid]
+    # Points are fitted side by side, but for trees, which share their gathered rows.
+    tasks = [
+        task
+        for i, (e, grid) in enumerate(zip(estimators, grids, strict=True))
+        for task in ([(i, grid)] if isinstance(e, GATHERED) else [(i, [point]) for point in grid])
+    ]
     folds = int(algorithms[0].tuning("num_folds"))
     fold = F.pmod(F.xxhash64("pid", F.lit(SPLIT_SEED)), F.lit(folds))
     metrics = [0.0] * len(points)
@@ -348,13 +363,16 @@ def cross_validate(
         features = Pipeline(stages=feature_stages(featureset, algorithms[0])).fit(inside)
         fitting, validating = _prepared(features, inside), _prepared(features, outside)
 
-        def score(i: int, fitting=in_few_tasks(fitting), validating=in_few_tasks(validating)) -> list[float]:
-            models = fit_points(estimators[i], fitting, grids[i])
-            return [_evaluator(algorithms[i]).evaluate(model.transform(validating)) for model in models]
-
         try:
+            passes, judged = [in_few_tasks(fitting, e) for e in estimators], in_few_tasks(validating)
+
+            def score(task: tuple[int, list[dict]], passes=passes, judged=judged) -> list[float]:
+                i, grid = task
+                models = fit_points(estimators[i], passes[i], grid)
+                return [_evaluator(algorithms[i]).evaluate(model.transform(judged)) for model in models]
+
             with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
-                found = [metric for each in pool.map(score, range(len(algorithms))) for metric in each]
+                found = [metric for each in pool.map(score, tasks) for metric in each]
             metrics = [total + metric / folds for total, metric in zip(metrics, found, strict=True)]
         finally:
             fitting.unpersist()
@@ -368,25 +386,30 @@ def cross_validate(
 def train(training: DataFrame, featureset: Featureset, algorithms: Sequence[Algorithm]) -> list[PipelineModel]:
     """For each algorithm the pipeline with the best point of its grid, fitted on all rows.
 
-    ``training`` has ``pid``, the columns of the featureset and ``label``. The feature
-    stages are fitted once for all algorithms. A grid of one point has nothing to
+    ``training`` has ``pid``, the columns of the featureset and ``label``; unless it is cached, what
+    is read of it is, meanwhile. The feature stages are fitted once for all algorithms. A grid of one point has nothing to
     choose from and is not cross-validated.
     """
     estimators = [a.estimator() for a in algorithms]
     best = [a.grid(e)[0] for a, e in zip(algorithms, estimators, strict=True)]
     chosen = [i for i, a in enumerate(algorithms) if len(a.grid(estimators[i])) > 1]
-    if chosen:
-        for i, results in zip(chosen, cross_validate(training, featureset, [algorithms[i] for i in chosen]), strict=True):
-            metrics = [metric for _, metric in results]
-            best[i] = algorithms[i].grid(estimators[i])[metrics.index(max(metrics))]
-    features = Pipeline(stages=feature_stages(featureset, algorithms[0])).fit(training)
-    prepared = _prepared(features, training)
+    rows = training if training.is_cached else held(training, featureset)
     try:
-        with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
-            passes = in_few_tasks(prepared)
-            models = list(pool.map(lambda i: fit_points(estimators[i], passes, [best[i]])[0], range(len(algorithms))))
+        if chosen:
+            for i, results in zip(chosen, cross_validate(rows, featureset, [algorithms[i] for i in chosen]), strict=True):
+                metrics = [metric for _, metric in results]
+                best[i] = algorithms[i].grid(estimators[i])[metrics.index(max(metrics))]
+        features = Pipeline(stages=feature_stages(featureset, algorithms[0])).fit(rows)
+        prepared = _prepared(features, rows)
+        try:
+            with ThreadPoolExecutor(max(int(a.tuning("max_parallelism")) for a in algorithms)) as pool:
+                passes = [in_few_tasks(prepared, e) for e in estimators]
+                models = list(pool.map(lambda i: fit_points(estimators[i], passes[i], [best[i]])[0], range(len(algorithms))))
+        finally:
+            prepared.unpersist()
     finally:
-        prepared.unpersist()
+        if rows is not training:
+            rows.unpersist()
     return [PipelineModel(stages=[*features.stages, model]) for model in models]
 
 
@@ -403,7 +426,7 @@ def fit_best(sets: DataFrame, algorithm: Algorithm):
         metrics = [0.0] * len(grid)
         for n in range(int(algorithm.tuning("num_folds"))):
             fold = sets.filter(F.col("set") == n).persist()
-            inside, outside = (in_few_tasks(fold.filter(c).select("features", "label").persist()) for c in ("not validating", "validating"))
+            inside, outside = (in_few_tasks(fold.filter(c).select("features", "label").persist(), estimator) for c in ("not validating", "validating"))
             for k, model in enumerate(fit_points(estimator, inside, grid)):
                 metrics[k] += _evaluator(algorithm).evaluate(model.transform(outside))
             for held in (fold, inside, outside):
@@ -411,7 +434,7 @@ def fit_best(sets: DataFrame, algorithm: Algorithm):
         best = grid[metrics.index(max(metrics))]
     whole = sets.filter("set = -1 and not validating").select("features", "label").persist()
     try:
-        return fit_points(estimator, in_few_tasks(whole), [best])[0]
+        return fit_points(estimator, in_few_tasks(whole, estimator), [best])[0]
     finally:
         whole.unpersist()
 

@@ -53,7 +53,7 @@ def train_per_site(
     algorithms: Sequence[T.Algorithm],
     sites: Sequence[str],
     labels: Sequence,
-    parallel_fits: int = 4,
+    parallel_fits: int = 8,
 ) -> list[SiteModel]:
     """One model per site and algorithm, from the training split of the site.
 
@@ -71,15 +71,20 @@ def train_per_site(
             group.append(algorithm)
 
     # A null label is filled alike at all sites.
-    fills = [T.label_fill(T.training_split(dataset), featureset, group[0]) for group in groups]
+    training = T.training_split(dataset)
+    unknown = not training.filter(F.col(f"`{featureset.dependent.column}`").isNull()).isEmpty()
+    fills = [T.label_fill(training, featureset, group[0]) if unknown else None for group in groups]
 
     def fit(site: str, group: list[T.Algorithm], fill: float | None) -> list[SiteModel]:
         rows = T.training_split(dataset.filter(F.col("site") == site))
         try:
-            labelled = T.with_label(rows, featureset, labels, group[0], fill)
-            if labelled.select("label").distinct().count() < 2:
-                return [SiteModel(site, a, None, f"{site}: only one class to train on") for a in group]
-            models = T.train(labelled, featureset, group)
+            labelled = T.held(T.with_label(rows, featureset, labels, group[0], fill), featureset)
+            try:
+                if labelled.select("label").distinct().count() < 2:
+                    return [SiteModel(site, a, None, f"{site}: only one class to train on") for a in group]
+                models = T.train(labelled, featureset, group)
+            finally:
+                labelled.unpersist()
             return [SiteModel(site, a, m) for a, m in zip(group, models, strict=True)]
         except FIT_ERRORS as error:  # one site must not stop the others
             if len(group) > 1:  # nor one algorithm the others

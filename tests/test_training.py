@@ -246,3 +246,21 @@ def test_trees_pass_over_distinct_rows(spark):
     model = T.fit_points(T.GBTClassifier(maxIter=5), rows, [{}])[0]
     right = model.transform(rows).filter(F.col("prediction") == F.col("label")).count()
     assert right > 0.97 * 60_000
+
+
+def test_rows_of_a_site_are_read_once_and_linear_fits_take_few_tasks(spark, dataset, labels, monkeypatch):
+    seen = []
+
+    def train(training, featureset, algorithms, fit=T.train):
+        seen.append((training.is_cached, training.columns))
+        return fit(training, featureset, algorithms)
+
+    monkeypatch.setattr(T, "train", train)
+    algorithm = T.Algorithm(T.LOGISTIC_REGRESSION, {**SMALL[T.LOGISTIC_REGRESSION], "num_folds": 2})
+    models = P.train_per_site(dataset, FEATURES, [algorithm], ["A", "B"], labels)
+    assert [m.error for m in models] == [None, None]
+    assert seen == [(True, ["pid", "kind", "size", "noise", "label"])] * 2
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    rows = spark.range(0, 150_000, 1, 8)
+    assert T.in_few_tasks(rows, T.LogisticRegression()).rdd.getNumPartitions() == 1
+    assert T.in_few_tasks(rows, T.GBTClassifier()).rdd.getNumPartitions() == 3
