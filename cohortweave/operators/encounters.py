@@ -184,15 +184,20 @@ def hospitalization_counts(
 ) -> DataFrame:
     """Several :func:`hospitalization_count` columns, name -> (months, within), in one pass.
 
-    ``source`` as in :func:`readmission`.
+    The timeline of a subject is one window; that of a hot one, and of rows without a subject, is
+    split into day buckets. ``source`` as in :func:`readmission`.
     """
     kind = encounters.schema["start"].dataType
     columns = encounters.columns
     compared = [(months, F.lit(True) if w is None else w) for months, w in counted.values()]
     changes = [f"c{i}" for i in range(len(compared))]
+    read = encounters if source is None else source
+    hot = hot_keys(read, "subject", "encounter")
+    split = F.col("_bits").isNotNull() | F.col("subject").isNull()
     bucket = day_bucket(F.col("t"), bucket_days)
-    timeline = _timeline(encounters, compared).withColumn("bucket", bucket)
-    totals = timeline if source is None else _timeline(source, compared).withColumn("bucket", bucket)
+    whole = _timeline(encounters, compared).join(hot, "subject", "left")
+    timeline = whole.withColumn("bucket", F.when(split, bucket)).drop("_bits")
+    totals = _timeline(read.join(hot, "subject", "left").filter(split).drop("_bits"), compared).withColumn("bucket", bucket)
 
     # Value at the start of every bucket: sums per bucket, then a running sum over
     # a subject's buckets, of which there are no more than days in the data. Only

@@ -214,14 +214,21 @@ def training_results(spark: SparkSession, models: Sequence[SiteModel], model_id:
     return spark.createDataFrame(rows, "model_id string, algorithm string, site string, error_message string")
 
 
-def model_predictions(models: Sequence[SiteModel], rows: DataFrame) -> DataFrame:
+def model_predictions(models: Sequence[SiteModel], rows: DataFrame, own: bool = False) -> DataFrame:
     """The long prediction table of all models on labelled rows ``(site, pid, label, ...)``.
 
-    ``own`` tells the rows of the site that trained the model from those of others.
+    ``own`` tells the rows of the site that trained the model from those of others. If it is asked for,
+    each model scores only the rows of its own site, of a stored dataset only those files.
     """
     fitted = [m for m in models if m.model is not None]
     if not fitted:
         raise TrainingError([m.error for m in models])
+    if own:
+        return reduce(DataFrame.unionByName, [_long([m], rows.filter(F.col("site") == m.site)) for m in fitted])
+    return _long(fitted, rows)
+
+
+def _long(fitted: Sequence[SiteModel], rows: DataFrame) -> DataFrame:
     scored = rows
     for i, m in enumerate(fitted):
         scored = T.add_prediction(scored, m.model, f"_m{i}")
@@ -238,9 +245,12 @@ def model_predictions(models: Sequence[SiteModel], rows: DataFrame) -> DataFrame
     )
 
 
-def site_statistics(models: Sequence[SiteModel], labelled: DataFrame) -> DataFrame:
-    """Statistics of every model at every site: ``train`` at its own, ``validate`` elsewhere."""
-    predictions = model_predictions(models, labelled)
+def site_statistics(models: Sequence[SiteModel], labelled: DataFrame, own: bool = False) -> DataFrame:
+    """Statistics of every model at every site: ``train`` at its own, ``validate`` elsewhere.
+
+    With ``own`` only those at its own; see :func:`model_predictions`.
+    """
+    predictions = model_predictions(models, labelled, own)
     statistics = binary_statistics(predictions, ("algorithm", "model_site", "site", "own"))
     return statistics.withColumn("step", F.when(F.col("own"), "train").otherwise("validate")).drop("own")
 

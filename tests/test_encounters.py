@@ -114,3 +114,25 @@ def test_mortality(spark):
             expected[subject] = max(expected.get(subject, 0.0), float(hit))
     flags = E.mortality_flag(observations, encounters, 6)
     assert {r["subject"]: r["value"] for r in flags.collect()} == expected
+
+
+@pytest.mark.parametrize("hot_rows", [1, 30, 10**9])
+def test_only_timelines_of_hot_subjects_and_of_none_are_split(spark, monkeypatch, hot_rows):
+    data = [(e, None if s == "s1" else s, *rest) for e, s, *rest in CASES[1]]
+    df = spark.createDataFrame(data, SCHEMA)
+    expected = {
+        c[0]: float(sum(p[2] != p[3] and p[3] <= c[2] and p[2] >= minus_months(c[2], 2) for p in group))
+        for c, group in by_subject(data)
+    }
+    lines = []
+
+    def timeline(*asked, made=E._timeline):
+        lines.append(made(*asked))
+        return lines[-1]
+
+    monkeypatch.setattr(E, "_timeline", timeline)
+    monkeypatch.setattr("cohortweave.operators.skew.HOT_ROWS", hot_rows)
+    assert values(E.hospitalization_counts(df, {"value": (2, None)}, source=df)) == expected
+    whole, split = [{r["subject"] for r in line.select("subject").collect()} for line in lines]
+    n = {s: len([c for c in data if c[1] == s]) for s in whole}
+    assert split == {s for s in whole if s is None or n[s] >= hot_rows} and None in whole

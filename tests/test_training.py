@@ -264,3 +264,12 @@ def test_rows_of_a_site_are_read_once_and_linear_fits_take_few_tasks(spark, data
     rows = spark.range(0, 150_000, 1, 8)
     assert T.in_few_tasks(rows, T.LogisticRegression()).rdd.getNumPartitions() == 1
     assert T.in_few_tasks(rows, T.GBTClassifier()).rdd.getNumPartitions() == 3
+
+
+def test_own_statistics_score_each_row_by_one_model(run):
+    models, labelled = run[0], T.training_split(run[1])
+    of = {m.site: m for m in models if m.algorithm.name == models[0].algorithm.name}
+    own = P.model_predictions([*of.values()], labelled, own=True)
+    assert own.select("pid").distinct().count() == own.count() == labelled.count()
+    both = [P.site_statistics([*of.values()], labelled, own).filter("step = 'train'") for own in (True, False)]
+    assert both[0].count() == len(of) and both[0].exceptAll(both[1]).count() == both[1].exceptAll(both[0]).count() == 0

@@ -253,7 +253,7 @@ def training_errors(spark, sf_dir):
     one_class = dataset.filter((F.col("site") != "ASIA") | (F.col("readmitted") == labels[0]))
     models = P.train_per_site(one_class, LEARNED, [algorithm], _site_names(dataset), labels)
     labelled = T.training_split(T.with_label(one_class, LEARNED, labels, algorithm))
-    judged = P.site_statistics(models, labelled).filter("step = 'train'").agg(F.sum("total").cast("long").alias("total"))
+    judged = P.site_statistics(models, labelled, own=True).filter("step = 'train'").agg(F.sum("total").cast("long").alias("total"))
     return error_rollup(P.training_results(spark, models, "run")).select(
         "model_id", "state", "error_message", judged.scalar().alias("total")
     )
