@@ -273,3 +273,17 @@ def test_own_statistics_score_each_row_by_one_model(run):
     assert own.select("pid").distinct().count() == own.count() == labelled.count()
     both = [P.site_statistics([*of.values()], labelled, own).filter("step = 'train'") for own in (True, False)]
     assert both[0].count() == len(of) and both[0].exceptAll(both[1]).count() == both[1].exceptAll(both[0]).count() == 0
+
+
+def test_a_fit_reads_its_rows_once(dataset, labels, monkeypatch):
+    algorithm = T.Algorithm(T.RANDOM_FOREST, SMALL[T.RANDOM_FOREST])
+    seen = []
+
+    def prepared(features, rows, made=T._prepared):
+        seen.append((rows.is_cached, rows.columns))
+        return made(features, rows)
+
+    monkeypatch.setattr(T, "_prepared", prepared)
+    labelled = T.with_label(dataset, FEATURES, labels, algorithm)
+    T.train(T.training_split(labelled), FEATURES, [algorithm])
+    assert seen == [(True, ["pid", "kind", "size", "noise", "label"])]
