@@ -2,12 +2,12 @@
 
 Input is ``encounters(encounter, subject, start, end, type)``. A subject may own a
 large share of all encounters, so no operator here compares every encounter with
-every other one of its subject, nor sorts a whole subject in one task:
+every other one of its subject, nor sorts a whole hot subject in one task:
 
 * readmission needs only the earliest and the latest moment per subject and time
   bucket, which combine before the shuffle;
-* the number of earlier stays is a running count of interval ends, split into
-  day buckets whose starting values are summed beforehand;
+* the number of earlier stays is a running count of interval ends, for hot subjects
+  split into day buckets whose starting values are summed beforehand;
 * mortality compares two extremes per patient.
 """
 
@@ -200,7 +200,7 @@ def hospitalization_counts(
     totals = _timeline(read.join(hot, "subject", "left").filter(split).drop("_bits"), compared).withColumn("bucket", bucket)
 
     # Value at the start of every bucket: sums per bucket, then a running sum over
-    # a subject's buckets, of which there are no more than days in the data. Only
+    # a hot subject's buckets, of which there are no more than days in the data. Only
     # buckets in which a row asks need it.
     before = Window.partitionBy("subject").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first_moment = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("bucket") * bucket_days).cast("int"))
