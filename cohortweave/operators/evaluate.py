@@ -167,7 +167,17 @@ def curve_areas(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def binary_statistics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts, accuracy, precision, recall, F, areas under ROC and PR per group."""
-    counts = confusion_matrix(predictions, by)
+    return counted_statistics(confusion_matrix(predictions, by))
+
+
+def added_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The confusion matrix per group of rows ``(by, tp, tn, fp, fn)``, of which a group may have several."""
+    summed = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS[:-1]])
+    return summed.withColumn("total", F.expr("tp + tn + fp + fn"))
+
+
+def counted_statistics(counts: DataFrame) -> DataFrame:
+    """As :func:`binary_statistics`, from confusion matrices."""
     with_areas = counts.withColumns({"accuracy": accuracy(), "auroc": auroc(), "aupr": aupr()})
     return with_threshold_metrics(with_areas)
 

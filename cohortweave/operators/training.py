@@ -248,10 +248,17 @@ ROWS_PER_TASK = 50_000
 LINEAR_ROWS_PER_TASK = 200_000
 
 
+# Most rows of a task of a linear fit, where there are more such tasks than may run at once.
+MOST_LINEAR_ROWS = 2_000_000
+
+
 def in_few_tasks(rows: DataFrame, estimator=None) -> DataFrame:
     """Cached rows in as few partitions as their number asks for, by joining neighbours."""
-    each = LINEAR_ROWS_PER_TASK if isinstance(estimator, (LogisticRegression, LinearSVC)) else ROWS_PER_TASK
-    return rows.coalesce(max(1, -(-rows.count() // each)))
+    n, each = rows.count(), ROWS_PER_TASK
+    if isinstance(estimator, (LogisticRegression, LinearSVC)):
+        at_once = rows.sparkSession.sparkContext.defaultParallelism
+        each = max(LINEAR_ROWS_PER_TASK, min(-(-n // at_once), MOST_LINEAR_ROWS))
+    return rows.coalesce(max(1, -(-n // each)))
 
 
 def held(labelled: DataFrame, featureset: Featureset) -> DataFrame:
@@ -417,16 +424,18 @@ def fit_best(sets: DataFrame, algorithm: Algorithm):
     """The classifier of the best point of the grid, from features that are there already.
 
     ``sets(set, validating, features, label)`` holds one site's training rows (set -1) and, for a grid
-    of several points, those of each fold.
+    of several points, those of each fold. With a column ``weight`` equal rows are one already.
     """
     estimator = algorithm.estimator()
+    if "weight" in sets.columns:
+        return _fit_best_gathered(sets, algorithm, estimator.setWeightCol("weight"))
     grid = algorithm.grid(estimator)
     best = grid[0]
     if len(grid) > 1:
         metrics = [0.0] * len(grid)
         for n in range(int(algorithm.tuning("num_folds"))):
             fold = sets.filter(F.col("set") == n).persist()
-            inside, outside = (in_few_tasks(fold.filter(c).select("features", "label").persist()) for c in ("not validating", "validating"))
+            inside, outside = (in_few_tasks(fold.filter(c).select("features", "label").persist(), estimator) for c in ("not validating", "validating"))
             for k, model in enumerate(fit_points(estimator, inside, grid)):
                 metrics[k] += _evaluator(algorithm).evaluate(model.transform(outside))
             for held in (fold, inside, outside):
@@ -434,11 +443,29 @@ def fit_best(sets: DataFrame, algorithm: Algorithm):
         best = grid[metrics.index(max(metrics))]
     whole = sets.filter("set = -1 and not validating").select("features", "label").persist()
     try:
-        return fit_points(estimator, in_few_tasks(whole), [best])[0]
+        return fit_points(estimator, in_few_tasks(whole, estimator), [best])[0]
     finally:
         whole.unpersist()
 
 
+def _fit_best_gathered(sets: DataFrame, algorithm: Algorithm, estimator):
+    """:func:`fit_best` on rows with a weight: few enough to be read again for each fold."""
+    grid = algorithm.grid(estimator)
+    best, few = grid[0], sets.persist()
+    chosen = lambda n, validating: few.filter((F.col("set") == n) & (F.col("validating") == validating)).select("features", "label", "weight")
+    try:
+        if len(grid) > 1:
+            metrics = [0.0] * len(grid)
+            for n in range(int(algorithm.tuning("num_folds"))):
+                inside, outside = in_few_tasks(chosen(n, False)), in_few_tasks(chosen(n, True))
+                for k, point in enumerate(grid):
+                    metrics[k] += _evaluator(algorithm).setWeightCol("weight").evaluate(estimator.fit(inside, point).transform(outside))
+            best = grid[metrics.index(max(metrics))]
+        return estimator.fit(in_few_tasks(chosen(-1, False)), best)
+    finally:
+        few.unpersist()
+
+
 def training_split(dataset: DataFrame) -> DataFrame:
     return dataset.filter(in_training_split(F.col("pid")))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cohortweave.operators import site_models as M
 from cohortweave.operators import training as T
 from cohortweave.operators.ensemble import ensemble_weights, vote_class
-from cohortweave.operators.evaluate import binary_statistics, combine_statistics, curve_areas, score_curve
+from cohortweave.operators.evaluate import added_counts, binary_statistics, combine_statistics, counted_statistics, curve_areas, score_curve
 from cohortweave.session import materialize
 from cohortweave.spec import Featureset, SpecError
 
@@ -106,22 +106,23 @@ class ModelTable:
     models: DataFrame
     errors: Sequence[tuple[str, str, str]]  # site, algorithm, message
 
-    def predictions(self, rows: DataFrame, own: bool = False) -> DataFrame:
+    def predictions(self, rows: DataFrame, own: bool = False, keep: Sequence[str] = ("pid",)) -> DataFrame:
         """The long prediction table of all models on labelled rows, in one plan; see :func:`model_predictions`.
 
-        With ``own`` rows are scored only by the models of their own site.
+        With ``own`` rows are scored only by the models of their own site. ``keep``: which columns of the rows are
+        wanted beside site and label; none of a row is copied for its models but those.
         """
-        used = [v.column for v in self.featureset.independent]
-        wanted = rows.select("site", "pid", "label", *[F.col(f"`{c}`") for c in used if c not in ("site", "pid", "label")])
-        long = M.predict(wanted, self.features, self.models, self.featureset, self.policy, own)
+        long = M.predict(rows, self.features, self.models, self.featureset, self.policy, own, ("site", *keep, "label"))
         return long.select(
-            "site", "model_site", "algorithm", "pid", "label", "prediction", "negative", "positive",
+            "site", "model_site", "algorithm", *keep, "label", "prediction", "negative", "positive",
             (F.col("site") == F.col("model_site")).alias("own"),
         )
 
-    def statistics(self, labelled: DataFrame) -> DataFrame:
-        """As :func:`site_statistics`."""
-        statistics = binary_statistics(self.predictions(labelled), ("algorithm", "model_site", "site", "own"))
+    def statistics(self, labelled: DataFrame, own: bool = False) -> DataFrame:
+        """As :func:`site_statistics`; outcomes are counted where the rows are scored."""
+        counts = M.outcomes(labelled, self.features, self.models, self.featureset, self.policy, own)
+        counts = counts.withColumn("own", F.col("site") == F.col("model_site"))
+        statistics = counted_statistics(added_counts(counts, ("algorithm", "model_site", "site", "own")))
         return statistics.withColumn("step", F.when(F.col("own"), "train").otherwise("validate")).drop("own")
 
 
@@ -144,33 +145,52 @@ def train_models(
         raise SpecError("these algorithms need different features or folds")
     rows = T.training_split(dataset.filter(F.col("site").isin(list(sites))))
     labelled = T.with_label(rows, featureset, labels, lead, T.label_fill(T.training_split(dataset), featureset, lead))
-    classes = {r["site"]: r["n"] for r in labelled.groupBy("site").agg(F.count_distinct("label").alias("n")).collect()}
+    told = labelled.groupBy("site").agg(F.count_distinct("label").alias("classes"), F.count(F.lit(1)).alias("n")).collect()
+    classes, sizes = ({r["site"]: r[c] for r in told} for c in ("classes", "n"))
     ready = [site for site in sites if classes.get(site, 0) > 1]
     errors = [(s, a.name, f"{s}: only one class to train on") for s in sites if s not in ready for a in algorithms]
     grids = [[{p.name: v for p, v in point.items()} for point in a.grid(a.estimator())] for a in algorithms]
     folds = int(lead.tuning("num_folds")) if any(len(g) > 1 for g in grids) else 0
     policy = lead.tuning("handle_invalid")
-    sets = M.training_sets(labelled.filter(F.col("site").isin(ready)), folds)
+    used = labelled.filter(F.col("site").isin(ready))
+    sets = M.training_sets(used, folds)
     fitted = materialize(M.fit_features(sets, featureset, policy, lead.tuning("imputation_strategy")))
-    vector = M.feature_vector(featureset, policy).alias("features")
-    featured = sets.join(fitted, ["site", "set"]).select("site", "set", "validating", vector, "label")
-    table = materialize(featured.filter("features is not null"))
+    # Stored by site and set, so that a fit reads only its own rows.
+    packed = materialize(M.packed_features(used, fitted, featureset, policy, folds), partition_by=["part"])
     parts, rest = [], []
     for a, points in zip(algorithms, grids, strict=True):
         plain = all(set(p) <= {"regParam", "elasticNetParam", "threshold"} for p in points) and "metric" not in a.parameters
         if a.name == T.LOGISTIC_REGRESSION and plain and ready:
-            parts.append(_logistic(table, a, points))
+            parts.append(_logistic(packed, a, points))
         elif a.name == T.NAIVE_BAYES and ready:
-            whole = table.filter((F.col("set") == M.WHOLE) & ~F.col("validating"))
+            whole = packed.filter((F.col("set") == M.WHOLE) & ~F.col("validating"))
             kind = T.SETTINGS[T.NAIVE_BAYES]["modelType"]
             bayes = M.naive_bayes(M.class_statistics(whole), kind)
             parts.append(M.model_rows(bayes.withColumn("algorithm", F.lit(a.name))))
         else:
             rest.append(a)
 
+    # The rows of all large sites are gathered at once for the trees that are fitted on gathered rows.
+    kept = {(r["site"], r["set"]): r["part"] for r in packed.select("site", "set", "part").distinct().collect()}
+    large = [site for site in ready if sizes[site] > T.ROWS_PER_TASK and (site, M.WHOLE) in kept]
+    trees = [a for a in rest if isinstance(a.estimator(), T.GATHERED)]
+    widest = packed.agg(F.max("width")).first()[0] if large and trees else 0
+    gathered = None
+    if large and trees and widest <= T.WIDEST_GATHERED:
+        used = packed.filter(F.col("part").isin([p for (site, _), p in kept.items() if site in large]))
+        if all(len(a.grid(a.estimator())) == 1 for a in trees):
+            used = used.filter(F.col("set") == M.WHOLE)
+        gathered = materialize(M.gathered_sets(used, max(a.estimator().getMaxBins() for a in trees)))
+
     def fit(task: tuple[T.Algorithm, str]) -> DataFrame | tuple[str, str, str]:
         a, site = task
-        own = table.filter(F.col("site") == site).select("set", "validating", array_to_vector("features").alias("features"), "label")
+        if gathered is not None and a in trees and site in large:
+            own = gathered.filter(F.col("site") == site)
+            own = own.select("set", "validating", array_to_vector("features").alias("features"), "label", "weight")
+        else:
+            needed = [p for (s, n), p in kept.items() if s == site and (n == M.WHOLE or len(a.grid(a.estimator())) > 1)]
+            own = M.unpack(packed.filter(F.col("part").isin(needed)))
+            own = own.select("set", "validating", array_to_vector("features").alias("features"), "label")
         try:
             return M.fitted_row(T.fit_best(own, a), site, a.name)
         except FIT_ERRORS as error:  # neither one site nor one algorithm must stop the others
@@ -185,17 +205,17 @@ def train_models(
     return ModelTable(featureset, policy, fitted, models, errors)
 
 
-def _logistic(table: DataFrame, algorithm: T.Algorithm, grid: Sequence[dict]) -> DataFrame:
+def _logistic(packed: DataFrame, algorithm: T.Algorithm, grid: Sequence[dict]) -> DataFrame:
     """The best point of every site, by the area under ROC averaged over its folds."""
     defaults = {mllib: value for mllib, value in T.CLASSIFIERS[algorithm.name][1].values()}
     full = [{**defaults, **point} for point in grid]
     points = [M.Point(float(p["regParam"]), float(p["elasticNetParam"])) for p in full]
-    used = table if len(points) > 1 else table.filter(F.col("set") == M.WHOLE)
+    used = packed if len(points) > 1 else packed.filter(F.col("set") == M.WHOLE)
     fits = materialize(M.fit_logistic(used, points, int(defaults["maxIter"])))
     best = fits.filter(F.col("set") == M.WHOLE)
     if len(points) > 1:
         keys = ["site", "set", "point"]
-        areas = curve_areas(score_curve(M.logistic_scores(table, fits.filter(F.col("set") != M.WHOLE)), keys), keys)
+        areas = curve_areas(score_curve(M.logistic_scores(packed, fits.filter(F.col("set") != M.WHOLE)), keys), keys)
         judged = areas.groupBy("site", "point").agg(F.avg("auroc").alias("area"))
         # Of equal ones the first point of the grid.
         chosen = judged.groupBy("site").agg(F.max_by("point", F.struct("area", -F.col("point"))).alias("point"))

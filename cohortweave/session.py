@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,16 +70,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder(context.applicationId)
 
 
-def materialize(df: DataFrame, **options: str) -> DataFrame:
+def materialize(df: DataFrame, partition_by: Sequence[str] = (), **options: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     For tables that a plan would otherwise compute several times. The copy outlives
-    lost executors, and later steps read only the columns they need. ``options`` are those of
-    the Parquet writer.
+    lost executors, and later steps read only the columns they need, and of those that it is stored
+    by (``partition_by``: numbers) only the files they ask for. ``options`` are those of the Parquet writer.
     """
     path = f"{shared_dir(df.sparkSession)}/intermediate/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def lenient(build: Callable) -> Callable:

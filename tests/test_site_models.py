@@ -291,3 +291,77 @@ def test_all_trees_at_once_reach_the_leaves_that_a_walk_reaches():
     x[1], x[2] = np.inf, -np.inf
     for tree, reached in zip(trees, S._Forest(trees).leaves(x), strict=True):
         assert (reached == S._leaves(tree, x, 6)).all()
+
+
+def test_packed_features_are_those_of_the_rows(rows, featured):
+    """Rows of every set, packed by the task, are the vectors that SQL makes; unpacked they are whole again."""
+    sets = S.training_sets(rows, folds=2)
+    fitted = materialize(S.fit_features(sets, FEATURES))
+    packed = materialize(S.packed_features(rows, fitted, FEATURES, folds=2), partition_by=["part"])
+    assert packed.columns == ["site", "set", "validating", "part", "n", "width", "rows"]
+    slow = sets.join(fitted, ["site", "set"]).select("site", "set", "validating", S.feature_vector(FEATURES).alias("features"), "label")
+    parts = {(r.site, r.set): r.part for r in packed.select("site", "set", "part").distinct().collect()}
+    assert len(parts) == len(set(parts.values())) == 2 * 3
+    for (site, n), part in parts.items():
+        ours = sorted(map(tuple, S.unpack(packed.filter(F.col("part") == part)).select("validating", "features", "label").collect()))
+        theirs = slow.filter((F.col("site") == site) & (F.col("set") == n)).select("validating", "features", "label").collect()
+        assert ours == sorted(map(tuple, theirs))
+    again = S.unpack(S.pack(slow.filter("site = 'A'"))).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, slow.filter("site = 'A'").drop("site").collect()))
+
+
+def test_packed_rows_give_the_same_bayes(rows, whole, featured):
+    packed = S.packed_features(rows, whole[1], FEATURES)
+    ours = {(r.site, r.label): r for r in S.class_statistics(packed).collect()}
+    theirs = {(r.site, r.label): r for r in S.class_statistics(featured).collect()}
+    assert ours.keys() == theirs.keys() and all(ours[k].n == theirs[k].n for k in ours)
+    assert all(np.allclose(ours[k].sums, theirs[k].sums) and np.allclose(ours[k].squares, theirs[k].squares) for k in ours)
+
+
+def test_outcomes_are_counted_where_rows_are_scored(rows, whole, featured):
+    models = S.model_rows(S.naive_bayes(S.class_statistics(featured)).withColumn("algorithm", F.lit("bayes")))
+    by = ("site", "model_site", "algorithm")
+    for own in (False, True):
+        long = S.predict(rows, whole[1], models, FEATURES, own=own, keep=("site", "label"))
+        assert long.columns == ["site", "label", "model_site", "algorithm", "prediction", "negative", "positive"]
+        counted = S.outcomes(rows, whole[1], models, FEATURES, own=own)
+        assert counted.count() <= rows.rdd.getNumPartitions() * (2 if own else 4)  # not a row for each record and model
+        statistics = [E.counted_statistics(E.added_counts(counted, by)), E.binary_statistics(long, by)]
+        found = [sorted(map(tuple, s.select(*by, *E.COUNTS, "accuracy", "f_measure").collect())) for s in statistics]
+        assert found[0] == found[1] and len(found[0]) == (2 if own else 4)
+
+
+def test_rows_of_all_sets_are_gathered_at_once(spark):
+    """Equal rows are one with a weight, also those that validate; what is moved goes the way of what it stands for."""
+    df = spark.range(9_000).select(
+        F.element_at(F.array(F.lit("A"), F.lit("B")), (F.col("id") % 2 + 1).cast("int")).alias("site"), F.lit(0).alias("set"), (F.col("id") % 3 == 0).alias("validating"),
+        F.array((F.col("id") % 1000).cast("double"), (F.col("id") % 5).cast("double")).alias("features"), (F.col("id") % 1000 > 612).cast("double").alias("label"),
+    )
+    found = S.gathered_sets(materialize(S.pack(df)), 32).collect()
+    assert len(found) <= 2 * 2 * 2 * 32 * 5
+    weights = {}
+    for r in found:
+        weights[r.site, r.validating] = weights.get((r.site, r.validating), 0) + r.weight
+        assert r.features[1] in range(5)
+    assert weights == {(s, v): (1500.0 if v else 3000.0) for s in "AB" for v in (False, True)}
+    for v in (False, True):
+        assert len({r.features[0] for r in found if r.site == "A" and r.validating == v}) <= 32
+    own = spark.createDataFrame([r for r in found if r.site == "A"], "site string, set int, validating boolean, features array<double>, label double, weight double")
+    own = own.select("set", "validating", array_to_vector("features").alias("features"), "label", "weight")
+    whole_set = own.unionByName(own.filter("not validating").withColumn("set", F.lit(-1)))
+    model = T.fit_best(whole_set, T.Algorithm(T.DECISION_TREE, {"max_depth": "1,3", "num_folds": 1}))
+    right = model.transform(own).filter(F.col("prediction") == F.col("label")).agg(F.sum("weight")).first()[0]
+    assert right > 0.97 * 4500
+
+
+def test_sets_without_a_fold_start_from_all_rows(featured, rows):
+    sets = S.training_sets(rows, folds=3)
+    packed = materialize(S.packed_features(rows, materialize(S.fit_features(sets, FEATURES)), FEATURES, folds=3))
+    both = S.fit_logistic(packed, POINTS[1:2]).collect()
+    alone = {(r.site, r.set): r for r in S.fit_logistic(packed.filter("`set` >= 0"), POINTS[1:2]).collect()}
+    assert len(both) == 8 and len(alone) == 6
+    for r in both:
+        if r.set != S.WHOLE:
+            other = alone[r.site, r.set]
+            assert abs(r.objective - other.objective) < 1e-9 and np.allclose(r.coefficients, other.coefficients, atol=1e-6)
+    assert sum(r.iterations for r in both if r.set >= 0) < sum(r.iterations for r in alone.values())

@@ -209,7 +209,7 @@ def _with_ranking(judged, predictions, *keys):
 def train_per_site(spark, sf_dir):
     """One model per site and algorithm, with statistics on its own training rows."""
     models, labelled = _site_models(spark, sf_dir)
-    predictions = materialize(models.predictions(T.training_split(labelled), own=True))
+    predictions = materialize(models.predictions(T.training_split(labelled), own=True, keep=()))
     keys = ("algorithm", "model_site", "site")
     return _with_ranking(_judged(binary_statistics(predictions, keys), *keys), predictions, *keys)
 
