@@ -101,6 +101,8 @@ def chain_problems(chains: DataFrame) -> DataFrame:
 def sound_bundles(bundles: DataFrame, chains: DataFrame, column: str = "value") -> DataFrame:
     """``bundles`` without those of chains that have a problem; single bundles stay."""
     broken = chain_problems(chains).select("chain").distinct()
-    pages = chains.join(broken, chains["chain"].eqNullSafe(broken["chain"]), "left_semi").select(F.col("page").alias("_page"))
     # Written first, so that Spark knows that they are few and moves no bundles.
-    return bundles.withColumn("_page", _address(column)).join(materialize(pages), "_page", "left_anti").drop("_page")
+    pages = materialize(chains.join(broken, chains["chain"].eqNullSafe(broken["chain"]), "left_semi").select(F.col("page").alias("_page")))
+    if pages.isEmpty():
+        return bundles  # nothing to leave out: no text is parsed for its address
+    return bundles.withColumn("_page", _address(column)).join(pages, "_page", "left_anti").drop("_page")

@@ -273,29 +273,65 @@ BUNDLE_SCHEMA = """entry array<struct<resource: string, request: struct<method:
 _GLANCE = "entry array<struct<resource: struct<resourceType: string, id: string>, request: struct<method: string>>>"
 
 
-def flatten_bundles(bundles: DataFrame, column: str = "value") -> DataFrame:
-    """``entry[].resource`` of bundles held as JSON text: kind, method, url, resource text."""
-    entries = bundles.select(F.explode(F.from_json(F.col(column), BUNDLE_SCHEMA)["entry"]).alias("e"))
-    return entries.select(
-        F.get_json_object("e.resource", "$.resourceType").alias("kind"),
-        F.col("e.request.method").alias("method"),
-        F.col("e.request.url").alias("url"),
-        F.col("e.resource").alias("resource"),
-    )
+def _any_resource() -> T.StructType:
+    """The fields of all kinds of resources; one that several have is of one type."""
+    fields: dict[str, T.StructField] = {}
+    for schema in RESOURCE_SCHEMAS.values():
+        for f in T.StructType.fromDDL(schema):
+            if fields.setdefault(f.name, f).dataType != f.dataType:
+                raise SpecError(f"{f.name!r} is of several types")
+    return T.StructType(list(fields.values()))
+
+
+def flatten_bundles(bundles: DataFrame, column: str = "value", parsed: bool = False) -> DataFrame:
+    """``entry[].resource`` of bundles held as JSON text: kind, method, url, resource text.
+
+    With ``parsed`` the resources of a bundle are parsed with it, into a column ``fields``, and have no text; where
+    anything in a bundle does not fit its place, they are text as without, and have no fields.
+    """
+    text = F.from_json(F.col(column), BUNDLE_SCHEMA)["entry"]
+    if not parsed:
+        entries = bundles.select(F.explode(text).alias("e"))
+        return entries.select(
+            F.get_json_object("e.resource", "$.resourceType").alias("kind"),
+            F.col("e.request.method").alias("method"),
+            F.col("e.request.url").alias("url"),
+            F.col("e.resource").alias("resource"),
+        )
+    resource = _any_resource()
+    request = T.StructType.fromDDL("method string, url string")
+    entry = T.StructType([T.StructField("resource", resource), T.StructField("request", request)])
+    schema = T.StructType([T.StructField("entry", T.ArrayType(entry)), T.StructField("_corrupt", T.StringType())])
+    told = bundles.select(F.col(column), F.from_json(column, schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("_b"))
+
+    def made(e: Column, kind: Column, text: Column, fields: Column) -> Column:
+        method, url = e["request"]["method"], e["request"]["url"]
+        return F.struct(kind.alias("kind"), method.alias("method"), url.alias("url"), text.alias("resource"), fields.alias("fields"))
+
+    sound = F.transform("_b.entry", lambda e: made(e, e["resource"]["resourceType"], F.lit(None).cast("string"), e["resource"]))
+    other = F.transform(text, lambda e: made(e, F.get_json_object(e["resource"], "$.resourceType"), e["resource"], F.lit(None).cast(resource)))
+    entries = told.select(F.explode(F.when(F.col("_b._corrupt").isNull(), sound).otherwise(other)).alias("e"))
+    return entries.select("e.*")
 
 
 def resources_from_bundles(entries: DataFrame, names: list[str] | None = None) -> Resources:
-    """Nested tables out of flattened bundle entries.
+    """Nested tables out of flattened bundle entries, parsed or not.
 
     Entries that delete, and resources without an id, are no data; see :func:`bundle_rejects`.
     """
     kept = entries.filter(F.coalesce(F.col("method"), F.lit("PUT")) != "DELETE")
     tables = []
     for name in names or list(RESOURCE_SCHEMAS):
-        parsed = kept.filter(F.col("kind") == name).select(
-            F.from_json("resource", RESOURCE_SCHEMAS[name]).alias("r")
-        )
-        tables.append(nested_table(name, parsed.filter("r.id is not null").select("r.*")))
+        own = kept.filter(F.col("kind") == name)
+        text = F.from_json("resource", RESOURCE_SCHEMAS[name])
+        if "fields" in entries.columns:
+            # Field by field, so that of stored entries only those are read that are asked for.
+            fields = T.StructType.fromDDL(RESOURCE_SCHEMAS[name]).names
+            of = lambda f: F.when(F.col("resource").isNull(), F.col(f"fields.{f}")).otherwise(text[f])  # noqa: B023, E731
+            tables.append(nested_table(name, own.select(*[of(f).alias(f) for f in fields]).filter("id is not null")))
+        else:
+            parsed = own.select(text.alias("r"))
+            tables.append(nested_table(name, parsed.filter("r.id is not null").select("r.*")))
     return Resources.of(*tables)
 
 

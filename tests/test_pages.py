@@ -61,3 +61,10 @@ def test_what_is_no_page(spark):
 def test_nothing(spark, texts):
     chains, problems, left = outcome(spark, texts)
     assert chains.collect() == [] and problems == set() and left == len(texts)
+
+
+def test_no_text_is_parsed_for_its_address_where_nothing_is_left_out(spark):
+    bundles = spark.createDataFrame([('{"entry":[],"link":[{"relation":"self","url":"a"}],"total":0}',)], "value string")
+    sound = P.sound_bundles(bundles, P.page_chains(bundles))
+    assert sound.collect() == bundles.collect()
+    assert "from_json" not in sound._jdf.queryExecution().optimizedPlan().toString()

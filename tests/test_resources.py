@@ -172,3 +172,30 @@ def test_a_failed_batch_leaves_the_store_and_can_be_repeated(spark, tmp_path):
     assert [tuple(r) for r in store.read().collect()] == [("a", 1, 1)]
     store.apply(batch)
     assert sorted(tuple(r) for r in store.read().collect()) == [("a", 2, 2), ("b", 1, 3)]
+
+
+def test_resources_parsed_with_their_bundle_are_those_of_the_text(spark):
+    """Also where a field, an entry or a bundle is not what it should be; and each text is parsed once."""
+    def entry(resource, method="PUT"):
+        return {"resource": resource, "request": {"method": method, "url": f"{resource.get('resourceType')}/x" if isinstance(resource, dict) else None}}
+
+    good = {"resourceType": "Observation", "id": "o", "code": {"coding": [{"code": "age"}]}, "valueQuantity": {"value": 7}}
+    odd = [
+        {"resourceType": "Observation", "id": "bad value", "valueQuantity": {"value": "much"}, "status": "final"},
+        {"resourceType": "Patient", "id": "other's field", "valueQuantity": 3, "gender": "male"},
+        {"resourceType": "Observation", "id": 5, "status": 6}, {"resourceType": "Patient"}, {"resourceType": "Spaceship", "id": "s"}, {"id": "no kind"}, "text", None,
+    ]
+    texts = [json.dumps({"entry": [entry(good), entry(r), entry({"resourceType": "Patient", "id": "p", "address": [{"country": "N"}]}), entry(good, "DELETE")]}) for r in odd]
+    texts += ["{not a bundle", "{}", "", None, json.dumps({"entry": [None, entry(good)]}), json.dumps({"entry": [7, entry(good)]}), json.dumps({"entry": entry(good)})]
+    bundles = spark.createDataFrame([(t,) for t in texts + clinic.bundles("PUT")], "value string")
+    text, parsed = S.flatten_bundles(bundles), S.flatten_bundles(bundles, parsed=True)
+    assert parsed.columns == [*text.columns, "fields"]
+    told = lambda df: sorted(map(repr, df.select("kind", "method", "url").collect()))
+    assert told(text) == told(parsed)
+    whole = parsed.filter("fields is not null")
+    assert whole.count() > 34 and whole.filter("resource is not null").isEmpty() and not parsed.filter("resource is not null").isEmpty()
+    before, now = S.resources_from_bundles(text), S.resources_from_bundles(parsed)
+    assert before.keys() == now.keys()
+    for name in before:
+        assert before[name].df.schema.simpleString() == now[name].df.schema.simpleString()
+        assert sorted(map(repr, before[name].df.collect())) == sorted(map(repr, now[name].df.collect())), name

@@ -197,7 +197,7 @@ def prepare_dataset_bundles(spark, sf_dir):
     """From pages of nested resources to the stored dataset: chains checked, entries taken out, cohort, variables."""
     bundles = bundle_pages(spark, sf_dir)
     sound = pages.sound_bundles(bundles, materialize(pages.page_chains(bundles)))
-    resources = S.resources_from_bundles(materialize(S.flatten_bundles(sound), compression="zstd"))
+    resources = S.resources_from_bundles(materialize(S.flatten_bundles(sound, parsed=True), compression="zstd"))
     store = DatasetStore(spark, _new_folder(spark))
     as_of = F.lit(tables.AS_OF_TEXT).cast("timestamp")
     return prepare_dataset(spark, resources, NESTED, NESTED_CRITERIA, store, "nested", as_of).dataset
